@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import table
+from . import bpe, decontaminate, jaccard, langid, linededup, sql
+from .common import held_out, table
+
+#: Where the vocabulary of op6 is; a parameter of the query, never copied.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, langid.fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_recurring(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_langid": op4_langid,
+    "op6_bpe": op6_bpe,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLE_SQL = {
+    "op8_line_dedup": sql.LINE_DEDUP,
+    "op9_decontamination": sql.DECONTAMINATION,
+}

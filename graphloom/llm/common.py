@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
@@ -60,6 +61,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
 
 
+def with_text_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) for a Python stage; the id as text, since pandas has floats for nullable
+    integers."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def built_once(key: str, build):
+    """What ``build`` returns, kept for later tasks of the same Python worker; one value at a time."""
+    kept = getattr(sys, "_graphloom_built", (None, None))
+    if kept[0] != key:
+        sys._graphloom_built = kept = (key, build())
+    return kept[1]
+
+
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
