@@ -6,23 +6,47 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, sql
+from . import bpe, chat, decontaminate, jaccard, langid, linededup, neighbours, quality, shards, sql, warc
 from .common import held_out, table
 
 #: Where the vocabulary of op6 is; a parameter of the query, never copied.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, and one more whose texts look like the template."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_conversations(rows))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.Vocabulary.load(tokenizer))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.drop_recurring(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -37,14 +61,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_neighbours": op3_neighbours,
     "op4_langid": op4_langid,
+    "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
+    "op3_neighbours": sql.NEIGHBOURS,
+    "op5_chat": sql.CHAT,
+    "op7_warc": sql.WARC,
     "op8_line_dedup": sql.LINE_DEDUP,
     "op9_decontamination": sql.DECONTAMINATION,
 }
