@@ -1,6 +1,341 @@
-"""Registered queries over the driver's tables, and the SQL that each must agree with."""
+"""Registered queries over the driver's tables, and the SQL that each must agree with.
+
+Three graphs are used: sales, a layered multigraph that grows with the data; trade, dense and cyclic
+with parallel edges; ring, sparse and cyclic.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import text
+from graphloom.graph import Graph, validate
+from graphloom.operators import cas, components, diff, history, lookup, metrics, policy, score, simulate, traverse
+from graphloom.sources import views
+from graphloom.streaming import events
+
+from . import formats, oracle
+from .expressions import Engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and, where SQL can say it, its oracle."""
+
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return register
+
+
+def on(view, run: Callable[[Graph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(view(spark, sf_dir))
+
+
+def add(name: str, view, run: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(on(view, run))
+
+
+SALES, TRADE, RING = views.sales, views.trade, views.ring
+START, MIDDLE = "orders::5", "nation::3"
+NATION = "r1::NATION_1"
+
+# ---- lookups, searches, filters
+
+add("node_degree_topk", SALES, lambda g: metrics.degrees(g).withColumn("degree", F.col("fan_in") + F.col("fan_out")).orderBy(F.desc("degree"), "id").limit(20),
+    oracle.sales(" SELECT *, fan_in + fan_out AS degree FROM deg ORDER BY degree DESC, id LIMIT 20", oracle.DEGREES))
+add("node_degrees", SALES, metrics.degrees, oracle.sales(" SELECT * FROM deg", oracle.DEGREES))
+add("get_node", SALES, lambda g: lookup.get_node(g, MIDDLE).select("id", "file", "type", "line", "layer", "arch_layer"),
+    oracle.sales(f" SELECT id, file, type, line, layer, arch_layer FROM nodes WHERE id = '{MIDDLE}'"))
+add("nodes_in_file", SALES, lambda g: lookup.nodes_in_file(g, "nation").select("id", "layer"), oracle.sales(" SELECT id, layer FROM nodes WHERE file = 'nation'"))
+add("get_callers", SALES, lambda g: lookup.callers_of(g, "supplier::3"), oracle.sales(" SELECT source AS caller_id, edge_type, confidence FROM edges WHERE target = 'supplier::3'"))
+add("get_callees", SALES, lambda g: lookup.callees_of(g, START), oracle.sales(f" SELECT target AS callee_id, edge_type, confidence FROM edges WHERE source = '{START}'"))
+add("nodes_at_layer", SALES, lambda g: lookup.nodes_at_layer(g, 1), oracle.sales(" SELECT id FROM nodes WHERE layer = 1"))
+add("nodes_in_arch_layer", SALES, lambda g: lookup.nodes_in_arch_layer(g, "domain").select("id"), oracle.sales(" SELECT id FROM nodes WHERE arch_layer = 'domain'"))
+add("tests_of_node", SALES, lambda g: lookup.tests_of(g, "part::7"), oracle.sales(" SELECT DISTINCT source AS test_id FROM edges WHERE target = 'part::7'"))
+add("nodes_of_test", SALES, lambda g: lookup.nodes_of_test(g, START), oracle.sales(f" SELECT DISTINCT target AS node_id FROM edges WHERE source = '{START}'"))
+add("node_search_ilike", SALES, lambda g: lookup.search_nodes(g, "NATION::*1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE 'nation::%1' ORDER BY id LIMIT 100"))
+add("node_search_contains", SALES, lambda g: lookup.search_nodes(g, "TION::1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE '%tion::1%' ORDER BY id LIMIT 100"))
+add("node_suggest", SALES, lambda g: lookup.suggest(g, "Part::1"), oracle.sales(" SELECT id FROM nodes WHERE starts_with(lower(id), 'part::1') ORDER BY id LIMIT 5"))
+add("node_resolve", SALES, lambda g: lookup.resolve(g, "24"), oracle.sales(" SELECT id FROM nodes WHERE ends_with(id, '::24') ORDER BY id LIMIT 100"))
+add("modifiable_nodes", SALES, lambda g: lookup.modifiable(g).groupBy("layer", "modifiable").agg(F.count("*").alias("n")),
+    oracle.sales(" SELECT layer, layer IN (3, 4) AS modifiable, count(*)::BIGINT AS n FROM nodes GROUP BY ALL"))
+add("glob_filter", SALES, lambda g: g.nodes.where(lookup.matches("id", "[no]*::[!1-3]?")).select("id"), oracle.sales(" SELECT id FROM nodes WHERE regexp_full_match(id, '[no].*::[^1-3].')"))
+
+
+@query("filter_pipeline", oracle.sales("""
+ SELECT CASE WHEN edge_type = 'event' THEN 'events' WHEN s.layer < 2 OR t.layer < 2 THEN 'trace' END AS filter, count(*)::BIGINT AS removed
+ FROM edges e LEFT JOIN nodes s ON s.id = source LEFT JOIN nodes t ON t.id = target GROUP BY 1 HAVING filter IS NOT NULL"""))
+def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = SALES(spark, sf_dir)
+    return lookup.filter_edges(g, [("dunder", lookup.dunder_edges()), ("logging", lookup.logging_edges()), ("events", F.col("edge_type") == "event"), ("trace", lookup.low_layer_edges(2)), ("harness", lookup.harness_edges())])[1]
+
+
+add("graph_validation", SALES, lambda g: validate(g).groupBy("kind").agg(F.count("*").alias("n")), "SELECT NULL::VARCHAR AS kind, 0::BIGINT AS n WHERE false")
+
+# ---- traversals
+
+add("callers_depth1", SALES, lambda g: traverse.callers(g, "supplier::3"), oracle.sales(" SELECT DISTINCT source AS id FROM edges WHERE target = 'supplier::3'"))
+add("callees_depth2", TRADE, lambda g: traverse.callees(g, NATION, 2), oracle.trade(f" SELECT DISTINCT node AS id FROM walk WHERE node <> '{NATION}'", oracle.reach(NATION, depth=2)))
+add("dependencies_closure", SALES, lambda g: traverse.dependencies(g, START).select("id"),
+    "WITH RECURSIVE " + oracle.SALES + ", " + oracle.reach(START) + f" SELECT node AS id FROM walk WHERE node <> '{START}'")
+add("dependents_closure", SALES, lambda g: traverse.dependents(g, "region::0").select("id"),
+    "WITH RECURSIVE " + oracle.SALES + ", " + oracle.reach("region::0", True) + " SELECT node AS id FROM walk")
+add("dependencies_on_cycle", RING, lambda g: traverse.dependencies(g, NATION).select("id"), oracle.ring(f" SELECT node AS id FROM walk WHERE node <> '{NATION}'", oracle.reach(NATION)))
+add("dependents_on_cycle", RING, lambda g: traverse.dependents(g, "r2::NATION_17").select("id"), oracle.ring(" SELECT node AS id FROM walk", oracle.reach("r2::NATION_17", True)))
+add("shortest_path_len", RING, lambda g: traverse.path(g, "r0::NATION_0", "r2::NATION_17").select("hops", F.array_join("path", ",").alias("path")),
+    oracle.ring(""", best AS (SELECT min(d) AS hops FROM walk WHERE node = 'r2::NATION_17')
+ SELECT hops::INT AS hops, min(path) AS path FROM walk JOIN best ON d = hops WHERE node = 'r2::NATION_17' GROUP BY hops""",
+    "walk(node, d, path) AS (SELECT 'r0::NATION_0', 0, 'r0::NATION_0' UNION ALL SELECT e.target, d + 1, path || ',' || e.target FROM walk w JOIN edges e ON e.source = w.node WHERE d < 9)"))
+add("pattern_paths", RING, lambda g: traverse.pattern_paths(g, "r0::*", "r4::*").select("origin", "hops"),
+    oracle.ring(" SELECT o AS origin, min(d)::INT AS hops FROM walk WHERE node LIKE 'r4::%' GROUP BY o ORDER BY o LIMIT 10",
+    "walk(o, node, d) AS (SELECT id, id, 0 FROM nodes WHERE id LIKE 'r0::%' UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 20)"))
+add("orphan_nodes", SALES, traverse.orphans, oracle.sales(" SELECT id FROM nodes WHERE type <> 'module' AND id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)"))
+add("orphan_nodes_ring", RING, traverse.orphans, oracle.ring(" SELECT id FROM nodes WHERE type <> 'module' AND id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)"))
+add("explain_node", SALES, lambda g: traverse.explain(g, MIDDLE).select("id", "layer", "callers", "callees"), oracle.sales(f"""
+ SELECT id, layer, (SELECT string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT source FROM edges WHERE target = '{MIDDLE}' ORDER BY source LIMIT 10)) AS callers,
+  (SELECT string_agg(target, ',' ORDER BY target) FROM (SELECT DISTINCT target FROM edges WHERE source = '{MIDDLE}' ORDER BY target LIMIT 10)) AS callees FROM nodes WHERE id = '{MIDDLE}'"""))
+add("blast_radius", SALES, lambda g: traverse.blast_radius(g, ["nation::3", "region::1"]), "WITH RECURSIVE " + oracle.SALES + """,
+ walk(node, d) AS (SELECT unnest(['nation::3', 'region::1']), 0 UNION SELECT e.source, d + 1 FROM walk w JOIN edges e ON e.target = w.node WHERE d < 3)
+ SELECT count(DISTINCT node)::BIGINT AS blast_radius FROM walk""")
+add("neighbourhood", TRADE, lambda g: traverse.neighbourhood(g, [NATION], 1), oracle.trade(f""" SELECT id, min(d)::INT AS depth FROM (
+ SELECT '{NATION}' AS id, 0 AS d UNION ALL SELECT source, 1 FROM edges WHERE target = '{NATION}' UNION ALL SELECT target, 1 FROM edges WHERE source = '{NATION}') GROUP BY id"""))
+add("test_impact", SALES, lambda g: traverse.prioritised(traverse.impacted_tests(g, g.nodes.where("id in ('nation::3', 'part::7', 'supplier::2')").select(F.col("id").alias("node")))), "WITH RECURSIVE " + oracle.SALES + """,
+ walk(o, node, d) AS (SELECT target, source, 1 FROM edges WHERE target IN ('nation::3', 'part::7', 'supplier::2')
+  UNION SELECT o, e.source, d + 1 FROM walk w JOIN edges e ON e.target = w.node WHERE w.node NOT LIKE 'orders::%')
+ SELECT node AS test_id, count(DISTINCT o)::BIGINT AS impact_score, min(d)::INT AS distance FROM walk WHERE node LIKE 'orders::%' GROUP BY node""")
+add("invalidation_set", RING, lambda g: traverse.invalidated(g, g.nodes.where("line = 9").select(F.col("id").alias("node"))), oracle.ring(
+    " SELECT node FROM walk", "walk(node) AS (SELECT id FROM nodes WHERE line = 9 UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.node)"))
+add("deepest_dependency", SALES, lambda g: traverse.deepest_dependency(g, 50), oracle.sales(" SELECT 3 AS max_depth"))
+add("subsystem_slice", TRADE, lambda g: traverse.subsystem_slice(g, NATION))
+
+# ---- boolean and SELECT queries
+
+add("boolean_and", TRADE, lambda g: Engine(g).run(f'callers("{NATION}") AND callees("{NATION}")'), oracle.trade(f" SELECT source AS id FROM edges WHERE target = '{NATION}' INTERSECT SELECT target FROM edges WHERE source = '{NATION}'"))
+add("boolean_or", SALES, lambda g: Engine(g).run('callers("nation::3") OR callees("nation::3")'), oracle.sales(" SELECT source AS id FROM edges WHERE target = 'nation::3' UNION SELECT target FROM edges WHERE source = 'nation::3'"))
+add("boolean_not", SALES, lambda g: Engine(g).run('(callers("nation::3") NOT callers("nation::4")) AND search("*1*")'), oracle.sales(""" SELECT id FROM (SELECT source AS id FROM edges WHERE target = 'nation::3' EXCEPT SELECT source FROM edges WHERE target = 'nation::4')
+ WHERE id IN (SELECT id FROM nodes WHERE id LIKE '%1%' ORDER BY id LIMIT 100)"""))
+add("select_nodes", SALES, lambda g: Engine(g).run("SELECT nodes WHERE layer=2 AND fan_in>=10 AND arch_layer=domain"), oracle.sales(" SELECT id FROM deg JOIN nodes USING (id) WHERE layer = 2 AND fan_in >= 10", oracle.DEGREES))
+add("select_modules_in_layer", TRADE, lambda g: Engine(g).run('SELECT modules WHERE in_layer("service")'), oracle.trade(" SELECT id FROM nodes WHERE arch_layer = 'service'"))
+add("select_services_depends_on", RING, lambda g: Engine(g).run("SELECT services WHERE depends_on(NATION_17)"), oracle.ring(" SELECT id FROM nodes JOIN walk ON id = node WHERE arch_layer = 'service'", oracle.reach("r2::NATION_17", True)))
+add("select_violations", TRADE, lambda g: Engine(g).run("SELECT violations WHERE layer=1"), oracle.trade(" SELECT DISTINCT source || ' -> ' || target AS id FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer = 1 AND t.layer > 1"))
+add("select_cycles", RING, lambda g: Engine(g).run("SELECT cycles"), oracle.ring(" SELECT string_agg(id, ' -> ' ORDER BY id) || ' -> ' || component AS id FROM scc GROUP BY component", oracle.SCC))
+add("select_subsystems", TRADE, lambda g: Engine(g).run("SELECT subsystems WHERE cohesion>=0"), "SELECT 'root' AS id")
+
+# ---- aggregations
+
+add("edge_stats_sets", SALES, metrics.edge_stats, oracle.sales(""" SELECT edge_type, confidence, count(*)::BIGINT AS n, 0::BIGINT AS dynamic, count(*) FILTER (source = target)::BIGINT AS self_referring
+ FROM edges GROUP BY GROUPING SETS ((edge_type), (confidence), ())"""))
+add("layer_stats", SALES, metrics.layer_stats, oracle.sales(" SELECT layer::INT AS layer, count(*)::BIGINT AS n, round(100 * count(*) / (SELECT count(*) FROM nodes), 4) AS percent FROM nodes GROUP BY layer"))
+add("module_coupling", TRADE, metrics.module_coupling, oracle.trade(""" SELECT n.file AS module, count(*)::BIGINT AS members, coalesce(any_value(c), 0)::BIGINT AS crossing, round(coalesce(any_value(c), 0) / count(*), 6) AS coupling
+ FROM nodes n LEFT JOIN (SELECT m, count(*) AS c FROM (SELECT unnest([split_part(source, '::', 1), split_part(target, '::', 1)]) AS m FROM edges WHERE split_part(source, '::', 1) <> split_part(target, '::', 1)) GROUP BY m) x ON x.m = n.file GROUP BY n.file"""))
+add("module_pair_coupling", TRADE, metrics.module_pair_coupling, oracle.trade(""", x AS (SELECT split_part(source, '::', 1) AS a, split_part(target, '::', 1) AS b FROM edges WHERE split_part(source, '::', 1) <> split_part(target, '::', 1)),
+ o AS (SELECT a, count(*) AS c FROM x GROUP BY a), p AS (SELECT least(a, b) AS file_a, greatest(a, b) AS file_b, count(*)::BIGINT AS n FROM x GROUP BY ALL HAVING count(*) >= 10)
+ SELECT file_a, file_b, n, round(n / (coalesce(y.c, 1) + coalesce(z.c, 1)), 6) AS strength FROM p LEFT JOIN o y ON y.a = file_a LEFT JOIN o z ON z.a = file_b"""))
+add("module_graph_l2", SALES, metrics.module_graph, oracle.sales(""", x AS (SELECT DISTINCT split_part(source, '::', 1) AS a, split_part(target, '::', 1) AS b FROM edges WHERE split_part(source, '::', 1) <> split_part(target, '::', 1))
+ SELECT file, count(*)::BIGINT AS functions, count(*) FILTER (type = 'class')::BIGINT AS classes, (SELECT count(*) FROM x WHERE b = file)::BIGINT AS fan_in, (SELECT count(*) FROM x WHERE a = file)::BIGINT AS fan_out FROM nodes GROUP BY file"""))
+add("file_calls", SALES, metrics.file_calls, oracle.sales(" SELECT split_part(source, '::', 1) AS s_file, split_part(target, '::', 1) AS t_file, count(*)::BIGINT AS call_count FROM edges GROUP BY ALL"))
+add("subsystem_graph_l3", TRADE, lambda g: metrics.subsystem_graph(g, F.col("file")), oracle.trade(""", x AS (SELECT split_part(source, '::', 1) AS a, split_part(target, '::', 1) AS b FROM edges),
+ c AS (SELECT s AS subsystem, count(*) FILTER (a = b)::BIGINT AS internal, count(*) FILTER (a <> b AND b = s)::BIGINT AS ext_in, count(*) FILTER (a <> b AND a = s)::BIGINT AS ext_out FROM x, (SELECT DISTINCT file AS s FROM nodes) WHERE a = s OR b = s GROUP BY s)
+ SELECT f.file AS subsystem, coalesce(internal, 0)::BIGINT AS internal, coalesce(ext_in, 0)::BIGINT AS ext_in, coalesce(ext_out, 0)::BIGINT AS ext_out, coalesce(round(internal / (internal + ext_in + ext_out), 6), 0) AS cohesion
+ FROM (SELECT DISTINCT file FROM nodes) f LEFT JOIN c ON c.subsystem = f.file"""))
+add("god_modules", SALES, metrics.god_modules, oracle.sales(" SELECT file, count(*)::BIGINT AS n FROM nodes GROUP BY file HAVING count(*) >= 30"))
+add("compress_to_module", SALES, metrics.compress, oracle.sales(""" SELECT source, target, arg_min(edge_type, (edge_type, confidence)) AS edge_type, arg_min(confidence, (edge_type, confidence)) AS confidence
+ FROM (SELECT split_part(source, '::', 1) AS source, split_part(target, '::', 1) AS target, edge_type, confidence FROM edges) GROUP BY source, target"""))
+add("dedup_edges", SALES, lambda g: metrics.dedup_edges(g).groupBy("edge_type", "confidence").agg(F.count("*").alias("n")), oracle.sales(" SELECT edge_type, confidence, count(*)::BIGINT AS n FROM (SELECT DISTINCT * FROM edges) GROUP BY ALL"))
+add("best_edge", SALES, metrics.best_edges, oracle.sales(""" SELECT source, target, edge_type, confidence FROM (SELECT DISTINCT * FROM edges)
+ QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY CASE confidence WHEN 'runtime' THEN 4 WHEN 'test' THEN 3 ELSE 2 END DESC, CASE edge_type WHEN 'call' THEN 3 WHEN 'control_flow' THEN 3 ELSE 2 END DESC, edge_type, confidence) = 1"""))
+add("risk_scores", SALES, metrics.risks, oracle.sales(""", m AS (SELECT max(fan_in) AS mi, max(fan_out) AS mo FROM deg), r AS (SELECT id, fan_in, fan_out, round(0.4::DOUBLE * (fan_in / mi) + 0.6::DOUBLE * (fan_out / mo), 6) AS coupling_score, round(0.3::DOUBLE * (fan_in / mi) + 0.3::DOUBLE * (fan_out / mo), 6) AS risk_score FROM deg, m)
+ SELECT *, CASE WHEN risk_score >= 0.8 THEN 'critical' WHEN risk_score >= 0.5 THEN 'high' WHEN risk_score >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM r""", oracle.DEGREES))
+add("risk_summary", SALES, lambda g: metrics.risk_summary(g).select("max_fan_in", "max_fan_out", "avg_fan_in", "avg_fan_out"), oracle.sales(" SELECT max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out, round(avg(fan_in), 6) AS avg_fan_in, round(avg(fan_out), 6) AS avg_fan_out FROM deg", oracle.DEGREES))
+add("p95_fan_in", SALES, lambda g: metrics.p95(metrics.degrees(g), "fan_in"), oracle.sales(" SELECT fan_in AS p95 FROM (SELECT fan_in, row_number() OVER (ORDER BY fan_in) AS r, count(*) OVER () AS n FROM deg) WHERE r = floor((n - 1) * 0.95) + 1", oracle.DEGREES))
+add("fan_entropy", SALES, lambda g: metrics.entropy(metrics.degrees(g), "fan_in"), oracle.sales(" SELECT round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT fan_in / sum(fan_in) OVER () AS p FROM deg WHERE fan_in > 0)", oracle.DEGREES))
+add("fan_distribution", SALES, score.fan_distribution, oracle.sales(" SELECT fan_in AS value, count(*)::BIGINT AS n, 'fan_in' AS metric FROM deg GROUP BY fan_in UNION ALL SELECT fan_out, count(*), 'fan_out' FROM deg GROUP BY fan_out", oracle.DEGREES))
+add("multilevel_smells", SALES, metrics.multilevel_smells, oracle.sales(""" SELECT 'god_function' AS smell, id AS subject, fan_out::DOUBLE AS value FROM deg WHERE fan_out >= 20
+ UNION ALL SELECT 'god_module', file, count(*)::DOUBLE FROM nodes GROUP BY file HAVING count(*) >= 30
+ UNION ALL SELECT 'god_subsystem', 'root', count(*)::DOUBLE FROM nodes HAVING count(*) >= 300""", oracle.DEGREES))
+add("architecture_smells", RING, metrics.architecture_smells, oracle.ring(""" SELECT 'cross_layer' AS smell, source || ' -> ' || target AS subject, 'error' AS severity FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer
+ UNION SELECT 'orphan_service', id, 'warning' FROM nodes WHERE arch_layer = 'service' AND id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)
+ UNION SELECT 'dependency_cycle', string_agg(id, ' -> ' ORDER BY id), 'error' FROM scc GROUP BY component""", oracle.SCC))
+add("bidirectional_pairs", TRADE, score.bidirectional, oracle.trade(" SELECT DISTINCT split_part(e.source, '::', 1) AS a, split_part(e.target, '::', 1) AS b FROM edges e JOIN edges f ON split_part(e.source, '::', 1) = split_part(f.target, '::', 1) AND split_part(e.target, '::', 1) = split_part(f.source, '::', 1) WHERE split_part(e.source, '::', 1) < split_part(e.target, '::', 1)"))
+add("hubs_top_band", RING, metrics.hubs, oracle.ring(""", h AS (SELECT deg.*, (SELECT count(DISTINCT node) FROM walk WHERE o = deg.id AND node <> o)::BIGINT AS reach FROM deg),
+ s AS (SELECT *, fan_in + fan_out + reach AS score, rank() OVER (ORDER BY fan_in + fan_out + reach DESC) AS r FROM h)
+ SELECT id, fan_in, fan_out, reach, score FROM s WHERE r <= (SELECT ceil(count(*) * 0.1) FROM nodes) AND score > 0""", oracle.DEGREES,
+    "walk(o, node, d) AS (SELECT source, target, 1 FROM edges UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 3)"))
+add("hubs_sales", SALES, metrics.hubs)
+add("bounded_reach3", SALES, metrics.reach3, oracle.sales(""", s AS (SELECT DISTINCT source, target FROM edges), w AS (SELECT source AS o, target AS node FROM s
+ UNION SELECT a.source, b.target FROM s a JOIN s b ON b.source = a.target UNION SELECT a.source, c.target FROM s a JOIN s b ON b.source = a.target JOIN s c ON c.source = b.target)
+ SELECT id, count(node)::BIGINT AS reach FROM nodes LEFT JOIN w ON o = id AND node <> id GROUP BY id"""))
+
+# ---- components
+
+add("wcc", RING, lambda g: components.weak_components(g.nodes, g.edges), oracle.ring(" SELECT id, least(id, coalesce(min(b), id)) AS component FROM nodes LEFT JOIN w ON a = id GROUP BY id",
+    "both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)", "w(a, b) AS (SELECT a, b FROM both_ways UNION SELECT w.a, x.b FROM w JOIN both_ways x ON x.a = w.b)"))
+add("wcc_sales", SALES, lambda g: components.weak_components(g.nodes, g.edges).groupBy("component").agg(F.count("*").alias("n")))
+add("scc_components", RING, lambda g: components.strong_components(g.edges), oracle.ring(" SELECT id, component FROM scc", oracle.SCC))
+add("scc_trade", TRADE, lambda g: components.strong_components(g.edges), oracle.trade(" SELECT id, component FROM scc", oracle.SCC.replace("FROM edges UNION", "FROM (SELECT DISTINCT source, target FROM edges) UNION").replace("JOIN edges e", "JOIN (SELECT DISTINCT source, target FROM edges) e")))
+add("cycles", RING, components.cycles, oracle.ring(""" SELECT component AS cycle_id, count(*)::BIGINT AS size, string_agg(id, ' -> ' ORDER BY id) AS members,
+ (SELECT count(*) FROM edges JOIN scc x ON x.id = source JOIN scc y ON y.id = target WHERE x.component = s.component AND y.component = s.component)::BIGINT AS evidence FROM scc s GROUP BY component""", oracle.SCC))
+add("bounded_cycles", RING, lambda g: components.bounded_cycles(g, ["r0::NATION_0", "r2::NATION_17", "r2::NATION_12"]), oracle.ring(" SELECT o AS origin, min(d)::INT AS length FROM walk WHERE o = node GROUP BY o",
+    "walk(o, node, d) AS (SELECT source, target, 1 FROM edges WHERE source IN ('r0::NATION_0', 'r2::NATION_17', 'r2::NATION_12') UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 10)"))
+add("bridges", RING, components.bridges, oracle.ring(""" SELECT e.source, e.target FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.k = e.k AND w.b = e.target) GROUP BY ALL HAVING count(*) = 1""",
+    "e AS (SELECT *, row_number() OVER (ORDER BY source, target) AS k FROM edges)", "u AS (SELECT k, source AS a, target AS b FROM e UNION ALL SELECT k, target, source FROM e)",
+    "w(k, b) AS (SELECT k, source FROM e UNION SELECT w.k, u.b FROM w JOIN u ON u.a = w.b AND u.k <> w.k)"))
+add("lpa_partitions", RING, components.partitions)
+add("community_overview", RING, lambda g: components.community_overview(g, components.partitions(g)))
+add("community_links", TRADE, lambda g: components.community_links(g, g.nodes.select("id", F.col("file").alias("partition_id"))), oracle.trade(""", x AS (SELECT least(split_part(source, '::', 1), split_part(target, '::', 1)) AS a, greatest(split_part(source, '::', 1), split_part(target, '::', 1)) AS b, count(*)::BIGINT AS n FROM edges GROUP BY ALL)
+ SELECT x.a AS source_community, x.b AS target_community, x.n AS edge_count, round(x.n / (coalesce(i.n, 0) + coalesce(j.n, 0) + x.n), 6) AS coupling_score FROM x LEFT JOIN x i ON i.a = x.a AND i.b = x.a LEFT JOIN x j ON j.a = x.b AND j.b = x.b WHERE x.a <> x.b"""))
+add("betweenness", RING, lambda g: components.betweenness(g).select("id", F.round("betweenness", 6).alias("betweenness")))
+add("modularity_subsystems", TRADE, components.subsystems_by_modularity)
+add("topological_levels", SALES, lambda g: components.topological_levels(g.edges).groupBy("level").agg(F.count("*").alias("n")), oracle.sales(""" SELECT CASE split_part(id, '::', 1) WHEN 'region' THEN 0 WHEN 'part' THEN 0 WHEN 'nation' THEN 1 WHEN 'orders' THEN 3 ELSE 2 END AS level, count(*)::BIGINT AS n
+ FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) GROUP BY level"""))
+
+# ---- snapshots, hashes
+
+CUT_A, CUT_B = "1995-01-01", "1996-01-01"
+
+
+def snapshot(spark: SparkSession, sf_dir: str, before: str) -> Graph:
+    return SALES(spark, sf_dir, F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
+
+
+def two(run) -> Query:
+    return lambda spark, sf_dir: run(snapshot(spark, sf_dir, CUT_A), snapshot(spark, sf_dir, CUT_B))
+
+
+query("snapshot_diff_nodes", oracle.sales(f""" SELECT CASE WHEN o_orderkey IS NULL OR o_orderdate < '{CUT_A}' THEN 'unchanged' ELSE 'added' END AS change, count(*)::BIGINT AS n
+ FROM nodes LEFT JOIN orders ON id = 'orders::' || o_orderkey WHERE o_orderkey IS NULL OR o_orderdate < '{CUT_B}' GROUP BY change"""))(two(lambda a, b: diff.diff_nodes(a, b).groupBy("change").agg(F.count("*").alias("n"))))
+query("snapshot_diff_edges", oracle.sales(f""" SELECT CASE WHEN o_orderkey IS NULL OR o_orderdate < '{CUT_A}' THEN 'unchanged' ELSE 'added' END AS change, count(DISTINCT (source, target))::BIGINT AS n
+ FROM edges LEFT JOIN orders ON source = 'orders::' || o_orderkey WHERE o_orderkey IS NULL OR o_orderdate < '{CUT_B}' GROUP BY change"""))(two(lambda a, b: diff.diff_edges(a, b).groupBy("change").agg(F.count("*").alias("n"))))
+query("snapshot_diff_multigraph", oracle.sales(f""" SELECT edge_type, count(*)::BIGINT AS records FROM edges JOIN orders ON source = 'orders::' || o_orderkey
+ WHERE o_orderdate >= '{CUT_A}' AND o_orderdate < '{CUT_B}' GROUP BY edge_type"""))(two(lambda a, b: diff.diff_multigraph(a, b).groupBy("edge_type").agg(F.sum("delta").alias("records"))))
+query("metric_deltas", oracle.sales(f""", side AS (SELECT * FROM (VALUES ('before', '{CUT_A}'), ('after', '{CUT_B}')) v(side, cut)),
+ n AS (SELECT side, count(*) AS node_count FROM nodes LEFT JOIN orders ON id = 'orders::' || o_orderkey, side WHERE o_orderkey IS NULL OR o_orderdate < cut::TIMESTAMP GROUP BY side),
+ e AS (SELECT side, count(*) AS edge_count FROM edges LEFT JOIN orders ON source = 'orders::' || o_orderkey, side WHERE o_orderkey IS NULL OR o_orderdate < cut::TIMESTAMP GROUP BY side)
+ SELECT metric, max(v) FILTER (side = 'before') AS before, max(v) FILTER (side = 'after') AS after FROM (SELECT side, 'node_count' AS metric, node_count::DOUBLE AS v FROM n UNION ALL SELECT side, 'edge_count', edge_count::DOUBLE FROM e) GROUP BY metric"""))(
+    two(lambda a, b: diff.metric_deltas(a, b).where("metric in ('node_count', 'edge_count')").select("metric", "before", "after")))
+query("incremental_equals_full", "SELECT 'edges' AS \"table\", 0::BIGINT AS only_old, 0::BIGINT AS only_new UNION ALL SELECT 'nodes', 0, 0")(
+    two(lambda a, b: diff.snapshot_diff({"nodes": (m := diff.apply_delta(a, b)).nodes, "edges": m.edges}, {"nodes": b.nodes, "edges": b.edges})))
+add("consistency_check", SALES, diff.consistency, "SELECT unnest(['unknown_edge_end', 'stale_annotation', 'repeated_id']) AS problem, 0::BIGINT AS n")
+add("cas_hashes", SALES, lambda g: cas.dependency_hashes(g), oracle.sales(""", d AS (SELECT DISTINCT source, target FROM edges), b AS (SELECT id, sha256(id || '|' || body) AS h FROM nodes),
+ l0 AS (SELECT id, sha256(h) AS x FROM b WHERE id LIKE 'region::%' OR id LIKE 'part::%'),
+ l1 AS (SELECT b.id, sha256(any_value(b.h) || ':' || string_agg(x, ':' ORDER BY x)) AS x FROM b JOIN d ON d.source = b.id JOIN l0 ON l0.id = d.target WHERE b.id LIKE 'nation::%' GROUP BY b.id),
+ l2 AS (SELECT b.id, sha256(any_value(b.h) || ':' || string_agg(x, ':' ORDER BY x)) AS x FROM b JOIN d ON d.source = b.id JOIN l1 ON l1.id = d.target WHERE b.id NOT LIKE 'orders::%' GROUP BY b.id),
+ l AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2),
+ l3 AS (SELECT b.id, sha256(any_value(b.h) || ':' || string_agg(x, ':' ORDER BY x)) AS x FROM b JOIN d ON d.source = b.id JOIN l ON l.id = d.target WHERE b.id LIKE 'orders::%' GROUP BY b.id)
+ SELECT id, x AS dependency_hash FROM l UNION ALL SELECT id, x FROM l3"""))
+add("cas_cyclic", RING, cas.dependency_hashes)
+add("cas_rehash_equals_full", RING, lambda g: cas.verify(g, cas.rehash(g, cas.dependency_hashes(g), g.nodes.where("line = 9").select(F.col("id").alias("node")))), "SELECT '' AS id, '' AS stored, '' AS computed WHERE false")
+
+# ---- policies
+
+RULES = [
+    {"id": "f1", "type": "forbidden_call", "source": "r0::*", "target": "r3::*"},
+    {"id": "f2", "type": "layer_boundary", "source_layer": 4, "target_layer": 2},
+    {"id": "q1", "type": "required_call", "source": "r1::*", "target": "r0::*"},
+    {"id": "d1", "type": "dependency_limit", "source": "r2::*", "max_fan_out": 1, "max_fan_in": 1},
+    {"id": "x1", "type": "forbidden_call", "source": "nowhere::*", "target": "r1::*"},
+    {"id": "p1", "type": "forbidden_path", "source": "r0::*", "target": "r2::*17"},
+]
+
+
+def ruled(run) -> Query:
+    return lambda spark, sf_dir: run(RING(spark, sf_dir), policy.rules_table(spark, RULES))
+
+
+query("forbidden_edges", oracle.ring(""" SELECT 'f1' AS rule_id, source, target FROM edges WHERE source LIKE 'r0::%' AND target LIKE 'r3::%'
+ UNION SELECT 'f2', source, target FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer = 4 AND t.layer = 2"""))(ruled(policy.forbidden_calls))
+query("required_missing", oracle.ring(" SELECT 'q1' AS rule_id, id AS source FROM nodes WHERE id LIKE 'r1::%' AND id NOT IN (SELECT source FROM edges WHERE target LIKE 'r0::%')"))(ruled(policy.missing_calls))
+query("required_pairs_missing", oracle.ring(" SELECT 'q1' AS rule_id, s.id AS source, t.id AS target FROM nodes s, nodes t WHERE s.id LIKE 'r1::%' AND t.id LIKE 'r0::%' AND NOT EXISTS (SELECT 1 FROM edges WHERE source = s.id AND target = t.id)"))(ruled(policy.required_pairs_missing))
+query("dependency_limit", oracle.ring(""" SELECT 'd1' AS rule_id, id, 'fan_in' AS metric, fan_in AS value, 1 AS most FROM deg WHERE id LIKE 'r2::%' AND fan_in > 1
+ UNION ALL SELECT 'd1', id, 'fan_out', fan_out, 1 FROM deg WHERE id LIKE 'r2::%' AND fan_out > 1""", oracle.DEGREES))(ruled(policy.fan_violations))
+query("dangling_rules", "SELECT 'x1' AS rule_id, 'source' AS side")(ruled(policy.dangling_rules))
+query("rule_status")(ruled(policy.rule_status))
+add("forbidden_paths", RING, lambda g: policy.forbidden_paths(g, RULES).select("rule_id", "origin", "hops"), oracle.ring(" SELECT 'p1' AS rule_id, o AS origin, min(d)::INT AS hops FROM walk WHERE node LIKE 'r2::%17' GROUP BY o ORDER BY o LIMIT 5",
+    "walk(o, node, d) AS (SELECT id, id, 0 FROM nodes WHERE id LIKE 'r0::%' UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 20)"))
+add("layer_violations", TRADE, policy.layer_violations, oracle.trade(" SELECT DISTINCT source, target, s.layer AS s_layer, t.layer AS t_layer FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer"))
+
+
+@query("dependency_drift", oracle.sales(""", d AS (SELECT * FROM (VALUES ('orders', 'customer'), ('orders', 'part'), ('part', 'supplier')) v(source, target)), a AS (SELECT DISTINCT split_part(source, '::', 1) AS source, split_part(target, '::', 1) AS target FROM edges)
+ SELECT *, 'undeclared' AS finding FROM (SELECT * FROM a EXCEPT SELECT * FROM d) UNION ALL SELECT *, 'missing' FROM (SELECT * FROM d EXCEPT SELECT * FROM a)"""))
+def dependency_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = spark.createDataFrame([("orders", "customer"), ("orders", "part"), ("part", "supplier")], "source string, target string")
+    return policy.dependency_drift(SALES(spark, sf_dir), declared)
+
+
+@query("module_drift", "SELECT unnest(['customer', 'nation', 'region', 'supplier']) AS module, 'undeclared' AS finding UNION ALL SELECT 'invoice', 'missing'")
+def module_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.module_drift(SALES(spark, sf_dir), spark.createDataFrame([("orders",), ("part",), ("invoice",)], "module string"))
+
+
+@query("intent_violations", oracle.sales(" SELECT source, target, 'mid' AS from_layer, 'low' AS to_layer FROM (SELECT DISTINCT source, target FROM edges WHERE source LIKE 'customer%' AND target LIKE 'nation%')"))
+def intent_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = spark.createDataFrame([("top", "orders"), ("mid", "customer"), ("low", "nation"), ("low", "region")], "layer string, prefix string")
+    return policy.intent_violations(SALES(spark, sf_dir), layers, spark.createDataFrame([("top", "mid")], "from_layer string, to_layer string"))
+
+
+add("coverage_gaps", RING, lambda g: policy.coverage_gaps(g, 4), oracle.ring(""", t AS (SELECT id FROM nodes WHERE layer = 4), direct AS (SELECT target AS id FROM edges WHERE source IN (SELECT id FROM t))
+ SELECT id, CASE WHEN id IN (SELECT node FROM walk) THEN 'indirect_only' ELSE 'no_test' END AS gap FROM nodes WHERE layer <> 4 AND id NOT IN (SELECT id FROM direct)""",
+    "walk(node) AS (SELECT target FROM edges JOIN nodes ON id = source WHERE layer = 4 UNION SELECT e.target FROM walk w JOIN edges e ON e.source = w.node)"))
+add("orphan_classes", RING, policy.orphan_classes, oracle.ring(" SELECT id, 'dead_code' AS classification FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)"))
+add("lock_check", SALES, lambda g: policy.lock_check(g, metrics.compress(g).where("source <> 'orders'").select("source", "target")), "SELECT 'orders' AS source, unnest(['customer', 'part', 'supplier']) AS target")
+
+# ---- scores and what-if
+
+add("health", RING, score.health, oracle.ring(""" SELECT count(*)::BIGINT AS nodes, count(*) FILTER (fan_in + fan_out = 0)::BIGINT AS orphans, count(*) FILTER (arch_layer = 'service' AND fan_in = 0)::BIGINT AS unused_services,
+ round(var_pop(fan_in), 6) AS fan_in_variance, round(var_pop(fan_out), 6) AS fan_out_variance, (SELECT count(*) FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer)::BIGINT AS layer_violations,
+ (SELECT count(DISTINCT component) FROM scc)::BIGINT AS cycles, (SELECT round(-sum(p * log2(p)), 6) FROM (SELECT fan_in / sum(fan_in) OVER () AS p FROM deg WHERE fan_in > 0)) AS fan_in_entropy FROM deg JOIN nodes USING (id)""", oracle.DEGREES, oracle.SCC))
+add("architecture_score", RING, score.architecture_score)
+add("architecture_score_sales", SALES, score.architecture_score)
+add("decay", RING, score.decay)
+add("service_candidates", SALES, score.service_candidates)
+add("inversions", TRADE, score.inversions, oracle.trade(""", m AS (SELECT DISTINCT split_part(source, '::', 1) AS source, split_part(target, '::', 1) AS target FROM edges)
+ SELECT source, target, (SELECT count(*) FROM m x WHERE x.target = m.target AND x.source <> x.target)::BIGINT AS fan_in FROM m WHERE source < target"""))
+add("patterns", RING, score.patterns)
+add("wide_nodes", TRADE, score.wide_nodes, oracle.trade(" SELECT id, fan_out FROM deg WHERE fan_out > 10 ORDER BY fan_out DESC, id LIMIT 15", oracle.DEGREES))
+add("hidden_coupling", SALES, score.hidden_coupling, "SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b, 0::BIGINT AS shared WHERE false")
+
+
+def changed(run) -> Query:
+    return lambda spark, sf_dir: run(RING(spark, sf_dir), simulate.change_set(spark, [("add", "r3::NATION_13", "r0::NATION_0"), ("remove", "r0::NATION_0", "r1::NATION_1")]))
+
+
+query("simulate_metrics")(changed(lambda g, c: simulate.simulate(g, c)["metrics"]))
+query("simulate_assess")(changed(simulate.assess))
+query("structural_effects")(changed(simulate.structural_effects))
+query("simulate_edges_delta", oracle.ring(" SELECT count(*)::BIGINT AS n FROM edges WHERE NOT (source = 'r0::NATION_0' AND target = 'r1::NATION_1')").replace("count(*)::BIGINT", "(count(*) + 1)::BIGINT"))(
+    changed(lambda g, c: simulate.apply_changes(g, c).edges.agg(F.count("*").alias("n"))))
+
+# ---- events, documents, pages
+
+query("event_transitions", """SELECT event_type AS source, nxt AS target, count(*)::BIGINT AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL""")(
+    lambda spark, d: views.flow(spark, d).edges.groupBy("source", "target").agg(F.count("*").alias("n")))
+query("event_tumbling", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")(lambda spark, d: events.tumbling(views.table(spark, d, "events")))
+query("event_sliding", """SELECT start, count(*)::BIGINT AS n FROM (SELECT unnest([time_bucket(INTERVAL 12 HOURS, ts), time_bucket(INTERVAL 12 HOURS, ts) - INTERVAL 12 HOURS]) AS start FROM events) GROUP BY start""")(
+    lambda spark, d: events.sliding(views.table(spark, d, "events")).select("start", "n"))
+query("event_sessions", """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER w >= INTERVAL 1 DAY)::INT, 1) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")(
+    lambda spark, d: events.sessions(views.table(spark, d, "events")))
+query("interaction_patterns", oracle.sales(" SELECT split_part(source, '::', 1) AS source_kind, split_part(target, '::', 1) AS target_kind, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM edges), 6) AS share FROM edges GROUP BY ALL"))(
+    lambda spark, d: history.interactions(SALES(spark, d).edges))
+query("document_domains", "SELECT domain, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}' END" for k, w in text.DOMAINS.items()) + "], lambda x: x IS NOT NULL)) AS domain FROM documents) GROUP BY domain")(
+    lambda spark, d: views.table(spark, d, "documents").select(F.explode(text.domains_of("text")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n")))
+query("page_hosts", "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*)::BIGINT AS n FROM pages GROUP BY host")(
+    lambda spark, d: views.table(spark, d, "pages").groupBy(text.host_of("url").alias("host")).agg(F.count("*").alias("n")))
+query("web_links", """SELECT edge_type, count(*)::BIGINT AS n, count(DISTINCT target)::BIGINT AS targets FROM (SELECT 'call' AS edge_type, regexp_extract(url, '^https?://([^/?#]+)', 1) AS target FROM pages
+ UNION ALL SELECT 'dataflow', unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages) GROUP BY edge_type""")(
+    lambda spark, d: views.web(spark, d).edges.groupBy("edge_type").agg(F.count("*").alias("n"), F.countDistinct("target").alias("targets")))
+query("score_trend", """WITH h AS (SELECT date_trunc('month', o_orderdate) AS at, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS score FROM orders GROUP BY 1), t AS (SELECT at, score, score - lag(score) OVER (ORDER BY at) AS delta FROM h)
+ SELECT at, score, round(delta, 6) AS delta, CASE WHEN delta > 0.05 THEN 'improving' WHEN delta < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM t""".replace(" at", " \"at\"").replace("SELECT at", "SELECT \"at\""))(
+    lambda spark, d: history.score_trend(views.table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("at")).agg(F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("score"))))
+add("mermaid", RING, formats.mermaid)
+add("json_rows", RING, lambda g: formats.as_json(g.edges))
