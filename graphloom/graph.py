@@ -11,12 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-NODE = T.StructType([T.StructField(c, t) for c, t in (("id", T.StringType()), ("file", T.StringType()), ("type", T.StringType()), ("line", T.IntegerType()), ("body_hash", T.StringType()), ("dependency_hash", T.StringType()))])
-EDGE = T.StructType([T.StructField(c, t) for c, t in (("source", T.StringType()), ("target", T.StringType()), ("edge_type", T.StringType()), ("confidence", T.StringType()), ("source_detail", T.StringType()), ("conditional", T.BooleanType()))])
-ANNOTATION = T.StructType([T.StructField(c, t) for c, t in (("id", T.StringType()), ("intent", T.StringType()), ("layer", T.IntegerType()), ("arch_layer", T.StringType()), ("tags", T.ArrayType(T.StringType())), ("intent_body_hash", T.StringType()))])
-SEMANTICS = T._parse_datatype_string(
+NODE = "id string, file string, type string, line int, body_hash string, dependency_hash string"
+EDGE = "source string, target string, edge_type string, confidence string, source_detail string, conditional boolean"
+ANNOTATION = "id string, intent string, layer int, arch_layer string, tags array<string>, intent_body_hash string"
+SEMANTICS = (
     "id string, actions array<struct<verb:string,object:string,action_type:string>>, guards array<struct<condition:string,raises:string>>, "
     "side_effects array<struct<effect_type:string,target:string>>, domain_tags array<string>, library_calls array<string>, sql_operations array<string>"
 )

@@ -37,7 +37,7 @@ def parser(*extensions: str):
 def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
     """(path, content) of text files under a folder, paths relative to it, without skipped folders and
     those that an ignore glob matches."""
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     top = root.rstrip("/").split("/")[-1]
     path = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(top)}/(.*)$", 1)
     out = files.select(path.alias("path"), F.col("value").alias("content"))
@@ -59,7 +59,7 @@ class _Python(ast.NodeVisitor):
     def _define(self, node, kind: str) -> None:
         body = [n for n in node.body if not (isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and isinstance(n.value.value, str) and n is node.body[0])]
         digest = hashlib.sha256("".join(ast.dump(n) for n in body).encode()).hexdigest()
-        method = kind == "function" and self.stack and self.kinds and self.kinds[-1] == "class"
+        method = kind == "function" and bool(self.kinds) and self.kinds[-1] == "class"
         self.stack.append(node.name)
         self.rows.append(("node", self.scope, self.path, "method" if method else kind, node.lineno, digest, node.name, ""))
         self.kinds.append(kind)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import ANNOTATION, EDGE, NODE, SEMANTICS, Graph
 
 
-def _rows(spark: SparkSession, path: str, key: str, schema) -> DataFrame:
-    doc = spark.read.schema(f"{key} array<{schema.simpleString()}>").option("multiLine", True).json(path)
+def _rows(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    doc = spark.read.schema(f"{key} array<struct<{schema}>>").option("multiLine", True).json(path)
     return doc.select(F.explode(key).alias("x")).select("x.*")
 
 
@@ -26,7 +26,7 @@ def read_semantics(spark: SparkSession, path: str) -> DataFrame:
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     from graphloom.operators.policy import COLUMNS
 
-    doc = spark.read.schema(f"rules array<struct<{COLUMNS.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+    doc = spark.read.schema(f"rules array<struct<{COLUMNS}>>").option("multiLine", True).json(path)
     return doc.select(F.explode("rules").alias("x")).select("x.*")
 
 
