@@ -61,16 +61,30 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
 
 
+#: Rows that go to a Python worker at once where they hold whole texts; the default of 10,000 may be
+#: hundreds of megabytes.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Makes the session send texts to Python in batches of at most TEXT_ROWS rows."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def with_text_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, text) for a Python stage; the id as text, since pandas has floats for nullable
     integers."""
-    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def built_once(key: str, build):
     """What ``build`` returns, kept for later tasks of the same Python worker; one value at a time."""
     kept = getattr(sys, "_graphloom_built", (None, None))
     if kept[0] != key:
+        sys._graphloom_built = (None, None)  # not two at once
         sys._graphloom_built = kept = (key, build())
     return kept[1]
 

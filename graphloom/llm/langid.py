@@ -16,9 +16,9 @@ doc_id, text and, for learning, lang are not read. Without any labelled text all
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import built_once, held_out
+from .common import built_once, held_out, small_batches
 
-SAMPLE_CHARS, SAMPLE_DOCS, WINDOW, SHARPNESS = 60_000, 400, 512, 8.0
+SAMPLE_CHARS, SAMPLE_DOCS, WINDOW, SHARPNESS = 20_000, 400, 512, 8.0
 #: Letters told apart, the most frequent ones of the learnt texts, the space among them.
 ALPHABET = 200
 UNDETERMINED = "und"
@@ -39,10 +39,9 @@ def normal(text: str) -> str:
 
 
 class Automaton:
-    """The suffix automaton of a text over an alphabet, as one table of transitions; state 0 has
-    none and means that the phrase ends."""
+    """The suffix automaton of a text; state 0 has no transitions and means that the phrase ends."""
 
-    def __init__(self, symbols: list[int], n_symbols: int):
+    def __init__(self, symbols: list[int]):
         following: list[dict[int, int]] = [{}, {}]
         link, longest = [0, 0], [0, 0]
         last = 1
@@ -69,10 +68,13 @@ class Automaton:
                         at = link[at]
                     link[target] = link[new] = copy
             last = new
-        self.table = np.zeros((len(following), n_symbols), np.int32)
-        for state, out in enumerate(following):
+        self.following = following
+
+    def fill(self, table: np.ndarray, base: int) -> None:
+        """Writes its transitions into the rows of a table, its states numbered from ``base``."""
+        for state, out in enumerate(self.following):
             for s, target in out.items():
-                self.table[state, s] = target
+                table[state, s] = base + target
 
 
 class Model:
@@ -100,17 +102,17 @@ class Parser:
         self.code = np.zeros(0x110000, np.uint8)  # 0: ends a phrase, and is one, in every language
         for i, c in enumerate(kept):
             self.code[ord(c)] = i + 1
-        tables, self.cost, roots, base = [], [], [], 0
-        for lang in self.langs:
-            symbols = self.codes(model.texts[lang])
-            a = Automaton(symbols.tolist(), len(kept) + 1)
-            a.table[:, 0] = 0
-            tables.append(np.where(a.table > 0, a.table + base, 0))
+        symbols = [self.codes(model.texts[lang]).tolist() for lang in self.langs]
+        self.width, self.cost, roots, base = len(kept) + 1, np.array([math.log2(max(2, len(s))) for s in symbols]), [], 0
+        table = np.zeros((sum(2 * len(s) + 2 for s in symbols), self.width), np.int32)  # most states there can be
+        for s in symbols:
+            automaton = Automaton(s)
+            automaton.fill(table[base:], base)
             roots.append(base + 1)
-            base += len(a.table)
-            self.cost.append(math.log2(max(2, len(symbols))))
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(1, np.int32)
-        self.width, self.roots, self.cost = len(kept) + 1, np.array(roots, np.int32), np.array(self.cost)
+            base += len(automaton.following)
+            del automaton
+        table[:, 0] = 0
+        self.table, self.roots = table.ravel(), np.array(roots, np.int32)
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -168,7 +170,7 @@ def fit(docs: DataFrame) -> Model:
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     order = F.xxhash64("text", F.lit(17))
-    texts = {}
+    samples = {}
     for lang, n in sorted(counts.items()):
         # enough rows by a threshold on the hash, so that few are sorted
         share = min(1.0, 4 * SAMPLE_DOCS / n)
@@ -176,16 +178,30 @@ def fit(docs: DataFrame) -> Model:
         some = some.where(order <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else some
         long = F.length("text") > SAMPLE_CHARS // 10
         some = some.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), order.alias("h"), long.alias("long")).orderBy("long", "h", "text").limit(SAMPLE_DOCS)
+        samples[lang] = [r["text"] for r in some.collect()]
+    return Model({lang: joined for lang, found in samples.items() if has_letter(joined := sample_text(found, repeated_lines(samples)))})
+
+
+def repeated_lines(samples: dict[str, list[str]]) -> set[str]:
+    """Lines of several different sampled texts: notices and the like, which tell of no language."""
+    seen = Counter(line for texts in samples.values() for text in set(texts) for line in set(text.split("\n")))
+    return {line for line, n in seen.items() if n > 1}
+
+
+def sample_text(texts: list[str], without: set[str]) -> str:
+    """Texts without some lines, joined up to SAMPLE_CHARS characters; with them if nothing is left."""
+    for skipped in (without, set()):
         taken, left = [], SAMPLE_CHARS
-        for r in some.collect():
-            if taken and len(r["text"]) > left:
+        for text in dict.fromkeys(texts):
+            own = "\n".join(line for line in text.split("\n") if line not in skipped)
+            if taken and len(own) > left:
                 break
-            taken.append(r["text"][:left])
-            left -= len(taken[-1]) + 1
-        joined = "\n".join(taken)
-        if has_letter(joined):
-            texts[lang] = joined
-    return Model(texts)
+            if own:
+                taken.append(own[:left])
+                left -= len(taken[-1]) + 1
+        if has_letter("\n".join(taken)):
+            break
+    return "\n".join(taken)
 
 
 def predictor(model: Model):
@@ -197,7 +213,7 @@ def predictor(model: Model):
         parser = built_once(model.key(), model.build)
         for batch in batches:
             langs, scores = [UNDETERMINED] * len(batch), [0.0] * len(batch)
-            for group in groups_of(i for i, t in enumerate(batch) if t and parser.langs and has_letter(t)):
+            for group in groups_of((i, len(t)) for i, t in enumerate(batch) if t and parser.langs and has_letter(t)):
                 b = parser.bits([batch.iloc[i] for i in group])
                 weight = np.exp2(-SHARPNESS * (b - b.min(1, keepdims=True)))
                 for i, k, w in zip(group, b.argmin(1), 1 / weight.sum(1), strict=True):
@@ -207,13 +223,20 @@ def predictor(model: Model):
     return predict.asNondeterministic()  # so that a filter on the result does not run it twice
 
 
-def groups_of(items: Iterable[int], size: int = 1000) -> Iterator[list[int]]:
-    items = iter(items)
-    while group := list(itertools.islice(items, size)):
+def groups_of(items: Iterable[tuple[int, int]], most: int = 1_000_000) -> Iterator[list[int]]:
+    """Numbers in groups whose sizes add up to ``most`` or little more."""
+    group, held = [], 0
+    for i, size in items:
+        group.append(i)
+        held += size
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
         yield group
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with ``lang_pred`` and ``score``, in place of columns of these names."""
-    out = docs.withColumn("__found", predictor(model)(F.col("text").cast("string")))
+    out = small_batches(docs).withColumn("__found", predictor(model)(F.col("text").cast("string")))
     return out.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
