@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words once. A block of texts keeps its words as codes into its own word list,
-so what is joined per occurrence is a code and not a string. The distinct words of all blocks are
-encoded once each; their ids are joined to the word lists and put back by position. Decoding looks
-up the piece of each id in the id-to-piece table, whose size is that of the vocabulary.
+Texts are split into words once. A block of texts, BLOCK_CHARS long, has a table of its distinct words,
+each encoded once; occurrences are codes into that table, and their ids are put back by position. One
+table for all blocks was measured first: invented and rare words make most of a table, so that sending
+them and the codes to a common place took more disk than the texts and saved few encodings (README).
+Decoding looks up the piece of each id in the id-to-piece table, whose size is that of the vocabulary.
 
 Null and empty texts have no ids and decode to the empty text. Strings of added tokens inside a text
 become those tokens, as in the library's own encode. Repeated rows each give a row; other columns
@@ -13,22 +14,21 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, with_text_ids
+from .common import built_once, with_text_ids
 
 #: Fixed value: the pattern by which byte-level BPE vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of text in a block, and rows in a batch that leaves a Python worker.
-BLOCK_CHARS, BATCH_ROWS = 24_000_000, 5_000
+#: Characters of text in a block (a longer text is a block of its own), and words encoded in one call.
+BLOCK_CHARS, WORDS = 8_000_000, 50_000
 
 
 class Vocabulary:
@@ -42,6 +42,9 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             return cls(f.read())
 
+    def key(self) -> str:
+        return "pieces-" + hashlib.sha256(self.spec.encode()).hexdigest()
+
     def added(self) -> list[str]:
         return [t["content"] for t in json.loads(self.spec)["added_tokens"]]
 
@@ -90,93 +93,58 @@ def splitter(added: list[str]):
     return split
 
 
-def pack(codes: np.ndarray, press) -> bytes:
-    """Codes as compressed planes of their low, second and upper bytes."""
-    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return press.compress(np.ascontiguousarray(raw.T).tobytes())
-
-
-def unpack(data: bytes, press) -> np.ndarray:
-    raw = np.frombuffer(press.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel()
-
+def encode_block(texts: list[str | None], split, encoder) -> list[np.ndarray]:
+    """Ids of each text: every distinct word of the block is encoded once, and its ids are gathered
+    into the places of the word."""
+    words = Words()
+    coded = [np.fromiter(map(words.__getitem__, found), np.int64, len(found)) for found in (split(t) if t else () for t in texts)]
+    listed = list(words)
+    ids: list[list[int]] = []
+    for at in range(0, len(listed), WORDS):
+        ids += [e.ids for e in encoder.encode_batch_fast(listed[at : at + WORDS], add_special_tokens=False)]
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    start = np.cumsum(size) - size
+    flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
+    out = []
+    for codes in coded:
+        n = size[codes]
+        at = np.arange(n.sum()) + np.repeat(start[codes] - (np.cumsum(n) - n), n)
+        out.append(flat[at])
+    return out
 
-def _split(added: list[str]):
-    """Rows of two kinds: a document with its codes, or a word with its code; block tells which
-    belong together."""
 
-    def flush(block, docs, words) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(docs), BATCH_ROWS):
-            some = docs[at : at + BATCH_ROWS]
-            yield pd.DataFrame({"block": block, "doc_id": [d for d, _ in some], "codes": [c for _, c in some], "word": None, "code": 0})
-        listed = list(words)
-        for at in range(0, len(listed), 20 * BATCH_ROWS):
-            some = listed[at : at + 20 * BATCH_ROWS]
-            yield pd.DataFrame({"block": block, "doc_id": None, "codes": None, "word": some, "code": np.arange(at, at + len(some))})
+def _encoded(vocabulary: Vocabulary, columns):
+    """Rows of ``columns(ids of each text)`` for blocks of texts."""
 
     def run(batches):
-        from pyspark import TaskContext
+        split, encoder = splitter(vocabulary.added()), vocabulary.encoder()
+        ids, texts, chars = [], [], 0
+
+        def flush():
+            return pd.DataFrame({"doc_id": ids} | columns(encode_block(texts, split, encoder)))
 
-        split, press = splitter(added), zstandard.ZstdCompressor(3)
-        part = TaskContext.get().partitionId() << 32
-        docs, words, chars, n = [], Words(), 0, 0
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = split(text) if text else ()
-                codes = np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
-                docs.append((doc_id, pack(codes, press)))
+                ids.append(doc_id)
+                texts.append(text)
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
-                    yield from flush(part + n, docs, words)
-                    docs, words, chars, n = [], Words(), 0, n + 1
-        yield from flush(part + n, docs, words)
-
-    return run
-
-
-def _encode(vocabulary: Vocabulary):
-    def run(batches):
-        encoder = vocabulary.encoder()
-        for pdf in batches:
-            got = encoder.encode_batch(list(pdf["word"]), add_special_tokens=False)
-            yield pd.DataFrame({"word": pdf["word"], "ids": [np.array(e.ids, "<u4").tobytes() for e in got]})
+                    yield flush()
+                    ids, texts, chars = [], [], 0
+        if ids:
+            yield flush()
 
     return run
 
 
-def _join_by_position(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Ids of each document of a block as little-endian 32-bit integers."""
-    press = zstandard.ZstdDecompressor()
-    per_word: list[bytes] = [b""] * (int(words["code"].max()) + 1 if len(words) else 0)
-    for code, ids in zip(words["code"], words["ids"], strict=True):
-        per_word[code] = ids
-    size = np.array([len(x) // 4 for x in per_word], np.int64)
-    flat, start = np.frombuffer(b"".join(per_word), "<u4"), np.r_[0, np.cumsum(size)[:-1]] if len(size) else size
-    out = []
-    for data in docs["codes"]:
-        codes = unpack(data, press)
-        n = size[codes] if len(codes) else np.zeros(0, np.int64)
-        at = np.arange(n.sum()) + np.repeat(start[codes] - np.r_[0, np.cumsum(n)[:-1]], n) if len(codes) else np.zeros(0, np.int64)
-        out.append(flat[at].tobytes())
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
-
-
 def _with_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, ids) for documents (doc_id, text); ids is binary, 4 bytes an id."""
-    return _with_ids(_coded(docs, vocabulary))
-
-
-def _coded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    blocks = cut(with_text_ids(docs).mapInPandas(_split(vocabulary.added()), "block long, doc_id string, codes binary, word string, code int"), "blocks")
-    listed = blocks.where("word is not null").select("block", "word", "code")
-    known = listed.select("word").distinct().mapInPandas(_encode(vocabulary), "word string, ids binary")
-    lists = listed.join(known, "word").select(F.col("block").alias("of"), "code", "ids")
-    coded = blocks.where("codes is not null").select("block", "doc_id", "codes")
-    return coded.groupBy("block").cogroup(lists.groupBy("of")).applyInPandas(_join_by_position, "doc_id string, ids binary")
+    run = _encoded(vocabulary, lambda ids: {"ids": [x.tobytes() for x in ids]})
+    return _with_ids(with_text_ids(docs).mapInPandas(run, "doc_id string, ids binary"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -194,16 +162,14 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what encode and decode return."""
 
-    def run(batches):
-        pieces = vocabulary.pieces()
-        for pdf in batches:
-            ids = [np.frombuffer(x, "<u4") for x in pdf["ids"]]
-            texts = [b"".join(map(pieces.__getitem__, x.tolist())).decode("utf-8", "replace").encode() for x in ids]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in pdf["ids"]],
-                "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
-            })
-
-    return _with_ids(_coded(docs, vocabulary).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    def columns(ids: list[np.ndarray]) -> dict[str, list]:
+        pieces = built_once(vocabulary.key(), vocabulary.pieces)
+        texts = (b"".join(map(pieces.__getitem__, x.tolist())).decode("utf-8", "replace").encode() for x in ids)
+        return {
+            "n_tokens": [len(x) for x in ids],
+            "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+        }
+
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _with_ids(with_text_ids(docs).mapInPandas(_encoded(vocabulary, columns), schema))
