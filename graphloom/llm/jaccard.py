@@ -4,14 +4,20 @@ Shingles are XOR-hashed into the buckets of a sketch: a bucket holds the XOR of
 of the shingles dealt to it, so each shingle of the symmetric difference of two sets changes one
 bucket at most and the number of differing buckets is a lower bound of that difference. Sets in one
 size band that reach the threshold differ in at most ``t`` shingles (:func:`band_shape`), so with
-more than ``t`` buckets one of them is equal in both: equal buckets are the join keys. There are
-spare buckets, so that an equal one is not empty; a set with too many empty ones emits a key for
-each of those too. No pair over the threshold is missed.
+more than ``t`` buckets one of them is equal in both: equal buckets are the join keys. Thin buckets,
+empty or of one shingle, tell little and would bring all texts with one common line together. There
+are spare buckets, so that more than ``t`` are not thin and those alone are keys; a set with too few
+of them has keys for its thin ones too. As an equal bucket is thin in both sets or in neither, no
+pair over the threshold is missed.
+
+A candidate pair is first held against bit sketches, the parities of shingle hashes modulo a power
+of two, whose Hamming distance is a lower bound of the symmetric difference as well; what is left is
+verified on the texts.
 
 Pairs are not spread out within a group. Each key names as its pivot the set that shares most keys
 with others; members are verified against their pivots, links are contracted to components, and
 only members that fell outside the component of their pivot are compared with the rest of the
-group. At the end every pair of a group is either verified or in one component, so the components
+group, by their bit sketches and in blocks. At the end every pair of a group is either verified or in one component, so the components
 are those of the full join.
 
 Nulls and empty texts have no shingles and are linked with nothing. Equal sets are one class before
@@ -29,14 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M2, cut, mix
+from .common import M2, cut, mix, with_text_ids
 from .components import contract
 from .shingles import WordHashes, shingle_set
 
 #: Ratio of the largest to the smallest set size of a band.
-BAND = 1.5
+BAND = 1.25
 #: Members of a group that share one copy of their pivot's text.
 SHARE = 256
+#: Members of a group that are compared with one another in one piece.
+BLOCK = 2048
 
 
 def band_of(n: int) -> int:
@@ -48,7 +56,7 @@ def band_shape(band: int, percent: int) -> tuple[int, int]:
     differ in at most (100 - p) / (100 + p) of the sum of their sizes."""
     largest = math.ceil(BAND ** (band + 1))
     t = (100 - percent) * 2 * largest // (100 + percent)
-    return t, t + 1 + (0 if t == 0 else 1 + t // 40)
+    return t, t + 1 + (0 if t == 0 else 1 if t < 4 else 1 + math.ceil(0.13 * (t + 1)))
 
 
 def bands(n: int, percent: int) -> list[int]:
@@ -67,14 +75,38 @@ def join_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
         at = at[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         xors = np.bitwise_xor.reduceat(mix(shingles[order]), starts)
-        used = at[starts]
-        if buckets - len(used) > buckets - t - 1:  # all equal buckets might be empty ones
+        used, good = at[starts], np.diff(np.r_[starts, len(at)]) >= (1 if t < 4 else 2)
+        if good.sum() > t:
+            used, xors = used[good], xors[good]
+        else:  # all equal buckets might be thin ones
             empty = np.setdiff1d(np.arange(buckets), used)
             used, xors = np.r_[used, empty], np.r_[xors, np.zeros(len(empty), np.uint64)]
         out.append(mix(xors ^ mix(used.astype(np.uint64) * M2 + np.uint64(band + 1))))
     return np.concatenate(out).view(np.int64)
 
 
+def bit_sketch(shingles: np.ndarray, percent: int) -> bytes:
+    """Parity of the shingles at each bit; as many bits as eight times the differing shingles that
+    two linked sets of this size may have, at least 256, a power of two."""
+    bits = 1 << max(8, (16 * len(shingles) * (100 - percent) // (100 + percent)).bit_length())
+    at = ((shingles >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, percent: int) -> bool:
+    """False only if sets of n and m shingles with these sketches cannot be linked."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    x, y, i, j = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a), len(b)
+    while i > j:
+        i //= 2
+        x = (x >> (8 * i)) ^ (x & ((1 << (8 * i)) - 1))
+    while j > i:
+        j //= 2
+        y = (y >> (8 * j)) ^ (y & ((1 << (8 * j)) - 1))
+    return (x ^ y).bit_count() * (100 + percent) <= (100 - percent) * (n + m)
+
+
 def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     x = xxhash.xxh3_128_intdigest(shingles.tobytes())
     return (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63)
@@ -139,22 +171,102 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs(a, b, n)``; n bounds how many pairs share b. Texts of b are copied
-    for every SHARE pairs, so that no task gets all pairs of a hot one."""
-    copies = F.ceil(F.col("n") / SHARE).cast("int")
-    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), copies).cast("int"))
-    some = pairs.groupBy("b").agg(F.max(copies).alias("copies"))
-    pivots = texts.join(some, texts.node == some.b).select("b", F.col("text").alias("b_text"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    members = spread.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-    return members.join(pivots, ["b", "salt"]).select("a", "b", "a_text", "b_text").mapInPandas(_verify(width, percent), "a long, b long")
+def _sketch(width: int, percent: int):
+    def run(batches):
+        hashes = WordHashes()
+        for pdf in batches:
+            sets = [shingle_set(t, width, hashes) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "size": [len(s) for s in sets], "bits": [bit_sketch(s, percent) for s in sets]})
+
+    return run
+
+
+def _sift(percent: int):
+    def run(batches):
+        for pdf in batches:
+            yield pdf.loc[[may_link(*x, percent) for x in zip(pdf["a_size"], pdf["a_bits"], pdf["b_size"], pdf["b_bits"], strict=True)], ["a", "b"]]
+
+    return run
+
+
+def _beside(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """``pairs(a, b)`` with the columns of ``nodes`` for either, a_ and b_ before their names. The
+    row of b is copied for every ``share`` pairs, so that no task gets all pairs of a hot one."""
+    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("copies"))
+    columns = [c for c in nodes.columns if c != "node"]
+    pivots = nodes.join(counts, nodes.node == counts.b).select("b", "copies", *(F.col(c).alias("b_" + c) for c in columns))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    hot = counts.where("copies > 1").withColumnRenamed("copies", "own")
+    salted = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("own", F.lit(1))).cast("int"))
+    members = salted.join(nodes.select(F.col("node").alias("a"), *(F.col(c).alias("a_" + c) for c in columns)), "a")
+    return members.join(pivots, ["b", "salt"])
+
+
+def _verified(close: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of ``close(a, b)``."""
+    return _beside(close, texts, SHARE).select("a", "b", "a_text", "b_text").mapInPandas(_verify(width, percent), "a long, b long")
+
+
+def close_pairs(cell: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a cell that may link: of different components, not both in that of the pivot, and of
+    the two blocks of the cell if it has two."""
+    words = [np.frombuffer(x, np.uint64) for x in cell["bits"]]
+    least = min(map(len, words))
+    bits = np.array([np.bitwise_xor.reduce(w.reshape(-1, least)) for w in words])
+    node, size, component, outside, block = (cell[c].to_numpy() for c in ("node", "size", "component", "outside", "block"))
+    two = bool(cell["low"].iloc[0] != cell["high"].iloc[0])
+    left = np.flatnonzero(outside == 1)
+    out = []
+    step = max(1, 4_000_000 // (len(cell) * least))
+    for at in range(0, len(left), step):
+        i = left[at : at + step, None]
+        apart = np.bitwise_count(bits[i] ^ bits[None]).sum(2, dtype=np.int64)
+        may = apart * (100 + percent) <= (100 - percent) * (size[i] + size[None])
+        may &= (component[i] != component[None]) & ((outside[None] == 0) | (node[i] < node[None]))
+        if two:
+            may &= block[i] != block[None]
+        x, y = np.nonzero(may)
+        out += zip(node[i[x, 0]].tolist(), node[y].tolist(), strict=True)
+    return out
+
+
+def _compare_cells(percent: int):
+    """Cells come sorted, a cell may go on in the next batch."""
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keys = pdf[["key", "low", "high"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            held = pdf.iloc[starts[-1] :]
+            found = [p for b, e in zip(starts[:-1], starts[1:], strict=True) for p in close_pairs(pdf.iloc[b:e], percent)]
+            yield pd.DataFrame(found, columns=["a", "b"])
+        if held is not None:
+            yield pd.DataFrame(close_pairs(held, percent), columns=["a", "b"])
+
+    return run
+
+
+def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that may link among rows (key, node, component, outside, n) of the same
+    key. A group of over BLOCK members is dealt into blocks, and every two blocks are a cell of their
+    own, so that no task holds more than two blocks; sketches are compared inside, pairs that cannot
+    link never leave a cell."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int"))
+    dealt = dealt.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "other")
+    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return cells.mapInPandas(_compare_cells(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links
     reach), n_members. Two documents link if 100 * intersection >= percent * union."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    meta = cut(docs.mapInPandas(_describe(width), "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
+    docs = with_text_ids(docs)
+    meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
+    meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
     classes = cut(meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
 
     by_key = Window.partitionBy("key")
@@ -166,23 +278,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pivot = F.max(F.struct("score", F.negative("node").alias("minus"))).over(by_key)
     named = cut(named.join(score, "node").withColumn("pivot", -pivot["minus"]).select("key", "node", "n", "pivot"), "pivots")
 
-    pairs = cut(named.where("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.max("n").alias("n")), "pairs")
+    pairs = cut(named.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     wanted = named.select("node").distinct()
-    texts = cut(docs.join(wanted, docs.doc_id == wanted.node).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    links = cut(_links(pairs, texts, width, percent), "links")
+    texts = cut(docs.join(wanted, docs.doc_id.cast("long") == wanted.node).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    sketches = cut(texts.mapInPandas(_sketch(width, percent), "node long, size long, bits binary"), "sketches")
+    close = cut(_beside(pairs, sketches, 20_000).mapInPandas(_sift(percent), "a long, b long"), "close")
+    links = cut(_verified(close, texts, width, percent), "links")
     comp = contract(links)
     mine, pivots = comp.select(F.col("id").alias("node"), "component"), comp.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
     placed = named.join(mine, "node", "left").join(pivots, "pivot", "left")
     placed = placed.withColumns({"component": F.coalesce("component", "node"), "pivot_component": F.coalesce("pivot_component", "pivot")})
-    # a group with one member outside holds no pair that is still open
-    outside = (F.col("component") != F.col("pivot_component")).cast("long")
-    placed = placed.withColumns({"outside": outside, "n_out": F.sum(outside).over(by_key), "n_in": F.sum(1 - outside).over(by_key)})
-    open_rows = cut(placed.where("n_out > 0 and n_out + n_in > 2").select("key", "node", "pivot", "component", "outside", "n_out", "n_in"), "open")
-    left, right = open_rows.where("outside = 1").alias("l"), open_rows.alias("r")
-    more = left.join(right, "key").where("l.component <> r.component and r.node <> r.pivot and (r.outside = 0 or l.node < r.node)")
-    more = more.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    more = cut(more.withColumn("n", F.count("*").over(Window.partitionBy("b"))), "open-pairs")
-    links = cut(links.unionByName(_links(more, texts, width, percent)), "links")
+    outside = (F.col("component") != F.col("pivot_component")).cast("int")
+    placed = placed.withColumns({"outside": outside, "n_out": F.sum(outside).over(by_key), "n": F.count("*").over(by_key)})
+    # the pivot and one outside it leave no pair open
+    rest = cut(placed.where("n_out > 0 and n > 2 and node <> pivot").select("key", "node", "component", "outside", "n"), "open")
+    more = cut(_open_pairs(rest, sketches, percent), "close")
+    links = cut(links.unionByName(_verified(more, texts, width, percent)), "links")
     comp = contract(links)
     named_classes = classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     out = meta.join(cut(named_classes, "components"), ["h1", "h2"], "left")
