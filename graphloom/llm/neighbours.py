@@ -9,7 +9,7 @@ for each query. The heaps of all tiles of a query are merged. The result is exac
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows
 without an id. Only vectors of the same number of components are compared. A query never finds its
-own id; rows that repeat an id count once, with the better score. Other columns are not read.
+own id; of rows that repeat an id the one with the smallest vector counts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,21 +41,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(k: int, pairs) -> list[tuple[float, int]]:
-    """The k best (score, id), largest score first, then smallest id; an id counts once."""
-    kept, seen = [], set()
-    for s, i in heapq.nsmallest(2 * k, pairs, key=lambda p: (-p[0], p[1])):
-        if i not in seen:
-            seen.add(i)
-            kept.append((s, i))
-    return kept[:k]
+    """The k best (score, id), largest score first, then smallest id."""
+    return heapq.nsmallest(k, pairs, key=lambda p: (-p[0], p[1]))
 
 
 def search_tile(k: int, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> list[list[tuple[float, int]]]:
     """The k best candidates of each query within a tile."""
-    order = np.argsort(c_ids, kind="stable")  # of one id that repeats with one vector a row is enough
-    c_ids, c = c_ids[order], c[order]
-    same = np.r_[False, (c_ids[1:] == c_ids[:-1]) & (c[1:] == c[:-1]).all(1)] if len(c_ids) else np.zeros(0, bool)
-    c_ids, c = c_ids[~same], c[~same]
     q8, q_step, q_sum = quantise(q)
     exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds each sum exactly
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
@@ -68,9 +59,8 @@ def search_tile(k: int, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c:
         off = scale * (0.5 * (q_sum[:, None] + c_sum[None, :]) + 0.25 * q.shape[1]) * (1 + 1e-9)
         own = q_ids[:, None] == ids[None, :]
         low, high = np.where(own, -np.inf, near - off), np.where(own, -np.inf, near + off)
-        spare = k + 1  # one id may repeat with another vector
-        if low.shape[1] > spare:
-            floor = np.maximum(floor, -np.partition(-low, spare - 1, axis=1)[:, spare - 1])
+        if low.shape[1] > k:
+            floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
         rows, cols = np.nonzero((high >= floor[:, None]) & ~own)
         for part in range(0, len(rows), 200_000):
             r, j = rows[part : part + 200_000], cols[part : part + 200_000]
@@ -79,14 +69,14 @@ def search_tile(k: int, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c:
             for b, e in zip(starts, np.r_[starts[1:], len(r)], strict=True):
                 i = r[b]
                 if e - b > 4 * k:  # of many, those that cannot be ahead go before the heap
-                    cutoff = np.partition(s[b:e], e - b - 2 * k)[e - b - 2 * k]
+                    cutoff = np.partition(s[b:e], e - b - k)[e - b - k]
                     keep = b + np.flatnonzero(s[b:e] >= cutoff)
-                    keep = keep[np.lexsort((ids[j[keep]], -s[keep]))[: 2 * k]]
+                    keep = keep[np.lexsort((ids[j[keep]], -s[keep]))[:k]]
                 else:
                     keep = np.arange(b, e)
                 heaps[i] = best(k, [*heaps[i], *zip(s[keep].tolist(), ids[j[keep]].tolist(), strict=True)])
-                if len(heaps[i]) == k:
-                    floor[i] = max(floor[i], heaps[i][-1][0] * (1 - 1e-12) if heaps[i][-1][0] > 0 else heaps[i][-1][0] * (1 + 1e-12))
+                if len(heaps[i]) == k:  # the k-th is a lower bound too; what equals it stays in, for ties
+                    floor[i] = max(floor[i], heaps[i][-1][0] - 1e-12 * abs(heaps[i][-1][0]))
     return heaps
 
 
@@ -97,8 +87,11 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
     sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where("vec_id is not null and embedding is not null").where(sound)
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
+    n_c, n_ids = rows.agg(F.count("*"), F.countDistinct("id")).first()
+    if n_ids < n_c:
+        rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     queries = rows.where(F.col("id") % 20 == 0 if is_query is None else is_query(F.col("id")))
-    n_c, n_q = rows.count(), queries.count()
+    n_q = queries.count()
     c_blocks, q_blocks = max(1, -(-n_c // BLOCK)), max(1, -(-n_q // BLOCK))
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -113,7 +106,7 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
                 out["query_id"].append(i)
                 out["ids"].append([x for _, x in found])
                 out["scores"].append([s for s, _ in found])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     keys = ["dim", "qb", "cb"]
     tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "query_id long, ids array<long>, scores array<double>")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, small_batches
 
 FEATURES, WIDTH, RIDGE, SEED, BINS = 256, 6.0, 1e-3, 20, 2000
 FIT_ROWS, FIT_PARTS = 2_000_000, 32
@@ -73,7 +73,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([[float(v) for v in statistics(t)] for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long"), run(F.col("text").cast("string")).alias("x"))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), run(F.col("text").cast("string")).alias("x"))
 
 
 class Model:

@@ -143,9 +143,10 @@ def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, n_shards: int, path: str) -> None:
     """Writes the documents as Parquet, a folder for each shard, rows in the order of their slots."""
-    placed = shard_documents(docs, n_shards).select("doc_id", "text_crc32", "size", "shard", "slot").dropDuplicates(["doc_id", "text_crc32", "size"])
     text = F.col("text").cast("string")
-    joined = docs.withColumns({"__crc": F.coalesce(F.crc32(text), F.lit(0)), "__size": F.coalesce(F.octet_length(text), F.lit(0)) + 16})
-    on = joined["doc_id"].eqNullSafe(placed["doc_id"]) & joined["__crc"].eqNullSafe(placed["text_crc32"]) & (joined["__size"] == placed["size"])
-    out = joined.join(placed.drop("size"), on).select(*(joined[c] for c in docs.columns), "shard", "slot")
+    joined = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.coalesce(F.crc32(text), F.lit(0)), "__size": F.coalesce(F.octet_length(text), F.lit(0)) + 16})
+    placed = shard_documents(docs, n_shards).select(F.col("doc_id").alias("__pid"), F.col("text_crc32").alias("__pcrc"), F.col("size").alias("__psize"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    placed = placed.dropDuplicates(["__pid", "__pcrc", "__psize"])  # rows that repeat go to one shard
+    on = F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__crc") == F.col("__pcrc")) & (F.col("__size") == F.col("__psize"))
+    out = joined.join(placed, on).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
     out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
