@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import Graph, validate
-from graphloom.operators import cas, components, diff, history, lookup, metrics, policy, score, simulate, traverse
+from graphloom.operators import cas, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
 from graphloom.sources import views
 from graphloom.streaming import events
 
@@ -337,5 +337,66 @@ query("web_links", """SELECT edge_type, count(*)::BIGINT AS n, count(DISTINCT ta
 query("score_trend", """WITH h AS (SELECT date_trunc('month', o_orderdate) AS at, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS score FROM orders GROUP BY 1), t AS (SELECT at, score, score - lag(score) OVER (ORDER BY at) AS delta FROM h)
  SELECT at, score, round(delta, 6) AS delta, CASE WHEN delta > 0.05 THEN 'improving' WHEN delta < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM t""".replace(" at", " \"at\"").replace("SELECT at", "SELECT \"at\""))(
     lambda spark, d: history.score_trend(views.table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("at")).agg(F.round(F.count_if(F.col("o_orderstatus") == "F") / F.count("*"), 6).alias("score"))))
+
+# ---- evidence, governance, semantics, planning
+
+
+def filed(run) -> Query:
+    """Over the ring graph with its files as communities."""
+    return lambda spark, d: (lambda g: run(g, g.nodes.select("id", F.col("file").alias("partition_id"))))(RING(spark, d))
+
+
+TEST_WALK = "walk(o, node) AS (SELECT source, target FROM edges JOIN nodes ON id = source WHERE layer = 4 UNION SELECT o, e.target FROM walk w JOIN edges e ON e.source = w.node)"
+query("boundary_coverage", oracle.ring(""" SELECT file AS partition_id, count(DISTINCT id)::BIGINT AS size, count(DISTINCT o)::BIGINT AS tests, CASE WHEN count(o) > 0 THEN 'covered' ELSE 'zero_coverage' END AS status
+ FROM nodes LEFT JOIN walk ON node = id AND o <> node GROUP BY file""", TEST_WALK))(filed(evidence.boundary_coverage))
+query("flow_coverage", oracle.ring(""", c AS (SELECT node, count(DISTINCT o)::BIGINT AS n FROM walk WHERE o <> node GROUP BY node)
+ SELECT source, target, coalesce(x.n, 0)::BIGINT AS tests_source, coalesce(y.n, 0)::BIGINT AS tests_target, CASE WHEN x.n > 0 THEN 'covered' WHEN y.n > 0 THEN 'one_sided' ELSE 'untested' END AS status
+ FROM edges LEFT JOIN c x ON x.node = source LEFT JOIN c y ON y.node = target WHERE split_part(source, '::', 1) <> split_part(target, '::', 1)""", TEST_WALK))(filed(evidence.flow_coverage))
+query("test_attribution", oracle.ring(""" SELECT id AS test, count(DISTINCT split_part(node, '::', 1))::BIGINT AS boundaries, CASE count(DISTINCT split_part(node, '::', 1)) WHEN 0 THEN 'orphan' WHEN 1 THEN 'clear' ELSE 'ambiguous' END AS kind
+ FROM nodes LEFT JOIN walk ON o = id AND node <> id WHERE layer = 4 GROUP BY id""", TEST_WALK))(filed(evidence.test_attribution))
+
+POLICIES = [
+    {"id": "large", "kind": "no_large_modules", "threshold": 24},
+    {"id": "size", "kind": "max_subsystem_size", "threshold": 100},
+    {"id": "coupling", "kind": "coupling_limit", "threshold": 0.3},
+    {"id": "dep", "kind": "forbidden_subsystem_dep", "target": "orders->part; nation->part"},
+    {"id": "only", "kind": "allowed_subsystem_deps", "target": "orders->part; orders->customer; orders->supplier; customer->nation"},
+    {"id": "cycle", "kind": "forbidden_subsystem_cycle"},
+    {"id": "plan", "kind": "no_apply_without_plan", "operation": "apply"},
+]
+add("policies", SALES, lambda g: governance.evaluate(g, g.nodes.select("id", F.col("file").alias("subsystem")), POLICIES), oracle.sales(""", f AS (SELECT file, count(*) AS n FROM nodes GROUP BY file),
+ x AS (SELECT split_part(source, '::', 1) AS a, split_part(target, '::', 1) AS b, count(*) AS n FROM edges GROUP BY ALL)
+ SELECT 'large' AS policy_id, file AS subject, n::VARCHAR AS detail FROM f WHERE n > 24 UNION ALL SELECT 'size', file, n::VARCHAR FROM f WHERE n > 100 UNION ALL SELECT 'coupling', 'coupling', '1.0'
+ UNION ALL SELECT 'dep', a || '->' || b, n::VARCHAR FROM x WHERE a = 'orders' AND b = 'part' UNION ALL SELECT 'only', a || '->' || b, n::VARCHAR FROM x WHERE a IN ('nation', 'supplier') UNION ALL SELECT 'plan', 'apply', 'no plan'"""))
+add("scope_slice", SALES, lambda g: planning.scope_slice(g, "nation").groupBy("direction").agg(F.count("*").alias("n")), oracle.sales(""" SELECT CASE WHEN source LIKE 'nation%' THEN 'outbound' ELSE 'inbound' END AS direction, count(DISTINCT (source, target))::BIGINT AS n
+ FROM edges WHERE source LIKE 'nation%' OR target LIKE 'nation%' GROUP BY 1"""))
+add("focus_slice", RING, lambda g: planning.focus_slice(g, "nation_17"), oracle.ring(""" SELECT id, min(d)::INT AS depth, any_value(fan_in) AS fan_in, any_value(fan_out) AS fan_out FROM deg JOIN (SELECT 'r2::NATION_17' AS x, 0 AS d
+ UNION ALL SELECT source, 1 FROM edges WHERE target = 'r2::NATION_17' UNION ALL SELECT target, 1 FROM edges WHERE source = 'r2::NATION_17') ON x = id GROUP BY id""", oracle.DEGREES))
+add("slice_metrics", RING, lambda g: planning.slice_metrics(g, g.nodes.where("file in ('r0', 'r1')").select("id")), oracle.ring(""", e AS (SELECT * FROM edges WHERE source[1:2] IN ('r0', 'r1') AND target[1:2] IN ('r0', 'r1')),
+ n AS (SELECT count(*)::BIGINT AS nodes FROM nodes WHERE file IN ('r0', 'r1'))
+ SELECT nodes, (SELECT count(*) FROM e)::BIGINT AS edges, (SELECT count(*) FROM e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer)::BIGINT AS layer_violations,
+  (SELECT coalesce(max(c), 0) FROM (SELECT count(*) AS c FROM e GROUP BY source))::BIGINT AS max_fan_out, round((SELECT count(*) FROM e) / nodes, 6) AS mean_fan_out FROM n"""))
+query("touched_partitions", "SELECT 'r1' AS partition_id, count(*)::BIGINT AS nodes FROM nation WHERE n_regionkey = 1")(
+    filed(lambda g, parts: planning.touched_partitions(g, parts, g.nodes.where("file = 'r1'").select("file"))))
+
+
+@query("coverage_plan", oracle.sales(""" SELECT 'missing_module' AS kind, 'invoice' AS subject, 2 AS priority UNION ALL SELECT 'missing_function', 'nation::99', 3 UNION ALL SELECT 'missing_link', 'part -> nation', 2 UNION ALL SELECT 'denied_link', 'orders -> part', 1"""))
+def coverage_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    pairs = "source string, target string"
+    return planning.coverage_plan(SALES(spark, sf_dir), table([("orders",), ("invoice",)], "module string"), table([("nation::1",), ("nation::99",)], "id string"), table([("orders", "part"), ("part", "nation")], pairs), table([("orders", "part"), ("part", "orders")], pairs))
+
+
+def described_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sources, for what semantics tell of texts."""
+    d = views.table(spark, sf_dir, "documents")
+    return semantics.describe(d.select(F.concat(F.col("source"), F.lit("::get_"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("file"), F.col("text").alias("body")))
+
+
+query("semantic_summary", """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{p.replace(chr(39), chr(39) * 2)}')" for k, p in text.EFFECTS) + """) v(value, re))
+ SELECT 'action' AS kind, 'read' AS value, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'effect', value, count(*)::BIGINT FROM documents, p WHERE regexp_matches(text, re) GROUP BY value""")(
+    lambda spark, d: semantics.summary(described_documents(spark, d)).where("kind <> 'tag'"))
+query("semantic_rules")(lambda spark, d: semantics.rule_findings(described_documents(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n")))
+
 add("mermaid", RING, formats.mermaid)
 add("json_rows", RING, lambda g: formats.as_json(g.edges))
