@@ -60,3 +60,43 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def append_history(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
+
+
+def rollback(spark: SparkSession, path: str, label: str, as_label: str) -> Graph:
+    """Makes an earlier snapshot the newest one, under a label of its own."""
+    graph = load_snapshot(spark, path, label)
+    save_snapshot(graph, path, as_label)
+    return load_snapshot(spark, path, as_label)
+
+
+def drawing(graph: Graph, most: int = 200) -> DataFrame:
+    """One row, value: nodes of largest degree, at most ``most``, and the edges between them, as JSON."""
+    top = degrees(graph).orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "id").limit(most)
+    shown = top.join(graph.nodes.select("id", "file", "type"), "id")
+    e = graph.edges.select("source", "target", "edge_type").distinct()
+    e = e.join(F.broadcast(top.select(F.col("id").alias("source"))), "source").join(F.broadcast(top.select(F.col("id").alias("target"))), "target")
+    nodes = shown.agg(F.array_sort(F.collect_list(F.struct("id", "file", "type", "fan_in", "fan_out"))).alias("nodes"))
+    edges = e.agg(F.array_sort(F.collect_list(F.struct("source", "target", "edge_type"))).alias("edges"))
+    return nodes.crossJoin(edges).select(F.to_json(F.struct("nodes", "edges")).alias("value"))  # one row each
+
+
+def report(graph: Graph, most: int = 200) -> DataFrame:
+    """One row, value: a page of HTML with the tables of :func:`drawing`."""
+    row = lambda cells: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), F.regexp_replace(F.regexp_replace(c.cast("string"), "&", "&amp;"), "<", "&lt;"), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+    top = degrees(graph).orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "id").limit(most)
+    body = top.agg(F.array_join(F.array_sort(F.collect_list(row([F.col("id"), F.col("fan_in"), F.col("fan_out")]))), "\n").alias("rows"))
+    return body.select(F.concat(F.lit("<!DOCTYPE html>\n<table>\n<tr><th>id</th><th>fan-in</th><th>fan-out</th></tr>\n"), "rows", F.lit("\n</table>\n")).alias("value"))
+
+
+def archive(annotations: DataFrame, graph: Graph, path: str) -> DataFrame:
+    """Annotations of nodes that are still there; the others are appended to an archive."""
+    gone = annotations.join(graph.nodes.select("id"), "id", "left_anti")
+    gone.write.mode("append").parquet(path)
+    return annotations.join(graph.nodes.select("id"), "id", "left_semi")
+
+
+def restore(annotations: DataFrame, graph: Graph, path: str) -> DataFrame:
+    """Annotations with those from the archive whose nodes are back and have none."""
+    kept = annotations.sparkSession.read.parquet(path).dropDuplicates(["id"])
+    back = kept.join(graph.nodes.select("id"), "id", "left_semi").join(annotations.select("id"), "id", "left_anti")
+    return annotations.unionByName(back.select(annotations.columns))

@@ -40,3 +40,29 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """(file, executed_lines) of a coverage report."""
     doc = spark.read.schema("files map<string, struct<executed_lines: array<int>>>").option("multiLine", True).json(path)
     return doc.select(F.explode("files").alias("file", "c")).select("file", F.col("c.executed_lines").alias("executed_lines"))
+
+
+def read_imports(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, names) of an import graph."""
+    return _rows(spark, path, "edges", "source string, target string, names array<string>")
+
+
+def read_runtime_edges(spark: SparkSession, path: str) -> DataFrame:
+    return _rows(spark, path, "edges", "source_file string, source_node string, edge_type string, target string, details map<string,string>")
+
+
+def read_system(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A declared architecture: modules(subsystem, component, module), functions(module, id), links(source,
+    target) and constraints(source, target, type, reason)."""
+    schema = (
+        "subsystems array<struct<name:string, components:array<struct<name:string, module:string, functions:array<string>>>>>, "
+        "edges array<struct<source:string, target:string>>, constraints array<struct<source:string, target:string, type:string, reason:string>>"
+    )
+    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    parts = doc.select(F.explode("subsystems").alias("s")).select(F.col("s.name").alias("subsystem"), F.explode("s.components").alias("c"))
+    return {
+        "modules": parts.select("subsystem", F.col("c.name").alias("component"), "c.module"),
+        "functions": parts.select("c.module", F.explode("c.functions").alias("id")),
+        "links": doc.select(F.explode("edges").alias("x")).select("x.*"),
+        "constraints": doc.select(F.explode("constraints").alias("x")).select("x.*"),
+    }

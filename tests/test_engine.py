@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import Graph, module_of, validate
-from graphloom.operators import cas, components, diff, history, lookup, metrics, policy, score, simulate, traverse
+from graphloom.operators import cas, components, diff, governance, history, lookup, metrics, policy, score, semantics, simulate, traverse
 from graphloom.plans import catalog, formats
 from graphloom.plans.expressions import Engine, QueryError, parse, render
 from graphloom.sources import code, files
@@ -332,6 +332,51 @@ def test_graph_files_and_snapshots(spark, awkward, tmp_path):
     assert formats.mermaid(awkward).first()["diagram"].startswith("graph TD\n")
 
 
+def test_rollback_archive_and_reports(spark, awkward, tmp_path):
+    path = str(tmp_path / "s")
+    formats.save_snapshot(awkward, path, "one")
+    formats.save_snapshot(awkward.with_edges(awkward.edges.limit(1)), path, "two")
+    assert formats.rollback(spark, path, "one", "three").edges.count() == awkward.edges.count()
+    extra = awkward.annotations.unionByName(spark.createDataFrame([("gone", 3, "")], "id string, layer int, arch_layer string"))
+    kept = formats.archive(extra, awkward, str(tmp_path / "a"))
+    assert kept.where("id = 'gone'").count() == 0
+    back = Graph(awkward.nodes.unionByName(awkward.nodes.limit(1).withColumn("id", F.lit("gone"))), awkward.edges)
+    assert formats.restore(kept, back, str(tmp_path / "a")).where("id = 'gone'").count() == 1
+    assert '"nodes"' in formats.drawing(awkward, 3).first()["value"]
+    assert "<td>a::3</td>" in formats.report(awkward).first()["value"]
+
+
+def test_declared_systems(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"subsystems": [{"name": "x", "components": [{"name": "c", "module": "a", "functions": ["a::1"]}]}], "edges": [{"source": "a", "target": "b"}], "constraints": []}')
+    (tmp_path / "r.json").write_text('{"rules": [{"id": "f", "type": "forbidden_call", "source": "a*", "target_layer": 2}]}')
+    system = files.read_system(spark, str(tmp_path / "s.json"))
+    assert {k: v.count() for k, v in system.items()} == {"modules": 1, "functions": 1, "links": 1, "constraints": 0}
+    assert files.read_rules(spark, str(tmp_path / "r.json")).first()["target_layer"] == 2
+
+
+def test_semantic_rules_and_flows(spark, awkward):
+    sources = spark.createDataFrame([("a::save_order", "a", "db.execute('insert into t'); open('x')"), ("a::send", "a", "requests.get(u)")], "id string, file string, body string")
+    sem = semantics.describe(sources)
+    assert {(r["rule"], r["id"]) for r in semantics.rule_findings(sem).collect()} == {("db-write-no-guard", "a::save_order"), ("file-write-no-logging", "a::save_order"), ("network-no-error-handling", "a::send")}
+    flows = {(r["target"], r["edge_type"]) for r in semantics.context_flows(awkward, sem).collect()}
+    assert ("a::network_call", "side_effect") in flows
+    assert semantics.behaviour_changes(sem, sem).count() == 0
+    types = spark.createDataFrame([("t", "OrderDTO")], "id string, name string")
+    models = spark.createDataFrame([("m", "OrderModel"), ("n", "Other")], "id string, name string")
+    assert [r["target"] for r in semantics.contract_links(types, models).collect()] == ["m"]
+    out = spark.createDataFrame([("web", "http://x/api/orders")], "repo string, route string")
+    api = spark.createDataFrame([("shop", "/api/orders"), ("web", "/api/orders")], "repo string, route string")
+    assert [tuple(r) for r in semantics.repository_links(out, api).collect()] == [("web", "shop", "http://x/api/orders")]
+
+
+def test_policies_by_handler(spark, awkward):
+    subs = awkward.nodes.select("id", F.col("file").alias("subsystem"))
+    found = governance.evaluate(awkward, subs, [{"id": "only", "kind": "allowed_subsystem_deps", "target": "x->y"}, {"id": "gate", "kind": "score_gate", "threshold": 1.0}])
+    assert {(r["policy_id"], r["subject"]) for r in found.collect()} == {("only", "a->b"), ("gate", "score")}
+    with pytest.raises(ValueError):
+        governance.evaluate(awkward, subs, [{"id": "x", "kind": "none"}])
+
+
 # ---- streams
 
 
