@@ -27,8 +27,8 @@ from .common import built_once, with_text_ids
 
 #: Fixed value: the pattern by which byte-level BPE vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of text in a block (a longer text is a block of its own), and words encoded in one call.
-BLOCK_CHARS, WORDS = 8_000_000, 50_000
+#: Characters of text in a block; a longer text is a block of its own.
+BLOCK_CHARS = 5_000_000
 
 
 class Vocabulary:
@@ -48,7 +48,7 @@ class Vocabulary:
     def added(self) -> list[str]:
         return [t["content"] for t in json.loads(self.spec)["added_tokens"]]
 
-    def encoder(self):
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(self.spec)
@@ -56,11 +56,31 @@ class Vocabulary:
         t.no_padding()
         return t
 
-    def pieces(self) -> list[bytes]:
-        """Bytes of each id. In the file a byte is written as its own character if that is visible
-        in Latin-1, and else as the next unused character from U+0100 on."""
+    def word_encoder(self):
+        """A function from a word to its ids: the merges of the vocabulary, applied to the characters
+        that stand for the word's bytes."""
+        model = self.tokenizer().model
+        known = {t["content"]: [t["id"]] for t in json.loads(self.spec)["added_tokens"]}
+        shown = str.maketrans({chr(b): c for b, c in self.characters().items()})
+
+        def encode(word: str) -> list[int]:
+            if word in known:
+                return known[word]
+            return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(shown))]
+
+        return encode
+
+    @staticmethod
+    def characters() -> dict[int, str]:
+        """How the file writes each byte: as its own character if that is visible in Latin-1, and else
+        as the next unused character from U+0100 on."""
         plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
-        shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        other = (b for b in range(256) if b not in plain)
+        return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+    def pieces(self) -> list[bytes]:
+        """Bytes of each id."""
+        shown = {c: b for b, c in self.characters().items()}
         model = json.loads(self.spec)
         out = {i: bytes(shown[c] for c in piece) for piece, i in model["model"]["vocab"].items() if all(c in shown for c in piece)}
         out |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
@@ -93,15 +113,12 @@ def splitter(added: list[str]):
     return split
 
 
-def encode_block(texts: list[str | None], split, encoder) -> list[np.ndarray]:
+def encode_block(texts: list[str | None], split, encode_word) -> list[np.ndarray]:
     """Ids of each text: every distinct word of the block is encoded once, and its ids are gathered
     into the places of the word."""
     words = Words()
     coded = [np.fromiter(map(words.__getitem__, found), np.int64, len(found)) for found in (split(t) if t else () for t in texts)]
-    listed = list(words)
-    ids: list[list[int]] = []
-    for at in range(0, len(listed), WORDS):
-        ids += [e.ids for e in encoder.encode_batch_fast(listed[at : at + WORDS], add_special_tokens=False)]
+    ids = list(map(encode_word, words))
     size = np.fromiter(map(len, ids), np.int64, len(ids))
     start = np.cumsum(size) - size
     flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
@@ -117,11 +134,11 @@ def _encoded(vocabulary: Vocabulary, columns):
     """Rows of ``columns(ids of each text)`` for blocks of texts."""
 
     def run(batches):
-        split, encoder = splitter(vocabulary.added()), vocabulary.encoder()
+        split, encode_word = splitter(vocabulary.added()), vocabulary.word_encoder()
         ids, texts, chars = [], [], 0
 
         def flush():
-            return pd.DataFrame({"doc_id": ids} | columns(encode_block(texts, split, encoder)))
+            return pd.DataFrame({"doc_id": ids} | columns(encode_block(texts, split, encode_word)))
 
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):

@@ -202,7 +202,7 @@ def vocabulary():
 
 
 def test_bpe_equals_the_library(spark, odd, odd_rows, vocabulary):
-    tokenizer = vocabulary.encoder()
+    tokenizer = vocabulary.tokenizer()
     fuzz = "".join(map(chr, [*range(0, 0x180), 0x1680, 0x2003, 0x2028, 0x3000, 0x85, 0xFEFF, 0x4E00, 0x1F600, 0x661, 0x300])) + " \n's're12ab" * 9
     more = [(100 + i, "".join(random.choice(fuzz) for _ in range(random.randint(0, 60)))) for i in range(300)]
     more += [(900, "a <|endoftext|> b<|endoftext|><|endoftext|>  c")]
