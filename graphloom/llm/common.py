@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -51,9 +53,15 @@ def clean_up() -> None:
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that lost executors cost no
     recomputation beyond this point and later uses do not repeat what came before."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for this table goes when it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -63,7 +71,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 #: Rows that go to a Python worker at once where they hold whole texts; the default of 10,000 may be
 #: hundreds of megabytes.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 
 def small_batches(df: DataFrame) -> DataFrame:

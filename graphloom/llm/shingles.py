@@ -13,7 +13,7 @@ NO_SHINGLES = np.empty(0, np.uint64)
 class WordHashes(dict):
     """Hash of each word seen, kept between texts; emptied at ``limit`` words to bound memory."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
