@@ -21,8 +21,8 @@ group, by their bit sketches and in blocks. At the end every pair of a group is
 are those of the full join.
 
 Nulls and empty texts have no shingles and are linked with nothing. Equal sets are one class before
-any comparison. Repeated rows of one doc_id each give their own output row. Columns besides the id
-and the text are not read.
+any comparison. Repeated rows of one doc_id each give their own output row. A row without a doc_id
+links with rows of equal text alone. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def _emit_keys(width: int, percent: int):
                 keys.append(k)
                 nodes.append((ident, len(k)))
                 held += len(k)
-                if held > 200_000:
+                if held > 50_000:
                     yield _key_rows(keys, nodes)
                     keys, nodes, held = [], [], 0
             if held:
@@ -263,11 +263,11 @@ def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links
-    reach), n_members. Two documents link if 100 * intersection >= percent * union."""
+    reach). Two documents link if 100 * intersection >= percent * union."""
     docs = with_text_ids(docs)
     meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
     meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    classes = cut(meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = cut(meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
 
     by_key = Window.partitionBy("key")
     rows = docs.mapInPandas(_emit_keys(width, percent), "key long, h1 long, h2 long")
@@ -285,9 +285,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     close = cut(_beside(pairs, sketches, 20_000).mapInPandas(_sift(percent), "a long, b long"), "close")
     links = cut(_verified(close, texts, width, percent), "links")
     comp = contract(links)
-    mine, pivots = comp.select(F.col("id").alias("node"), "component"), comp.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-    placed = named.join(mine, "node", "left").join(pivots, "pivot", "left")
-    placed = placed.withColumns({"component": F.coalesce("component", "node"), "pivot_component": F.coalesce("pivot_component", "pivot")})
+    placed = named.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.withColumn("pivot_component", F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).over(by_key))
     outside = (F.col("component") != F.col("pivot_component")).cast("int")
     placed = placed.withColumns({"outside": outside, "n_out": F.sum(outside).over(by_key), "n": F.count("*").over(by_key)})
     # the pivot and one outside it leave no pair open
