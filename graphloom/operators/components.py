@@ -145,15 +145,69 @@ def bridge_ends(arcs_: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
     return out
 
 
-def bridges(graph: Graph) -> DataFrame:
-    """(source, target): edges whose removal parts their weak component, in their own direction."""
+#: Arcs of a weak component up to which one task takes it whole.
+ONE_TASK = 1_000_000
+
+
+def bridges(graph: Graph, one_task: int | None = None) -> DataFrame:
+    """(source, target): edges whose removal parts their weak component, in their own direction. Components
+    of more than ``one_task`` distinct arcs are searched level by level instead of in one task."""
+    most = ONE_TASK if one_task is None else one_task
+    parts = weak_components(graph.nodes, graph.edges)
+    own = graph.edges.groupBy("source", "target").agg(F.count("*").alias("n"))
+    own = durable(own.join(parts.select(F.col("id").alias("source"), "component"), "source"))
+    large = durable(own.groupBy("component").agg(F.count("*").alias("arcs")).where(F.col("arcs") > most))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(zip(pdf["source"], pdf["target"], pdf["n"], strict=True))
         found = {frozenset(p) for p in bridge_ends(rows)}
         return pd.DataFrame([(a, b) for a, b, _ in rows if frozenset((a, b)) in found], columns=["source", "target"])
 
-    return per_component(graph, run, "source string, target string")
+    small = own.join(large, "component", "left_anti")
+    out = small.groupBy("component").applyInPandas(run, "source string, target string")
+    if large.isEmpty():
+        return out
+    rest = own.join(large.select("component"), "component", "left_semi")
+    found = _bridge_pairs(rest)
+    pair = rest.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
+    return out.unionByName(pair.join(found, ["a", "b"], "left_semi").select("source", "target"))
+
+
+def _bridge_pairs(own: DataFrame) -> DataFrame:
+    """(a, b) of the bridges among arcs (source, target, n, component), by levels of a spanning tree. Every
+    pair outside the tree has a random 64-bit label at both ends; the labels of a subtree cancel out but
+    for those of pairs that leave it, so an edge above a subtree is a bridge if they come to 0. Two
+    different sums are equal by chance once in 2^64."""
+    pairs = own.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("n").alias("n"), F.min("component").alias("component"))
+    pairs = durable(pairs)
+    steps = durable(pairs.select(F.col("a").alias("at"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("at"), F.col("a").alias("to"))))
+    roots = pairs.select(F.col("component").alias("id")).distinct()
+    frontier = durable(roots.select("id", F.lit(None).cast("string").alias("parent")))
+    known, levels = frontier.select("id"), [frontier]
+    while True:
+        new = frontier.join(steps, frontier.id == steps["at"]).groupBy(F.col("to").alias("id")).agg(F.min("at").alias("parent"))
+        frontier = durable(new.join(known, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier.select("id"))
+        levels.append(frontier)
+    tree = levels[1]
+    for level in levels[2:]:
+        tree = tree.unionByName(level)
+    tree = durable(tree.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")))
+    labels = pairs.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b", F.lit(7)).alias("label"))
+    sums = labels.select(F.explode(F.array("a", "b")).alias("id"), "label").groupBy("id").agg(F.bit_xor("label").alias("own"))
+    sums = durable(sums)
+    out, below = None, None
+    for level in reversed(levels[1:]):
+        mine = level.join(sums, "id", "left").fillna(0, ["own"])
+        if below is not None:
+            mine = mine.join(below, "id", "left").fillna(0, ["sub"]).withColumn("own", F.col("own").bitwiseXOR(F.col("sub"))).drop("sub")
+        mine = durable(mine)
+        below = mine.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("own").alias("sub"))
+        cut = mine.where("own = 0").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+        out = cut if out is None else out.unionByName(cut)
+    return out.join(pairs.where("n = 1").select("a", "b"), ["a", "b"], "left_semi")
 
 
 def propagate_labels(arcs_: list[tuple[str, str]], sweeps: int = 20) -> dict[str, str]:

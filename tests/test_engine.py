@@ -123,6 +123,7 @@ def test_random_graphs_against_plain_algorithms(spark, seed):
     assert {r["id"]: r["component"] for r in components.strong_components(g.edges).collect()} == {n: min(s) for n, s in strong.items() if len(s) > 1}
     bridges = {p for p in set(pairs) if p[0] != p[1] and pairs.count(p) + pairs.count(p[::-1]) == 1 and p[1] not in plain_reach([q for x in pairs if x != p for q in (x, x[::-1])], p[0])}
     assert {(r["source"], r["target"]) for r in components.bridges(g).collect()} == bridges
+    assert {(r["source"], r["target"]) for r in components.bridges(g, one_task=0).collect()} == bridges
 
 
 def test_empty_graphs(spark):
