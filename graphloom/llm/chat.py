@@ -12,9 +12,10 @@ identical. Strength 1 puts ESC before each control string and doubles ESC; stren
 every character that could begin one.
 
 Turns are ordered by turn, then role and text; null texts and roles are empty ones. Rows that repeat
-are turns each. Rows without a conv_id make up one conversation without an id. Other columns are not
-read. The loss mask of a conversation is the list of spans of its formatted text that hold assistant
-texts.
+are turns each. Rows without a conv_id make up one conversation without an id. A conversation is one
+record of the result, so its turns have to fit a task together, as in any reader of the result. Other
+columns are not read. The loss mask of a conversation is the list of spans of its formatted text that
+hold assistant texts.
 """
 
 from __future__ import annotations

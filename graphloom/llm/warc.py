@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-LEAST, SALTS, FILE_RECORDS = 1000, 16, 4000
+LEAST, SALTS, FILE_RECORDS = 1000, 16, 1000
 BREAK, END = "\r\n", "\r\n\r\n"
 
 
@@ -41,10 +41,6 @@ def resolve(pages: DataFrame) -> DataFrame:
     return out.withColumn("refers_to", F.when(F.col("original") != F.col("page_id"), F.col("original"))).drop("salt", "original")
 
 
-def record_of(page_id) -> str:
-    return f"<urn:page:{page_id}>"
-
-
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Writes gzip-compressed archives with a record for each page."""
     rows = resolve(pages)
@@ -105,8 +101,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
                     row = (number(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, number(h.get("WARC-Refers-To", "")), digest, int(h["X-Payload-Length"]), payload if kind == "response" else None)
                     out.append(row if payloads else row[:-1])
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                names = [c.split() for c in schema.split(", ")]
+                # integers that may be null, without a detour over floats
+                yield pd.DataFrame({n: pd.array([r[k] for r in out], "Int64") if t == "long" else [r[k] for r in out] for k, (n, t) in enumerate(names)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(run, schema)

@@ -183,6 +183,9 @@ def test_chat_reads_back_hostile_turns(spark):
         loss = "".join(chat.unescape(r["formatted"][a:b]) for a, b in r["loss_spans"])
         assert loss == "".join(t for role, t in own if role == "assistant")
     assert chat.format_conversations(df.limit(0)).count() == 0
+    ties = spark.createDataFrame([(None, None, "user", "b"), (None, None, "user", "a"), (7, 1, "user", "x"), (7, 1, "user", "x"), (7, None, None, None)], "conv_id long, turn long, role string, text string")
+    read = {r["conv_id"]: [t for _, t, _, _ in chat.parse(r["formatted"])] for r in chat.format_conversations(ties).collect()}
+    assert read[None] == ["a", "b"] and sorted(read[7]) == ["", "x", "x"]
     with pytest.raises(chat.Malformed):
         chat.parse("<s>[INST] a [/OUT]</s>\n")
 
