@@ -103,7 +103,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     out.append(row if payloads else row[:-1])
                 names = [c.split() for c in schema.split(", ")]
                 # integers that may be null, without a detour over floats
-                yield pd.DataFrame({n: pd.array([r[k] for r in out], "Int64") if t == "long" else [r[k] for r in out] for k, (n, t) in enumerate(names)})
+                yield pd.DataFrame({n: pd.array([r[k] for r in out], "Int64") if t == "long" else pd.Series([r[k] for r in out], dtype=object) for k, (n, t) in enumerate(names)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(run, schema)
