@@ -171,7 +171,10 @@ add("hubs_top_band", RING, metrics.hubs, oracle.ring(""", h AS (SELECT deg.*, (S
  s AS (SELECT *, fan_in + fan_out + reach AS score, rank() OVER (ORDER BY fan_in + fan_out + reach DESC) AS r FROM h)
  SELECT id, fan_in, fan_out, reach, score FROM s WHERE r <= (SELECT ceil(count(*) * 0.1) FROM nodes) AND score > 0""", oracle.DEGREES,
     "walk(o, node, d) AS (SELECT source, target, 1 FROM edges UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 3)"))
-add("hubs_sales", SALES, metrics.hubs)
+add("hubs_sales", SALES, metrics.hubs, oracle.sales(""", d AS (SELECT DISTINCT source, target FROM edges), w AS (SELECT source AS o, target AS node FROM d
+ UNION SELECT a.source, b.target FROM d a JOIN d b ON b.source = a.target UNION SELECT a.source, c.target FROM d a JOIN d b ON b.source = a.target JOIN d c ON c.source = b.target),
+ r AS (SELECT deg.*, count(node)::BIGINT AS reach FROM deg LEFT JOIN w ON o = id AND node <> id GROUP BY ALL)
+ SELECT *, fan_in + fan_out + reach AS score FROM r QUALIFY rank() OVER (ORDER BY fan_in + fan_out + reach DESC) <= (SELECT ceil(count(*) * 0.1) FROM nodes)""", oracle.DEGREES))
 add("bounded_reach3", SALES, metrics.reach3, oracle.sales(""", s AS (SELECT DISTINCT source, target FROM edges), w AS (SELECT source AS o, target AS node FROM s
  UNION SELECT a.source, b.target FROM s a JOIN s b ON b.source = a.target UNION SELECT a.source, c.target FROM s a JOIN s b ON b.source = a.target JOIN s c ON c.source = b.target)
  SELECT id, count(node)::BIGINT AS reach FROM nodes LEFT JOIN w ON o = id AND node <> id GROUP BY id"""))
@@ -180,7 +183,9 @@ add("bounded_reach3", SALES, metrics.reach3, oracle.sales(""", s AS (SELECT DIST
 
 add("wcc", RING, lambda g: components.weak_components(g.nodes, g.edges), oracle.ring(" SELECT id, least(id, coalesce(min(b), id)) AS component FROM nodes LEFT JOIN w ON a = id GROUP BY id",
     "both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges)", "w(a, b) AS (SELECT a, b FROM both_ways UNION SELECT w.a, x.b FROM w JOIN both_ways x ON x.a = w.b)"))
-add("wcc_sales", SALES, lambda g: components.weak_components(g.nodes, g.edges).groupBy("component").agg(F.count("*").alias("n")))
+add("wcc_sales", SALES, lambda g: components.weak_components(g.nodes, g.edges).groupBy("component").agg(F.count("*").alias("n")), "WITH RECURSIVE " + oracle.SALES + """,
+ u AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), w(id) AS (SELECT min(id) FROM nodes UNION SELECT b FROM w JOIN u ON a = id)
+ SELECT (SELECT min(id) FROM nodes) AS component, count(*)::BIGINT AS n FROM w UNION ALL SELECT id, 1 FROM nodes WHERE id NOT IN (SELECT id FROM w)""")
 add("scc_components", RING, lambda g: components.strong_components(g.edges), oracle.ring(" SELECT id, component FROM scc", oracle.SCC))
 add("scc_trade", TRADE, lambda g: components.strong_components(g.edges), oracle.trade(" SELECT id, component FROM scc", oracle.SCC.replace("FROM edges UNION", "FROM (SELECT DISTINCT source, target FROM edges) UNION").replace("JOIN edges e", "JOIN (SELECT DISTINCT source, target FROM edges) e")))
 add("cycles", RING, components.cycles, oracle.ring(""" SELECT component AS cycle_id, count(*)::BIGINT AS size, string_agg(id, ' -> ' ORDER BY id) AS members,
@@ -259,7 +264,10 @@ query("required_pairs_missing", oracle.ring(" SELECT 'q1' AS rule_id, s.id AS so
 query("dependency_limit", oracle.ring(""" SELECT 'd1' AS rule_id, id, 'fan_in' AS metric, fan_in AS value, 1 AS most FROM deg WHERE id LIKE 'r2::%' AND fan_in > 1
  UNION ALL SELECT 'd1', id, 'fan_out', fan_out, 1 FROM deg WHERE id LIKE 'r2::%' AND fan_out > 1""", oracle.DEGREES))(ruled(policy.fan_violations))
 query("dangling_rules", "SELECT 'x1' AS rule_id, 'source' AS side")(ruled(policy.dangling_rules))
-query("rule_status")(ruled(policy.rule_status))
+query("rule_status", oracle.ring(""", bad AS (SELECT 'f1' AS rule_id FROM edges WHERE source LIKE 'r0::%' AND target LIKE 'r3::%' UNION ALL SELECT 'f2' FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer = 4 AND t.layer = 2
+ UNION ALL SELECT 'q1' FROM nodes WHERE id LIKE 'r1::%' AND id NOT IN (SELECT source FROM edges WHERE target LIKE 'r0::%') UNION ALL SELECT 'd1' FROM deg WHERE id LIKE 'r2::%' AND fan_in > 1 UNION ALL SELECT 'd1' FROM deg WHERE id LIKE 'r2::%' AND fan_out > 1),
+ rule AS (SELECT * FROM (VALUES ('f1', 'forbidden_call'), ('f2', 'layer_boundary'), ('q1', 'required_call'), ('d1', 'dependency_limit'), ('x1', 'forbidden_call'), ('p1', 'forbidden_path')) v(rule_id, type))
+ SELECT rule.rule_id, type, count(bad.rule_id)::BIGINT AS violations, CASE WHEN rule.rule_id = 'x1' THEN 'dangling' WHEN count(bad.rule_id) > 0 THEN 'violated' ELSE 'satisfied' END AS status FROM rule LEFT JOIN bad ON bad.rule_id = rule.rule_id GROUP BY rule.rule_id, type""", oracle.DEGREES))(ruled(policy.rule_status))
 add("forbidden_paths", RING, lambda g: policy.forbidden_paths(g, RULES).select("rule_id", "origin", "hops"), oracle.ring(" SELECT 'p1' AS rule_id, o AS origin, min(d)::INT AS hops FROM walk WHERE node LIKE 'r2::%17' GROUP BY o ORDER BY o LIMIT 5",
     "walk(o, node, d) AS (SELECT id, id, 0 FROM nodes WHERE id LIKE 'r0::%' UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 20)"))
 add("layer_violations", TRADE, policy.layer_violations, oracle.trade(" SELECT DISTINCT source, target, s.layer AS s_layer, t.layer AS t_layer FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer"))
@@ -294,7 +302,12 @@ add("lock_check", SALES, lambda g: policy.lock_check(g, metrics.compress(g).wher
 add("health", RING, score.health, oracle.ring(""" SELECT count(*)::BIGINT AS nodes, count(*) FILTER (fan_in + fan_out = 0)::BIGINT AS orphans, count(*) FILTER (arch_layer = 'service' AND fan_in = 0)::BIGINT AS unused_services,
  round(var_pop(fan_in), 6) AS fan_in_variance, round(var_pop(fan_out), 6) AS fan_out_variance, (SELECT count(*) FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.layer < t.layer)::BIGINT AS layer_violations,
  (SELECT count(DISTINCT component) FROM scc)::BIGINT AS cycles, (SELECT round(-sum(p * log2(p)), 6) FROM (SELECT fan_in / sum(fan_in) OVER () AS p FROM deg WHERE fan_in > 0)) AS fan_in_entropy FROM deg JOIN nodes USING (id)""", oracle.DEGREES, oracle.SCC))
-add("architecture_score", RING, score.architecture_score)
+add("architecture_score", RING, score.architecture_score, oracle.ring(""", e AS (SELECT count(*) AS n, count(*) FILTER (s.file = t.file) AS inside, count(*) FILTER (s.layer < t.layer) AS up, (SELECT count(DISTINCT component) FROM scc) AS c,
+  (SELECT coalesce(max(k), 0) FROM (SELECT fan_in + fan_out AS k, row_number() OVER (ORDER BY fan_in + fan_out DESC) AS r, count(*) OVER () AS m FROM deg WHERE fan_in + fan_out > 0) WHERE r = floor(m * 0.05) + 1) AS typical
+  FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target),
+ p AS (SELECT round(inside / n, 6) AS cohesion, round(1 - least(1.0::DOUBLE, typical / 50), 6) AS coupling, round(1 - least(1.0::DOUBLE, up / n), 6) AS layers, round(1 - least(1.0::DOUBLE, c / 5), 6) AS cycles FROM e),
+ x AS (SELECT *, round(0.25::DOUBLE * cohesion + 0.25::DOUBLE * coupling + 0.2::DOUBLE * layers + 0.2::DOUBLE * cycles + 0.1::DOUBLE, 4) AS score FROM p)
+ SELECT *, CASE WHEN score >= 0.9 THEN 'A' WHEN score >= 0.8 THEN 'B' WHEN score >= 0.65 THEN 'C' WHEN score >= 0.5 THEN 'D' ELSE 'F' END AS grade FROM x""", oracle.DEGREES, oracle.SCC))
 add("architecture_score_sales", SALES, score.architecture_score)
 add("decay", RING, score.decay)
 add("service_candidates", SALES, score.service_candidates)
@@ -309,7 +322,11 @@ def changed(run) -> Query:
     return lambda spark, sf_dir: run(RING(spark, sf_dir), simulate.change_set(spark, [("add", "r3::NATION_13", "r0::NATION_0"), ("remove", "r0::NATION_0", "r1::NATION_1")]))
 
 
-query("simulate_metrics")(changed(lambda g, c: simulate.simulate(g, c)["metrics"]))
+query("simulate_metrics", oracle.ring(""", e AS (SELECT 'before' AS side, source, target FROM edges UNION ALL SELECT 'after', source, target FROM edges WHERE NOT (source = 'r0::NATION_0' AND target = 'r1::NATION_1') UNION ALL SELECT 'after', 'r3::NATION_13', 'r0::NATION_0'),
+ m AS (SELECT side, 'edge_count' AS metric, count(*)::DOUBLE AS v FROM e GROUP BY side UNION ALL SELECT side, 'node_count', 25 FROM e GROUP BY side UNION ALL SELECT side, 'density', round(count(*) / 600, 6) FROM e GROUP BY side
+  UNION ALL SELECT side, 'max_fan_in', max(c) FROM (SELECT side, count(*)::DOUBLE AS c FROM e GROUP BY side, target) GROUP BY side UNION ALL SELECT side, 'max_fan_out', max(c) FROM (SELECT side, count(*)::DOUBLE AS c FROM e GROUP BY side, source) GROUP BY side)
+ SELECT metric, max(v) FILTER (side = 'before') AS before, max(v) FILTER (side = 'after') AS after, round(max(v) FILTER (side = 'after') - max(v) FILTER (side = 'before'), 6) AS delta, false AS regression FROM m GROUP BY metric"""))(
+    changed(lambda g, c: simulate.simulate(g, c)["metrics"]))
 query("simulate_assess")(changed(simulate.assess))
 query("structural_effects")(changed(simulate.structural_effects))
 query("simulate_edges_delta", oracle.ring(" SELECT count(*)::BIGINT AS n FROM edges WHERE NOT (source = 'r0::NATION_0' AND target = 'r1::NATION_1')").replace("count(*)::BIGINT", "(count(*) + 1)::BIGINT"))(
@@ -399,4 +416,4 @@ query("semantic_summary", """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"
 query("semantic_rules")(lambda spark, d: semantics.rule_findings(described_documents(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n")))
 
 add("mermaid", RING, formats.mermaid)
-add("json_rows", RING, lambda g: formats.as_json(g.edges))
+add("json_rows", RING, lambda g: formats.as_json(g.edges), oracle.ring(""" SELECT '{"confidence":"static","edge_type":"call","source":"' || source || '","target":"' || target || '"}' AS value FROM edges"""))
