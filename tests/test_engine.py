@@ -400,6 +400,16 @@ def test_file_stream_and_upsert(spark, tmp_path):
     assert depths == ["local", "local"] and versions.where("version = 1").count() == 2
 
 
+def test_a_path_is_reported_once_within_the_gap(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:00.4"), ("b", "2024-01-01 00:00:00.5")]
+    table = spark.createDataFrame(rows, "path string, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    q = events.debounced(stream).writeStream.format("memory").queryName("d").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(ids(spark.table("d"), "path")) == ["a", "b"]
+
+
 def test_windows_on_a_stream_equal_those_on_a_table(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/events.parquet")
     (tmp_path / "in").mkdir()
