@@ -172,11 +172,15 @@ def _verify(width: int, percent: int):
 
 
 def _sketch(width: int, percent: int):
+    """Texts of an id with several texts are of the class alone whose set they have."""
+
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
             sets = [shingle_set(t, width, hashes) for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "size": [len(s) for s in sets], "bits": [bit_sketch(s, percent) for s in sets]})
+            own = [set_hash(s) == c for s, c in zip(sets, zip(pdf["h1"], pdf["h2"], strict=True), strict=True)]
+            sets = [s for s, o in zip(sets, own, strict=True) if o]
+            yield pdf.loc[own, ["node", "text"]].assign(size=[len(s) for s in sets], bits=[bit_sketch(s, percent) for s in sets])
 
     return run
 
@@ -267,21 +271,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = with_text_ids(docs)
     meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
     meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    classes = cut(meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
+    classes = meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first is not null")
+    # one doc_id may be the first of several classes, so it does not name them
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     by_key = Window.partitionBy("key")
     rows = docs.mapInPandas(_emit_keys(width, percent), "key long, h1 long, h2 long")
     rows = rows.withColumns({"low": F.min("h1").over(by_key), "high": F.max("h1").over(by_key), "n": F.count("*").over(by_key)})
     shared = cut(rows.where("low <> high").select("key", "h1", "h2", "n"), "keys")
-    named = shared.join(classes, ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
+    named = shared.join(classes.drop("first"), ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
     score = named.groupBy("node").agg(F.sum("n").alias("score"))
     pivot = F.max(F.struct("score", F.negative("node").alias("minus"))).over(by_key)
     named = cut(named.join(score, "node").withColumn("pivot", -pivot["minus"]).select("key", "node", "n", "pivot"), "pivots")
 
     pairs = cut(named.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    wanted = named.select("node").distinct()
-    texts = cut(docs.join(wanted, docs.doc_id.cast("long") == wanted.node).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    sketches = cut(texts.mapInPandas(_sketch(width, percent), "node long, size long, bits binary"), "sketches")
+    wanted = classes.join(named.select("node").distinct(), "node")
+    texts = docs.join(wanted, docs.doc_id.cast("long") == wanted["first"]).select("node", "h1", "h2", "text")
+    texts = texts.mapInPandas(_sketch(width, percent), "node long, text string, size long, bits binary")
+    texts = cut(texts.groupBy("node").agg(F.min(F.struct("text", "size", "bits")).alias("x")).select("node", "x.*"), "texts")
+    texts, sketches = texts.select("node", "text"), texts.select("node", "size", "bits")
     close = cut(_beside(pairs, sketches, 20_000).mapInPandas(_sift(percent), "a long, b long"), "close")
     links = cut(_verified(close, texts, width, percent), "links")
     comp = contract(links)
@@ -294,7 +302,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = cut(_open_pairs(rest, sketches, percent), "close")
     links = cut(links.unionByName(_verified(more, texts, width, percent)), "links")
     comp = contract(links)
-    named_classes = classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
+    comp = comp.join(classes.select(F.col("node").alias("id"), "first"), "id")
+    comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("id", "smallest")
+    named_classes = classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("smallest", "first").alias("component_id"))
     out = meta.join(cut(named_classes, "components"), ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -401,6 +401,13 @@ def test_sketches_never_rule_out_a_link():
             assert set(jaccard.join_keys(a, 85)) & set(jaccard.join_keys(b, 85))
 
 
+def test_an_id_with_two_texts_is_in_the_groups_of_both(spark):
+    a, b, c = "a" + words(60), "b" + words(60), "c" + words(60)
+    rows = [(5, a), (5, b), (7, b), (8, b), (9, b + " more"), (6, a + " more"), (20, c), (21, c + " more")]
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(documents(spark, rows), 4, 85).select("doc_id", "component_id").collect())
+    assert got == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5), (20, 20), (21, 20)]
+
+
 def test_one_document_of_each_group_stays(spark, odd, odd_rows):
     kept = jaccard.keep_one(odd, 5, 80)
     assert kept.columns == odd.columns
