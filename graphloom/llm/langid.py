@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import built_once, held_out, small_batches
 
 SAMPLE_CHARS, SAMPLE_DOCS, WINDOW, SHARPNESS = 20_000, 400, 512, 8.0
-#: Letters told apart, the most frequent ones of the learnt texts, the space among them.
+#: Letters of a language that have a column in its transition table, its most frequent ones, the space
+#: among them. Transitions by its other letters are looked up in a sorted list.
 ALPHABET = 200
 UNDETERMINED = "und"
 
@@ -70,11 +71,37 @@ class Automaton:
             last = new
         self.following = following
 
-    def fill(self, table: np.ndarray, base: int) -> None:
-        """Writes its transitions into the rows of a table, its states numbered from ``base``."""
+    def table(self, letters: int) -> Transitions:
+        """Its transitions by symbols 1 to ``letters``, the first ALPHABET of them as columns."""
+        width = min(letters, ALPHABET) + 1
+        dense, rare = np.zeros((len(self.following), width), np.int32), []
         for state, out in enumerate(self.following):
             for s, target in out.items():
-                table[state, s] = base + target
+                if s < width:
+                    dense[state, s] = target
+                else:
+                    rare.append((state * (letters + 1) + s, target))
+        rare.sort()
+        dense[:, 0] = 0
+        return Transitions(dense.ravel(), width, letters + 1, np.array([k for k, _ in rare], np.int64), np.array([t for _, t in rare], np.int32))
+
+
+class Transitions:
+    def __init__(self, dense: np.ndarray, width: int, symbols: int, keys: np.ndarray, targets: np.ndarray):
+        self.dense, self.width, self.symbols, self.keys, self.targets = dense, width, symbols, keys, targets
+
+    def step(self, state: np.ndarray | int, c: np.ndarray) -> np.ndarray:
+        """The states after symbols ``c``, 0 where there is no transition."""
+        if not len(self.keys):
+            return self.dense[state * self.width + c]
+        new = self.dense[state * self.width + np.where(c < self.width, c, 0)]
+        rare = np.flatnonzero(c >= self.width)
+        if len(rare):
+            before = state[rare] if isinstance(state, np.ndarray) else state
+            wanted = before * np.int64(self.symbols) + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            new[rare] = np.where(self.keys[at] == wanted, self.targets[at], 0)
+        return new
 
 
 class Model:
@@ -94,47 +121,44 @@ class Model:
 class Parser:
     def __init__(self, model: Model):
         self.langs = model.langs
-        counts: dict[str, int] = {}
-        for t in model.texts.values():
-            for c in set(t):
-                counts[c] = counts.get(c, 0) + t.count(c)
-        kept = sorted((c for c in counts if c == " " or c.isalpha()), key=lambda c: (-counts[c], c))[:ALPHABET]
-        self.code = np.zeros(0x110000, np.uint8)  # 0: ends a phrase, and is one, in every language
-        for i, c in enumerate(kept):
+        letters = {lang: Counter(c for c in t if c == " " or c.isalpha()) for lang, t in model.texts.items()}
+        every = sorted(set().union(*letters.values()))
+        kind = np.uint8 if len(every) < 256 else np.int32
+        self.code = np.zeros(0x110000, kind)  # 0: ends a phrase, and is one, in every language
+        for i, c in enumerate(every):
             self.code[ord(c)] = i + 1
-        symbols = [self.codes(model.texts[lang]).tolist() for lang in self.langs]
-        self.width, self.cost, roots, base = len(kept) + 1, np.array([math.log2(max(2, len(s))) for s in symbols]), [], 0
-        table = np.zeros((sum(2 * len(s) + 2 for s in symbols), self.width), np.int32)  # most states there can be
-        for s in symbols:
-            automaton = Automaton(s)
-            automaton.fill(table[base:], base)
-            roots.append(base + 1)
-            base += len(automaton.following)
-            del automaton
-        table[:, 0] = 0
-        self.table, self.roots = table.ravel(), np.array(roots, np.int32)
+        self.cost, self.own, self.tables = np.zeros(len(self.langs)), [], []
+        for k, lang in enumerate(self.langs):
+            # a letter that the language's text has not is 0 there, as no phrase of it has the letter
+            ranked = sorted(letters[lang], key=lambda c: (-letters[lang][c], c))
+            own = np.zeros(len(every) + 1, kind)
+            own[[self.code[ord(c)] for c in ranked]] = np.arange(1, len(ranked) + 1)
+            symbols = own[self.codes(model.texts[lang])].tolist()
+            self.cost[k] = math.log2(max(2, len(symbols)))
+            self.own.append(own)
+            self.tables.append(Automaton(symbols).table(len(ranked)))
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
-    def phrases(self, windows: np.ndarray, lengths: np.ndarray, root: int) -> np.ndarray:
-        """Phrases of each row of codes, whose first lengths count; rows come longest first."""
-        n = len(windows)
+    def phrases(self, windows: np.ndarray, lengths: np.ndarray, k: int) -> np.ndarray:
+        """Phrases in language k of each row of codes, whose first lengths count; rows come longest first."""
+        n, root, table = len(windows), 1, self.tables[k]
         state, found = np.full(n, root, np.int32), np.zeros(n, np.int64)
-        columns = np.ascontiguousarray(windows.T)
+        columns = self.own[k][np.ascontiguousarray(windows.T)]
         live = np.searchsorted(-lengths, -np.arange(windows.shape[1]), side="left")
-        for j, k in enumerate(live):
-            if not k:
+        for j, most in enumerate(live):
+            if not most:
                 break
-            c = columns[j, :k]
-            new = self.table[state[:k] * self.width + c]
+            c = columns[j, :most]
+            new = table.step(state[:most], c)
             ended = np.flatnonzero(new == 0)
             if len(ended):
-                begun = self.table[root * self.width + c[ended]]
+                begun = table.step(root, c[ended])
                 found[ended] += state[ended] != root
                 found[ended] += begun == 0  # no phrase begins here: the character is one
                 new[ended] = np.where(begun == 0, root, begun)
-            state[:k] = new
+            state[:most] = new
         return found + (state != root)
 
     def bits(self, texts: list[str]) -> np.ndarray:
@@ -149,13 +173,13 @@ class Parser:
             return np.zeros((len(texts), len(self.langs)))
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
-        flat = np.zeros((len(parts), int(lengths.max())), np.uint8)
+        flat = np.zeros((len(parts), int(lengths.max())), self.code.dtype)
         for row, i in enumerate(order):
             flat[row, : lengths[i]] = parts[i]
         who, size = np.array(owner)[order], np.maximum(1, np.array([len(c) for c in coded]))
         out = np.zeros((len(texts), len(self.langs)))
-        for k, root in enumerate(self.roots):
-            n = np.bincount(who, self.phrases(flat, lengths[order], root), len(texts))
+        for k in range(len(self.langs)):
+            n = np.bincount(who, self.phrases(flat, lengths[order], k), len(texts))
             out[:, k] = n * self.cost[k] / size
         return out
 

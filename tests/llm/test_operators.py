@@ -170,6 +170,25 @@ def test_phrases_equal_a_plain_parse():
             assert parser.bits([text])[0, k] == pytest.approx(n * parser.cost[k] / len(text))
 
 
+def test_letters_of_rich_and_rare_scripts_tell_languages_apart():
+    chars = [chr(0x4E00 + i) for i in range(1200)]
+    rng = random.Random(3)
+    rich = {k: "".join(rng.choices(chars[at : at + 600], k=4000)) for k, at in (("m", 0), ("n", 600))}
+    texts = {**rich, "x": "\u10d0\u10d1\u10d2\u10d3" * 20, "y": "\u0561\u0562\u0563\u0564" * 20}
+    parser = langid.Parser(langid.Model(texts))
+    for lang, sample in texts.items():
+        part = sample[40:70] if len(sample) < 100 else sample[500:900]
+        assert parser.langs[parser.bits([part]).argmin()] == lang
+        for k, other in enumerate(parser.langs):
+            n = i = 0
+            while i < len(part):
+                j = i + 1
+                while j <= len(part) and part[i:j] in texts[other]:
+                    j += 1
+                n, i = n + 1, max(i + 1, j - 1)
+            assert parser.bits([part])[0, k] == pytest.approx(n * parser.cost[k] / len(part))
+
+
 # ---- chat
 
 
