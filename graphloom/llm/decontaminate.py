@@ -7,8 +7,9 @@ the aligned tokens are compared: a document is contaminated by an item if some W
 in a row hold at most MISSES unequal ones (items of SHORT to WINDOW - 1 tokens: all their tokens, one
 unequal). The masks are such that every such window has a hit, so the rule alone decides.
 
-Items of fewer than SHORT tokens are too short to tell from chance and match nothing; so do null and
-empty texts. Items of equal tokens are compared once and reported each. Repeated rows change
+Items of 1 to SHORT - 1 tokens match, with ``short_items``, where all their tokens stand in a row; the
+query and the pipeline ask for it. In scripts written without
+blanks each letter is a token. Null and empty texts match nothing. Items of equal tokens are compared once and reported each. Repeated rows change
 nothing; a row without a doc_id is not reported. Other columns are not read.
 """
 
@@ -26,8 +27,12 @@ WINDOW, MISSES, SHORT = 13, 2, 9
 BROADCAST_SEEDS = 2_000_000
 
 
+#: A letter of a script that is written without blanks.
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+
+
 def token_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), UNSPACED, " $1 "), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -39,11 +44,20 @@ def _seeds(rows: DataFrame, *carried: str) -> DataFrame:
     return at.select(*carried, "h", "at", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _short_matches(tokens: DataFrame, items: DataFrame, small: bool) -> DataFrame:
+    """(doc_id, item, matched) of the items of fewer than SHORT tokens that documents hold whole."""
+    spans = F.array(*(F.when(F.col("at") + n <= F.size("h"), F.slice("h", F.col("at") + 1, n)) for n in range(1, SHORT)))
+    at = tokens.where(F.size("h") > 0).select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("at"))
+    held = at.select("doc_id", F.explode(spans).alias("h")).where("h is not null")
+    return held.join(F.broadcast(items) if small else items, "h").select("doc_id", "item", F.size("h").cast("long").alias("matched")).distinct()
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """(doc_id, item_id, matched): most equal tokens in a window, for documents (doc_id, text) and
     items (item_id, text) that share a passage."""
-    named = cut(benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), token_hashes(F.col("text")).alias("h")).where(F.size("h") >= SHORT), "items")
-    items = cut(named.groupBy("h").agg(F.min("item_id").alias("item")), "items")
+    named = cut(benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), token_hashes(F.col("text")).alias("h")).where(F.size("h") > 0), "items")
+    every = cut(named.groupBy("h").agg(F.min("item_id").alias("item")), "items")
+    items, short = every.where(F.size("h") >= SHORT), every.where(F.size("h") < SHORT)
     seeds = cut(_seeds(items, "item").groupBy("seed", "item", F.col("at").alias("item_at"), F.size("h").alias("n")).agg(F.lit(1).alias("one")).drop("one"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     tokens = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), token_hashes(F.col("text")).alias("h"))
@@ -65,11 +79,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     need = F.when(F.col("width") < WINDOW, F.col("width") - 1).otherwise(WINDOW - MISSES)
     found = both.select("doc_id", "item", F.array_max(sums).alias("matched"), need.alias("need")).where("matched >= need")
     best = found.groupBy("doc_id", "item").agg(F.max("matched").cast("long").alias("matched"))
-    groups = named.join(items, "h").select("item", "item_id").distinct()
+    n_short = short.count() if short_items else 0
+    if n_short:
+        best = best.unionByName(_short_matches(tokens, short, n_short <= BROADCAST_SEEDS // SHORT))
+    groups = named.join(every, "h").select("item", "item_id").distinct()
     return best.join(groups, "item").select("doc_id", "item_id", "matched")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """The documents that no benchmark item contaminates."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
+    bad = contaminated(docs, benchmark, short_items).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").select(docs.columns)

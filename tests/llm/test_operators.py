@@ -351,6 +351,16 @@ def test_decontamination_equals_brute_force(spark, odd_rows, most, monkeypatch):
     assert decontaminate.clean(documents(spark, docs), bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_SEEDS, 0])
+def test_short_items_and_scripts_without_blanks_match_whole(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+    chinese = "".join(chr(0x4E00 + 7 * i) for i in range(30))
+    bench = spark.createDataFrame([(1, "Who was Ada?"), (2, chinese), (3, chr(0x3042) * 2), (4, "?!"), (5, "who was ada")], "item_id long, text string")
+    docs = [(1, "they asked: who was ada, then"), (2, "who was the ada"), (3, "x" + chinese[4:24] + "y"), (4, chr(0x3042) * 3), (5, chr(0x3042)), (6, "who was")]
+    got = sorted(tuple(r) for r in decontaminate.contaminated(documents(spark, docs), bench, short_items=True).collect())
+    assert got == [(1, 1, 3), (1, 5, 3), (3, 2, 13), (4, 3, 2)]
+
+
 # ---- Jaccard join
 
 
