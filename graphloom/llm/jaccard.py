@@ -17,8 +17,11 @@ verified on the texts.
 Pairs are not spread out within a group. Each key names as its pivot the set that shares most keys
 with others; members are verified against their pivots, links are contracted to components, and
 only members that fell outside the component of their pivot are compared with the rest of the
-group, by their bit sketches and in blocks. At the end every pair of a group is either verified or in one component, so the components
-are those of the full join.
+group, by their bit sketches and in blocks. At the end every pair of a group is either verified or in
+one component, so the components are those of the full join.
+
+Groups may hold any share of the rows. Aggregations are partial before they are shuffled; joins on a
+key of theirs read written tables on both sides, so that Spark can split a large partition of one.
 
 Nulls and empty texts have no shingles and are linked with nothing. Equal sets are one class before
 any comparison. Repeated rows of one doc_id each give their own output row. A row without a doc_id
@@ -28,6 +31,7 @@ links with rows of equal text alone. Columns besides the id and the text are not
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +45,17 @@ from .shingles import WordHashes, shingle_set
 
 #: Ratio of the largest to the smallest set size of a band.
 BAND = 1.25
-#: Members of a group that share one copy of their pivot's text.
-SHARE = 256
-#: Members of a group that are compared with one another in one piece.
-BLOCK = 2048
+#: Members of a group that share one copy of their pivot's text, and parts into which they are dealt.
+SHARE, SALTS = 256, 64
+#: Members of a group, and bytes of their sketches, that are compared with one another in one piece;
+#: pairs that come out of a piece at once.
+BLOCK, BLOCK_BYTES, PIECE = 1024, 8 << 20, 100_000
+#: Sets that a partition remembers in order to pass over copies.
+SEEN = 100_000
+#: Classes that may be told apart as large by name, and keys as hot: keys of about HOT_ROWS sets and
+#: more, as judged by one text in PART. Both lists are bounded, whatever they leave out goes the
+#: common way, and the result is the same.
+LARGE, HOT_KEYS, HOT_ROWS, PART = 10_000, 50_000, 512, 64
 
 
 def band_of(n: int) -> int:
@@ -123,18 +134,23 @@ def _describe(width: int):
     return run
 
 
-def _emit_keys(width: int, percent: int):
+def _emit_keys(width: int, percent: int, firsts: dict[tuple[int, int], str]):
+    """Keys of the sets of a partition. Of a large class, which ``firsts`` names, the document that
+    stands for it alone has keys."""
+
     def run(batches):
         hashes, seen = WordHashes(), set()
         for pdf in batches:
             keys, nodes, held = [], [], 0
-            for text in pdf["text"]:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = shingle_set(text, width, hashes)
                 if not len(s):
                     continue
                 ident = set_hash(s)
-                if ident in seen:  # copies in this partition add nothing
+                if ident in seen or firsts.get(ident, doc_id) != doc_id:  # copies add nothing
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(ident)
                 k = join_keys(s, percent)
                 keys.append(k)
@@ -196,12 +212,14 @@ def _sift(percent: int):
 def _beside(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """``pairs(a, b)`` with the columns of ``nodes`` for either, a_ and b_ before their names. The
     row of b is copied for every ``share`` pairs, so that no task gets all pairs of a hot one."""
-    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("copies"))
+    counts = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / share).cast("int").alias("copies")), "copies")
     columns = [c for c in nodes.columns if c != "node"]
     pivots = nodes.join(counts, nodes.node == counts.b).select("b", "copies", *(F.col(c).alias("b_" + c) for c in columns))
     pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    hot = counts.where("copies > 1").withColumnRenamed("copies", "own")
-    salted = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("own", F.lit(1))).cast("int"))
+    # how often a hot row is copied has to reach all its pairs, which are dealt over SALTS tasks for that
+    hot = counts.where("copies > 1").withColumnRenamed("copies", "own").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("a", F.lit(7)), F.lit(SALTS)).cast("int"))
+    salted = dealt.join(hot, ["b", "deal"], "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("own", F.lit(1))).cast("int"))
     members = salted.join(nodes.select(F.col("node").alias("a"), *(F.col(c).alias("a_" + c) for c in columns)), "a")
     return members.join(pivots, ["b", "salt"])
 
@@ -211,17 +229,16 @@ def _verified(close: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return _beside(close, texts, SHARE).select("a", "b", "a_text", "b_text").mapInPandas(_verify(width, percent), "a long, b long")
 
 
-def close_pairs(cell: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a cell that may link: of different components, not both in that of the pivot, and of
-    the two blocks of the cell if it has two."""
+def close_pairs(cell: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of a cell that may link: of different components, not both in that of the pivot,
+    and of the two blocks of the cell if it has two. Each table has PIECE pairs at most."""
     words = [np.frombuffer(x, np.uint64) for x in cell["bits"]]
     least = min(map(len, words))
     bits = np.array([np.bitwise_xor.reduce(w.reshape(-1, least)) for w in words])
     node, size, component, outside, block = (cell[c].to_numpy() for c in ("node", "size", "component", "outside", "block"))
     two = bool(cell["low"].iloc[0] != cell["high"].iloc[0])
     left = np.flatnonzero(outside == 1)
-    out = []
-    step = max(1, 4_000_000 // (len(cell) * least))
+    step = max(1, min(PIECE, 2_000_000 // least) // len(cell))
     for at in range(0, len(left), step):
         i = left[at : at + step, None]
         apart = np.bitwise_count(bits[i] ^ bits[None]).sum(2, dtype=np.int64)
@@ -230,8 +247,8 @@ def close_pairs(cell: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         if two:
             may &= block[i] != block[None]
         x, y = np.nonzero(may)
-        out += zip(node[i[x, 0]].tolist(), node[y].tolist(), strict=True)
-    return out
+        for part in range(0, len(x), PIECE):
+            yield pd.DataFrame({"a": node[i[x[part : part + PIECE], 0]], "b": node[y[part : part + PIECE]]})
 
 
 def _compare_cells(percent: int):
@@ -243,46 +260,68 @@ def _compare_cells(percent: int):
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             keys = pdf[["key", "low", "high"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-            held = pdf.iloc[starts[-1] :]
-            found = [p for b, e in zip(starts[:-1], starts[1:], strict=True) for p in close_pairs(pdf.iloc[b:e], percent)]
-            yield pd.DataFrame(found, columns=["a", "b"])
+            for b, e in zip(starts[:-1], starts[1:], strict=True):
+                yield from close_pairs(pdf.iloc[b:e], percent)
+            held = pdf.iloc[starts[-1] :].copy()
         if held is not None:
-            yield pd.DataFrame(close_pairs(held, percent), columns=["a", "b"])
+            yield from close_pairs(held, percent)
 
     return run
 
 
 def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that may link among rows (key, node, component, outside, n) of the same
-    key. A group of over BLOCK members is dealt into blocks, and every two blocks are a cell of their
-    own, so that no task holds more than two blocks; sketches are compared inside, pairs that cannot
-    link never leave a cell."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int"))
-    dealt = dealt.join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("n", "other")
+    """Distinct pairs (a, b) that may link among rows (key, node, component, outside) of the same key.
+    A group is dealt into blocks of about BLOCK members and BLOCK_BYTES of sketches at most, and every
+    two blocks are a cell of their own, so that no task holds more than two blocks; sketches are
+    compared inside, pairs that cannot link never leave a cell."""
+    rows = cut(rows.join(sketches, "node"), "members")
+    least = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("bits")) / BLOCK_BYTES)).cast("int")
+    dealt = rows.join(cut(rows.groupBy("key").agg(least.alias("blocks")), "blocks"), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
     cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return cells.mapInPandas(_compare_cells(percent), "a long, b long").distinct()
 
 
+def _shared_keys(docs: DataFrame, width: int, percent: int, firsts: dict) -> DataFrame:
+    """(key, h1, h2, n) of the keys that several sets have; n tells about how many. Most keys are of
+    one set alone and go after one shuffle by key. The rows of a large group of similar sets would
+    meet in one task: which keys have many is told by a part of the texts, at most HOT_KEYS, and their
+    rows all stay and are dealt over SALTS tasks."""
+    schema = "key long, h1 long, h2 long"
+    emit = _emit_keys(width, percent, firsts)
+    part = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(PART)) == 0).mapInPandas(emit, schema)
+    counts = part.groupBy("key").count().where(F.col("count") >= HOT_ROWS // PART)
+    hot = cut(counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot")
+    rows = docs.mapInPandas(emit, schema).join(F.broadcast(hot), "key", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h1", F.lit(7)), F.lit(SALTS))).otherwise(0).cast("int"))
+    together = Window.partitionBy("key", "salt")
+    rows = rows.withColumns({"low": F.min("h1").over(together), "high": F.max("h1").over(together), "n": F.count("*").over(together)})
+    return rows.where("hot or low <> high").select("key", "h1", "h2", "n")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links
     reach). Two documents link if 100 * intersection >= percent * union."""
     docs = with_text_ids(docs)
     meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
     meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    classes = meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first is not null")
+    classes = meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # one doc_id may be the first of several classes, so it does not name them
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # no more than LARGE classes have more than this share of all rows
+    large = classes.where(F.col("copies") > max(SHARE, meta.count() // LARGE)).select("h1", "h2", "first")
+    firsts = {(r["h1"], r["h2"]): str(r["first"]) for r in large.where("first is not null").collect()}
+    classes = classes.drop("copies").where("first is not null")
 
-    by_key = Window.partitionBy("key")
-    rows = docs.mapInPandas(_emit_keys(width, percent), "key long, h1 long, h2 long")
-    rows = rows.withColumns({"low": F.min("h1").over(by_key), "high": F.max("h1").over(by_key), "n": F.count("*").over(by_key)})
-    shared = cut(rows.where("low <> high").select("key", "h1", "h2", "n"), "keys")
+    shared = cut(_shared_keys(docs, width, percent, firsts), "keys")
     named = shared.join(classes.drop("first"), ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
+    named = cut(named, "named")
     score = named.groupBy("node").agg(F.sum("n").alias("score"))
-    pivot = F.max(F.struct("score", F.negative("node").alias("minus"))).over(by_key)
-    named = cut(named.join(score, "node").withColumn("pivot", -pivot["minus"]).select("key", "node", "n", "pivot"), "pivots")
+    scored = cut(named.drop("n").join(score, "node"), "scored")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("top"))
+    named = cut(scored.drop("score").join(cut(pivots.select("key", (-F.col("top.minus")).alias("pivot")), "pivots"), "key"), "placed")
 
     pairs = cut(named.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     wanted = classes.join(named.select("node").distinct(), "node")
@@ -293,19 +332,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     close = cut(_beside(pairs, sketches, 20_000).mapInPandas(_sift(percent), "a long, b long"), "close")
     links = cut(_verified(close, texts, width, percent), "links")
     comp = contract(links)
-    placed = named.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = placed.withColumn("pivot_component", F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).over(by_key))
-    outside = (F.col("component") != F.col("pivot_component")).cast("int")
-    placed = placed.withColumns({"outside": outside, "n_out": F.sum(outside).over(by_key), "n": F.count("*").over(by_key)})
-    # the pivot and one outside it leave no pair open
-    rest = cut(placed.where("n_out > 0 and n > 2 and node <> pivot").select("key", "node", "component", "outside", "n"), "open")
+    placed = cut(named.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    own = F.max(F.when(F.col("node") == F.col("pivot"), F.col("component")))
+    # a group in one component leaves no pair open, nor do the pivot and one outside it
+    groups = placed.groupBy("key").agg(own.alias("own"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    groups = cut(groups.where("low <> high and n > 2").select("key", "own"), "groups")
+    outside = (F.col("component") != F.col("own")).cast("int").alias("outside")
+    rest = placed.where("node <> pivot").join(groups, "key").select("key", "node", "component", outside)
     more = cut(_open_pairs(rest, sketches, percent), "close")
     links = cut(links.unionByName(_verified(more, texts, width, percent)), "links")
     comp = contract(links)
     comp = comp.join(classes.select(F.col("node").alias("id"), "first"), "id")
     comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("id", "smallest")
-    named_classes = classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("smallest", "first").alias("component_id"))
-    out = meta.join(cut(named_classes, "components"), ["h1", "h2"], "left")
+    placed = cut(classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("smallest", "first").alias("component_id")), "components")
+    # the rows of a large class stay where they are, those without shingles are not joined at all
+    of_large = F.broadcast(large.where("first is not null").join(placed, ["h1", "h2"]).select("h1", "h2", "component_id"))
+    some = meta.where("n_shingles > 0")
+    out = some.join(of_large, ["h1", "h2"]).unionByName(some.join(of_large, ["h1", "h2"], "left_anti").join(placed, ["h1", "h2"], "left"))
+    out = out.unionByName(meta.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
