@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from importlib import import_module
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from . import bpe, chat, decontaminate, jaccard, langid, linededup, neighbours,
 from .common import held_out, table
 
 #: Where the vocabulary of op6 is; a parameter of the query, never copied.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline.py``, the script at the top of the repository."""
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -71,7 +78,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {
     "op3_neighbours": sql.NEIGHBOURS,

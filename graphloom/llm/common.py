@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set, one of this machine, if Spark runs
+    in this process alone (tests), and else an error: executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return _own[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -69,19 +76,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(True))
 
 
-#: Rows that go to a Python worker at once where they hold whole texts; the default of 10,000 may be
-#: hundreds of megabytes.
-TEXT_ROWS = 500
+#: Rows and bytes that go to a Python worker at once where they hold whole texts; the default of
+#: 10,000 rows may be hundreds of megabytes. A single longer row goes alone.
+TEXT_ROWS, TEXT_BYTES = 500, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Makes the session send texts to Python in batches of at most TEXT_ROWS rows."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
+    """Makes the session send texts to Python in small batches. Spark reads these settings when a
+    result is computed, so they have to outlast this call; a stricter setting of the caller stays."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = "spark.sql.execution.arrow." + name
+        if not 0 < _number(conf.get(name)) <= most:
+            conf.set(name, str(most))
     return df
 
 
+def _number(setting: str) -> int:
+    """A size setting in bytes, as Spark prints it or as it was given."""
+    digits, unit = re.fullmatch(r"(-?\d+)([a-zA-Z]*)", setting).groups()
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit.lower()[:1]]
+
+
 def with_text_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, text) for a Python stage; the id as text, since pandas has floats for nullable
     integers."""
