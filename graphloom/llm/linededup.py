@@ -1,20 +1,29 @@
 """Line dedup through a log-template tree of fixed depth.
 
 A line is parsed down a tree: first by its number of tokens, then by its LEADING leading tokens, a
-token with a digit counting as a variable field. A leaf holds templates: the line itself with its
-fields masked, and, for lines of at least PARTS more tokens, one template for each of PARTS stretches
-of the remaining tokens in which that stretch is generalised to a wildcard. Lines that share a
-template differ in fields and in one stretch at most. A template is recurring if it is in at least
-MIN_DOCS documents, one of LONG tokens or more if it is in LONG_DOCS. The lines of a recurring
-template are dropped from all documents but the one
-of smallest doc_id, which keeps them, so that nothing is lost from the corpus.
-
-A template is known by a hash of its path and tokens; documents count it once each, so counts are
-summed before they are shuffled and no leaf is ever gathered in a task.
-
-Null and blank lines are kept and never counted. Null and empty texts come out as they are. Rows that
-repeat a doc_id count as one document and are treated alike; without a doc_id a row counts as one and
-is not changed. Other columns pass through.
+token with a digit counting as a variable field. The rest of the line is dealt into SEGMENTS stretches,
+of one token each in short lines. In a leaf, a segment is counted by the documents that have it at its
+place. A segment that half as many documents have as the middle one of the line's segments, or fewer,
+is a variable field of the line and generalised to a wildcard; the others are the line's template, so
+fields may vary anywhere in up to half of the segments. What other lines are in a leaf does not matter
+to a template, as long as they do not share most of its segments.
+
+A template recurs if the fixed tokens that it repeats, those of a line in all documents but one, are at
+least REPEATED; a line of which more than half are variable fields is data and has none. Its lines are dropped from all documents but the one of smallest doc_id, which keeps them, so
+that nothing is lost from the corpus.
+
+With ``copies`` below 1, a document is a copy of an earlier one if lines that it would lose to that one
+hold more than this share of the tokens of either. It is left whole, for a near-duplicate stage to
+compare with what it copies.
+
+Segments and templates are known by hashes of their place in the tree; documents count them once each,
+so counts are summed before they are shuffled and no leaf is ever gathered in a task. Joins read written
+tables on both sides, so that Spark can split the rows of a line that is everywhere.
+
+Null and blank lines are kept and never counted. Null and empty texts come out as they are; a very long
+text is as many lines as it has. Rows that repeat a doc_id count as one document and are treated alike;
+without a doc_id a row counts as one and is not changed. An empty table gives an empty result. Other
+columns pass through; columns that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -24,9 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEADING, PARTS = 2, 4
-#: Documents that a template must be in: of lines of LONG tokens or more, and of shorter ones.
-LONG, LONG_DOCS, MIN_DOCS = 50, 2, 8
+LEADING, SEGMENTS, REPEATED = 2, 8, 50
 
 
 def fields(line: Column) -> Column:
@@ -35,36 +42,62 @@ def fields(line: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
 
 
-def templates(f: Column) -> Column:
-    """Hashes of the templates of a line with fields ``f``."""
-    n = F.size(f)
-    rest = n - LEADING
-    parts = []
-    for k in range(PARTS):
-        begin = LEADING + F.floor(rest * k / PARTS).cast("int")
-        end = LEADING + F.floor(rest * (k + 1) / PARTS).cast("int")
-        parts.append(F.xxhash64(F.lit(k), n, F.slice(f, F.lit(1), begin), F.slice(f, end + 1, n - end)))
-    exact = F.xxhash64(F.lit(PARTS), n, f)
-    return F.when(rest < 2 * PARTS, F.array(exact)).otherwise(F.array(exact, *parts))
+def segments(f: Column) -> Column:
+    """Hashes of the stretches of a line with fields ``f``, each with its place in the tree; a line of
+    LEADING tokens or fewer is one."""
+    leading, rest = F.slice(f, 1, LEADING), F.size(f) - LEADING
+    k = F.greatest(F.lit(1), F.least(rest, F.lit(SEGMENTS)))
+    begin = lambda i: LEADING + F.floor(F.greatest(rest, F.lit(0)) * i / k).cast("int")
+    leaf = F.xxhash64(F.size(f), leading)
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.xxhash64(leaf, i, F.slice(f, begin(i) + 1, begin(i + 1) - begin(i))))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int, long_docs: int) -> DataFrame:
-    """(doc_id, lines): ascending numbers from 0 of the lines to drop of each document that has any."""
+def parse(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, n, fixed, leaf, parts): lines with tokens, their number in the text from 0, and how
+    many tokens they have in all and without a digit."""
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     parsed = lines.select("doc_id", "line", fields(F.col("content")).alias("f")).where("size(f) > 0")
-    found = parsed.select("doc_id", "line", (F.size("f") >= LONG).alias("long"), F.explode(templates(F.col("f"))).alias("template"))
+    fixed = F.size(F.filter("f", lambda t: t != 0)).alias("fixed")
+    return parsed.select("doc_id", "line", F.size("f").alias("n"), fixed, F.xxhash64(F.size("f"), F.slice("f", 1, LEADING)).alias("leaf"), segments(F.col("f")).alias("parts"))
+
+
+def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line, n, first) of the lines to drop, first being the document that keeps the
+    template's, and (doc_id, total) with the tokens of each document."""
+    lines = cut(parse(docs), "lines")
+    leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    some = cut(lines.join(cut(leaves.select("leaf"), "leaves"), "leaf", "left_semi").drop("leaf"), "candidates")
+    parts = some.select("doc_id", "line", F.explode("parts").alias("part"))
+    counts = parts.select("part", "doc_id").distinct().groupBy("part").agg(F.count("*").alias("docs")).where("docs > 1")
+    counted = parts.join(cut(counts, "counts"), "part")
+    seen = counted.groupBy("doc_id", "line").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("part", "docs")))).alias("seen"))
+    lined = some.join(cut(seen, "seen"), ["doc_id", "line"])
+    lined = lined.withColumn("docs", F.transform("parts", lambda p: F.coalesce(F.element_at("seen", p), F.lit(1))))
+    middle = F.element_at(F.array_sort("docs"), F.floor((F.size("docs") + 1) / 2).cast("int"))
+    constant = F.zip_with("parts", "docs", lambda p, d: F.when(2 * d > F.col("middle"), p))
+    found = lined.withColumn("middle", middle).where("2 * fixed >= n").select("doc_id", "line", "n", "fixed", F.xxhash64(F.transform(constant, lambda p: F.coalesce(p, F.lit(0)))).alias("template"))
     found = cut(found, "templates")
-    in_doc = found.groupBy("template", "doc_id").agg(F.max("long").alias("long"))
-    counts = in_doc.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("long").alias("long"))
-    recurring = counts.where(F.col("n") >= F.when(F.col("long"), long_docs).otherwise(min_docs))
-    hit = found.join(cut(recurring.select("template", "first"), "recurring"), "template").where("doc_id <> first")
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS) -> DataFrame:
-    """The documents with their recurring lines dropped, and ``n_dropped``."""
-    drops = dropped_lines(docs, min_docs, long_docs).withColumnsRenamed({"doc_id": "__id", "lines": "__lines"})
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"text": text, "n_dropped": F.coalesce(F.size("__lines"), F.lit(0)).cast("long")}).drop("__id", "__lines")
+    in_doc = found.groupBy("template", "doc_id").agg(F.max("fixed").alias("fixed"))
+    totals = in_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("fixed").cast("long").alias("fixed"))
+    recurring = cut(totals.where((F.col("docs") > 1) & ((F.col("docs") - 1) * F.col("fixed") >= REPEATED)).select("template", "first"), "recurring")
+    hits = found.join(recurring, "template").where("doc_id <> first").select("doc_id", "line", "n", "first")
+    return hits, lines.groupBy("doc_id").agg(F.sum("n").alias("total"))
+
+
+def drop_recurring(docs: DataFrame, copies: float = 1.0) -> DataFrame:
+    """The documents with their recurring lines dropped, and ``n_dropped``; copies of an
+    earlier one by more than the share ``copies`` stay whole."""
+    hits, totals = recurring_lines(docs)
+    if copies < 1:
+        hits, totals = cut(hits, "hits"), cut(totals, "totals")
+        held = hits.groupBy("doc_id", "first").agg(F.sum("n").alias("held"))
+        sized = held.join(totals, "doc_id").join(totals.select(F.col("doc_id").alias("first"), F.col("total").alias("whole")), "first")
+        alike = sized.where(F.col("held") > copies * F.greatest("total", "whole")).select("doc_id").distinct()
+        hits = hits.join(alike, "doc_id", "left_anti")
+    drops = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
+    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__split", F.split("text", "\n"))
+    # hashed once, so that a long text costs no more than its lines
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__lines")
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__split", i)), "\n"))
+    out = joined.withColumns({"text": text, "n_dropped": F.coalesce(F.size("__lines"), F.lit(0)).cast("long")})
+    return out.drop("__id", "__lines", "__split")

@@ -7,17 +7,20 @@ WITH line AS (
 ), parsed AS (
   SELECT doc_id, i, list_transform(list_filter(string_split_regex(lower(content), '[ \t\r\f]+'), lambda t: t <> ''),
     lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '*' ELSE '=' || t END) AS f FROM line
-), sized AS (SELECT doc_id, i, f, len(f) AS n, (len(f) - 2)::DOUBLE AS rest FROM parsed WHERE len(f) > 0
-), found AS (
-  SELECT doc_id, i, n, n || '/4/' || array_to_string(f, ' ') AS template FROM sized
-  UNION ALL
-  SELECT doc_id, i, n, n || '/' || k || '/' || array_to_string(list_slice(f, 1, 2 + floor(rest * k / 4)::INT), ' ') || '/'
-    || array_to_string(list_slice(f, 3 + floor(rest * (k + 1) / 4)::INT, n), ' ')
-  FROM sized, range(4) AS r(k) WHERE rest >= 8
+), sized AS (
+  SELECT doc_id, i, f, len(f) AS n, len(list_filter(f, lambda t: t <> '*')) AS fixed, greatest(0, len(f) - 2) AS rest, greatest(1, least(8, len(f) - 2)) AS k FROM parsed WHERE len(f) > 0
+), part AS (
+  SELECT doc_id, i, n, fixed, p, n || '/' || array_to_string(f[1:2], ' ') || '/' || p || '/' || array_to_string(f[3 + rest * p // k : 2 + rest * (p + 1) // k], ' ') AS part
+  FROM (SELECT *, unnest(range(k)) AS p FROM sized)
+), counted AS (
+  SELECT *, count(DISTINCT doc_id) OVER (PARTITION BY part) AS docs FROM part
+), template AS (
+  SELECT doc_id, i, n, fixed, array_to_string(list_transform(list_zip(parts, docs), lambda x: CASE WHEN 2 * x[2] > list_sort(docs)[(len(docs) + 1) // 2] THEN '=' || x[1] ELSE '*' END), '|') AS template
+  FROM (SELECT doc_id, i, n, fixed, list(part ORDER BY p) AS parts, list(docs ORDER BY p) AS docs FROM counted GROUP BY doc_id, i, n, fixed)
+  WHERE 2 * fixed >= n
 ), recurring AS (
-  SELECT template, min(doc_id) AS first FROM found GROUP BY template
-  HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= 50 THEN 2 ELSE 8 END
-), hit AS (SELECT DISTINCT doc_id, i FROM found JOIN recurring USING (template) WHERE doc_id <> first
+  SELECT n, template, min(doc_id) AS first FROM template GROUP BY n, template HAVING (count(DISTINCT doc_id) - 1) * max(fixed) >= 50
+), hit AS (SELECT DISTINCT doc_id, i FROM template JOIN recurring USING (n, template) WHERE doc_id <> first
 ), kept AS (
   SELECT line.doc_id, count(hit.i) AS n_dropped, string_agg(content, chr(10) ORDER BY line.i) FILTER (hit.i IS NULL) AS text
   FROM line LEFT JOIN hit ON hit.doc_id = line.doc_id AND hit.i = line.i GROUP BY line.doc_id

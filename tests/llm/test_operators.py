@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from graphloom.llm.shingles import WordHashes, shingle_set
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 random.seed(5)
-VOCAB = [f"w{i}" for i in range(300)]
+VOCAB = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
 
 
 def words(n):
@@ -264,41 +265,80 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
 # ---- line dedup
 
 
-def plain_line_dedup(rows, short=linededup.MIN_DOCS, long=linededup.LONG_DOCS):
-    def templates(line):
+def plain_line_dedup(rows, copies=1.0):
+    fixed = {}
+
+    def parts(line):
         f = ["*" if any(c in "0123456789" for c in t) else t for t in line.lower().replace("\t", " ").replace("\r", " ").replace("\f", " ").split(" ") if t]
-        n, rest, k = len(f), len(f) - 2, linededup.PARTS
-        if not n:
-            return [], 0
-        out = [(n, k, tuple(f))]
-        if rest >= 2 * k:
-            out += [(n, p, tuple(f[: 2 + rest * p // k]), tuple(f[2 + rest * (p + 1) // k :])) for p in range(k)]
-        return out, n
-
-    docs, size = {}, {}
+        n, rest = len(f), max(0, len(f) - 2)
+        k = max(1, min(rest, linededup.SEGMENTS))
+        fixed[line] = n - f.count("*")
+        return n, [(n, tuple(f[:2]), i, tuple(f[2 + rest * i // k : 2 + rest * (i + 1) // k])) for i in range(k)] if n else []
+
+    docs, found, total = {}, {}, {}
+    weight = Counter()
+    for i, text in rows:
+        for line in (text or "").split("\n") if i is not None else []:
+            for p in parts(line)[1]:
+                docs.setdefault(p, set()).add(i)
+    for i, text in dict(r for r in rows if r[0] is not None).items():
+        total[i] = sum(parts(line)[0] for line in (text or "").split("\n"))
+
+    def template(line):
+        n, own = parts(line)
+        if 2 * fixed.get(line, 0) < n:
+            return None
+        counts = sorted(len(docs[p]) for p in own)
+        return (n, tuple(p if 2 * len(docs[p]) > counts[(len(own) + 1) // 2 - 1] else None for p in own)) if own else None
+
+    for i, text in rows:
+        for line in (text or "").split("\n") if i is not None else []:
+            found.setdefault(template(line), set()).add(i)
+            weight[template(line)] = max(weight[template(line)], fixed.get(line, 0))
+    found.pop(None, None)
+    first = {t: min(d) for t, d in found.items() if (len(d) - 1) * weight[t] >= linededup.REPEATED}
+    gone = lambda i, line: first.get(t := template(line), i) != i and t is not None
+    out = []
     for i, text in rows:
-        for line in (text or "").split("\n"):
-            for t in templates(line)[0]:
-                if i is not None:
-                    docs.setdefault(t, set()).add(i)
-                    size[t] = t[0]
-    first = {t: min(d) for t, d in docs.items() if len(d) >= (long if size[t] >= linededup.LONG else short)}
-    return [(i, text if text is None or i is None else "\n".join(x for x in text.split("\n") if all(first.get(t, i) == i for t in templates(x)[0]))) for i, text in rows]
+        lines = (text or "").split("\n")
+        if i is not None and text is not None:
+            held = Counter()
+            for x in lines:
+                if gone(i, x):
+                    held[first[template(x)]] += parts(x)[0]
+            if not any(v > copies * max(total[i], total[f]) for f, v in held.items()):
+                text = "\n".join(x for x in lines if not gone(i, x))
+        out.append((i, text))
+    return out
 
 
-def test_line_dedup_equals_brute_force(spark, odd_rows):
+@pytest.mark.parametrize("copies", [1.0, 0.5])
+def test_line_dedup_equals_brute_force(spark, odd_rows, copies):
     notice = "page 1 of the yearly report on the state of things as they are"
-    passage = words(60)
+    passage, whole = words(60), "\n".join(words(30) for _ in range(5))
     rows = [*odd_rows]
     for i in range(20, 40):
-        lines = [words(9), notice.replace("1", str(i)), notice.replace("state", random.choice(VOCAB)), words(3), "", passage if i % 7 == 0 else words(55)]
+        lines = ["1 2 3 4 5 6", words(9), notice.replace("1", str(i)), notice.replace("state", random.choice(VOCAB)).replace("yearly", random.choice(VOCAB)), words(3), "", passage if i % 7 == 0 else words(55)]
         rows.append((i, "\n".join(lines)))
+    rows += [(60 + i, whole + f"\n{words(4)}") for i in range(4)]
     df = documents(spark, rows).withColumns({"lines": F.lit(1), "template": F.lit(2)})
-    got = linededup.drop_recurring(df).collect()
+    got = linededup.drop_recurring(df, copies).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
-    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(plain_line_dedup(rows), key=key)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(plain_line_dedup(rows, copies), key=key)
     assert sum(r["n_dropped"] for r in got) > 30
-    assert linededup.drop_recurring(empty(spark)).count() == 0
+    assert {r["n_dropped"] > 0 for r in got if (r["doc_id"] or 0) > 60} == {copies == 1.0}
+    assert linededup.drop_recurring(empty(spark), copies).count() == 0
+
+
+def test_fields_in_two_places_of_a_template_are_generalised(spark):
+    rows = [(i, f"dear {a} your order from {b} was sent to the address that you gave us last time\nown {words(6)}") for i, (a, b) in enumerate((x, y) for x in ("ann", "bob", "cleo") for y in ("rome", "oslo", "lima"))]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_recurring(documents(spark, rows)).collect()}
+    leaves = {}
+    for i in got:  # the first leading tokens are the tree's path: each name has a leaf of its own
+        leaves.setdefault(i // 3, []).append(got[i])
+    assert all(v == [0, 0, 0] or v[0] == 0 for v in leaves.values())
+    rows = [(i, f"we hope that {a} liked the order from {b} which we sent to the address that you gave us last time") for i, (a, b) in enumerate((x, y) for x in ("ann", "bob", "cleo") for y in ("rome", "oslo", "lima"))]
+    assert [r["n_dropped"] for r in linededup.drop_recurring(documents(spark, rows)).orderBy("doc_id").collect()] == [0] + [1] * 8
 
 
 # ---- decontamination
