@@ -16,31 +16,61 @@ from graphloom.llm.common import cut, table
 #: Where the vocabulary of the last stage is.
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
+#: Share of its tokens that a document has from one earlier one if it is left whole as a copy.
+COPIES = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; ``lang`` becomes the predicted one."""
-    known = langid.identify(docs, langid.fit(docs))
-    return known.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    """Documents without a language go; ``lang`` becomes the predicted one.
+
+    Null and empty texts and texts without a letter have none. Very long texts are parsed whole. Ties go
+    to the first language by name. Repeated rows are treated alike, an empty table stays empty, and
+    further columns of any name are kept. Without a labelled text all documents go."""
+    known = langid.identify(docs.select(F.struct("*").alias("__row"), "text"), langid.fit(docs))
+    kept = known.where(F.col("lang_pred") != langid.UNDETERMINED).select("__row.*", F.col("lang_pred").alias("__lang"))
+    return kept.withColumn("lang", F.col("__lang")).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; n_chars follows."""
-    out = linededup.drop_recurring(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Lines of recurring templates go from all documents but the first; n_chars follows. A document of
+    which nothing is left goes. One that is a copy of an earlier one by more than half stays whole, for
+    the next stage to judge.
+
+    Null and empty texts stay as they are, so do rows without a doc_id. Lines of a very long text are
+    treated like others. Of documents that share a template the one of smallest doc_id keeps it; rows
+    that repeat a doc_id are treated alike. An empty table stays empty, and further columns are kept."""
+    out = linededup.drop_recurring(docs.select(F.struct("*").alias("__row"), "doc_id", "text"), copies=COPIES)
+    out = out.where(F.col("text").isNull() | (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    out = out.select("__row.*", F.col("text").alias("__text"), F.col("n_dropped").alias("__dropped"))
+    changed = F.col("__dropped") > 0
+    n_chars = F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns({"n_chars": n_chars, "text": F.when(changed, F.col("__text")).otherwise(F.col("text"))}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group of near duplicates stays, that of smallest doc_id; five words, 0.8.
+
+    Null and empty texts and rows without a doc_id stay. A text of fewer than five words is compared as
+    a whole, a very long one by all its shingles. Rows that repeat the doc_id that stays all stay. An
+    empty table stays empty, and further columns are kept."""
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts and rows without a doc_id stay, as does everything if there is no benchmark.
+    Very long texts are searched whole. Repeated rows go or stay together. An empty table stays empty,
+    and further columns are kept."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the encoded and decoded documents."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded documents.
+
+    Null and empty texts have no ids. Very long texts are encoded whole. Each row has a row, repeated
+    ones and those without a doc_id too; an empty table gives an empty result. Other columns are not
+    read."""
     return bpe.digests(docs, bpe.Vocabulary.load(TOKENIZER))
 
 
