@@ -1,5 +1,8 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -29,12 +32,59 @@ def test_an_empty_table_passes_through_every_stage(spark):
         assert docs.count() == 0
 
 
-def test_nulls_and_odd_texts_do_not_stop_a_stage(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d", None, None, None), (3, "der die das " * 9, "de", "s", 9), (3, "der die das " * 9, "de", "s", 9)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("component", F.lit(1))
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        docs.count()
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+GERMAN = "der Hund und die Katze liegen vor dem Haus und warten auf das Essen"
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, one without letters, a null id, repeated rows, a very long text."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d", None, None, None), (3, GERMAN, "de", "s", 9), (3, GERMAN, "de", "s", 9)]
+    rows += [(4, "12 34", "de", "s", 5), (5, " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 7}" for i in range(40_000)), "de", None, None)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    return df.withColumns({"component": F.lit(1), "lang_pred": F.lit("clash"), "score": F.lit(2), "n_dropped": F.lit(3)})
+
+
+def ids(df):
+    return sorted((r["doc_id"] for r in df.collect()), key=lambda x: (x is None, x or 0))
+
+
+def test_odd_rows_in_each_stage(spark, odd):
+    columns = odd.columns
+    out = stage("language")(spark, odd, SF)
+    assert out.columns == columns and ids(out) == [3, 3, 5, None]
+    assert {r["lang"] for r in out.collect()} == {"de"} and {r["lang_pred"] for r in out.collect()} == {"clash"}
+    out = stage("lines")(spark, odd, SF)
+    assert out.columns == columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+    out = stage("near_duplicates")(spark, odd, SF)
+    assert out.columns == columns and ids(out) == ids(odd)
+    out = stage("benchmark")(spark, odd, SF)
+    assert out.columns == columns and ids(out) == ids(odd)
+    out = stage("tokens")(spark, odd, SF)
+    assert ids(out) == ids(odd) and {r["n_tokens"] for r in out.where("doc_id < 3").collect()} == {0}
+
+
+def test_near_copies_go_although_their_lines_recur(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [[word() for _ in range(40)] for _ in range(6)]
+    rows = []
+    for i in range(30):
+        text = [list(line) for line in base]
+        text[i % 6][i % 40] = word()
+        rows.append((i, "\n".join(map(" ".join, text)), "en", "s", None))
+    notice = " ".join(word() for _ in range(30))
+    rows += [(100 + i, " ".join(word() for _ in range(80)) + "\n" + notice, "en", "s", None) for i in range(6)] + [(200, notice, "en", "s", 7)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    out = stage("lines")(spark, docs, SF)
+    kept = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [kept[i].count("\n") for i in range(30)] == [5] * 30  # copies stay whole
+    assert [notice in kept[100 + i] for i in range(6)] == [True] + [False] * 5 and 200 not in kept
+    assert ids(stage("near_duplicates")(spark, out, SF)) == [0, *range(100, 106)]
 
 
 def test_every_operator_has_a_query():
