@@ -9,7 +9,8 @@ for each query. The heaps of all tiles of a query are merged. The result is exac
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part, nor do rows
 without an id. Only vectors of the same number of components are compared. A query never finds its
-own id; of rows that repeat an id the one with the smallest vector counts. Other columns are not read.
+own row. Rows that repeat an id are each a candidate and, where the id is a query's, a query of its own;
+what they find is listed under the one id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Vectors of a block, and candidates of a product inside a tile.
 BLOCK, STEP = 4096, 1024
 
@@ -45,19 +48,19 @@ def best(k: int, pairs) -> list[tuple[float, int]]:
     return heapq.nsmallest(k, pairs, key=lambda p: (-p[0], p[1]))
 
 
-def search_tile(k: int, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> list[list[tuple[float, int]]]:
+def search_tile(k: int, q_rows: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_rows: np.ndarray, c: np.ndarray) -> list[list[tuple[float, int]]]:
     """The k best candidates of each query within a tile."""
     q8, q_step, q_sum = quantise(q)
     exact = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64  # holds each sum exactly
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    floor = np.full(len(q_ids), -np.inf)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in q_rows]
+    floor = np.full(len(q_rows), -np.inf)
     for at in range(0, len(c_ids), STEP):
         ids, v = c_ids[at : at + STEP], c[at : at + STEP]
         c8, c_step, c_sum = quantise(v)
         scale = q_step[:, None] * c_step[None, :]
         near = scale * (q8.astype(exact) @ c8.astype(exact).T)
         off = scale * (0.5 * (q_sum[:, None] + c_sum[None, :]) + 0.25 * q.shape[1]) * (1 + 1e-9)
-        own = q_ids[:, None] == ids[None, :]
+        own = q_rows[:, None] == c_rows[None, at : at + STEP]
         low, high = np.where(own, -np.inf, near - off), np.where(own, -np.inf, near + off)
         if low.shape[1] > k:
             floor = np.maximum(floor, -np.partition(-low, k - 1, axis=1)[:, k - 1])
@@ -86,37 +89,38 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where("vec_id is not null and embedding is not null").where(sound)
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
-    n_c, n_ids = rows.agg(F.count("*"), F.countDistinct("id")).first()
-    if n_ids < n_c:
-        rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
+    rows = cut(rows, "vectors")  # where the numbers of the rows stay what they are
+    n_c = rows.count()
     queries = rows.where(F.col("id") % 20 == 0 if is_query is None else is_query(F.col("id")))
     n_q = queries.count()
     c_blocks, q_blocks = max(1, -(-n_c // BLOCK)), max(1, -(-n_q // BLOCK))
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumns({"qb": block(q_blocks, 1), "side": F.lit(0)}).withColumn("cb", every(c_blocks))
     right = rows.withColumns({"cb": block(c_blocks, 2), "side": F.lit(1)}).withColumn("qb", every(q_blocks))
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "ids": [], "scores": []}
+        out = {"row": [], "query_id": [], "ids": [], "scores": []}
         if len(q) and len(c):
             stack = lambda s: np.array(s.tolist(), np.float64)
-            for i, found in zip(q["id"], search_tile(k, q["id"].to_numpy(), stack(q["v"]), c["id"].to_numpy(), stack(c["v"])), strict=True):
+            found_by = search_tile(k, q["row"].to_numpy(), stack(q["v"]), c["id"].to_numpy(), c["row"].to_numpy(), stack(c["v"]))
+            for row, i, found in zip(q["row"], q["id"], found_by, strict=True):
+                out["row"].append(row)
                 out["query_id"].append(i)
                 out["ids"].append([x for _, x in found])
                 out["scores"].append([s for s, _ in found])
         return pd.DataFrame(out, dtype=object)
 
     keys = ["dim", "qb", "cb"]
-    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "query_id long, ids array<long>, scores array<double>")
+    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "row long, query_id long, ids array<long>, scores array<double>")
 
     def merge(batches):
         own, held = None, []
         done: list[tuple] = []
 
         def close():
-            done.extend((own, r + 1, i, s) for r, (s, i) in enumerate(best(k, held)))
+            done.extend((own[1], r + 1, i, s) for r, (s, i) in enumerate(best(k, held)))
 
         def frame():
             out = pd.DataFrame(done, columns=["query_id", "rank", "vec_id", "score"])
@@ -124,7 +128,7 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
             return out
 
         for pdf in batches:
-            for q, ids, scores in zip(pdf["query_id"], pdf["ids"], pdf["scores"], strict=True):
+            for *q, ids, scores in zip(pdf["row"], pdf["query_id"], pdf["ids"], pdf["scores"], strict=True):
                 if q != own:
                     close()
                     own, held = q, []
@@ -133,5 +137,5 @@ def nearest(vectors: DataFrame, k: int = 20, is_query=None) -> DataFrame:
         close()
         yield frame()
 
-    merged = tiles.repartition("query_id").sortWithinPartitions("query_id")
+    merged = tiles.repartition("row").sortWithinPartitions("row")
     return merged.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
