@@ -12,9 +12,9 @@ identical. Strength 1 puts ESC before each control string and doubles ESC; stren
 every character that could begin one.
 
 Turns are ordered by turn, then role and text; null texts and roles are empty ones. Rows that repeat
-are turns each. Rows without a conv_id make up one conversation without an id. A conversation is one
-record of the result, so its turns have to fit a task together, as in any reader of the result. Other
-columns are not read. The loss mask of a conversation is the list of spans of its formatted text that
+are turns each. A row without a conv_id is a conversation of one turn without an id. A conversation is
+one record of the result, so its turns have to fit a task together, as in any reader of the result. An
+empty table gives an empty result. Other columns are not read. The loss mask of a conversation is the list of spans of its formatted text that
 hold assistant texts.
 """
 
@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The tags of the known roles, the control strings, the escape character.
 TAGS = {"user": "INST", "system": "SYS", "assistant": "OUT"}
 CONTROL = re.compile(r"<s>|</s>|\[/?(?:INST|SYS|OUT|ROLE)\b")
@@ -113,7 +115,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) for rows (conv_id, turn, role, text)."""
     empty = F.lit("")
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
-    turns = rows.groupBy(F.col("conv_id").cast("long")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    conv_id = F.col("conv_id").cast("long")
+    alone = F.when(conv_id.isNull(), F.monotonically_increasing_id())
+    turns = small_batches(rows).select(conv_id.alias("conv_id"), alone.alias("alone"), "turn", "role", "text").groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     turns = turns.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: t["text"]).alias("texts"))
 
     @F.pandas_udf("formatted string, loss_spans array<array<long>>")
