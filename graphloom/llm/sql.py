@@ -53,19 +53,19 @@ GROUP BY s.doc_id, s.item_id
 
 NEIGHBOURS = """
 WITH v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+  SELECT q.id, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.id <> c.id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
 CHAT = r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 3 WHEN 'assistant' THEN 3 ELSE 5 + length(url_encode(role)) END AS name,
     CASE WHEN regexp_matches(text, '␛.|<s>|</s>|\[/?(INST|SYS|OUT|ROLE)\b') THEN length(regexp_replace(text, '(␛|<s>|</s>|\[/?(INST|SYS|OUT|ROLE)\b)', '␛\1', 'g')) ELSE length(text) END AS written
@@ -76,16 +76,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(3 + 2 * name + 2 + 1 + written + 1 + 3 + 4 + 1)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
 ), d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
 ), r AS (
-  SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id IS NOT NULL THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes >= 1000) END AS top FROM d
+  SELECT *, payload_bytes >= 1000 AND page_id IS NOT NULL AS large, max(page_id) OVER w AS top,
+    row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) AS place
+  FROM d WINDOW w AS (PARTITION BY payload_digest)
 )
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN top <> page_id THEN top END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN large AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN large AND place > 1 THEN top END AS refers_to
 FROM r
 """

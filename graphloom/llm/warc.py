@@ -1,14 +1,16 @@
 """WARC archives with revisit records in place of repeated payloads.
 
 Headers only (id, payload digest, size) are shuffled by digest to find the original response of each
-repeated payload: among equal payloads of at least LEAST bytes the one with the largest id. Pages are
-then joined with that by digest, a hot digest being dealt over SALTS keys, and written: a response
-record with its payload, or a revisit record that names the response and has no payload. Records are
+repeated payload: among equal payloads of at least LEAST bytes the one with the largest id. Up to
+BROADCAST_DIGESTS repeated payloads are sent to the pages, which stay where they are; with more, large
+pages are joined with them by digest, a hot digest being dealt over SALTS keys. Then each is written: a
+response record with its payload, or a revisit record that names the response and has no payload. Records are
 made as text and written by Spark's text writer, so archives go to any store that Spark knows and a
 lost task leaves no half file. The reader parses records by their Content-Length.
 
-A null html is an empty payload. Rows that repeat a page_id have a record each. Without a page_id a
-row has its own response record and is never referred to. The url is percent-encoded where it holds
+A null html is an empty payload. Rows that repeat a page_id have a record each, and of those with equal
+payloads the last is the original. Without a page_id a row has its own response record and is never
+referred to. An empty table gives no records. The url is percent-encoded where it holds
 blanks or control characters. Other columns are not read.
 """
 
@@ -16,29 +18,43 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import cut, scratch_path
 
 LEAST, SALTS, FILE_RECORDS = 1000, 16, 1000
+#: Repeated payloads up to which their headers are broadcast (60 bytes each) and pages are not shuffled.
+BROADCAST_DIGESTS = 500_000
+#: Bytes of payloads that a reader hands on at once.
+READ_BYTES = 8 << 20
 BREAK, END = "\r\n", "\r\n\r\n"
 
 
 def resolve(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) with digest, bytes and refers_to (null: a response)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.monotonically_increasing_id().alias("row"))
     pages = pages.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
-    large = pages.where((F.col("bytes") >= LEAST) & F.col("page_id").isNotNull())
-    original = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("original")).where("n > 1")
-    original = original.select("digest", "original", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = pages.withColumn("salt", F.when((F.col("bytes") >= LEAST) & F.col("page_id").isNotNull(), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")))
-    out = salted.join(original, ["digest", "salt"], "left")
-    return out.withColumn("refers_to", F.when(F.col("original") != F.col("page_id"), F.col("original"))).drop("salt", "original")
+    large = (F.col("bytes") >= LEAST) & F.col("page_id").isNotNull()
+    headers = pages.where(large).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("original"))
+    original = cut(headers.where("n > 1").select("digest", F.col("original.page_id").alias("original"), F.col("original.row").alias("original_row")), "originals")
+    none = F.lit(None).cast("long")
+    small = pages.where(~large | F.col("page_id").isNull()).withColumns({"original": none, "original_row": none})
+    if original.count() <= BROADCAST_DIGESTS:
+        found = pages.where(large).join(F.broadcast(original), "digest", "left")
+    else:
+        dealt = original.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = pages.where(large).withColumn("salt", F.pmod(F.xxhash64("page_id", "row"), F.lit(SALTS)).cast("int"))
+        found = salted.join(dealt, ["digest", "salt"], "left").drop("salt")
+    out = found.unionByName(small)
+    return out.withColumn("refers_to", F.when(F.col("original_row") != F.col("row"), F.col("original"))).drop("original", "original_row", "row")
 
 
 def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -66,21 +82,21 @@ def write(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> No
     out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def records(data: bytes):
-    """(headers, payload) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(END.encode(), at)
-        first, *lines = data[at:end].decode("utf-8").split(BREAK)
-        if not re.fullmatch(r"WARC/1\.\d", first):
-            raise ValueError(f"no record begins at {at}")
-        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        begin = end + 4
-        stop = begin + int(headers["Content-Length"])
-        if data[stop : stop + 4] != END.encode():
-            raise ValueError(f"the record at {at} does not end at its length")
-        yield headers, data[begin:stop]
-        at = stop + 4
+def records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of each record of an archive, read one by one."""
+    while first := file.readline():
+        if not re.fullmatch(rb"WARC/1\.\d\r\n", first):
+            raise ValueError(f"no record begins with {first[:40]!r}")
+        headers = {}
+        while (line := file.readline()) != BREAK.encode():
+            if not line.endswith(BREAK.encode()):
+                raise ValueError("the archive ends inside a header")
+            name, _, value = line.decode("utf-8").removesuffix(BREAK).partition(":")
+            headers[name] = value.strip(" ")
+        payload = file.read(int(headers["Content-Length"]))
+        if file.read(4) != END.encode():
+            raise ValueError(f"the record {headers.get('WARC-Record-ID')} does not end at its length")
+        yield headers, payload
 
 
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -90,20 +106,26 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row for each record; the payload, checked against its digest, for responses."""
     schema = SCHEMA if payloads else SCHEMA.rsplit(",", 1)[0]
 
+    def frame(out: list) -> pd.DataFrame:
+        names = [c.split() for c in schema.split(", ")]
+        # integers that may be null, without a detour over floats
+        return pd.DataFrame({n: pd.array([r[k] for r in out], "Int64") if t == "long" else pd.Series([r[k] for r in out], dtype=object) for k, (n, t) in enumerate(names)})
+
     def run(batches):
-        for pdf in batches:
-            for data in pdf["content"]:
-                out = []
-                for h, payload in records(gzip.decompress(data)):
-                    digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
-                    if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(h["X-Payload-Length"])):
-                        raise ValueError(f"damaged payload of {h['WARC-Record-ID']}")
-                    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
-                    row = (number(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, number(h.get("WARC-Refers-To", "")), digest, int(h["X-Payload-Length"]), payload if kind == "response" else None)
-                    out.append(row if payloads else row[:-1])
-                names = [c.split() for c in schema.split(", ")]
-                # integers that may be null, without a detour over floats
-                yield pd.DataFrame({n: pd.array([r[k] for r in out], "Int64") if t == "long" else pd.Series([r[k] for r in out], dtype=object) for k, (n, t) in enumerate(names)})
+        for data in (x for pdf in batches for x in pdf["content"]):
+            out, held = [], 0
+            for h, payload in records(gzip.open(io.BytesIO(data))):
+                digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
+                if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(h["X-Payload-Length"])):
+                    raise ValueError(f"damaged payload of {h['WARC-Record-ID']}")
+                number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
+                row = (number(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, number(h.get("WARC-Refers-To", "")), digest, int(h["X-Payload-Length"]), payload if kind == "response" else None)
+                out.append(row if payloads else row[:-1])
+                held += len(payload) * payloads
+                if held > READ_BYTES:
+                    yield frame(out)
+                    out, held = [], 0
+            yield frame(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(run, schema)
