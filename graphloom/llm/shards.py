@@ -6,11 +6,13 @@ many ranges of about equal bytes; ranges that turn out overfull are subdivided.
 ranges and running sums inside them place every record in the whole order, which is then cut into
 shards. A group at a cut stays in one shard if it is small.
 
-Records over 1 / BIG of a shard's share would make shards uneven. There are at most BIG for each
-shard; they are dealt one by one to the emptiest shard first, and the cuts leave room for them.
+The law is about bytes, so a record or a group is only kept whole where that costs a shard at most
+1 / BIG of its share: a larger record is dealt by itself to the emptiest shard first, at most BIG for
+each shard, with room left for it by the cuts, and a larger group is cut. (README: sizes without this.)
 
-Null texts count 16 bytes, have checksum 0 and are a group. Rows that repeat an id are placed each. A null id is a
-value like any other. An empty table gives an empty result. Other columns pass through; columns that
+Null texts count 16 bytes, have checksum 0 and are a group. Rows that repeat an id are placed each, in
+neighbouring slots if their texts are equal too. A null id is a value like any other. An empty table
+gives an empty result. Other columns pass through; columns that
 begin with two underscores are the operator's own.
 """
 
@@ -44,11 +46,11 @@ def _ranges(small: DataFrame, total: int, rows: int, n_shards: int) -> tuple[np.
     """Splitters of the key order, and (range, bytes, rows) of each range with rows."""
     n = n_shards * RANGES + rows // RANGE_ROWS
     luck = F.pmod(F.xxhash64("__key", F.lit(3)), F.lit(1 << 31)) / float(1 << 31)
-    sample = small.where(luck < F.col("size") * float(n * SAMPLES / total)).select("__key")
+    sample = small.where(luck < F.col("size") * F.col("__times") * float(n * SAMPLES / total)).select("__key")
     keys = np.sort(np.array([r[0] for r in sample.collect()], np.int64))  # n * SAMPLES on average
     splitters = np.unique(keys[:: max(1, len(keys) // n)])
-    for _ in range(8):
-        found = small.groupBy(placer(splitters)("__key").alias("range")).agg(F.sum("size"), F.count("*"), F.min("__key"), F.max("__key")).collect()
+    while True:  # each round cuts the keys of an overfull range into two parts at least, and keys have 64 bits
+        found = small.groupBy(placer(splitters)("__key").alias("range")).agg(F.sum(F.col("size") * F.col("__times")), F.sum("__times"), F.min("__key"), F.max("__key")).collect()
         over = [r for r in found if r[1] > 4 * total / n and r[4] > r[3]]
         if not over:
             break
@@ -59,12 +61,13 @@ def _ranges(small: DataFrame, total: int, rows: int, n_shards: int) -> tuple[np.
 
 def assign_shards(records: DataFrame, n_shards: int) -> DataFrame:
     """Records (doc_id, size, group, ...) with ``shard`` and ``slot``, numbers from 0 in a shard.
-    ``group`` is a hash of what should stay together."""
+    ``group`` is a hash of what should stay together. Records equal in all columns are one with a
+    count until they are placed, so that they do not meet in a task."""
     key = F.shiftleft(F.shiftright(F.xxhash64("group"), 32), 32) + F.xxhash64("doc_id", F.lit(1)).bitwiseAND(0xFFFFFFFF)
     names = records.columns
-    base = cut(records.withColumn("__key", key), "records")
-    rows, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    order = ["__key", "doc_id", *[c for c in names if c not in ("doc_id",)]]
+    base = cut(records.groupBy(*names).agg(F.count("*").alias("__times")).withColumn("__key", key), "records")
+    rows, total = base.agg(F.coalesce(F.sum("__times"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("__times")), F.lit(0))).first()
+    order = ["__key", *names]
     empty = base.select(*names, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     if not rows:
         return empty.limit(0)
@@ -72,7 +75,8 @@ def assign_shards(records: DataFrame, n_shards: int) -> DataFrame:
     limit = share / BIG
 
     # large records, at most BIG * n_shards of them
-    large = base.where(F.col("size") > limit).withColumn("__row", F.row_number().over(Window.orderBy(F.desc("size"), *order)))
+    times = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    large = base.where(F.col("size") > limit).withColumn("__time", times).withColumn("__row", F.row_number().over(Window.orderBy(F.desc("size"), *order)))
     sizes = [r[0] for r in large.orderBy("__row").select("size").collect()]
     heap, dealt, load, count = [(0, s) for s in range(n_shards)], [], [0] * n_shards, [0] * n_shards
     for i, size in enumerate(sizes):
@@ -108,9 +112,10 @@ def assign_shards(records: DataFrame, n_shards: int) -> DataFrame:
         at, row = at + size, row + n
     to = F.broadcast(spark.createDataFrame(offsets, "__range int, __bytes long, __rows long"))  # as many rows as ranges
     inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranged = small.withColumn("__range", placer(splitters)("__key"))
-    placed = ranged.withColumns({"__end": F.sum("size").over(inside), "__row": F.count("*").over(inside)}).join(to, "__range")
-    placed = placed.withColumns({"__begin": F.col("__bytes") + F.col("__end") - F.col("size"), "__row": F.col("__rows") + F.col("__row")})
+    ranged = small.withColumns({"__range": placer(splitters)("__key"), "__held": F.col("size") * F.col("__times")})
+    placed = ranged.withColumns({"__end": F.sum("__held").over(inside), "__row": F.sum("__times").over(inside)}).join(to, "__range").withColumn("__time", times)
+    before = F.col("__times") - F.col("__time")  # of equal records that come after this one
+    placed = placed.withColumns({"__begin": F.col("__bytes") + F.col("__end") - F.col("size") * (before + 1), "__row": F.col("__rows") + F.col("__row") - before})
     placed = cut(placed.select(*names, "__key", "__begin", "__row"), "placed")
 
     # a small group that a cut divides goes to one side
@@ -142,11 +147,20 @@ def shard_documents(docs: DataFrame, n_shards: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, n_shards: int, path: str) -> None:
-    """Writes the documents as Parquet, a folder for each shard, rows in the order of their slots."""
+    """Writes the documents as Parquet, a folder for each shard, rows in the order of their slots. Rows
+    equal in id and text take the slots of theirs in any order."""
     text = F.col("text").cast("string")
-    joined = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__crc": F.coalesce(F.crc32(text), F.lit(0)), "__size": F.coalesce(F.octet_length(text), F.lit(0)) + 16})
-    placed = shard_documents(docs, n_shards).select(F.col("doc_id").alias("__pid"), F.col("text_crc32").alias("__pcrc"), F.col("size").alias("__psize"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    placed = placed.dropDuplicates(["__pid", "__pcrc", "__psize"])  # rows that repeat go to one shard
-    on = F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__crc") == F.col("__pcrc")) & (F.col("__size") == F.col("__psize"))
-    out = joined.join(placed, on).select(*docs.columns, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    key = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__hash")]
+    numbered = docs.select(*key, F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc"))
+    records = docs.select(*key, (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
+    placed = assign_shards(records.select(F.col("__id").alias("doc_id"), "size", "text_crc32", F.col("__hash").alias("group")), n_shards)
+    placed = placed.select(F.col("doc_id").alias("__pid"), F.col("group").alias("__phash"), "shard", "slot")
+    # the first, second ... of equal rows takes the first, second ... of their places
+    nth = lambda names, by: F.row_number().over(Window.partitionBy(*names).orderBy(*by))
+    numbered = numbered.withColumn("__n", nth(("__id", "__hash"), ("__row",)))
+    placed = placed.withColumn("__n", nth(("__pid", "__phash"), ("shard", "slot"))).withColumnRenamed("__n", "__pn")
+    on = F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__hash") == F.col("__phash")) & (F.col("__n") == F.col("__pn"))
+    out = numbered.join(placed, on).select("__doc.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    clash = [c for c in docs.columns if c in ("shard", "slot")]
+    out = out.drop(*clash).withColumnsRenamed({"__shard": "shard", "__slot": "slot"})
     out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
