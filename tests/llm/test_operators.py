@@ -71,8 +71,38 @@ def test_shards_of_odd_rows(spark, odd, odd_rows):
 
 
 def test_written_shards_hold_all_documents(spark, odd, odd_rows, tmp_path):
-    shards.write_shards(odd.drop("size"), 3, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(odd_rows)
+    docs = odd.drop("size").withColumn("shard", F.lit("clash"))
+    shards.write_shards(docs, 3, str(tmp_path / "s"))
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert out.count() == len(odd_rows)
+    found = sorted((r["doc_id"] or 0, r["shard"], r["slot"]) for r in out.collect())
+    assert found == sorted((r["doc_id"] or 0, r["shard"], r["slot"]) for r in shards.shard_documents(docs, 3).collect())
+    for r in out.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("slots")).collect():
+        assert r["slots"] == list(range(len(r["slots"])))
+
+
+def test_a_third_of_the_rows_may_be_one_row(spark):
+    rows = spark.range(6000).select(F.expr("if(id % 3 = 0, 7, id)").alias("doc_id"), F.lit(50).cast("long").alias("size"), F.expr("if(id % 3 = 0, 0, id)").alias("group"))
+    out = shards.assign_shards(rows, 10).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("s"), F.max("slot").alias("m")).toPandas()
+    assert len(out) == 10 and out.n.sum() == 6000 and out.n.max() - out.n.min() <= 6 and (out.n == out.s).all() and (out.m == out.n - 1).all()
+
+
+def test_shards_equal_a_plain_version(spark, monkeypatch):
+    """The law by a loop over all records in the operator's order: each lies in the shard in which the
+    middle of its bytes does."""
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 13 + 20).alias("size"), F.col("id").alias("group"))
+    key = F.shiftleft(F.shiftright(F.xxhash64("group"), 32), 32) + F.xxhash64("doc_id", F.lit(1)).bitwiseAND(0xFFFFFFFF)
+    ordered = rows.withColumn("k", key).orderBy("k").collect()
+    total, at, want, n = sum(r["size"] for r in ordered), 0, [], [0] * 7
+    for r in ordered:
+        s = int((at + r["size"] / 2) * 7 / total)
+        want.append((r["doc_id"], s, n[s]))
+        n[s], at = n[s] + 1, at + r["size"]
+    monkeypatch.setattr(shards, "BIG", 4)
+    for ranges in (1, 32):
+        monkeypatch.setattr(shards, "RANGES", ranges)
+        got = {r["doc_id"]: (r["shard"], r["slot"]) for r in shards.assign_shards(rows, 7).collect()}
+        assert len(got) == 900 and sum(got[i] == (s, slot) for i, s, slot in want) > 0.95 * 900  # groups at a cut go to one side
 
 
 # ---- quality
@@ -86,6 +116,21 @@ def test_quality_on_held_out_documents(spark):
     assert out.score.between(0, 1).all() and (out.predicted == (out.score >= 0.7)).all()
 
 
+def test_ridge_weights_equal_a_plain_solution(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    described = quality.describe(docs)
+    model = quality.fit(described, labels)
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    known = [(r["doc_id"], r["x"]) for r in described.collect() if r["doc_id"] in y and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    x = np.array([v for _, v in known])
+    plain = quality.Model(x.mean(0), x.std(0) + 1e-6)
+    fit = np.array([zlib.crc32(str(i).encode()) % 4 != 3 for i, _ in known])
+    z, t = plain.features(x[fit]), np.array([y[i] for i, _ in known], float)[fit]
+    plain.weights = np.linalg.solve(z.T @ z + quality.RIDGE * max(1.0, fit.sum()) / quality.FEATURES * np.eye(z.shape[1]), z.T @ t)
+    np.testing.assert_allclose(model.raw_scores(x), plain.raw_scores(x), rtol=1e-5, atol=1e-6)
+
+
 def test_quality_ignores_labels_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
