@@ -4,7 +4,8 @@ Texts are split into words once. A block of texts, BLOCK_CHARS long, has a table
 each encoded once; occurrences are codes into that table, and their ids are put back by position. One
 table for all blocks was measured first: invented and rare words make most of a table, so that sending
 them and the codes to a common place took more disk than the texts and saved few encodings (README).
-Decoding looks up the piece of each id in the id-to-piece table, whose size is that of the vocabulary.
+:func:`decode` joins ids with the id-to-piece table, whose size is that of the vocabulary. The digests
+of texts and ids look pieces up in that table where the ids are made, for the same reason (README).
 
 Null and empty texts have no ids and decode to the empty text. Strings of added tokens inside a text
 become those tokens, as in the library's own encode. Repeated rows each give a row; other columns
@@ -165,15 +166,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, ids, text) for the result of :func:`encode`; bytes that are no UTF-8 become U+FFFD."""
-
-    def run(batches):
-        pieces = vocabulary.pieces()
-        for pdf in batches:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pdf["ids"], "text": texts})
-
-    return _with_ids(encoded.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, ids binary, text string"))
+    """(doc_id, ids, text) for the result of :func:`encode`: a join of every id with the id-to-piece
+    table, whose rows are put together again by position. Bytes that are no UTF-8 become U+FFFD."""
+    spark = encoded.sparkSession
+    pieces = spark.createDataFrame([(i, p.hex()) for i, p in enumerate(vocabulary.pieces())], "id long, piece string")
+    rows = encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row"))
+
+    @F.pandas_udf("array<long>")
+    def numbers(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: np.frombuffer(b, "<u4").astype(np.int64))
+
+    placed = rows.select("row", F.posexplode(numbers("ids")).alias("position", "id")).join(F.broadcast(pieces), "id")
+    hexes = placed.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"]), "").alias("hex"))
+    text = F.make_valid_utf8(F.unhex(F.coalesce("hex", F.lit(""))).cast("string"))
+    return rows.join(hexes, "row", "left").select("doc_id", "ids", text.alias("text"))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
