@@ -6,9 +6,9 @@ it in the fewest phrases, each weighted with the bits that a position in the lan
 wins. Texts are parsed whole, in windows of WINDOW characters whose boundary ends a phrase in every
 language alike; the windows of many texts advance through the transition tables together.
 
-Labels are learnt from a bounded sample: per language the SAMPLE_CHARS characters of the labelled
-whole texts of at most SAMPLE_CHARS / 10 that come first by hash of the text (a longer one only
-where no other is there). Texts that are null or have no letter are ``und`` with
+Labels are learnt from a bounded sample of rows: per language the whole texts that come first by hash
+among SAMPLE_DOCS different ones of at most SAMPLE_CHARS characters, as many as fit into SAMPLE_CHARS
+together. A language that has only longer texts learns from its shortest. Texts that are null or have no letter are ``und`` with
 score 0. Ties go to the first language by name. Repeated rows each give a row; other columns than
 doc_id, text and, for learning, lang are not read. Without any labelled text all are ``und``.
 """
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import built_once, held_out, small_batches
@@ -189,42 +189,35 @@ def has_letter(text: str) -> bool:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from documents (doc_id, text, lang) that are not held out. At most SAMPLE_DOCS whole
-    texts per language come to the driver, of which SAMPLE_CHARS characters are used."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    """Learns from documents (doc_id, text, lang) that are not held out, in two scans. At most
+    SAMPLE_DOCS whole texts per language come to the driver."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
+    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.length("text") <= SAMPLE_CHARS).cast("long")).alias("fit"), F.min(F.length("text")).alias("least")).collect()}
+    if not sizes:
+        return Model({})
     order = F.xxhash64("text", F.lit(17))
-    samples = {}
-    for lang, n in sorted(counts.items()):
-        # enough rows by a threshold on the hash, so that few are sorted
-        share = min(1.0, 4 * SAMPLE_DOCS / n)
-        some = known.where(F.col("lang") == lang)
-        some = some.where(order <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else some
-        long = F.length("text") > SAMPLE_CHARS // 10
-        some = some.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), order.alias("h"), long.alias("long")).orderBy("long", "h", "text").limit(SAMPLE_DOCS)
-        samples[lang] = [r["text"] for r in some.collect()]
-    return Model({lang: joined for lang, found in samples.items() if has_letter(joined := sample_text(found, repeated_lines(samples)))})
-
-
-def repeated_lines(samples: dict[str, list[str]]) -> set[str]:
-    """Lines of several different sampled texts: notices and the like, which tell of no language."""
-    seen = Counter(line for texts in samples.values() for text in set(texts) for line in set(text.split("\n")))
-    return {line for line, n in seen.items() if n > 1}
-
-
-def sample_text(texts: list[str], without: set[str]) -> str:
-    """Texts without some lines, joined up to SAMPLE_CHARS characters; with them if nothing is left."""
-    for skipped in (without, set()):
-        taken, left = [], SAMPLE_CHARS
-        for text in dict.fromkeys(texts):
-            own = "\n".join(line for line in text.split("\n") if line not in skipped)
-            if taken and len(own) > left:
-                break
-            if own:
-                taken.append(own[:left])
-                left -= len(taken[-1]) + 1
-        if has_letter("\n".join(taken)):
-            break
+    # of each language some more rows than needed by a threshold on the hash, so that few are ranked
+    take = F.lit(False)
+    for lang, r in sizes.items():
+        short = F.length("text") <= max(SAMPLE_CHARS, r["least"])  # where all are longer, the shortest
+        share = min(1.0, 4 * SAMPLE_DOCS / max(1, r["fit"]))
+        take = F.when(F.col("lang") == lang, short & (F.shiftright(order, 32) < int(share * 2**32) - 2**31)).otherwise(take)
+    ranked = known.where(take).select("lang", "text", order.alias("h")).distinct()
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= SAMPLE_DOCS)
+    samples: dict[str, list[str]] = {}
+    for r in ranked.orderBy("lang", "place").select("lang", "text").collect():
+        samples.setdefault(r["lang"], []).append(r["text"])
+    return Model({lang: joined for lang, found in samples.items() if has_letter(joined := sample_text(found))})
+
+
+def sample_text(texts: list[str]) -> str:
+    """The first of the texts and those after it that fit, whole, into SAMPLE_CHARS characters; more
+    until there is a letter."""
+    taken, left = [], SAMPLE_CHARS
+    for text in texts:
+        if not taken or len(text) <= left or not has_letter("\n".join(taken)):
+            taken.append(text)
+            left -= len(text) + 1
     return "\n".join(taken)
 
 
