@@ -200,6 +200,15 @@ def test_odd_texts_are_undetermined(spark, odd, odd_rows):
     assert {r["lang_pred"] for r in none.collect()} == {"und"} and langid.identify(empty(spark), langid.fit(odd)).count() == 0
 
 
+def test_learnt_texts_are_whole_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 50)
+    rows = [(1 + i, "kurz und gut" + "!" * i, "de") for i in range(12)] + [(20 + i, "long " * 30 + "x" * i, "en") for i in range(9)] + [(40, "12", "fr"), (41, None, "es"), (42, "", "es")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {t for _, t, _ in rows if t}
+    assert model.langs == ["de", "en"] and all(set(model.texts[k].split("\n")) <= texts for k in model.langs)
+    assert len(model.texts["de"]) <= 50 and len(model.texts["en"]) < 160
+
+
 def test_phrases_equal_a_plain_parse():
     texts = {"a": "abracadabra abra", "b": "banana bandana"}
     parser = langid.Parser(langid.Model(texts))
