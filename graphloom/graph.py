@@ -6,10 +6,13 @@ what stands before the first ``::`` is the module.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE = "id string, file string, type string, line int, body_hash string, dependency_hash string"
@@ -45,12 +48,47 @@ def rank(column: str, ranks: dict[str, int]) -> Column:
     return out
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is set, one of this machine, if Spark runs in
+    this process alone (tests), and else an error: executors would not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    return _own[context.applicationId]
+
+
+_own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared checkpoint folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    """``df`` computed now, once, and read back from a table in the shared folder, which goes when the
+    application ends. Its lineage is cut, a lost executor costs nothing before it, and its size is known:
+    a checkpoint would keep the guess of the plan before, and over the rounds of an iteration those
+    guesses are multiplied until planning takes longer than the work."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/graphloom-tables/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean_up)
+    _written.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up() -> None:
+    """Deletes every table that :func:`durable` wrote."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone already
+            return
 
 
 @dataclass(frozen=True)

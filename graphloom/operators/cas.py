@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, durable
 
-from .components import strong_components
+from .components import peel, strong_components
 from .traverse import arcs, invalidated
 
 
@@ -31,24 +31,25 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
     done = None
     if known is not None:
         done = durable(group.join(known, "id").groupBy("group").agg(F.max("dependency_hash").alias("hash")))
-    pending = body if done is None else body.join(done, "group", "left_anti")
-    pending = durable(pending)
-    waits = calls if done is None else calls.join(done, calls.gb == done.group, "left_anti")
-    while not pending.isEmpty():
-        blocked = waits.select(F.col("ga").alias("group")).distinct()
-        ready = pending.join(blocked, "group", "left_anti")
-        if done is None:
-            new = ready.withColumn("callees", F.array().cast("array<string>"))
-        else:
-            below = calls.join(done, calls.gb == done.group).groupBy(F.col("ga").alias("group")).agg(F.array_sort(F.collect_list("hash")).alias("callees"))
-            new = ready.join(below, "group", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
+        body = durable(body.join(done, "group", "left_anti"))
+    # a group is hashed in the round after its last callee; hashes of callees are collected as they come
+    waiting = calls if done is None else calls.join(done, calls.gb == done.group, "left_anti")
+    levels = durable(peel(body.select("group"), waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi")))
+    depth = levels.agg(F.max("level")).first()[0]
+    got = calls.limit(0).select(F.col("ga").alias("group"), F.lit("").alias("hash")) if done is None else calls.join(done, calls.gb == done.group).select(F.col("ga").alias("group"), "hash")
+    for level in range((-1 if depth is None else depth) + 1):
+        ready = levels.where(F.col("level") == level).select("group").join(body, "group")
+        callees = got.groupBy("group").agg(F.array_sort(F.collect_list("hash")).alias("callees"))
+        new = ready.join(callees, "group", "left").withColumn("callees", F.coalesce("callees", F.array().cast("array<string>")))
         own = F.when(F.col("cyclic"), F.concat_ws("|", "members", F.array_join("callees", ":")))
         plain = F.when(F.size("callees") == 0, F.col("body")).otherwise(F.concat(F.col("body"), F.lit(":"), F.array_join("callees", ":")))
         new = durable(new.select("group", F.sha2(F.coalesce(own, plain), 256).alias("hash")))
         done = new if done is None else done.unionByName(new)
-        pending = durable(pending.join(new, "group", "left_anti"))
-        waits = durable(waits.join(new, waits.gb == new.group, "left_anti"))
-    hashes = group.join(done, "group").select("id", F.col("hash").alias("dependency_hash"))
+        passed = calls.join(new, calls.gb == new.group).select(F.col("ga").alias("group"), "hash")
+        got = got.join(new.select("group"), "group", "left_anti").unionByName(passed)
+        if level % 10 == 9:  # short plans however deep the graph
+            done, got = durable(done), durable(got)
+    hashes = group.join(done, "group").select("id", F.col("hash").alias("dependency_hash")) if done is not None else group.select("id", F.lit("").alias("dependency_hash")).limit(0)
     return hashes
 
 

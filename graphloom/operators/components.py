@@ -1,8 +1,7 @@
 """Components and the algorithms that run inside one: cycles, bridges, communities, centrality.
 
 Weak components come from hooking and pointer jumping. Strong components come from trimming nodes that
-cannot lie on a cycle, then from the forward and backward sets of pivots, a pivot for every piece that
-is left at once. Bridges and label propagation are sequential by nature: every weak component is a
+cannot lie on a cycle, then from colours, one component for every colour that is left at once. Bridges and label propagation are sequential by nature: every weak component is a
 group of its own and an exact algorithm runs on its distinct arcs.
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, durable, module_of
@@ -46,47 +45,66 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes in strong components of two nodes or more; component is the smallest
-    id. Self-loops make no cycle here."""
-    left = durable(arcs(edges).where(F.col("at") != F.col("to")).withColumn("piece", F.lit("")))
-    done = None
+    id. Self-loops make no cycle here. Each round drops what lies on no cycle and gives every node the
+    colour of the first node that reaches it, in an order by hash; nodes that reach the one that gave
+    them their colour are its component. So a round finds components in every part of the graph at once,
+    and in a row of components one in the middle as a rule, on whose sides the next round goes on."""
+    left = durable(arcs(edges).where(F.col("at") != F.col("to")))
+    parts = []
     while True:
-        # trim: what has no way in or no way out, inside its piece, lies on no cycle
-        while True:
-            before = left.count()
-            ins, outs = left.select("piece", F.col("to").alias("at")).distinct(), left.select("piece", F.col("at").alias("to")).distinct()
-            left = durable(left.join(ins, ["piece", "at"], "left_semi").join(outs, ["piece", "to"], "left_semi"))
-            if left.count() == before:
+        size = left.count()
+        while size:
+            ins, outs = left.select(F.col("to").alias("at")).distinct(), left.select(F.col("at").alias("to")).distinct()
+            left = durable(left.join(ins, "at", "left_semi").join(outs, "to", "left_semi"))
+            before, size = size, left.count()
+            if size == before:
                 break
-        if left.isEmpty():
+        if not size:
             break
-        pivots = durable(left.groupBy("piece").agg(F.min("at").alias("pivot")))
-        forward = _spread(left, pivots, "at", "to").withColumnRenamed("node", "f")
-        backward = _spread(left, pivots, "to", "at").withColumnRenamed("node", "b")
-        both = forward.join(backward, (forward.piece == backward.piece) & (forward.f == backward.b)).select(forward.piece, F.col("f").alias("id"), forward.pivot)
-        both = durable(both)
-        # the pivot is the smallest id of its piece, hence of its component
-        found = both.select("id", F.col("pivot").alias("component"))
-        done = found if done is None else done.unionByName(found)
-        nodes = left.select("piece", F.explode(F.array("at", "to")).alias("id")).distinct()
-        kind = nodes.join(forward.select("piece", F.col("f").alias("id"), F.lit("f").alias("in_f")), ["piece", "id"], "left").join(backward.select("piece", F.col("b").alias("id"), F.lit("b").alias("in_b")), ["piece", "id"], "left")
-        kind = kind.where("in_f is null or in_b is null")
-        piece = F.substring(F.sha1(F.concat_ws("/", "piece", F.coalesce("in_f", F.lit("-")), F.coalesce("in_b", F.lit("-")))), 1, 16)
-        kind = durable(kind.select("piece", "id", piece.alias("next")))
-        a, b = kind.select("piece", F.col("id").alias("at"), F.col("next").alias("na")), kind.select("piece", F.col("id").alias("to"), F.col("next").alias("nb"))
-        left = durable(left.join(a, ["piece", "at"]).join(b, ["piece", "to"]).where("na = nb").select("at", "to", F.col("na").alias("piece")))
-    return done if done is not None else edges.limit(0).select(F.col("source").alias("id"), F.col("source").alias("component"))
-
-
-def _spread(steps: DataFrame, pivots: DataFrame, begin: str, end: str) -> DataFrame:
-    """(piece, node, pivot): what the pivot of each piece reaches inside it, itself too."""
-    found = frontier = pivots.select("piece", F.col("pivot").alias("node"), "pivot")
+        colour = _least_before(left)
+        a, b = colour.select(F.col("id").alias("at"), F.col("colour").alias("ca")), colour.select(F.col("id").alias("to"), F.col("colour").alias("cb"))
+        left = durable(left.join(a, "at").join(b, "to").where("ca = cb").select("at", "to", F.col("ca").alias("colour")))
+        found = _spread(left, colour.where(F.col("colour") == _colour("id")).select("colour", "id"))
+        parts.append(found)
+        gone = found.select("id")
+        left = durable(left.join(gone.withColumnRenamed("id", "at"), "at", "left_anti").join(gone.withColumnRenamed("id", "to"), "to", "left_anti").select("at", "to"))
+    if not parts:
+        return edges.limit(0).select(F.col("source").alias("id"), F.col("source").alias("component"))
+    every = union_all(parts)  # a colour is of one node, so it names one component in one round
+    least = every.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return every.join(least, "colour").select("id", "component")
+
+
+def _colour(name: str) -> Column:
+    return F.concat(F.hex(F.xxhash64(name)), F.lit("/"), F.col(name))
+
+
+def _least_before(steps: DataFrame) -> DataFrame:
+    """(id, colour): the first colour among those of the nodes from which there is a way to it, and its own."""
+    colour = durable(steps.select(F.explode(F.array("at", "to")).alias("id")).distinct().withColumn("colour", _colour("id")))
+    frontier = colour
+    while True:
+        told = frontier.join(steps, frontier.id == steps.at).groupBy(F.col("to").alias("id")).agg(F.min("colour").alias("new"))
+        frontier = durable(told.join(colour, "id").where("new < colour").select("id", F.col("new").alias("colour")))
+        if frontier.isEmpty():
+            return colour
+        newer = frontier.withColumnRenamed("colour", "newer")
+        colour = durable(colour.join(newer, "id", "left").select("id", F.coalesce("newer", "colour").alias("colour")))
+
+
+def _spread(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """(colour, id): what reaches the root of its colour by steps of that colour, the root too."""
+    found = frontier = roots
+    back = steps.select("colour", F.col("to").alias("id"), F.col("at").alias("next"))
+    rounds = 0
     while True:
-        s = steps.select("piece", F.col(begin).alias("node"), F.col(end).alias("next"))
-        new = frontier.join(s, ["piece", "node"]).select("piece", F.col("next").alias("node"), "pivot").distinct()
-        frontier = durable(new.join(found, ["piece", "node"], "left_anti"))
+        new = frontier.join(back, ["colour", "id"]).select("colour", F.col("next").alias("id")).distinct()
+        frontier = durable(new.join(found, ["colour", "id"], "left_anti"))
         if frontier.isEmpty():
             return durable(found)
-        found = found.unionByName(frontier)
+        found, rounds = found.unionByName(frontier), rounds + 1
+        if rounds % 10 == 0:
+            found = durable(found)
 
 
 def cycles(graph: Graph, self_loops: bool = False) -> DataFrame:
@@ -366,19 +384,40 @@ def bounded_cycles(graph: Graph, ids: list[str], longest: int = 10) -> DataFrame
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(id, level) of a graph without cycles: 0 for nodes without callees, else one more than the
-    largest level of a callee. Nodes on or above a cycle have none."""
-    left = durable(arcs(edges))
-    nodes = left.select(F.explode(F.array("at", "to")).alias("id")).distinct()
-    done, level = None, 0
-    pending = durable(nodes)
-    while True:
-        ready = durable(pending.join(left.select(F.col("at").alias("id")).distinct(), "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        rows = ready.withColumn("level", F.lit(level))
-        done = rows if done is None else done.unionByName(rows)
-        pending = durable(pending.join(ready, "id", "left_anti"))
-        left = durable(left.join(ready.select(F.col("id").alias("to")), "to", "left_anti"))
+    """(id, level) over the condensed graph: 0 for nodes that call nothing outside their strong component,
+    else one more than the largest level of what it calls outside."""
+    steps = durable(arcs(edges))
+    nodes = steps.select(F.explode(F.array("at", "to")).alias("id")).distinct()
+    scc = strong_components(edges)
+    group = durable(nodes.join(scc, "id", "left").select("id", F.coalesce("component", "id").alias("group")))
+    a, b = group.select(F.col("id").alias("at"), F.col("group").alias("ga")), group.select(F.col("id").alias("to"), F.col("group").alias("gb"))
+    calls = steps.join(a, "at").join(b, "to").where("ga <> gb").select("ga", "gb").distinct()
+    levels = peel(group.select("group").distinct(), calls)
+    return group.join(levels, "group").select("id", "level")
+
+
+def peel(groups: DataFrame, calls: DataFrame) -> DataFrame:
+    """(group, level) of groups(group) whose distinct calls(ga, gb) have no cycle. Each round joins what
+    was finished last with its callers alone and counts down how many callees they wait for, so a call is
+    looked at once."""
+    calls = durable(calls)
+    waits = durable(calls.groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("open")))
+    ready = durable(groups.join(waits, "group", "left_anti"))
+    parts, level = [], 0
+    while not ready.isEmpty():
+        parts.append(ready.withColumn("level", F.lit(level)))
+        freed = calls.join(ready, calls.gb == ready.group).groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("freed"))
+        touched = durable(waits.join(freed, "group").select("group", (F.col("open") - F.col("freed")).alias("open")))
+        waits = durable(waits.join(touched.select("group"), "group", "left_anti").unionByName(touched.where("open > 0")))
+        ready = touched.where("open = 0").select("group")
         level += 1
-    return done if done is not None else nodes.limit(0).withColumn("level", F.lit(0))
+        if len(parts) == 10:
+            parts = [durable(union_all(parts))]
+    return union_all(parts) if parts else groups.limit(0).withColumn("level", F.lit(0))
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

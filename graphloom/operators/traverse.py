@@ -15,6 +15,9 @@ from graphloom.graph import Graph, durable
 
 from .lookup import matches, test_pairs
 
+#: Levels of a traversal that are kept as tables of their own before they become one.
+COMPACT = 10
+
 
 def arcs(edges: DataFrame, reverse: bool = False, undirected: bool = False) -> DataFrame:
     """Distinct (at, to) steps."""
@@ -55,11 +58,14 @@ def reach(steps: DataFrame, seeds: DataFrame, depth: int | None = None, halt: Da
             break
         layer = frontier.withColumn("depth", F.lit(d))
         found = layer if found is None else found.unionByName(layer)
+        if d % COMPACT == 0:  # else a long chain would be as many small tables
+            found = durable(found.coalesce(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return found if found is not None else seeds.limit(0).withColumn("depth", F.lit(0))
 
 
 def callers(graph: Graph, node_id: str, depth: int = 1) -> DataFrame:
-    """Nodes at most ``depth`` calls before the node; itself only by a self-loop at depth 1."""
+    """The nodes that call the node, one row for each edge record; at a greater depth those at most so
+    many calls before it, once each and never itself."""
     return _near(graph, node_id, depth, reverse=True)
 
 
@@ -70,9 +76,12 @@ def callees(graph: Graph, node_id: str, depth: int = 1) -> DataFrame:
 def _near(graph: Graph, node_id: str, depth: int, reverse: bool) -> DataFrame:
     if depth < 1:
         raise ValueError("depth must be at least 1")
+    if depth == 1:
+        own, other = ("target", "source") if reverse else ("source", "target")
+        return graph.edges.where(F.col(own) == node_id).select(F.col(other).alias("id")).orderBy("id")
     seeds = seeds_of(graph.nodes.sparkSession, [node_id])
     found = reach(arcs(graph.edges, reverse), seeds, depth).select(F.col("node").alias("id"))
-    return found.orderBy("id") if depth == 1 else found.where(F.col("id") != node_id).orderBy("id")
+    return found.where(F.col("id") != node_id).orderBy("id")
 
 
 def dependencies(graph: Graph, node_id: str, depth: int | None = None, limit: int | None = None) -> DataFrame:
@@ -89,15 +98,28 @@ def dependents(graph: Graph, node_id: str, depth: int | None = None, limit: int
     return found if limit is None else found.limit(limit)
 
 
-def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, depth: int = 50) -> DataFrame:
+def limited(found: DataFrame, limit: int | None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The first rows of an answer with ``total``, how many there are without the limit, and
+    ``truncated``. No limit, or one of 0, keeps all rows."""
+    total = found.agg(F.count("*").alias("total"))
+    rows = found.orderBy(*order).limit(limit) if limit else found
+    truncated = F.col("total") > limit if limit else F.lit(False)
+    return rows.crossJoin(total).withColumn("truncated", truncated)  # one row of totals
+
+
+def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, depth: int = 50, nearest: bool = False) -> DataFrame:
     """(origin, node, hops, path): a shortest path from each origin to each target(node) it reaches;
-    of several the first in the order of their ids. A target that is the origin has a path of 0."""
+    of several the first in the order of their ids. A target that is the origin has a path of 0. With
+    ``nearest`` an origin stops at the distance of its first targets."""
     steps = durable(arcs(graph.edges))
+    ends = targets.select("node").distinct()
     frontier = seeds.select("origin", "node", F.array("origin").alias("path"))
     known, d = frontier, 0
     layers = [frontier.withColumn("hops", F.lit(0))]
     while d < depth:
         d += 1
+        if nearest:
+            frontier = frontier.join(frontier.join(ends, "node", "left_semi").select("origin").distinct(), "origin", "left_anti")
         new = frontier.join(steps, frontier.node == steps.at).select("origin", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"))
         new = new.groupBy("origin", "node").agg(F.min("path").alias("path")).join(known.select("origin", "node"), ["origin", "node"], "left_anti")
         frontier = durable(new)
@@ -108,7 +130,7 @@ def shortest_paths(graph: Graph, seeds: DataFrame, targets: DataFrame, depth: in
     found = layers[0]
     for layer in layers[1:]:
         found = found.unionByName(layer)
-    return found.join(targets.select("node").distinct(), "node", "left_semi").select("origin", "node", "hops", "path")
+    return found.join(ends, "node", "left_semi").select("origin", "node", "hops", "path")
 
 
 def path(graph: Graph, source: str, target: str, depth: int = 50) -> DataFrame:
@@ -120,7 +142,7 @@ def pattern_paths(graph: Graph, source_glob: str, target_glob: str, depth: int =
     """For each matching source the path to its nearest matching target, at most ``max_paths``."""
     ids = graph.nodes.select(F.col("id").alias("node"))
     sources = ids.where(matches("node", source_glob)).select(F.col("node").alias("origin"), "node")
-    found = shortest_paths(graph, sources, ids.where(matches("node", target_glob)), depth)
+    found = shortest_paths(graph, sources, ids.where(matches("node", target_glob)), depth, nearest=True)
     best = found.groupBy("origin").agg(F.min(F.struct("hops", "path")).alias("b"))
     return best.select("origin", "b.hops", "b.path").orderBy("origin").limit(max_paths)
 
@@ -133,18 +155,27 @@ def orphans(graph: Graph, layer: int | None = None) -> DataFrame:
     return (found if layer is None else found.where(F.col("layer") == layer)).select("id").orderBy("id")
 
 
-def explain(graph: Graph, node_id: str) -> DataFrame:
-    """One row: the node, its first ten callers and callees, and its tests."""
+def explain(graph: Graph, node_id: str, hashes: DataFrame | None = None, intents: DataFrame | None = None) -> DataFrame:
+    """One row: the node, its first ten callers and callees, and its tests; with ``hashes`` (id,
+    dependency_hash) and ``intents`` (id, intent, tags, body_hash) also these, null if unknown, and
+    ``stale``: whether the body has changed since the intent was written."""
     node = graph.described().where(F.col("id") == node_id)
 
     def first(rows: DataFrame, column: str, name: str) -> DataFrame:
-        return rows.agg(F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, 10), ",").alias(name))
+        few = rows.select(column).distinct().orderBy(column).limit(10)  # a hub's callers never meet in one row
+        return few.agg(F.array_join(F.array_sort(F.collect_list(column)), ",").alias(name))
 
     e = graph.edges
     before = first(e.where(F.col("target") == node_id), "source", "callers")
     after = first(e.where(F.col("source") == node_id), "target", "callees")
     tests = first(test_pairs(graph).where(F.col("node_id") == node_id), "test_id", "tests")
-    return node.crossJoin(before).crossJoin(after).crossJoin(tests)  # one row each
+    out = node.crossJoin(before).crossJoin(after).crossJoin(tests)  # one row each
+    if hashes is not None:
+        out = out.join(hashes.where(F.col("id") == node_id).select("id", "dependency_hash"), "id", "left")
+    if intents is not None:
+        own = intents.where(F.col("id") == node_id).select("id", "intent", "tags", F.col("body_hash").alias("__written"))
+        out = out.join(own, "id", "left").withColumn("stale", F.col("__written") != F.col("body_hash")).drop("__written")
+    return out
 
 
 def blast_radius(graph: Graph, ids: list[str], depth: int = 3) -> DataFrame:

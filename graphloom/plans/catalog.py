@@ -1,23 +1,24 @@
 """Registered queries over the driver's tables, and the SQL that each must agree with.
 
-Three graphs are used: sales, a layered multigraph that grows with the data; trade, dense and cyclic
-with parallel edges; ring, sparse and cyclic.
+Four graphs are used: sales, a layered multigraph that grows with the data; partners, cyclic and sparse,
+which grows too; trade, dense and cyclic with parallel edges; ring, sparse and cyclic.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.graph import Graph, validate
+from graphloom.graph import Graph, shared_folder, validate
 from graphloom.operators import cas, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
 from graphloom.sources import views
 from graphloom.streaming import events
 
-from . import formats, oracle
+from . import formats, index, oracle
 from .expressions import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def add(name: str, view, run: Callable[[Graph], DataFrame], sql: str | None = No
     query(name, sql)(on(view, run))
 
 
-SALES, TRADE, RING = views.sales, views.trade, views.ring
+SALES, TRADE, RING, PARTNERS = views.sales, views.trade, views.ring, views.partners
 START, MIDDLE = "orders::5", "nation::3"
 NATION = "r1::NATION_1"
 
@@ -82,9 +83,30 @@ def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("graph_validation", SALES, lambda g: validate(g).groupBy("kind").agg(F.count("*").alias("n")), "SELECT NULL::VARCHAR AS kind, 0::BIGINT AS n WHERE false")
 
+
+
+@query("index_lookups", oracle.sales(f"""
+ SELECT 'node' AS lookup, id AS found, layer::BIGINT AS n FROM nodes WHERE id = '{MIDDLE}'
+ UNION ALL SELECT 'callers', source, count(*) FROM edges WHERE target = 'supplier::3' GROUP BY source
+ UNION ALL SELECT 'callees', target, count(*) FROM edges WHERE source = '{START}' GROUP BY target
+ UNION ALL SELECT 'layer', id, 1 FROM nodes WHERE layer = 1
+ UNION ALL SELECT 'tests', source, 1 FROM (SELECT DISTINCT source FROM edges WHERE target = 'part::7')
+ UNION ALL SELECT 'tested', target, 1 FROM (SELECT DISTINCT target FROM edges WHERE source = '{START}')"""))
+def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lookups in a written index find."""
+    path = f"{shared_folder(spark)}/graphloom-index/{uuid.uuid4().hex}"
+    index.write_index(SALES(spark, sf_dir), path)
+    i = index.Index(spark, path)
+    kind = lambda name, df, column, n=F.lit(1): df.select(F.lit(name).alias("lookup"), F.col(column).alias("found"), n.cast("long").alias("n"))
+    out = kind("node", i.node(MIDDLE), "id", F.col("layer"))
+    for name, df, column in (("callers", i.callers("supplier::3"), "caller_id"), ("callees", i.callees(START), "callee_id")):
+        out = out.unionByName(df.groupBy(F.lit(name).alias("lookup"), F.col(column).alias("found")).agg(F.count("*").alias("n")))
+    return out.unionByName(kind("layer", i.at_layer(1), "id")).unionByName(kind("tests", i.tests_of("part::7"), "test_id")).unionByName(kind("tested", i.nodes_of_test(START), "node_id"))
+
+
 # ---- traversals
 
-add("callers_depth1", SALES, lambda g: traverse.callers(g, "supplier::3"), oracle.sales(" SELECT DISTINCT source AS id FROM edges WHERE target = 'supplier::3'"))
+add("callers_depth1", SALES, lambda g: traverse.callers(g, "supplier::3"), oracle.sales(" SELECT source AS id FROM edges WHERE target = 'supplier::3'"))
 add("callees_depth2", TRADE, lambda g: traverse.callees(g, NATION, 2), oracle.trade(f" SELECT DISTINCT node AS id FROM walk WHERE node <> '{NATION}'", oracle.reach(NATION, depth=2)))
 add("dependencies_closure", SALES, lambda g: traverse.dependencies(g, START).select("id"),
     "WITH RECURSIVE " + oracle.SALES + ", " + oracle.reach(START) + f" SELECT node AS id FROM walk WHERE node <> '{START}'")
@@ -115,7 +137,21 @@ add("test_impact", SALES, lambda g: traverse.prioritised(traverse.impacted_tests
  SELECT node AS test_id, count(DISTINCT o)::BIGINT AS impact_score, min(d)::INT AS distance FROM walk WHERE node LIKE 'orders::%' GROUP BY node""")
 add("invalidation_set", RING, lambda g: traverse.invalidated(g, g.nodes.where("line = 9").select(F.col("id").alias("node"))), oracle.ring(
     " SELECT node FROM walk", "walk(node) AS (SELECT id FROM nodes WHERE line = 9 UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.node)"))
-add("deepest_dependency", SALES, lambda g: traverse.deepest_dependency(g, 50), oracle.sales(" SELECT 3 AS max_depth"))
+add("deepest_dependency", SALES, lambda g: traverse.deepest_dependency(g, 50), "WITH RECURSIVE " + oracle.SALES + """,
+ first AS (SELECT DISTINCT source AS id FROM edges WHERE source NOT IN (SELECT target FROM edges) ORDER BY id LIMIT 50),
+ walk(o, node, d) AS (SELECT id, target, 1 FROM first JOIN edges ON source = id UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 50)
+ SELECT coalesce(max(m), 0)::INT AS max_depth FROM (SELECT min(d) AS m FROM walk GROUP BY o, node)""")
+add("dependents_limited", SALES, lambda g: traverse.limited(traverse.dependents(g, "nation::3").select("id"), 25), "WITH RECURSIVE " + oracle.SALES + ", " + oracle.reach("nation::3", True) + """
+ SELECT node AS id, (SELECT count(*) FROM walk)::BIGINT AS total, (SELECT count(*) FROM walk) > 25 AS truncated FROM walk ORDER BY node LIMIT 25""")
+add("callees_limited", SALES, lambda g: traverse.limited(traverse.callees(g, START), 2), oracle.sales(f"""
+ SELECT target AS id, (SELECT count(*) FROM edges WHERE source = '{START}')::BIGINT AS total, (SELECT count(*) FROM edges WHERE source = '{START}') > 2 AS truncated FROM edges WHERE source = '{START}' ORDER BY target LIMIT 2"""))
+add("dependents_in_row", PARTNERS, lambda g: traverse.dependents(g, "supplier::4").select("id"), oracle.partners(" SELECT node AS id FROM walk", oracle.reach("supplier::4", True)))
+add("dependencies_depth2_partners", PARTNERS, lambda g: traverse.dependencies(g, "customer::1", 2).select("id"), oracle.partners(" SELECT DISTINCT node AS id FROM walk WHERE node <> 'customer::1'", oracle.reach("customer::1", depth=2)))
+add("path_in_row", PARTNERS, lambda g: traverse.path(g, "customer::1", "supplier::6").select("hops", F.array_join("path", ",").alias("path")),
+    oracle.partners(" SELECT d::INT AS hops, min(path) AS path FROM walk WHERE node = 'supplier::6' GROUP BY d ORDER BY d LIMIT 1",
+    "walk(node, d, path) AS (SELECT 'customer::1', 0, 'customer::1' UNION ALL SELECT e.target, d + 1, path || ',' || e.target FROM walk w JOIN edges e ON e.source = w.node WHERE d < 9)"))
+add("invalidation_partners", PARTNERS, lambda g: traverse.invalidated(g, g.nodes.where("id like 'supplier::%' and line % 8 = 3").select(F.col("id").alias("node"))), oracle.partners(
+    " SELECT node FROM walk", "walk(node) AS (SELECT id FROM nodes WHERE id LIKE 'supplier::%' AND line % 8 = 3 UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.node)"))
 add("subsystem_slice", TRADE, lambda g: traverse.subsystem_slice(g, NATION))
 
 # ---- boolean and SELECT queries
@@ -190,6 +226,18 @@ add("scc_components", RING, lambda g: components.strong_components(g.edges), ora
 add("scc_trade", TRADE, lambda g: components.strong_components(g.edges), oracle.trade(" SELECT id, component FROM scc", oracle.SCC.replace("FROM edges UNION", "FROM (SELECT DISTINCT source, target FROM edges) UNION").replace("JOIN edges e", "JOIN (SELECT DISTINCT source, target FROM edges) e")))
 add("cycles", RING, components.cycles, oracle.ring(""" SELECT component AS cycle_id, count(*)::BIGINT AS size, string_agg(id, ' -> ' ORDER BY id) AS members,
  (SELECT count(*) FROM edges JOIN scc x ON x.id = source JOIN scc y ON y.id = target WHERE x.component = s.component AND y.component = s.component)::BIGINT AS evidence FROM scc s GROUP BY component""", oracle.SCC))
+add("scc_partners", PARTNERS, lambda g: components.strong_components(g.edges), oracle.partners(" SELECT id, component FROM scc", oracle.SCC))
+add("cycles_partners", PARTNERS, lambda g: components.cycles(g).select("cycle_id", "size", "evidence"), oracle.partners(""" SELECT component AS cycle_id, count(*)::BIGINT AS size,
+ (SELECT count(*) FROM edges JOIN scc x ON x.id = source JOIN scc y ON y.id = target WHERE x.component = s.component AND y.component = s.component)::BIGINT AS evidence FROM scc s GROUP BY component""", oracle.SCC))
+add("wcc_partners", PARTNERS, lambda g: components.weak_components(g.nodes, g.edges), oracle.partners(" SELECT id, least(id, coalesce(min(b), id)) AS component FROM nodes LEFT JOIN w ON a = id GROUP BY id",
+    "w(a, b) AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges UNION SELECT w.a, e.b FROM w JOIN (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges) e ON e.a = w.b)"))
+add("bridges_partners", PARTNERS, lambda g: components.bridges(g).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), oracle.partners("""
+ SELECT least(source, target) AS a, greatest(source, target) AS b FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target
+ WHERE (source LIKE 'customer::%' AND s.line <> t.line * 15 + t.line % 15) OR (source LIKE 'supplier::%' AND target LIKE 'supplier::%' AND t.line = s.line + 1
+  AND (s.line % 8 NOT IN (2, 3, 4) OR 'supplier::' || (s.line // 8 * 8 + 5) NOT IN (SELECT id FROM nodes)))"""))
+add("levels_partners", PARTNERS, lambda g: components.topological_levels(g.edges), oracle.partners(""" SELECT id, max(l)::INT AS level FROM lv JOIN grp USING (g) GROUP BY id""",
+    oracle.SCC, """grp AS (SELECT id, coalesce(component, id) AS g FROM nodes LEFT JOIN scc USING (id)), calls AS (SELECT DISTINCT a.g AS ga, b.g AS gb FROM edges JOIN grp a ON a.id = source JOIN grp b ON b.id = target WHERE a.g <> b.g),
+ lv(g, l) AS (SELECT g, 0 FROM grp UNION SELECT ga, l + 1 FROM lv JOIN calls ON gb = lv.g)"""))
 add("bounded_cycles", RING, lambda g: components.bounded_cycles(g, ["r0::NATION_0", "r2::NATION_17", "r2::NATION_12"]), oracle.ring(" SELECT o AS origin, min(d)::INT AS length FROM walk WHERE o = node GROUP BY o",
     "walk(o, node, d) AS (SELECT source, target, 1 FROM edges WHERE source IN ('r0::NATION_0', 'r2::NATION_17', 'r2::NATION_12') UNION SELECT o, e.target, d + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE d < 10)"))
 add("bridges", RING, components.bridges, oracle.ring(""" SELECT e.source, e.target FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.k = e.k AND w.b = e.target) GROUP BY ALL HAVING count(*) = 1""",

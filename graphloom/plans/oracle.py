@@ -37,6 +37,18 @@ nodes AS (
   SELECT step.id AS source, n.id AS target, 'call' AS edge_type, 'static' AS confidence FROM step JOIN nodes n ON n.line = step.line + step.k
 )"""
 
+PARTNERS = """
+nodes AS (
+  SELECT 'customer::' || c_custkey AS id, 'customers' || (c_custkey // 120) AS file, 'function' AS type, c_custkey AS line, 'customer::' || c_custkey AS body, 2 AS layer, 'service' AS arch_layer FROM customer
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'suppliers' || (s_suppkey // 8), 'function', s_suppkey, 'supplier::' || s_suppkey, 3, 'domain' FROM supplier
+), pair AS (
+  SELECT 'customer::' || c_custkey AS source, 'supplier::' || (c_custkey // 15) AS target, 'call' AS edge_type, 'static' AS confidence FROM customer
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'customer::' || (s_suppkey * 15 + s_suppkey % 15), 'event', 'static' FROM supplier
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'supplier::' || (s_suppkey + 1), 'call', 'static' FROM supplier WHERE s_suppkey % 8 <> 7
+  UNION ALL SELECT 'supplier::' || s_suppkey, 'supplier::' || (s_suppkey - 3), 'call', 'static' FROM supplier WHERE s_suppkey % 8 = 5
+), edges AS (SELECT * FROM pair WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)
+)"""
+
 DEGREES = """
 deg AS (
   SELECT n.id, coalesce(i.c, 0)::BIGINT AS fan_in, coalesce(o.c, 0)::BIGINT AS fan_out FROM nodes n
@@ -61,6 +73,10 @@ def trade(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ", ".join([TRADE, *more]) + body
 
 
+def partners(body: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([PARTNERS, *more]) + body
+
+
 def ring(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ", ".join([RING, *more]) + body
 

@@ -205,30 +205,8 @@ def imports_of(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'import'").select(F.col("file").alias("source"), module.alias("target"), "name")
 
 
-#: Patterns of HTTP routes and of calls to them; groups are the method and the path.
+#: Patterns of HTTP routes; the groups are the path.
 ROUTES = r"@\w+\.(?:route|get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]|(?:app|router)\.(?:get|post|put|delete|patch)\(\s*['\"`]([^'\"`]+)['\"`]"
-ROUTE_CALLS = r"(?:fetch|axios(?:\.\w+)?)\(\s*['\"`]([^'\"`]+)['\"`]"
-#: Patterns of runtime interactions by kind; the group is the target.
-RUNTIME = (
-    ("http_call", r"(?:requests|httpx)\.(?:get|post|put|delete|patch)\(\s*f?['\"]([^'\"]+)['\"]"),
-    ("db_query", r"(?i)\b(?:from|into|update|join)\s+([a-z_][\w.]*)"),
-    ("mq_publish", r"\.(?:publish|send_message|enqueue)\(\s*['\"]([^'\"]+)['\"]"),
-    ("mq_consume", r"\.(?:subscribe|consume|dequeue)\(\s*['\"]([^'\"]+)['\"]"),
-    ("event", r"\.(?:emit|dispatch)\(\s*['\"]([^'\"]+)['\"]"),
-    ("env", r"os\.(?:environ(?:\.get)?|getenv)[\[(]\s*['\"]([^'\"]+)['\"]"),
-    ("websocket_event", r"socket\.(?:on|emit)\(\s*['\"]([^'\"]+)['\"]"),
-    ("fetch", ROUTE_CALLS),
-)
-
-
-def runtime_edges(files: DataFrame) -> DataFrame:
-    """(source_file, source_node, edge_type, target) of runtime interactions."""
-    out = None
-    for kind, pattern in RUNTIME:
-        found = files.select(F.col("path").alias("source_file"), F.col("path").alias("source_node"), F.lit(kind).alias("edge_type"), F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("target"))
-        out = found if out is None else out.unionByName(found)
-    return out.where("target <> ''").distinct()
-
 
 def routes(files: DataFrame) -> DataFrame:
     """(file, route) of declared HTTP routes."""
@@ -241,13 +219,28 @@ def normal_route(route: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(route, r"\$?\{[^}]*\}|<[^>]*>|:[A-Za-z_]\w*", "{}"), r"^https?://[^/]+", ""), r"(?<=.)/$", "")
 
 
+def route_shape(route: Column | str) -> Column:
+    """The segments of a normal route."""
+    return F.split(F.regexp_replace(normal_route(route), r"^/", ""), "/")
+
+
 def route_links(calls: DataFrame, declared: DataFrame) -> DataFrame:
     """(source_file, target_file, route, kind): calls(source_file, target) joined to routes: exact, else
-    equal in normal form."""
-    c, d = calls.withColumn("n", normal_route("target")), declared.withColumn("n", normal_route("route"))
-    j = c.join(d, "n").select("source_file", "target", F.col("file").alias("target_file"), "route", F.when(F.col("target") == F.col("route"), "exact").otherwise("normalised").alias("kind"))
+    equal in normal form, else with values in the places of parameters. Routes are joined by their
+    number of segments and first fixed one, and compared segment by segment."""
+    named = lambda x: F.filter(x, lambda s: s != "{}")
+    c, d = calls.withColumn("c", route_shape("target")), declared.withColumn("d", route_shape("route"))
+    same = c.join(d.withColumn("c", F.col("d")), "c").withColumn("kind", F.when(F.col("target") == F.col("route"), 0).otherwise(1))
+    keyed = d.where(F.exists("d", lambda s: s == "{}")).withColumns({"n": F.size("d"), "key": F.coalesce(F.get(named(F.col("d")), F.lit(0)), F.lit(""))})
+    parts = c.withColumn("n", F.size("c")).withColumn("key", F.explode(F.array_distinct(F.concat(F.col("c"), F.array(F.lit(""))))))
+    fits = F.forall(F.zip_with("c", "d", lambda x, y: (x == y) | (y == "{}")), lambda ok: ok) & (F.col("c") != F.col("d"))
+    filled = parts.join(keyed, ["n", "key"]).where(fits).withColumn("kind", F.lit(2))
+    columns = ["source_file", "target", F.col("file").alias("target_file"), "route", "kind"]
+    j = same.select(*columns).unionByName(filled.select(*columns))
     w = Window.partitionBy("source_file", "target").orderBy("kind", "target_file", "route")
-    return j.withColumn("r", F.row_number().over(w)).where("r = 1").select("source_file", "target_file", "route", "kind")
+    best = j.withColumn("r", F.row_number().over(w)).where("r = 1")
+    kind = F.element_at(F.array(F.lit("exact"), F.lit("normalised"), F.lit("parameter")), F.col("kind") + 1)
+    return best.select("source_file", "target_file", "route", kind.alias("kind"))
 
 
 #: Files that name packages, and the pattern of a package in each.

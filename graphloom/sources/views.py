@@ -101,6 +101,26 @@ def ring(spark: SparkSession, sf_dir: str) -> Graph:
     return g.with_edges(edges)
 
 
+def partners(spark: SparkSession, sf_dir: str) -> Graph:
+    """All customers and suppliers, a cyclic graph that grows with the data. A customer calls the supplier
+    of its fifteen, a supplier one of these customers, the next supplier unless it ends a row of eight,
+    and, as the sixth of a row, the third. So cycles of two and more, chains and bridges are in each row."""
+    c, s = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "supplier").select("s_suppkey")
+    node = lambda rows, entity, key, layer, arch: rows.select(node_id(entity, key).alias("id"), F.concat(F.lit(entity + "s"), F.expr(f"cast({key} div {120 if entity == 'customer' else 8} as string)")).alias("file"), F.lit("function").alias("type"), F.col(key).cast("int").alias("line"), F.sha2(node_id(entity, key), 256).alias("body_hash"), F.lit(layer).alias("layer"), F.lit(arch).alias("arch_layer"))
+    nodes = node(c, "customer", "c_custkey", 2, "service").unionByName(node(s, "supplier", "s_suppkey", 3, "domain"))
+    supplier = lambda key: F.concat(F.lit("supplier::"), key.cast("string"))
+    at = F.col("s_suppkey")
+    parts = [
+        _edges(c, node_id("customer", "c_custkey"), supplier(F.expr("c_custkey div 15")), "call"),
+        _edges(s, supplier(at), F.concat(F.lit("customer::"), (at * 15 + at % 15).cast("string")), "event"),
+        _edges(s.where("s_suppkey % 8 <> 7"), supplier(at), supplier(at + 1), "call"),
+        _edges(s.where("s_suppkey % 8 = 5"), supplier(at), supplier(at - 3), "call"),
+    ]
+    ids = nodes.select("id")
+    edges = _union(parts).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return Graph(nodes.drop("layer", "arch_layer"), edges.select("source", "target", "edge_type", "confidence"), nodes.select("id", "layer", "arch_layer"))
+
+
 def flow(spark: SparkSession, sf_dir: str) -> Graph:
     """Event types; an edge for each event of a user and the user's next one."""
     e = table(spark, sf_dir, "events")

@@ -34,16 +34,48 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
     return out.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def watch_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """A stream of (path, modified, content_hash) of files that come or change under a folder."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, modified, content_hash) of the files under a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
     return files.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"))
 
 
-def debounced(changes: DataFrame, within: str = "1 second") -> DataFrame:
-    """At most one change of a path within a time."""
-    return changes.withWatermark("modified", within).dropDuplicatesWithinWatermark(["path"])
+def changed_files(before: DataFrame | None, now: DataFrame) -> DataFrame:
+    """(path, change, modified, content_hash): files that came, were rewritten or went between two
+    listings. A file that was only touched has not changed."""
+    if before is None:
+        return now.select("path", F.lit("added").alias("change"), "modified", "content_hash")
+    old = before.select("path", F.col("content_hash").alias("old"))
+    both = now.withColumn("there", F.lit(True)).join(old, "path", "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("there").isNull(), "removed").when(F.col("old") != F.col("content_hash"), "modified")
+    return both.select("path", change.alias("change"), "modified", "content_hash").where("change is not null")
+
+
+def watch_files(spark: SparkSession, folder: str, state_path: str, update: Callable[[DataFrame, int, str], None], glob: str = "*", checkpoint: str | None = None, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
+    """Calls ``update(changes, number, depth)`` with the :func:`changed_files` of a folder, trigger by
+    trigger. Spark's own file source knows a file by its path and never reports that it was rewritten or
+    removed, so each trigger compares a listing with the one before, kept as a version under
+    ``state_path``; a trigger that is repeated after a failure compares the same two."""
+
+    def run(_: DataFrame, number: int) -> None:
+        before = versions_before(spark, state_path, number)
+        listing(spark, folder, glob).write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        now = spark.read.parquet(f"{state_path}/version={number}")
+        changes = changed_files(None if before is None else spark.read.parquet(f"{state_path}/version={before}"), now)
+        if not changes.isEmpty():
+            update(changes, number, depth_of(changes))
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint or f"{state_path}/_checkpoint")
+    return writer.trigger(**({"once": True} if once else {"processingTime": every})).start()
+
+
+def debounced(changes: DataFrame, gap: str = "1 second", late: str = "1 second") -> DataFrame:
+    """The last change (path, modified, content_hash) of each burst of changes of a path, a burst being
+    over after ``gap`` without one."""
+    bursts = changes.withWatermark("modified", late).groupBy("path", F.session_window("modified", gap).alias("burst"))
+    last = F.max(F.struct(F.col("modified").alias("at"), "content_hash"))
+    return bursts.agg(last.alias("last")).select("path", F.col("last.at").alias("modified"), "last.content_hash")
 
 
 #: Files in a batch up to which an update is local or reaches the files that call them; beyond, all.
@@ -56,7 +88,7 @@ def depth_of(batch: DataFrame) -> str:
 
 
 def maintain(changes: DataFrame, update: Callable[[DataFrame, int, str], None], checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
-    """Calls ``update(batch, number, depth)`` for each batch of changes."""
+    """Calls ``update(batch, number, depth)`` for each batch of a stream of changes."""
 
     def run(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():

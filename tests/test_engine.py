@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.graph import Graph, module_of, validate
 from graphloom.operators import cas, components, diff, governance, history, lookup, metrics, policy, score, semantics, simulate, traverse
-from graphloom.plans import catalog, formats
+from graphloom.plans import catalog, formats, index
 from graphloom.plans.expressions import Engine, QueryError, parse, render
-from graphloom.sources import code, files
+from graphloom.sources import code, files, runtime
 from graphloom.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -80,12 +80,41 @@ def test_origin_on_a_cycle(awkward):
     assert ids(traverse.dependencies(awkward, "a::1")) == ["a::2", "a::3", "b::1", "b::2", "b::3", "b::4"]
     assert "a::1" in ids(traverse.dependents(awkward, "a::1"))
     assert ids(traverse.dependents(awkward, "b::1")) == ["a::3", "a::2", "a::1"]
-    assert ids(traverse.callers(awkward, "a::3")) == ["a::2", "a::3"]
+    assert ids(traverse.callers(awkward, "a::3")) == sorted(r["source"] for r in awkward.edges.where("target = 'a::3'").collect())
     assert ids(traverse.callers(awkward, "a::3", 5)) == ["a::1", "a::2"]
     with pytest.raises(ValueError):
         traverse.callers(awkward, "a::1", 0)
 
 
+def test_limits_tell_the_total(awkward):
+    found = traverse.dependents(awkward, "b::1").select("id")
+    n = found.count()
+    assert [tuple(r) for r in traverse.limited(found, 2).collect()] == [(i, n, n > 2) for i in sorted(ids(found))[:2]]
+    assert {(r["total"], r["truncated"]) for r in traverse.limited(found, None).collect()} == {(n, False)}
+    assert traverse.limited(found, 0).count() == n
+
+
+def test_levels_of_a_graph_with_cycles(spark):
+    g = make(spark, [("top", "a"), ("a", "b"), ("b", "a"), ("b", "low"), ("a", "a"), ("low", "end"), ("top", "end")])
+    got = {r["id"]: r["level"] for r in components.topological_levels(g.edges).collect()}
+    assert got == {"end": 0, "low": 1, "a": 2, "b": 2, "top": 3}
+
+
+def test_index_lookups(spark, awkward, tmp_path):
+    hashes = cas.dependency_hashes(awkward)
+    counts = index.write_index(awkward, str(tmp_path / "i"), hashes)
+    i = index.Index(spark, str(tmp_path / "i"))
+    assert counts["nodes"] == awkward.nodes.count() == counts["dependency_hashes"] and counts["callers"] == awkward.edges.count() == counts["callees"]
+    assert i.node("a::1").drop("bucket").collect() == lookup.get_node(awkward, "a::1").select(i.node("a::1").columns).collect()
+    for node in ("a::1", "a::3", "unknown"):
+        assert sorted(map(tuple, i.callers(node).collect())) == sorted(map(tuple, lookup.callers_of(awkward, node).collect()))
+        assert sorted(map(tuple, i.callees(node).collect())) == sorted(map(tuple, lookup.callees_of(awkward, node).collect()))
+        assert ids(i.tests_of(node), "test_id") == ids(lookup.tests_of(awkward, node), "test_id")
+    assert ids(i.node_ids()) == ids(lookup.node_ids(awkward)) and ids(i.search("a::*")) == ids(lookup.search_nodes(awkward, "a::*"))
+    assert i.dependency_hash("a::1").first()["dependency_hash"] == hashes.where("id = 'a::1'").first()["dependency_hash"]
+    assert i.graph().edges.exceptAll(awkward.edges.select(i.graph().edges.columns)).count() == 0
+
+
 def test_paths(awkward):
     assert traverse.path(awkward, "a::1", "b::4").first()["path"] == ["a::1", "a::2", "a::3", "b::1", "b::2", "b::4"]
     assert traverse.path(awkward, "a::1", "a::1").first()["path"] == ["a::1"]
@@ -314,14 +343,50 @@ def test_code_becomes_a_graph(spark, tmp_path):
     assert {(r["source"], r["target"]) for r in g.edges.where("edge_type = 'call'").collect()} == {("app/trade.py::T::go", "app/trade.py::T::check"), ("app/trade.py::T::go", "app/data.py::fetch")}
     assert ids(rows.where("kind = 'error'")) == ["app/bad.py"]
     assert [r["name"] for r in rows.where("kind = 'global'").collect()] == ["LIMIT"]
-    run = code.runtime_edges(scanned)
-    assert ("db_query", "orders") in {(r["edge_type"], r["target"]) for r in run.collect()}
+    run = runtime.runtime_edges(scanned)
+    assert {(r["source_node"], r["edge_type"], r["target"]) for r in run.collect()} == {("app/api.py::orders", "db_query", "orders"), ("app/List.tsx", "fetch", "/orders/${id}")}
     links = code.route_links(run.where("edge_type = 'fetch'"), code.routes(scanned)).collect()
     assert [(r["source_file"], r["target_file"], r["kind"]) for r in links] == [("app/List.tsx", "app/api.py", "normalised")]
     covered = code.covered_nodes(spark.createDataFrame([("/x/app/data.py", [3])], "file string, executed_lines array<int>"), g.nodes)
     assert ids(covered) == ["app/data.py::fetch"]
 
 
+def test_runtime_edges_belong_to_the_function_around_them(spark):
+    python = """
+import os, asyncio
+from json import loads
+from pathlib import Path
+os.environ["HOME"]
+class Shop:
+    async def buy(self, cursor):
+        cursor.execute("UPDATE stock SET n = 0")
+        requests.post("http://x/pay", json={})
+        os.getenv("KEY")
+        os.environ.get("TOKEN")
+        channel.basic_publish(exchange="ex")
+        tasks.delay("mail")
+        work_queue.put("job")
+        await asyncio.gather(a(), b())
+        stub.call(1)
+        ws.send("hi")
+        bus.on("sold")
+        d = {}.get("no")
+def top():
+    db.query(text)
+"""
+    files_ = spark.createDataFrame([("s.py", python), ("bad.py", "def"), ("n.txt", "fetch('/a')"), ("x.js", "axios.get('/b'); fetch(`/a`)"), ("e.py", None)], "path string, content string")
+    got = {(r["source_node"].removeprefix("s.py::"), r["edge_type"], r["target"]) for r in runtime.runtime_edges(files_).collect()}
+    buy = {("db_query", "stock"), ("http_call", "http://x/pay"), ("env_var", "KEY"), ("env_var", "TOKEN"), ("mq_publish", "ex"), ("event_produce", "ex"), ("worker", "mail"), ("queue_task", "mail"), ("queue", "job"), ("queue_task", "job"), ("http_call", "job"), ("async_workflow", "gather"), ("rpc_call", "<rpc>"), ("websocket_event", "hi"), ("event_consume", "sold"), ("http_call", "no")}
+    assert got == {("Shop::buy", *x) for x in buy} | {("<module>", "env_var", "HOME"), ("top", "db_query", "<dynamic>"), ("x.js", "axios", "/b"), ("x.js", "fetch", "/a")}
+
+
+def test_routes_with_parameters_fit_values(spark):
+    calls = spark.createDataFrame([("a.ts", "/orders/5"), ("b.ts", "/orders/list"), ("c.ts", "http://h/users/7/items/9"), ("d.ts", "/none/1"), ("e.ts", "/orders/${id}")], "source_file string, target string")
+    declared = spark.createDataFrame([("api.py", "/orders/<int:id>"), ("api.py", "/orders/list"), ("u.py", "/users/{u}/items/{i}"), ("w.py", "/{any}/x/y")], "file string, route string")
+    got = {(r["source_file"], r["target_file"], r["route"], r["kind"]) for r in code.route_links(calls, declared).collect()}
+    assert got == {("a.ts", "api.py", "/orders/<int:id>", "parameter"), ("b.ts", "api.py", "/orders/list", "exact"), ("c.ts", "u.py", "/users/{u}/items/{i}", "parameter"), ("e.ts", "api.py", "/orders/<int:id>", "normalised")}
+
+
 def test_graph_files_and_snapshots(spark, awkward, tmp_path):
     (tmp_path / "n.json").write_text('{"nodes": [{"id": "a", "file": "f", "type": "function", "line": 1, "body_hash": "h"}]}')
     (tmp_path / "e.json").write_text('{"edges": [{"source": "a", "target": "a", "edge_type": "call", "confidence": "static"}]}')
@@ -381,33 +446,46 @@ def test_policies_by_handler(spark, awkward):
 # ---- streams
 
 
-def test_file_stream_and_upsert(spark, tmp_path):
+def test_watcher_sees_new_rewritten_and_removed_files(spark, tmp_path):
     src, state = tmp_path / "src", str(tmp_path / "state")
     src.mkdir()
-    (src / "a.txt").write_text("1")
-    write = events.upsert(state, ["path"], "modified")
-    depths = []
-
-    def update(batch, number, depth):
-        depths.append(depth)
-        write(batch, number)
-
-    for content in (None, "b.txt"):
-        if content:
-            (src / content).write_text("2")
-        events.maintain(events.watch_files(spark, str(src)), update, str(tmp_path / "cp"), once=True).awaitTermination()
-    versions = spark.read.parquet(state)
-    assert depths == ["local", "local"] and versions.where("version = 1").count() == 2
-
-
-def test_a_path_is_reported_once_within_the_gap(spark, tmp_path):
-    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:00.4"), ("b", "2024-01-01 00:00:00.5")]
-    table = spark.createDataFrame(rows, "path string, modified string").withColumn("modified", F.col("modified").cast("timestamp"))
+    seen = []
+
+    def update(changes, number, depth):
+        seen.append(({(r["path"].rsplit("/", 1)[-1], r["change"]) for r in changes.collect()}, depth))
+
+    def tick():
+        events.watch_files(spark, str(src), state, update, once=True).awaitTermination()
+
+    for name in "abc":
+        (src / name).write_text("1")
+    tick()
+    (src / "a").write_text("2")
+    (src / "b").unlink()
+    (src / "d").write_text("1")
+    tick()
+    (src / "c").write_text("1")  # touched only
+    tick()
+    assert seen == [({("a", "added"), ("b", "added"), ("c", "added")}, "affected"), ({("a", "modified"), ("b", "removed"), ("d", "added")}, "affected")]
+
+
+def test_upsert_keeps_the_newest(spark, tmp_path):
+    write, state = events.upsert(str(tmp_path / "state"), ["path"], "modified"), str(tmp_path / "state")
+    batch = lambda *rows: spark.createDataFrame(rows, "path string, modified long")
+    write(batch(("a", 1), ("b", 1)), 0)
+    write(batch(("a", 2), ("a", 3)), 1)
+    write(batch(("a", 2), ("a", 3)), 1)  # repeated after a failure
+    assert {(r["path"], r["modified"]) for r in spark.read.parquet(f"{state}/version=1").collect()} == {("a", 3), ("b", 1)}
+
+
+def test_the_last_change_of_a_burst_is_reported(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", "old"), ("a", "2024-01-01 00:00:00.4", "new"), ("b", "2024-01-01 00:00:00.5", "x"), ("a", "2024-01-01 00:00:09", "later"), ("z", "2024-01-01 01:00:00", "end")]
+    table = spark.createDataFrame(rows, "path string, modified string, content_hash string").withColumn("modified", F.col("modified").cast("timestamp"))
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     q = events.debounced(stream).writeStream.format("memory").queryName("d").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(ids(spark.table("d"), "path")) == ["a", "b"]
+    assert sorted((r["path"], r["content_hash"]) for r in spark.table("d").collect()) == [("a", "later"), ("a", "new"), ("b", "x")]
 
 
 def test_windows_on_a_stream_equal_those_on_a_table(spark, tmp_path):
