@@ -36,19 +36,21 @@ from .common import cut
 LEADING, SEGMENTS, REPEATED = 2, 8, 50
 
 
-def fields(line: Column) -> Column:
-    """The tokens of a line as hashes, 0 for a variable field."""
-    tokens = F.filter(F.split(F.lower(line), r"[ \t\r\f]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.xxhash64(t)))
+#: A token with a digit, found from its beginning and without going back; and what stands for it.
+FIELD, VARIABLE = r"(?<![^ \t\r\f])[^ \t\r\f0-9]*+[0-9][^ \t\r\f]*+", "0"
 
 
-def segments(f: Column) -> Column:
+def tokens(line: Column) -> Column:
+    """The tokens of a line, VARIABLE for a variable field."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), FIELD, VARIABLE), r"[ \t\r\f]+"), "")
+
+
+def segments(f: Column, n: Column, leaf: Column) -> Column:
     """Hashes of the stretches of a line with fields ``f``, each with its place in the tree; a line of
     LEADING tokens or fewer is one."""
-    leading, rest = F.slice(f, 1, LEADING), F.size(f) - LEADING
+    rest = F.greatest(n - LEADING, F.lit(0))
     k = F.greatest(F.lit(1), F.least(rest, F.lit(SEGMENTS)))
-    begin = lambda i: LEADING + F.floor(F.greatest(rest, F.lit(0)) * i / k).cast("int")
-    leaf = F.xxhash64(F.size(f), leading)
+    begin = lambda i: LEADING + F.floor(rest * i / k).cast("int")
     return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.xxhash64(leaf, i, F.slice(f, begin(i) + 1, begin(i + 1) - begin(i))))
 
 
@@ -56,9 +58,10 @@ def parse(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n, fixed, leaf, parts): lines with tokens, their number in the text from 0, and how
     many tokens they have in all and without a digit."""
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    parsed = lines.select("doc_id", "line", fields(F.col("content")).alias("f")).where("size(f) > 0")
-    fixed = F.size(F.filter("f", lambda t: t != 0)).alias("fixed")
-    return parsed.select("doc_id", "line", F.size("f").alias("n"), fixed, F.xxhash64(F.size("f"), F.slice("f", 1, LEADING)).alias("leaf"), segments(F.col("f")).alias("parts"))
+    split = lines.select("doc_id", "line", tokens(F.col("content")).alias("f")).where("size(f) > 0")
+    sized = split.select("doc_id", "line", "f", F.size("f").alias("n"), F.size(F.array_remove("f", VARIABLE)).alias("fixed"))
+    placed = sized.withColumn("leaf", F.xxhash64("n", F.slice("f", 1, LEADING)))
+    return placed.select("doc_id", "line", "n", "fixed", "leaf", segments(F.col("f"), F.col("n"), F.col("leaf")).alias("parts"))
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
