@@ -97,9 +97,10 @@ def join_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bit_sketch(shingles: np.ndarray, percent: int) -> bytes:
-    """Parity of the shingles at each bit; as many bits as eight times the differing shingles that
-    two linked sets of this size may have, at least 256, a power of two."""
-    bits = 1 << max(8, (16 * len(shingles) * (100 - percent) // (100 + percent)).bit_length())
+    """Parity of the shingles at each bit; more bits than four times the differing shingles that two
+    linked sets of this size may have, at least 1024, a power of two. Sets that share nothing differ in
+    half of the bits, so in twice as many as linked ones at least."""
+    bits = 1 << max(10, (8 * len(shingles) * (100 - percent) // (100 + percent)).bit_length())
     at = ((shingles >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
