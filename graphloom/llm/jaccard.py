@@ -226,7 +226,9 @@ def _beside(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
 
 
 def _verified(close: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The linked ones of ``close(a, b)``."""
+    """The linked ones of ``close(a, b)``. Only texts of those are shuffled."""
+    ends = cut(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    texts = texts.join(ends, "node", "left_semi")
     return _beside(close, texts, SHARE).select("a", "b", "a_text", "b_text").mapInPandas(_verify(width, percent), "a long, b long")
 
 
@@ -319,10 +321,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     shared = cut(_shared_keys(docs, width, percent, firsts), "keys")
     named = shared.join(classes.drop("first"), ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
     named = cut(named, "named")
-    score = named.groupBy("node").agg(F.sum("n").alias("score"))
-    scored = cut(named.drop("n").join(score, "node"), "scored")
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("top"))
-    named = cut(scored.drop("score").join(cut(pivots.select("key", (-F.col("top.minus")).alias("pivot")), "pivots"), "key"), "placed")
+    score = cut(named.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    named = named.drop("n")
+    pivots = named.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("top"))
+    named = cut(named.join(cut(pivots.select("key", (-F.col("top.minus")).alias("pivot")), "pivots"), "key"), "placed")
 
     pairs = cut(named.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     wanted = classes.join(named.select("node").distinct(), "node")
