@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, linededup, neighbours, quality, shards, sql, warc
+from . import bpe, chat, decontaminate, jaccard, langid, linededup, neighbours, pii, quality, runs, shards, sql, warc, whiten
 from .common import held_out, table
 
 #: Where the vocabulary of op6 is; a parameter of the query, never copied.
@@ -62,6 +62,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(table(spark, sf_dir, "documents"), repeat_tails=True)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py``, the script at the top of the repository."""
     return import_module("corpus_pipeline").run(spark, sf_dir)
@@ -78,6 +91,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_pii": op11_pii,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {
@@ -86,4 +102,5 @@ ORACLE_SQL = {
     "op7_warc": sql.WARC,
     "op8_line_dedup": sql.LINE_DEDUP,
     "op9_decontamination": sql.DECONTAMINATION,
+    "op13_periodic_runs": sql.PERIODIC_RUNS,
 }

@@ -91,3 +91,28 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN large AND place > 1 THE
   CASE WHEN large AND place > 1 THEN top END AS refers_to
 FROM r
 """
+
+PERIODIC_RUNS = r"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)) AS digits
+  FROM documents
+), hashed AS (
+  SELECT r, doc_id, w, len(w)::BIGINT AS n,
+    xor(list_reduce(digits, lambda crc, d: list_reduce(list_concat([xor(crc, d::BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, o: xor(x >> 1, (x & 1) * 3988292384)), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM numbered
+), planned AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS fold FROM hashed
+), built AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // fold) + 1] END) END AS w FROM planned
+), word AS (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM built
+), agree AS (SELECT x.r, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), island AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM agree) GROUP BY r, q, part HAVING count(*) >= greatest(6 - q, 3 * q)
+), run AS (SELECT r, start, length, min(q) AS period FROM island GROUP BY r, start, length
+), gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run
+), kept AS (SELECT word.r, string_agg(w, ' ' ORDER BY word.i) AS text FROM word ANTI JOIN gone ON gone.r = word.r AND gone.i = word.i GROUP BY word.r
+), listed AS (SELECT r, count(*)::BIGINT AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY r
+), longest AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM built LEFT JOIN listed USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept USING (r)
+"""
