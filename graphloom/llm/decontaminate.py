@@ -88,5 +88,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = Fals
 
 def clean(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """The documents that no benchmark item contaminates."""
-    bad = contaminated(docs, benchmark, short_items).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").select(docs.columns)
+    bad = contaminated(docs, benchmark, short_items).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -24,8 +24,9 @@ Groups may hold any share of the rows. Aggregations are partial before they are
 key of theirs read written tables on both sides, so that Spark can split a large partition of one.
 
 Nulls and empty texts have no shingles and are linked with nothing. Equal sets are one class before
-any comparison. Repeated rows of one doc_id each give their own output row. A row without a doc_id
-links with rows of equal text alone. Columns besides the id and the text are not read.
+any comparison, named by a number of its own, so that rows without a doc_id and rows that repeat one with
+another text link like all others. Each row gives its own output row; a component without any doc_id has
+none as its name. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import M2, cut, mix, with_text_ids
+from .common import M2, cut, mix, small_batches, with_text_ids
 from .components import contract
 from .shingles import WordHashes, shingle_set
 
@@ -135,6 +136,18 @@ def _describe(width: int):
     return run
 
 
+def _with_sets(width: int):
+    """Adds the hash of the set of shingles to each text."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for pdf in batches:
+            ids = [set_hash(shingle_set(t, width, hashes)) for t in pdf["text"]]
+            yield pdf.assign(h1=[a for a, _ in ids], h2=[b for _, b in ids])
+
+    return run
+
+
 def _emit_keys(width: int, percent: int, firsts: dict[tuple[int, int], str]):
     """Keys of the sets of a partition. Of a large class, which ``firsts`` names, the document that
     stands for it alone has keys."""
@@ -307,6 +320,12 @@ def _shared_keys(docs: DataFrame, width: int, percent: int, firsts: dict) -> Dat
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For documents (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links
     reach). Two documents link if 100 * intersection >= percent * union."""
+    return _components(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, h1, h2, component) of each row: the hash of its set, and a
+    number for the component that also those without a doc_id have; null without shingles."""
     docs = with_text_ids(docs)
     meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
     meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
@@ -316,7 +335,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # no more than LARGE classes have more than this share of all rows
     large = classes.where(F.col("copies") > max(SHARE, meta.count() // LARGE)).select("h1", "h2", "first")
     firsts = {(r["h1"], r["h2"]): str(r["first"]) for r in large.where("first is not null").collect()}
-    classes = classes.drop("copies").where("first is not null")
+    classes = classes.drop("copies")
 
     shared = cut(_shared_keys(docs, width, percent, firsts), "keys")
     named = shared.join(classes.drop("first"), ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
@@ -329,6 +348,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs = cut(named.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     wanted = classes.join(named.select("node").distinct(), "node")
     texts = docs.join(wanted, docs.doc_id.cast("long") == wanted["first"]).select("node", "h1", "h2", "text")
+    unnamed = docs.where("doc_id is null").select("text").mapInPandas(_with_sets(width), "text string, h1 long, h2 long")
+    texts = texts.unionByName(unnamed.join(wanted.where("first is null"), ["h1", "h2"]).select("node", "h1", "h2", "text"))
     texts = texts.mapInPandas(_sketch(width, percent), "node long, text string, size long, bits binary")
     texts = cut(texts.groupBy("node").agg(F.min(F.struct("text", "size", "bits")).alias("x")).select("node", "x.*"), "texts")
     texts, sketches = texts.select("node", "text"), texts.select("node", "size", "bits")
@@ -345,20 +366,50 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = cut(_open_pairs(rest, sketches, percent), "close")
     links = cut(links.unionByName(_verified(more, texts, width, percent)), "links")
     comp = contract(links)
-    comp = comp.join(classes.select(F.col("node").alias("id"), "first"), "id")
-    comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("smallest")), "component").select("id", "smallest")
-    placed = cut(classes.join(comp, classes.node == comp.id, "left").select("h1", "h2", F.coalesce("smallest", "first").alias("component_id")), "components")
+    placed = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "first", F.coalesce("component", "node").alias("component"))
+    named = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).where("n > 1").select("component", F.col("component_id").alias("smallest"))
+    placed = placed.join(named, "component", "left").select("h1", "h2", "component", F.coalesce("smallest", "first").alias("component_id"))
+    placed = cut(placed, "components")
     # the rows of a large class stay where they are, those without shingles are not joined at all
-    of_large = F.broadcast(large.where("first is not null").join(placed, ["h1", "h2"]).select("h1", "h2", "component_id"))
+    of_large = F.broadcast(large.select("h1", "h2").join(placed, ["h1", "h2"]))
     some = meta.where("n_shingles > 0")
     out = some.join(of_large, ["h1", "h2"]).unionByName(some.join(of_large, ["h1", "h2"], "left_anti").join(placed, ["h1", "h2"], "left"))
-    out = out.unionByName(meta.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    bare = meta.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long")})
+    return out.unionByName(bare).withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but the one of smallest doc_id in each component; among rows that
-    repeat this doc_id, all stay. Documents without shingles or id stay."""
-    out = jaccard_components(docs, width, percent)
-    gone = out.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component, that of smallest doc_id, and of rows that repeat this id the
+    first text. Rows without a doc_id come last, so one of them stays where a component has no other.
+    Documents without shingles stay."""
+    every = cut(_components(docs, width, percent), "found")
+    found = every.where("component is not null")
+    order = lambda: F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")
+    stays = found.groupBy("component").agg(F.min(order()).alias("best"), F.count("*").alias("rows"))
+    stays = cut(stays.where("rows > 1").select("component", "best"), "stays")
+    grouped = cut(found.join(stays, "component").select("doc_id", "h1", "h2", (order() == F.col("best")).alias("best")), "grouped")
+    times = every.groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = cut(times.where("n > 1 or doc_id is null").select("doc_id"), "several")
+    gone = grouped.where("not best").join(several, "doc_id", "left_anti").select("doc_id").where("doc_id is not null")
+    # an id alone does not tell such rows apart: their sets are made again, and one row of the best is taken
+    id_of = F.col("doc_id").cast("long")
+    odd = (docs.where("doc_id is null"), docs.where("doc_id is not null").join(several.where("doc_id is not null"), "doc_id", "left_semi"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    odd = [x.select(id_of.alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row")) for x in odd]
+    odd = small_batches(odd[0].unionByName(odd[1])).withColumn("set", _set_of(width)("text")).select("doc_id", "set.*", "text", "row")
+    known = grouped.join(several, grouped.doc_id.eqNullSafe(several.doc_id), "left_semi").distinct()
+    same = odd.doc_id.eqNullSafe(known.doc_id) & (odd.h1 == known.h1) & (odd.h2 == known.h2)
+    one = odd.join(known.where("best"), same, "left_semi").groupBy("doc_id", "h1", "h2").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+    rest = odd.join(known, same, "left_anti")
+    plain = docs.where("doc_id is not null").join(several.where("doc_id is not null").unionByName(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return plain.unionByName(one.select("row.*")).unionByName(rest.select("row.*"))
+
+
+def _set_of(width: int):
+    @F.pandas_udf("h1 long, h2 long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield pd.DataFrame([set_hash(shingle_set(t, width, hashes)) for t in texts], columns=["h1", "h2"], dtype="int64")
+
+    return run

@@ -6,9 +6,11 @@ it in the fewest phrases, each weighted with the bits that a position in the lan
 wins. Texts are parsed whole, in windows of WINDOW characters whose boundary ends a phrase in every
 language alike; the windows of many texts advance through the transition tables together.
 
-Labels are learnt from a bounded sample of rows: per language the whole texts that come first by hash
-among SAMPLE_DOCS different ones of at most SAMPLE_CHARS characters, as many as fit into SAMPLE_CHARS
-together. A language that has only longer texts learns from its shortest. Texts that are null or have no letter are ``und`` with
+Labels are learnt from a bounded sample of rows: per language the SAMPLE_DOCS different texts that come
+first by hash, of any length. Texts are cut into passages of PASSAGE characters, all of each text, and of
+the passages of a language's sample those that come first by hash are learnt, SAMPLE_CHARS characters or
+a passage more. How often a text is repeated, how long it is and how many rows other languages have makes
+no difference, and a language with any text that has a letter is learnt. Texts that are null or have no letter are ``und`` with
 score 0. Ties go to the first language by name. Repeated rows each give a row; other columns than
 doc_id, text and, for learning, lang are not read. Without any labelled text all are ``und``.
 """
@@ -26,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import built_once, held_out, small_batches
+from .common import built_once, cut, held_out, small_batches
 
-SAMPLE_CHARS, SAMPLE_DOCS, WINDOW, SHARPNESS = 20_000, 400, 512, 8.0
+SAMPLE_CHARS, SAMPLE_DOCS, PASSAGE, WINDOW, SHARPNESS = 20_000, 400, 1000, 512, 8.0
 #: Letters of a language that have a column in its transition table, its most frequent ones, the space
 #: among them. Transitions by its other letters are looked up in a sorted list.
 ALPHABET = 200
@@ -189,36 +191,26 @@ def has_letter(text: str) -> bool:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from documents (doc_id, text, lang) that are not held out, in two scans. At most
-    SAMPLE_DOCS whole texts per language come to the driver."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum((F.length("text") <= SAMPLE_CHARS).cast("long")).alias("fit"), F.min(F.length("text")).alias("least")).collect()}
-    if not sizes:
-        return Model({})
-    order = F.xxhash64("text", F.lit(17))
-    # of each language some more rows than needed by a threshold on the hash, so that few are ranked
-    take = F.lit(False)
-    for lang, r in sizes.items():
-        short = F.length("text") <= max(SAMPLE_CHARS, r["least"])  # where all are longer, the shortest
-        share = min(1.0, 4 * SAMPLE_DOCS / max(1, r["fit"]))
-        take = F.when(F.col("lang") == lang, short & (F.shiftright(order, 32) < int(share * 2**32) - 2**31)).otherwise(take)
-    ranked = known.where(take).select("lang", "text", order.alias("h")).distinct()
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= SAMPLE_DOCS)
+    """Learns from documents (doc_id, text, lang) that are not held out, in two scans. SAMPLE_CHARS
+    characters per language and little more come to the driver."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
+    # of each language some more texts than needed by a threshold on the hash, so that few are ranked
+    share = F.least(F.lit(1.0), 4 * SAMPLE_DOCS / F.approx_count_distinct("h", 0.02))
+    limits = cut(known.groupBy("lang").agg(F.floor(share * 2**32 - 2**31).alias("below")), "shares")
+    some = known.join(limits, "lang").where(F.shiftright("h", 32) < F.col("below")).select("lang", "text", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = cut(some.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select("lang", "text"), "sample")
+    passages = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))
+    coded = F.transform(F.filter(passages, lambda p: p.rlike(r"\p{L}")), lambda p: F.struct(F.xxhash64(p, F.lit(18)).alias("h"), p.alias("passage")))
+    # all but the last passage of a text are whole, so a text has no more of the first ones
+    first = F.slice(F.array_sort(F.array_distinct(coded)), 1, SAMPLE_CHARS // PASSAGE + 2)
+    rows = sample.select("lang", F.explode(first).alias("x")).select("lang", "x.*").distinct()
+    before = F.sum(F.length("passage")).over(Window.partitionBy("lang").orderBy("h", "passage").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE_CHARS)
     samples: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "place").select("lang", "text").collect():
-        samples.setdefault(r["lang"], []).append(r["text"])
-    return Model({lang: joined for lang, found in samples.items() if has_letter(joined := sample_text(found))})
-
-
-def sample_text(texts: list[str]) -> str:
-    """The first of the texts and those after it that fit, whole, into SAMPLE_CHARS characters; more
-    until there is a letter."""
-    taken, left = [], SAMPLE_CHARS
-    for text in texts:
-        if not taken or len(text) <= left or not has_letter("\n".join(taken)):
-            taken.append(text)
-            left -= len(text) + 1
-    return "\n".join(taken)
+    for r in rows.orderBy("lang", "before").select("lang", "passage").collect():
+        samples.setdefault(r["lang"], []).append(r["passage"])
+    return Model({lang: "\n".join(found) for lang, found in samples.items()})
 
 
 def predictor(model: Model):

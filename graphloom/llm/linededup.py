@@ -9,12 +9,9 @@ fields may vary anywhere in up to half of the segments. What other lines are in
 to a template, as long as they do not share most of its segments.
 
 A template recurs if the fixed tokens that it repeats, those of a line in all documents but one, are at
-least REPEATED; a line of which more than half are variable fields is data and has none. Its lines are dropped from all documents but the one of smallest doc_id, which keeps them, so
-that nothing is lost from the corpus.
-
-With ``copies`` below 1, a document is a copy of an earlier one if lines that it would lose to that one
-hold more than this share of the tokens of either. It is left whole, for a near-duplicate stage to
-compare with what it copies.
+least REPEATED; a line of which more than half are variable fields is data and has none. Its lines are
+dropped from all documents but the one of smallest doc_id, which keeps them, so that nothing is lost
+from the corpus.
 
 Segments and templates are known by hashes of their place in the tree; documents count them once each,
 so counts are summed before they are shuffled and no leaf is ever gathered in a task. Joins read written
@@ -23,7 +20,7 @@ tables on both sides, so that Spark can split the rows of a line that is everywh
 Null and blank lines are kept and never counted. Null and empty texts come out as they are; a very long
 text is as many lines as it has. Rows that repeat a doc_id count as one document and are treated alike;
 without a doc_id a row counts as one and is not changed. An empty table gives an empty result. Other
-columns pass through; columns that begin with two underscores are the operator's own.
+columns pass through, whatever their names, but for ``n_dropped``, which is replaced.
 """
 
 from __future__ import annotations
@@ -65,9 +62,8 @@ def parse(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "line", "n", "fixed", "leaf", segments(F.col("f"), F.col("n"), F.col("leaf")).alias("parts"))
 
 
-def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line, n, first) of the lines to drop, first being the document that keeps the
-    template's, and (doc_id, total) with the tokens of each document."""
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line) of the lines to drop."""
     lines = cut(parse(docs), "lines")
     leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
     some = cut(lines.join(cut(leaves.select("leaf"), "leaves"), "leaf", "left_semi").drop("leaf"), "candidates")
@@ -84,24 +80,17 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_doc = found.groupBy("template", "doc_id").agg(F.max("fixed").alias("fixed"))
     totals = in_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("fixed").cast("long").alias("fixed"))
     recurring = cut(totals.where((F.col("docs") > 1) & ((F.col("docs") - 1) * F.col("fixed") >= REPEATED)).select("template", "first"), "recurring")
-    hits = found.join(recurring, "template").where("doc_id <> first").select("doc_id", "line", "n", "first")
-    return hits, lines.groupBy("doc_id").agg(F.sum("n").alias("total"))
-
-
-def drop_recurring(docs: DataFrame, copies: float = 1.0) -> DataFrame:
-    """The documents with their recurring lines dropped, and ``n_dropped``; copies of an
-    earlier one by more than the share ``copies`` stay whole."""
-    hits, totals = recurring_lines(docs)
-    if copies < 1:
-        hits, totals = cut(hits, "hits"), cut(totals, "totals")
-        held = hits.groupBy("doc_id", "first").agg(F.sum("n").alias("held"))
-        sized = held.join(totals, "doc_id").join(totals.select(F.col("doc_id").alias("first"), F.col("total").alias("whole")), "first")
-        alike = sized.where(F.col("held") > copies * F.greatest("total", "whole")).select("doc_id").distinct()
-        hits = hits.join(alike, "doc_id", "left_anti")
-    drops = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__lines"))
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("__id"), "left").withColumn("__split", F.split("text", "\n"))
+    return found.join(recurring, "template").where("doc_id <> first").select("doc_id", "line")
+
+
+def drop_recurring(docs: DataFrame) -> DataFrame:
+    """The documents with their recurring lines dropped, and ``n_dropped``."""
+    drops = recurring_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    # the row is packed, so that no column of it can clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long"), F.split("text", "\n").alias("parts"))
+    joined = packed.join(drops, "doc_id", "left")
     # hashed once, so that a long text costs no more than its lines
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), "__lines")
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__split", i)), "\n"))
-    out = joined.withColumns({"text": text, "n_dropped": F.coalesce(F.size("__lines"), F.lit(0)).cast("long")})
-    return out.drop("__id", "__lines", "__split")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")
+    text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
+    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_dropped"]
+    return joined.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_dropped"))
