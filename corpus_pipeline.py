@@ -7,7 +7,7 @@ of ``documents``. Between stages a table is written and read back.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontaminate, jaccard, langid, linededup
@@ -16,8 +16,15 @@ from graphloom.llm.common import cut, table
 #: Where the vocabulary of the last stage is.
 TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.json"))
 
-#: Share of its tokens that a document has from one earlier one if it is left whole as a copy.
-COPIES = 0.5
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): each row as a struct, in which no column can clash with those of a stage."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from its packed rows, those in ``changed`` anew."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,33 +33,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and texts without a letter have none. Very long texts are parsed whole. Ties go
     to the first language by name. Repeated rows are treated alike, an empty table stays empty, and
     further columns of any name are kept. Without a labelled text all documents go."""
-    known = langid.identify(docs.select(F.struct("*").alias("__row"), "text"), langid.fit(docs))
-    kept = known.where(F.col("lang_pred") != langid.UNDETERMINED).select("__row.*", F.col("lang_pred").alias("__lang"))
-    return kept.withColumn("lang", F.col("__lang")).select(docs.columns)
+    known = langid.identify(packed(docs).select("row", "text"), langid.fit(docs))
+    return unpacked(known.where(F.col("lang_pred") != langid.UNDETERMINED), docs, lang=F.col("lang_pred"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from all documents but the first; n_chars follows. A document of
-    which nothing is left goes. One that is a copy of an earlier one by more than half stays whole, for
-    the next stage to judge.
+    which nothing is left goes.
 
     Null and empty texts stay as they are, so do rows without a doc_id. Lines of a very long text are
     treated like others. Of documents that share a template the one of smallest doc_id keeps it; rows
-    that repeat a doc_id are treated alike. An empty table stays empty, and further columns are kept."""
-    out = linededup.drop_recurring(docs.select(F.struct("*").alias("__row"), "doc_id", "text"), copies=COPIES)
+    that repeat a doc_id are treated alike. An empty table stays empty, and further columns of any name
+    are kept."""
+    out = linededup.drop_recurring(packed(docs))
     out = out.where(F.col("text").isNull() | (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
-    out = out.select("__row.*", F.col("text").alias("__text"), F.col("n_dropped").alias("__dropped"))
-    changed = F.col("__dropped") > 0
-    n_chars = F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns({"n_chars": n_chars, "text": F.when(changed, F.col("__text")).otherwise(F.col("text"))}).select(docs.columns)
+    changed = F.col("n_dropped") > 0
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs, n_chars=n_chars, text=F.when(changed, F.col("text")).otherwise(F.col("row.text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of smallest doc_id; five words, 0.8.
 
-    Null and empty texts and rows without a doc_id stay. A text of fewer than five words is compared as
-    a whole, a very long one by all its shingles. Rows that repeat the doc_id that stays all stay. An
-    empty table stays empty, and further columns are kept."""
+    Null and empty texts stay. A text of fewer than five words is compared as a whole, a very long one by
+    all its shingles. Rows without a doc_id are compared like others and come last in their group. Of rows
+    that repeat the doc_id that stays one stays. An empty table stays empty, and further columns are kept."""
     return jaccard.keep_one(docs, width=5, percent=80)
 
 
