@@ -228,71 +228,6 @@ def _bridge_pairs(own: DataFrame) -> DataFrame:
     return out.join(pairs.where("n = 1").select("a", "b"), ["a", "b"], "left_semi")
 
 
-def propagate_labels(arcs_: list[tuple[str, str]], sweeps: int = 20) -> dict[str, str]:
-    """Labels of nodes, at first their modules. Nodes in sorted order take the most frequent label
-    around them, of several the largest, until none changes."""
-    near: dict[str, set[str]] = defaultdict(set)
-    for a, b in arcs_:
-        near[a].add(b)
-        near[b].add(a)
-    labels = {n: n.split("::")[0] for n in near}
-    for _ in range(sweeps):
-        changed = False
-        for node in sorted(near):
-            votes: dict[str, int] = defaultdict(int)
-            for other in near[node]:
-                votes[labels[other]] += 1
-            best = max((n, label) for label, n in votes.items())[1]
-            changed |= best != labels[node]
-            labels[node] = best
-        if not changed:
-            break
-    return labels
-
-
-def partitions(graph: Graph, least: int = 4) -> DataFrame:
-    """(id, partition_id): communities by label propagation. Labels with fewer than ``least`` nodes join
-    the first large partition that shares a module, else stay alone; if none is large, all stay."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(propagate_labels(list(zip(pdf["source"], pdf["target"], strict=True))).items()), columns=["id", "label"])
-
-    found = per_component(graph, run, "id string, label string")
-    alone = graph.nodes.select("id").join(found, "id", "left_anti")
-    labels = durable(found.unionByName(alone.select("id", module_of("id").alias("label"))))
-    groups = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("seed"))
-    any_large = groups.agg(F.max(F.col("n") >= least).alias("any_large"))
-    module = F.regexp_replace(module_of("seed"), "[/.]", "_")
-    groups = groups.crossJoin(F.broadcast(any_large)).withColumn("partition_id", F.concat(F.when(module == "", "partition").otherwise(module), F.lit("_"), F.substring(F.sha1("seed"), 1, 8)))
-    kept = durable(labels.join(groups.where((F.col("n") >= least) | ~F.col("any_large")), "label").select("id", "partition_id"))
-    small = labels.join(kept, "id", "left_anti").select("id", module_of("id").alias("module"))
-    homes = kept.groupBy(module_of("id").alias("module")).agg(F.min("partition_id").alias("partition_id"))
-    own = F.concat(F.regexp_replace("module", "[/.]", "_"), F.lit("_"), F.substring(F.sha1("id"), 1, 8))
-    return kept.unionByName(small.join(homes, "module", "left").select("id", F.coalesce("partition_id", own).alias("partition_id")))
-
-
-def community_overview(graph: Graph, parts: DataFrame) -> DataFrame:
-    """(partition_id, size, internal_edges, boundary_nodes, files) of communities (id, partition_id)."""
-    s, t = parts.select(F.col("id").alias("source"), F.col("partition_id").alias("ps")), parts.select(F.col("id").alias("target"), F.col("partition_id").alias("pt"))
-    e = graph.edges.join(s, "source").join(t, "target")
-    inside = e.where("ps = pt").groupBy(F.col("ps").alias("partition_id")).agg(F.count("*").alias("internal_edges"))
-    edge_ = e.where("ps <> pt").select(F.explode(F.array(F.struct(F.col("ps").alias("p"), F.col("source").alias("n")), F.struct(F.col("pt").alias("p"), F.col("target").alias("n")))).alias("x"))
-    boundary = edge_.groupBy(F.col("x.p").alias("partition_id")).agg(F.countDistinct("x.n").alias("boundary_nodes"))
-    sizes = parts.join(graph.nodes.select("id", "file"), "id", "left").groupBy("partition_id").agg(F.count("*").alias("size"), F.countDistinct("file").alias("files"))
-    out = sizes.join(inside, "partition_id", "left").join(boundary, "partition_id", "left")
-    return out.fillna(0, ["internal_edges", "boundary_nodes"])
-
-
-def community_links(graph: Graph, parts: DataFrame) -> DataFrame:
-    """(source_community, target_community, edge_count, coupling_score): edge records between communities
-    in either direction, over those and the internal ones of both."""
-    s, t = parts.select(F.col("id").alias("source"), F.col("partition_id").alias("ps")), parts.select(F.col("id").alias("target"), F.col("partition_id").alias("pt"))
-    pairs = graph.edges.join(s, "source").join(t, "target").groupBy(F.least("ps", "pt").alias("a"), F.greatest("ps", "pt").alias("b")).agg(F.count("*").alias("n"))
-    inside = pairs.where("a = b")
-    out = pairs.where("a <> b").join(inside.select("a", F.col("n").alias("na")), "a", "left").join(inside.select("b", F.col("n").alias("nb")), "b", "left").fillna(0, ["na", "nb"])
-    return out.select(F.col("a").alias("source_community"), F.col("b").alias("target_community"), F.col("n").alias("edge_count"), F.round(F.col("n") / (F.col("na") + F.col("nb") + F.col("n")), 6).alias("coupling_score"))
-
-
 def betweenness(graph: Graph, samples: int = 50) -> DataFrame:
     """(id, betweenness): shortest-path dependencies summed over sampled sources, the first by hash of
     their id, scaled to all sources. Levels of all sources advance together as joins; parallel records
@@ -325,56 +260,6 @@ def betweenness(graph: Graph, samples: int = 50) -> DataFrame:
     return nodes.join(sums, "id", "left").fillna(0.0, ["betweenness"])
 
 
-def modularity_communities(weights: list[tuple[str, str, float]], passes: int = 50) -> dict[str, str]:
-    """Greedy modularity: files in sorted order move to the neighbouring community of largest gain, of
-    several the smallest, until a pass moves none."""
-    near: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b, w in weights:
-        if a != b:
-            near[a][b] += w
-            near[b][a] += w
-    degree = {f: sum(x.values()) for f, x in near.items()}
-    m2 = sum(degree.values()) or 1.0
-    own = {f: f for f in near}
-    total = dict(degree)
-    for _ in range(passes):
-        moved = False
-        for f in sorted(near):
-            to: dict[str, float] = defaultdict(float)
-            for g, w in near[f].items():
-                to[own[g]] += w
-            total[own[f]] -= degree[f]
-            gain = lambda c: to.get(c, 0.0) - total[c] * degree[f] / m2  # noqa: B023, E731
-            best = min(sorted({own[f], *to}), key=lambda c: (-gain(c), c))
-            if gain(best) <= gain(own[f]) + 1e-12:
-                best = own[f]
-            total[best] += degree[f]
-            moved |= best != own[f]
-            own[f] = best
-        if not moved:
-            break
-    first: dict[str, str] = {}
-    for f in sorted(own):
-        first.setdefault(own[f], f)
-    return {f: first[c] for f, c in own.items()}
-
-
-def subsystems_by_modularity(graph: Graph) -> DataFrame:
-    """(file, subsystem): communities of the file graph, which is as large as the number of file pairs
-    that call each other, found within each of its weak components."""
-    e = graph.ends("file").where("s_file is not null and t_file is not null")
-    pairs = e.groupBy(F.col("s_file").alias("source"), F.col("t_file").alias("target")).agg(F.count("*").alias("n"))
-    files = Graph(graph.nodes.select(F.col("file").alias("id")).distinct(), pairs)
-    parts = durable(weak_components(files.nodes, files.edges))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(modularity_communities(list(zip(pdf["source"], pdf["target"], pdf["n"].astype(float), strict=True))).items()), columns=["file", "subsystem"])
-
-    found = pairs.join(parts.select(F.col("id").alias("source"), "component"), "source").groupBy("component").applyInPandas(run, "file string, subsystem string")
-    alone = files.nodes.join(found, F.col("id") == F.col("file"), "left_anti")
-    return found.unionByName(alone.select(F.col("id").alias("file"), F.col("id").alias("subsystem")))
-
-
 def bounded_cycles(graph: Graph, ids: list[str], longest: int = 10) -> DataFrame:
     """(origin, length): the shortest cycle of at most ``longest`` edges through each of some nodes."""
     from .traverse import reach, seeds_of

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import Graph, shared_folder, validate
-from graphloom.operators import cas, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
+from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
 from graphloom.sources import views
 from graphloom.streaming import events
 
@@ -38,6 +38,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def by_file(view):
+    """The view with ids that begin with the file, so that files are the modules."""
+
+    def run(spark, sf_dir):
+        g = view(spark, sf_dir)
+        names = g.nodes.select("id", F.concat("file", F.lit("::"), F.replace("id", F.lit("::"), F.lit(""))).alias("name"))
+        end = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(c + "_name"))
+        e = g.edges.join(end("source"), "source").join(end("target"), "target").drop("source", "target").withColumnsRenamed({"source_name": "source", "target_name": "target"})
+        return Graph(g.nodes.join(names, "id").withColumn("id", F.col("name")).drop("name"), e)
+
+    return run
+
+
 def on(view, run: Callable[[Graph], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(view(spark, sf_dir))
 
@@ -243,12 +256,28 @@ add("bounded_cycles", RING, lambda g: components.bounded_cycles(g, ["r0::NATION_
 add("bridges", RING, components.bridges, oracle.ring(""" SELECT e.source, e.target FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.k = e.k AND w.b = e.target) GROUP BY ALL HAVING count(*) = 1""",
     "e AS (SELECT *, row_number() OVER (ORDER BY source, target) AS k FROM edges)", "u AS (SELECT k, source AS a, target AS b FROM e UNION ALL SELECT k, target, source FROM e)",
     "w(k, b) AS (SELECT k, source FROM e UNION SELECT w.k, u.b FROM w JOIN u ON u.a = w.b AND u.k <> w.k)"))
-add("lpa_partitions", RING, components.partitions)
-add("community_overview", RING, lambda g: components.community_overview(g, components.partitions(g)))
-add("community_links", TRADE, lambda g: components.community_links(g, g.nodes.select("id", F.col("file").alias("partition_id"))), oracle.trade(""", x AS (SELECT least(split_part(source, '::', 1), split_part(target, '::', 1)) AS a, greatest(split_part(source, '::', 1), split_part(target, '::', 1)) AS b, count(*)::BIGINT AS n FROM edges GROUP BY ALL)
+add("lpa_labels", by_file(PARTNERS), communities.propagate_labels, oracle.labels(oracle.partners, " SELECT id, name AS label FROM settled"))
+add("lpa_labels_ring", RING, communities.propagate_labels, oracle.labels(oracle.ring, " SELECT id, name AS label FROM settled"))
+add("lpa_partitions", RING, communities.partitions, oracle.labels(oracle.ring, " SELECT id, partition_id FROM partition", oracle.PARTITION))
+add("lpa_partitions_partners", by_file(PARTNERS), communities.partitions, oracle.labels(oracle.partners, " SELECT id, partition_id FROM partition", oracle.PARTITION))
+add("community_overview", RING, lambda g: communities.community_overview(g, communities.partitions(g)).withColumn("type_counts", F.to_json("type_counts")), oracle.labels(oracle.ring, oracle.OVERVIEW, oracle.PARTITION))
+add("community_overview_partners", by_file(PARTNERS), lambda g: communities.community_overview(g, communities.partitions(g)).withColumn("type_counts", F.to_json("type_counts")), oracle.labels(oracle.partners, oracle.OVERVIEW, oracle.PARTITION))
+add("community_links", TRADE, lambda g: communities.community_links(g, g.nodes.select("id", F.col("file").alias("partition_id"))), oracle.trade(""", x AS (SELECT least(split_part(source, '::', 1), split_part(target, '::', 1)) AS a, greatest(split_part(source, '::', 1), split_part(target, '::', 1)) AS b, count(*)::BIGINT AS n FROM edges GROUP BY ALL)
  SELECT x.a AS source_community, x.b AS target_community, x.n AS edge_count, round(x.n / (coalesce(i.n, 0) + coalesce(j.n, 0) + x.n), 6) AS coupling_score FROM x LEFT JOIN x i ON i.a = x.a AND i.b = x.a LEFT JOIN x j ON j.a = x.b AND j.b = x.b WHERE x.a <> x.b"""))
 add("betweenness", RING, lambda g: components.betweenness(g).select("id", F.round("betweenness", 6).alias("betweenness")))
-add("modularity_subsystems", TRADE, components.subsystems_by_modularity)
+add("modularity_subsystems", TRADE, communities.subsystems_by_modularity, oracle.modularity(oracle.trade, " SELECT file, subsystem FROM owner"))
+add("modularity_partners", PARTNERS, communities.subsystems_by_modularity, oracle.modularity(oracle.partners, " SELECT file, subsystem FROM owner"))
+add("subsystem_report", PARTNERS, lambda g: communities.subsystem_report(g, communities.subsystems_by_modularity(g)), oracle.modularity(oracle.partners, oracle.REPORT))
+add("subsystem_couplings", PARTNERS, lambda g: communities.subsystem_couplings(g, g.nodes.select("file", F.col("file").alias("subsystem")).distinct()), oracle.partners("""
+ SELECT least(s.file, t.file) AS subsystem_a, greatest(s.file, t.file) AS subsystem_b, count(*)::BIGINT AS edge_count, round(count(*) / sum(count(*)) OVER (), 6) AS coupling_strength
+ FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file <> t.file GROUP BY ALL"""))
+add("betweenness", RING, lambda g: components.betweenness(g).select("id", F.round("betweenness", 6).alias("betweenness")))
+add("modularity_subsystems", TRADE, communities.subsystems_by_modularity, oracle.modularity(oracle.trade, " SELECT file, subsystem FROM owner"))
+add("modularity_partners", PARTNERS, communities.subsystems_by_modularity, oracle.modularity(oracle.partners, " SELECT file, subsystem FROM owner"))
+add("subsystem_report", PARTNERS, lambda g: communities.subsystem_report(g, communities.subsystems_by_modularity(g)), oracle.modularity(oracle.partners, oracle.REPORT))
+add("subsystem_couplings", PARTNERS, lambda g: communities.subsystem_couplings(g, communities.subsystems_by_modularity(g)), oracle.modularity(oracle.partners, """, across AS (
+ SELECT least(x.subsystem, y.subsystem) AS subsystem_a, greatest(x.subsystem, y.subsystem) AS subsystem_b, sum(w) AS w FROM weight JOIN owner x ON x.file = a JOIN owner y ON y.file = b WHERE x.subsystem <> y.subsystem GROUP BY ALL)
+ SELECT subsystem_a, subsystem_b, w::BIGINT AS edge_count, round(w / (SELECT sum(w) FROM weight), 6) AS coupling_strength FROM across"""))
 add("topological_levels", SALES, lambda g: components.topological_levels(g.edges).groupBy("level").agg(F.count("*").alias("n")), oracle.sales(""" SELECT CASE split_part(id, '::', 1) WHEN 'region' THEN 0 WHEN 'part' THEN 0 WHEN 'nation' THEN 1 WHEN 'orders' THEN 3 ELSE 2 END AS level, count(*)::BIGINT AS n
  FROM (SELECT source AS id FROM edges UNION SELECT target FROM edges) GROUP BY level"""))
 

@@ -86,3 +86,91 @@ def reach(start: str, reverse: bool = False, depth: int | None = None) -> str:
     if depth is None:
         return f"walk(node) AS (SELECT {b} FROM edges WHERE {a} = '{start}' UNION SELECT e.{b} FROM walk w JOIN edges e ON e.{a} = w.node)"
     return f"walk(node, d) AS (SELECT {b}, 1 FROM edges WHERE {a} = '{start}' UNION SELECT e.{b}, w.d + 1 FROM walk w JOIN edges e ON e.{a} = w.node WHERE w.d < {depth})"
+
+
+#: Nodes whose ids begin with their file, for views in which the module is the entity.
+BY_FILE = """
+plain AS (SELECT * FROM nodes), wire AS (SELECT * FROM edges), named AS (SELECT id AS old, file || '::' || replace(id, '::', '') AS id, file, type FROM plain
+), arc AS (SELECT s.id AS source, t.id AS target FROM wire JOIN named s ON s.old = source JOIN named t ON t.old = target)"""
+
+#: Label propagation by turns: the state is a list of labels, and one node is asked in each step.
+LABELS = """
+near AS (SELECT source AS a, target AS b FROM arc UNION SELECT target, source FROM arc
+), member AS (SELECT a AS id, row_number() OVER (ORDER BY a) AS k FROM near GROUP BY a
+), label AS (SELECT m AS name, row_number() OVER (ORDER BY m) AS r FROM (SELECT DISTINCT split_part(id, '::', 1) AS m FROM member)
+), around AS (SELECT x.k, list(y.k) AS near FROM near JOIN member x ON x.id = a JOIN member y ON y.id = b GROUP BY x.k
+), size AS (SELECT count(*) AS n FROM member
+), turn(t, s, moved) AS (
+  SELECT 0::BIGINT, list(r ORDER BY k), 1::BIGINT FROM member JOIN label ON name = split_part(id, '::', 1)
+  UNION ALL
+  SELECT t + 1, list_concat(s[1:k - 1], [v], s[k + 1:]), CASE WHEN k = 1 THEN 0 ELSE moved END + (v <> s[k])::BIGINT
+  FROM (
+    SELECT t, s, moved, k, list_sort(list_transform(list_distinct(l), lambda x: {'n': len(list_filter(l, lambda y: y = x)), 'x': x}), 'DESC')[1].x AS v
+    FROM (SELECT t, s, moved, k, list_transform(near, lambda u: s[u]) AS l FROM turn, size, around WHERE k = t % n + 1 AND t < 20 * n AND (k > 1 OR moved > 0))
+  )
+), settled AS (SELECT member.id, name FROM (SELECT arg_max(s, t) AS s FROM turn), member JOIN label ON r = s[k])"""
+
+PARTITION = """
+labelled AS (SELECT id, name FROM settled UNION ALL SELECT id, split_part(id, '::', 1) FROM named WHERE id NOT IN (SELECT id FROM settled)
+), grouped AS (SELECT name, count(*) AS n, min(id) AS seed, max(count(*)) OVER () >= 4 AS large FROM labelled GROUP BY name
+), big AS (
+  SELECT id, regexp_replace(split_part(seed, '::', 1), '[/.]', '_', 'g') || '_' || sha1(seed)[1:8] AS partition_id FROM labelled JOIN grouped USING (name) WHERE n >= 4 OR NOT large
+), home AS (SELECT split_part(id, '::', 1) AS module, min(partition_id) AS partition_id FROM big GROUP BY 1
+), partition AS (
+  SELECT * FROM big UNION ALL
+  SELECT id, coalesce(home.partition_id, regexp_replace(split_part(id, '::', 1), '[/.]', '_', 'g') || '_' || sha1(id)[1:8])
+  FROM labelled LEFT JOIN home ON module = split_part(id, '::', 1) WHERE id NOT IN (SELECT id FROM big)
+)"""
+
+OVERVIEW = """
+, ends AS (SELECT p.partition_id AS ps, q.partition_id AS pt, source, target FROM arc JOIN partition p ON p.id = source JOIN partition q ON q.id = target
+), kind AS (SELECT partition_id, type, count(*) AS n FROM partition JOIN named USING (id) GROUP BY ALL)
+SELECT partition_id, count(*)::BIGINT AS size, (SELECT count(*) FROM ends WHERE ps = partition_id AND pt = partition_id)::BIGINT AS internal_edges,
+  (SELECT count(*) FROM ends WHERE (ps = partition_id) <> (pt = partition_id))::BIGINT AS boundary_edges,
+  (SELECT count(DISTINCT x) FROM (SELECT source AS x FROM ends WHERE ps = partition_id AND pt <> partition_id UNION SELECT target FROM ends WHERE pt = partition_id AND ps <> partition_id))::BIGINT AS boundary_nodes,
+  count(DISTINCT file)::BIGINT AS files, 1::BIGINT AS directories, (SELECT '{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}' FROM kind WHERE kind.partition_id = partition.partition_id) AS type_counts,
+  NULL::VARCHAR AS declared_subsystem
+FROM partition JOIN named USING (id) GROUP BY partition_id"""
+
+
+def labels(view, body: str, *more: str) -> str:
+    by_file = BY_FILE if view is partners else "named AS (SELECT id, file, type FROM nodes), arc AS (SELECT source, target FROM edges)"
+    return view(body, by_file, LABELS, *more)
+
+
+#: Greedy modularity by turns: the state is a list of communities, one file is asked in each step.
+MODULARITY = """
+weight AS (
+  SELECT least(s.file, t.file) AS a, greatest(s.file, t.file) AS b, count(*) AS w FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file <> t.file GROUP BY ALL
+), near AS (SELECT a, b, w FROM weight UNION ALL SELECT b, a, w FROM weight
+), member AS (SELECT a AS file, row_number() OVER (ORDER BY a) AS k, sum(w)::BIGINT AS degree FROM near GROUP BY a
+), around AS (SELECT x.k, list({'u': y.k, 'w': w::BIGINT}) AS near FROM near JOIN member x ON x.file = a JOIN member y ON y.file = b GROUP BY x.k
+), size AS (SELECT count(*) AS n, list(degree ORDER BY k) AS d, sum(degree)::BIGINT AS m FROM member
+), turn(t, s, moved) AS (
+  SELECT 0::BIGINT, list(k ORDER BY k), 1::BIGINT FROM member
+  UNION ALL
+  SELECT t + 1, list_concat(s[1:k - 1], [v], s[k + 1:]), CASE WHEN k = 1 THEN 0 ELSE moved END + (v <> s[k])::BIGINT
+  FROM (
+    SELECT t, s, moved, k, list_sort(list_transform(list_distinct(list_append(list_transform(near, lambda e: s[e.u]), s[k])), lambda c: {
+        'loss': d[k] * (coalesce(list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN i <> k AND s[i] = c THEN d[i] ELSE 0 END)), 0)::BIGINT) - m * (coalesce(list_sum(list_transform(near, lambda e: CASE WHEN s[e.u] = c THEN e.w ELSE 0 END)), 0)::BIGINT),
+        'away': c <> s[k], 'c': c}))[1].c AS v
+    FROM turn, size, around WHERE k = t % n + 1 AND t < 50 * n AND (k > 1 OR moved > 0)
+  )
+), settled AS (SELECT file, s[k] AS c FROM (SELECT arg_max(s, t) AS s FROM turn), member
+), owner AS (
+  SELECT file, min(file) OVER (PARTITION BY c) AS subsystem FROM settled UNION ALL
+  SELECT DISTINCT file, file FROM nodes WHERE file IS NOT NULL AND file NOT IN (SELECT file FROM settled)
+)"""
+
+REPORT = """
+, held AS (SELECT x.subsystem AS s, y.subsystem AS t, w FROM near JOIN owner x ON x.file = a JOIN owner y ON y.file = b
+), edge AS (SELECT s, coalesce(sum(w) FILTER (s = t), 0) / 2 AS i, coalesce(sum(w) FILTER (s <> t), 0) AS e FROM held GROUP BY s
+), owned AS (SELECT subsystem, list(DISTINCT file ORDER BY file) AS files, count(*) AS n FROM owner JOIN nodes USING (file) GROUP BY subsystem HAVING count(*) >= 2
+), m AS (SELECT sum(w) AS m FROM weight)
+SELECT subsystem, CASE WHEN len(files) = 1 THEN subsystem ELSE files[1] END AS name, len(files)::BIGINT AS files, n::BIGINT AS nodes, coalesce(i, 0)::BIGINT AS internal_edges, coalesce(e, 0)::BIGINT AS external_edges,
+  round(CASE WHEN coalesce(i + e, 0) > 0 THEN i / (i + e) ELSE 1 END, 6)::DOUBLE AS cohesion, round(coalesce(i / m - ((2 * i + e) / (2 * m)) ** 2, 0), 6)::DOUBLE AS share
+FROM owned LEFT JOIN edge ON s = subsystem, m"""
+
+
+def modularity(view, body: str) -> str:
+    return view(body, MODULARITY)

@@ -179,29 +179,12 @@ def test_best_edges_and_compression(spark):
     assert {(r["source"], r["target"]) for r in metrics.compress(g, metrics.class_of).collect()} == {("a", "b"), ("a::C", "a::C")}
 
 
-def test_label_propagation_prefers_the_largest_of_equal_labels():
-    assert components.propagate_labels([("a::1", "b::1"), ("a::1", "c::1")])["a::1"] == "c"
-
-
-def test_partitions_attach_small_groups_to_their_module(spark):
-    pairs = [(f"a::{i}", f"a::{j}") for i in range(4) for j in range(i)]
-    g = make(spark, pairs, extra=["a::alone", "q::alone"])
-    parts = {r["id"]: r["partition_id"] for r in components.partitions(g).collect()}
-    assert parts["a::alone"] == parts["a::0"] and parts["q::alone"].startswith("q_")
-
-
 def test_betweenness_of_a_chain(spark):
     g = make(spark, [("a", "b"), ("b", "c"), ("c", "d")])
     found = {r["id"]: r["betweenness"] for r in components.betweenness(g).collect()}
     assert found == pytest.approx({"a": 0, "b": 2 / 6, "c": 2 / 6, "d": 0})
 
 
-def test_modularity_parts_two_cliques():
-    weights = [(f"a{i}", f"a{j}", 1.0) for i in range(4) for j in range(i)] + [(f"b{i}", f"b{j}", 1.0) for i in range(4) for j in range(i)] + [("a0", "b0", 1.0)]
-    own = components.modularity_communities(weights)
-    assert len({own[f"a{i}"] for i in range(4)}) == 1 and own["a1"] != own["b1"]
-
-
 # ---- diffs and hashes
 
 
