@@ -66,22 +66,28 @@ _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder for what goes when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean_up)
+    _written.append((spark, path))
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed now, once, and read back from a table in the shared folder, which goes when the
     application ends. Its lineage is cut, a lost executor costs nothing before it, and its size is known:
     a checkpoint would keep the guess of the plan before, and over the rounds of an iteration those
     guesses are multiplied until planning takes longer than the work."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphloom-tables/{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(clean_up)
-    _written.append((spark, path))
+    path = fresh_path(spark, "graphloom-tables")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clean_up() -> None:
-    """Deletes every table that :func:`durable` wrote."""
+    """Deletes everything at a :func:`fresh_path`."""
     while _written:
         spark, path = _written.pop()
         try:

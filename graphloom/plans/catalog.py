@@ -6,17 +6,18 @@ which grows too; trade, dense and cyclic with parallel edges; ring, sparse and c
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.graph import Graph, shared_folder, validate
+from graphloom.graph import Graph, durable, fresh_path, validate
 from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
 from graphloom.sources import views
+from graphloom.sources.files import file_system
 from graphloom.streaming import events
+from graphloom.streaming.state import KeyedState
 
 from . import formats, index, oracle
 from .expressions import Engine
@@ -38,6 +39,25 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_indexes: dict[tuple, index.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the sales graph over some tables, written once for each session and state of them."""
+    fs, folder = file_system(spark, sf_dir)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
+    if key not in _indexes:
+        path = fresh_path(spark, "graphloom-index")
+        index.write_index(SALES(spark, sf_dir), path)
+        _indexes[key] = index.Index(spark, path)
+    return _indexes[key]
+
+
+def by_index(name: str, run: Callable[[index.Index], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, sf_dir: run(index_of(spark, sf_dir)))
+
+
 def by_file(view):
     """The view with ids that begin with the file, so that files are the modules."""
 
@@ -68,19 +88,27 @@ NATION = "r1::NATION_1"
 add("node_degree_topk", SALES, lambda g: metrics.degrees(g).withColumn("degree", F.col("fan_in") + F.col("fan_out")).orderBy(F.desc("degree"), "id").limit(20),
     oracle.sales(" SELECT *, fan_in + fan_out AS degree FROM deg ORDER BY degree DESC, id LIMIT 20", oracle.DEGREES))
 add("node_degrees", SALES, metrics.degrees, oracle.sales(" SELECT * FROM deg", oracle.DEGREES))
-add("get_node", SALES, lambda g: lookup.get_node(g, MIDDLE).select("id", "file", "type", "line", "layer", "arch_layer"),
+by_index("get_node", lambda i: i.node(MIDDLE).select("id", "file", "type", "line", "layer", "arch_layer"),
     oracle.sales(f" SELECT id, file, type, line, layer, arch_layer FROM nodes WHERE id = '{MIDDLE}'"))
-add("nodes_in_file", SALES, lambda g: lookup.nodes_in_file(g, "nation").select("id", "layer"), oracle.sales(" SELECT id, layer FROM nodes WHERE file = 'nation'"))
-add("get_callers", SALES, lambda g: lookup.callers_of(g, "supplier::3"), oracle.sales(" SELECT source AS caller_id, edge_type, confidence FROM edges WHERE target = 'supplier::3'"))
-add("get_callees", SALES, lambda g: lookup.callees_of(g, START), oracle.sales(f" SELECT target AS callee_id, edge_type, confidence FROM edges WHERE source = '{START}'"))
-add("nodes_at_layer", SALES, lambda g: lookup.nodes_at_layer(g, 1), oracle.sales(" SELECT id FROM nodes WHERE layer = 1"))
+by_index("nodes_in_file", lambda i: i.nodes_in_file("nation").select("id", "layer"), oracle.sales(" SELECT id, layer FROM nodes WHERE file = 'nation'"))
+by_index("get_callers", lambda i: i.callers("supplier::3"), oracle.sales(" SELECT source AS caller_id, edge_type, confidence FROM edges WHERE target = 'supplier::3'"))
+by_index("get_callees", lambda i: i.callees(START), oracle.sales(f" SELECT target AS callee_id, edge_type, confidence FROM edges WHERE source = '{START}'"))
+by_index("nodes_at_layer", lambda i: i.at_layer(1), oracle.sales(" SELECT id FROM nodes WHERE layer = 1"))
 add("nodes_in_arch_layer", SALES, lambda g: lookup.nodes_in_arch_layer(g, "domain").select("id"), oracle.sales(" SELECT id FROM nodes WHERE arch_layer = 'domain'"))
-add("tests_of_node", SALES, lambda g: lookup.tests_of(g, "part::7"), oracle.sales(" SELECT DISTINCT source AS test_id FROM edges WHERE target = 'part::7'"))
-add("nodes_of_test", SALES, lambda g: lookup.nodes_of_test(g, START), oracle.sales(f" SELECT DISTINCT target AS node_id FROM edges WHERE source = '{START}'"))
-add("node_search_ilike", SALES, lambda g: lookup.search_nodes(g, "NATION::*1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE 'nation::%1' ORDER BY id LIMIT 100"))
-add("node_search_contains", SALES, lambda g: lookup.search_nodes(g, "TION::1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE '%tion::1%' ORDER BY id LIMIT 100"))
-add("node_suggest", SALES, lambda g: lookup.suggest(g, "Part::1"), oracle.sales(" SELECT id FROM nodes WHERE starts_with(lower(id), 'part::1') ORDER BY id LIMIT 5"))
-add("node_resolve", SALES, lambda g: lookup.resolve(g, "24"), oracle.sales(" SELECT id FROM nodes WHERE ends_with(id, '::24') ORDER BY id LIMIT 100"))
+by_index("tests_of_node", lambda i: i.tests_of("part::7"), oracle.sales(" SELECT DISTINCT source AS test_id FROM edges WHERE target = 'part::7'"))
+by_index("nodes_of_test", lambda i: i.nodes_of_test(START), oracle.sales(f" SELECT DISTINCT target AS node_id FROM edges WHERE source = '{START}'"))
+by_index("node_search_ilike", lambda i: i.search("NATION::*1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE 'nation::%1' ORDER BY id LIMIT 100"))
+by_index("node_search_contains", lambda i: i.search("TION::1"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE '%tion::1%' ORDER BY id LIMIT 100"))
+by_index("node_suggest", lambda i: i.suggest("Part::1"), oracle.sales(" SELECT id FROM nodes WHERE starts_with(lower(id), 'part::1') ORDER BY id LIMIT 5"))
+by_index("node_resolve", lambda i: i.resolve("24"), oracle.sales(" SELECT id FROM nodes WHERE ends_with(id, '::24') ORDER BY id LIMIT 100"))
+by_index("node_search_rare", lambda i: i.search("customer::*77*"), oracle.sales(" SELECT id FROM nodes WHERE id ILIKE 'customer::%77%' ORDER BY id LIMIT 100"))
+by_index("node_suggest_middle", lambda i: i.suggest("tion::2"), oracle.sales(" SELECT id FROM nodes WHERE contains(id, 'tion::2') ORDER BY id LIMIT 5"))
+by_index("node_suggest_segment", lambda i: i.suggest("supply::119"), oracle.sales(" SELECT id FROM nodes WHERE contains(split_part(id, '::', 2), '119') ORDER BY id LIMIT 5"))
+by_index("node_resolve_exact", lambda i: i.resolve("nation::3"), oracle.sales(" SELECT id FROM nodes WHERE id = 'nation::3'"))
+by_index("node_resolve_part", lambda i: i.resolve("omer::12"), oracle.sales(" SELECT id FROM nodes WHERE contains(id, 'omer::12') ORDER BY id LIMIT 100"))
+by_index("trigram_counts", lambda i: i.table("trigram_counts")[0].where(~F.col("gram").rlike("[0-9]")).select("gram", "n"), oracle.sales("""
+ SELECT g AS gram, count(*)::BIGINT AS n FROM (SELECT DISTINCT id, id[k:k + 2] AS g FROM (SELECT id, unnest(range(1, length(id) - 1)) AS k FROM nodes)) WHERE NOT regexp_matches(g, '[0-9]') GROUP BY g"""))
+by_index("all_node_ids", lambda i: i.node_ids(), oracle.sales(" SELECT id FROM nodes"))
 add("modifiable_nodes", SALES, lambda g: lookup.modifiable(g).groupBy("layer", "modifiable").agg(F.count("*").alias("n")),
     oracle.sales(" SELECT layer, layer IN (3, 4) AS modifiable, count(*)::BIGINT AS n FROM nodes GROUP BY ALL"))
 add("glob_filter", SALES, lambda g: g.nodes.where(lookup.matches("id", "[no]*::[!1-3]?")).select("id"), oracle.sales(" SELECT id FROM nodes WHERE regexp_full_match(id, '[no].*::[^1-3].')"))
@@ -107,9 +135,7 @@ add("graph_validation", SALES, lambda g: validate(g).groupBy("kind").agg(F.count
  UNION ALL SELECT 'tested', target, 1 FROM (SELECT DISTINCT target FROM edges WHERE source = '{START}')"""))
 def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lookups in a written index find."""
-    path = f"{shared_folder(spark)}/graphloom-index/{uuid.uuid4().hex}"
-    index.write_index(SALES(spark, sf_dir), path)
-    i = index.Index(spark, path)
+    i = index_of(spark, sf_dir)
     kind = lambda name, df, column, n=F.lit(1): df.select(F.lit(name).alias("lookup"), F.col(column).alias("found"), n.cast("long").alias("n"))
     out = kind("node", i.node(MIDDLE), "id", F.col("layer"))
     for name, df, column in (("callers", i.callers("supplier::3"), "caller_id"), ("callees", i.callees(START), "callee_id")):
@@ -494,3 +520,19 @@ query("semantic_rules")(lambda spark, d: semantics.rule_findings(described_docum
 
 add("mermaid", RING, formats.mermaid)
 add("json_rows", RING, lambda g: formats.as_json(g.edges), oracle.ring(""" SELECT '{"confidence":"static","edge_type":"call","source":"' || source || '","target":"' || target || '"}' AS value FROM edges"""))
+
+
+@query("latest_events", "SELECT user_id, arg_max(event_id, ts * 1000000000::HUGEINT + event_id) AS event_id FROM (SELECT user_id, event_id, epoch_us(ts)::HUGEINT AS ts FROM events) GROUP BY user_id")
+def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, from a state that takes the events in by twelve batches of time."""
+    e = views.table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    first, last = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).head()
+    state = KeyedState(spark, fresh_path(spark, "graphloom-state"), ["user_id"], "at", buckets=4)
+    if first is None:
+        return e.select("user_id", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    batch = F.least(F.floor((at - first) * 12 / (last - first + 1)), F.lit(11))
+    rows = durable(e.select("user_id", "event_id", F.struct(at.alias("t"), "event_id").alias("at"), batch.alias("batch")))
+    for number in range(12):
+        state.write(rows.where(F.col("batch") == number).drop("batch"), number)
+    return state.read().select("user_id", "event_id")

@@ -1,14 +1,20 @@
-"""The persisted index: six tables of a graph, laid out for lookups.
+"""The persisted index: tables of a graph, laid out for lookups.
 
 Tables are dealt into buckets by a hash of the column they are looked up by, a folder for each, and
 sorted by it inside. A lookup computes the bucket of its key, so that Spark reads one folder and skips
 row groups by their statistics; what it costs does not grow with the graph. Edges are kept twice, by
-target and by source.
+target and by source, pairs of tests and nodes too, and nodes by id and by file.
+
+Searches for a part of an id go by trigrams: a table has a row for each id and each three characters in
+a row in it, and another how many ids have each trigram. Of the trigrams that an answer must have the
+rarest is read, and what is found is held against the pattern. Patterns without three plain characters in
+a row read all ids.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +23,19 @@ from pyspark.sql.types import StructType
 
 from graphloom.graph import Graph
 from graphloom.operators import lookup
+from graphloom.sources.files import read_text, write_atomic
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 1_000_000
 #: Table and the column it is looked up by.
-KEYS = {"nodes": "id", "callers": "target", "callees": "source", "layers": "layer", "tests": "node_id", "dependency_hashes": "id"}
+KEYS = {
+    "nodes": "id", "files": "file", "callers": "target", "callees": "source", "layers": "layer", "tests": "node_id", "tested": "test_id",
+    "trigrams": "gram", "trigram_counts": "gram", "dependency_hashes": "id",
+}
+#: Wildcards are plain characters where a text is no pattern; nothing is known of their trigrams then.
+LITERAL = {ord("*"): "\u00e9", ord("?"): "\u00e9"}
+#: Trigrams of a pattern that are looked up to find the rarest.
+ASKED = 64
 
 
 def bucket(key: Column, buckets: int) -> Column:
@@ -31,31 +45,50 @@ def bucket(key: Column, buckets: int) -> Column:
 def write_index(graph: Graph, path: str, hashes: DataFrame | None = None) -> dict[str, int]:
     """Writes the tables under a path, replacing an index there, and gives their numbers of rows.
     ``hashes`` (id, dependency_hash) are left out if there are none."""
+    pairs, postings = lookup.test_pairs(graph), trigrams(graph.nodes.select("id").distinct())
     tables = {
         "nodes": graph.described(),
+        "files": graph.described(),
         "callers": graph.edges,
         "callees": graph.edges,
         "layers": graph.described().select("id", "layer", "arch_layer"),
-        "tests": lookup.test_pairs(graph),
+        "tests": pairs,
+        "tested": pairs,
+        "trigrams": postings,
+        "trigram_counts": postings.groupBy("gram").agg(F.count("*").alias("n")),
     }
     if hashes is not None:
         tables["dependency_hashes"] = hashes.select("id", "dependency_hash")
     spark = graph.nodes.sparkSession
     rows, edges = graph.nodes.count(), graph.edges.count()
+    about: dict[str, int] = {"callers": edges, "callees": edges, "tests": edges, "tested": edges, "trigrams": 12 * rows}
     counts = {}
     for name, df in tables.items():
-        key, n = KEYS[name], edges if name in ("callers", "callees", "tests") else rows
-        buckets = max(1, n // BUCKET_ROWS)
+        key = KEYS[name]
+        buckets = max(1, about.get(name, rows) // BUCKET_ROWS)
         dealt = df.withColumn("bucket", bucket(F.col(key), buckets))
         # a key may hold any share of the rows, so a bucket is dealt over several tasks and files
         dealt = dealt.repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(4))).sortWithinPartitions("bucket", key)
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        about = spark.createDataFrame([(buckets, dealt.schema.json())], "buckets int, schema string")
-        about.coalesce(1).write.mode("overwrite").json(f"{path}/{name}_about")
+        write_atomic(spark, f"{path}/{name}.json", json.dumps({"buckets": buckets, "schema": dealt.schema.jsonValue()}))
         counts[name] = Index(spark, path).table(name)[0].count()
     return counts
 
 
+def trigrams(ids: DataFrame) -> DataFrame:
+    """(gram, id): the different three characters in a row of each id, in lower case."""
+    low = F.lower("id")
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return ids.where(F.length(low) >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), "id")
+
+
+def grams_of(pattern: str) -> list[str]:
+    """Trigrams that ids matching a glob must have. Characters beyond ASCII are left out, as lower case
+    is not the same everywhere."""
+    found = {run[i : i + 3].lower() for run in re.split(r"[*?]", pattern) for i in range(len(run) - 2)}
+    return sorted(g for g in found if g.isascii())[:ASKED]
+
+
 @dataclass
 class Index:
     """Lookups in what :func:`write_index` wrote. Tables are opened once."""
@@ -66,15 +99,16 @@ class Index:
 
     def table(self, name: str) -> tuple[DataFrame, int]:
         if name not in self.opened:
-            about = self.spark.read.schema("buckets int, schema string").json(f"{self.path}/{name}_about").first()
-            schema = StructType.fromJson(json.loads(about["schema"]))  # an empty table has no files to tell it
+            about = json.loads(read_text(self.spark, f"{self.path}/{name}.json"))
+            schema = StructType.fromJson(about["schema"])  # an empty table has no files to tell it
             self.opened[name] = (self.spark.read.schema(schema).parquet(f"{self.path}/{name}"), about["buckets"])
         return self.opened[name]
 
-    def rows(self, name: str, key: str | int) -> DataFrame:
+    def rows(self, name: str, *keys: str | int) -> DataFrame:
+        """The rows of some keys."""
         df, buckets = self.table(name)
-        column = KEYS[name]
-        return df.where((F.col("bucket") == bucket(F.lit(key), buckets)) & (F.col(column) == key)).drop("bucket")
+        there = F.col("bucket").isin(*(bucket(F.lit(k), buckets) for k in keys))  # folded, so only these are listed
+        return df.where(there & F.col(KEYS[name]).isin(*keys)).drop("bucket")
 
     def node(self, node_id: str) -> DataFrame:
         return self.rows("nodes", node_id)
@@ -83,7 +117,7 @@ class Index:
         return self.table("nodes")[0].select("id").orderBy("id")
 
     def nodes_in_file(self, file: str) -> DataFrame:
-        return self.table("nodes")[0].where(F.col("file") == file).drop("bucket")
+        return self.rows("files", file)
 
     def callers(self, node_id: str) -> DataFrame:
         return self.rows("callers", node_id).select(F.col("source").alias("caller_id"), "edge_type", "confidence")
@@ -98,7 +132,7 @@ class Index:
         return self.rows("tests", node_id).select("test_id").distinct()
 
     def nodes_of_test(self, test_id: str) -> DataFrame:
-        return self.table("tests")[0].where(F.col("test_id") == test_id).select("node_id").distinct()
+        return self.rows("tested", test_id).select("node_id").distinct()
 
     def dependency_hash(self, node_id: str) -> DataFrame:
         return self.rows("dependency_hashes", node_id).select("id", "dependency_hash")
@@ -106,8 +140,23 @@ class Index:
     def dependency_hashes(self) -> DataFrame:
         return self.table("dependency_hashes")[0].drop("bucket")
 
+    def candidates(self, pattern: str) -> DataFrame:
+        """(id) of the nodes that have the rarest trigram of a glob: all that match it, and others."""
+        grams = grams_of(pattern)
+        if not grams:
+            return self.table("nodes")[0].select("id")
+        counts = {r["gram"]: r["n"] for r in self.rows("trigram_counts", *grams).collect()}
+        return self.rows("trigrams", min(grams, key=lambda g: (counts.get(g, 0), g))).select("id")
+
     def search(self, pattern: str, limit: int = 100) -> DataFrame:
-        return self.table("nodes")[0].where(F.col("id").ilike(lookup.like_pattern(pattern))).select("id").orderBy("id").limit(limit)
+        return lookup.search_nodes(Graph(self.candidates(pattern), self.table("callees")[0]), pattern, limit)
+
+    def suggest(self, text: str, limit: int = 5) -> DataFrame:
+        """Whatever kind of likeness finds something, the ids hold the last segment of the text."""
+        return lookup.suggest(Graph(self.candidates(text.rsplit("::", 1)[-1].translate(LITERAL)), self.table("callees")[0]), text, limit)
+
+    def resolve(self, needle: str, limit: int = 100) -> DataFrame:
+        return lookup.resolve(Graph(self.candidates(needle), self.table("callees")[0]), needle, limit)
 
     def graph(self) -> Graph:
         """The graph itself, for what is more than a lookup."""

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import ANNOTATION, EDGE, NODE, SEMANTICS, Graph
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text so that readers see the old file or the whole new one: under another name
+    first, which then takes the place of the old."""
+    fs, where = file_system(spark, path)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(where), options)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file whole."""
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def _rows(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     doc = spark.read.schema(f"{key} array<struct<{schema}>>").option("multiLine", True).json(path)
     return doc.select(F.explode(key).alias("x")).select("x.*")

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.graph import durable
+
+from .state import BUCKETS, KeyedState
+
 
 def with_time(events: DataFrame) -> DataFrame:
     """Events whose ts has no zone, read as UTC, since watermarks need an instant."""
@@ -34,34 +38,64 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "1 day") -> Data
     return out.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+#: Changed files up to which they are opened by name; beyond, by the time of the first change.
+BY_NAME = 10_000
+
+
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, modified, content_hash) of the files under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_hash"))
+    """(path, length, modified) of the files under a folder; none is opened."""
+    return _binary(spark, glob).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def _binary(spark: SparkSession, glob: str):
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
 
 
-def changed_files(before: DataFrame | None, now: DataFrame) -> DataFrame:
-    """(path, change, modified, content_hash): files that came, were rewritten or went between two
-    listings. A file that was only touched has not changed."""
+def hashed(spark: SparkSession, folder: str, files: DataFrame, glob: str = "*") -> DataFrame:
+    """``files`` (path, length, modified, ...) with a hash of their contents. Only they are opened, or,
+    where there are very many, files as new as the oldest of them."""
+    some = files.select("path", "modified").limit(BY_NAME + 1).collect()
+    if not some:
+        return files.withColumn("content_hash", F.lit(None).cast("string"))
+    if len(some) <= BY_NAME:
+        opened = spark.read.format("binaryFile").load([r["path"] for r in some])
+    else:
+        since = files.agg(F.min("modified")).head()[0]
+        opened = _binary(spark, glob).load(folder).where(F.col("modificationTime") >= F.lit(since))
+    return files.join(opened.select("path", F.sha2("content", 256).alias("content_hash")), "path")
+
+
+def changed_files(before: DataFrame | None, now: DataFrame, hashes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(path, change, length, modified, content_hash): files that came, were rewritten or went between two
+    listings, and those that were touched only. ``before`` has hashes; ``hashes`` finds them for files
+    that are new, or have another length or time."""
     if before is None:
-        return now.select("path", F.lit("added").alias("change"), "modified", "content_hash")
-    old = before.select("path", F.col("content_hash").alias("old"))
-    both = now.withColumn("there", F.lit(True)).join(old, "path", "full")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("there").isNull(), "removed").when(F.col("old") != F.col("content_hash"), "modified")
-    return both.select("path", change.alias("change"), "modified", "content_hash").where("change is not null")
+        return hashes(now).select("path", F.lit("added").alias("change"), "length", "modified", "content_hash")
+    old = before.select("path", F.col("length").alias("old_length"), F.col("modified").alias("old_modified"), F.col("content_hash").alias("old_hash"))
+    other = F.col("old_length").isNull() | (F.col("length") != F.col("old_length")) | (F.col("modified") != F.col("old_modified"))
+    differ = hashes(now.join(old, "path", "left").where(other))
+    change = F.when(F.col("old_hash").isNull(), "added").when(F.col("old_hash") != F.col("content_hash"), "modified").otherwise("touched")
+    came = differ.select("path", change.alias("change"), "length", "modified", "content_hash")
+    gone = old.join(now, "path", "left_anti").select("path", F.lit("removed").alias("change"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"), F.lit(None).cast("string").alias("content_hash"))
+    return came.unionByName(gone)
 
 
 def watch_files(spark: SparkSession, folder: str, state_path: str, update: Callable[[DataFrame, int, str], None], glob: str = "*", checkpoint: str | None = None, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
-    """Calls ``update(changes, number, depth)`` with the :func:`changed_files` of a folder, trigger by
-    trigger. Spark's own file source knows a file by its path and never reports that it was rewritten or
-    removed, so each trigger compares a listing with the one before, kept as a version under
-    ``state_path``; a trigger that is repeated after a failure compares the same two."""
+    """Calls ``update(changes, number, depth)`` with the files of a folder that came, were rewritten or
+    went (path, change, modified, content_hash), trigger by trigger. Spark's own file source knows a file by its
+    path and never reports that it was rewritten or removed, so each trigger compares a listing with the
+    one before, which is kept in a :class:`KeyedState` that takes in what changed. Files are opened only if
+    their length or time differs; a file that was only touched has not changed. A trigger that is repeated
+    after a failure compares the same two."""
+    state = KeyedState(spark, state_path, ["path"], "modified", removed="gone")
 
     def run(_: DataFrame, number: int) -> None:
-        before = versions_before(spark, state_path, number)
-        listing(spark, folder, glob).write.mode("overwrite").parquet(f"{state_path}/version={number}")
-        now = spark.read.parquet(f"{state_path}/version={number}")
-        changes = changed_files(None if before is None else spark.read.parquet(f"{state_path}/version={before}"), now)
+        found = changed_files(state.read(number), listing(spark, folder, glob), lambda files: hashed(spark, folder, files, glob))
+        found = durable(found)
+        if found.isEmpty():
+            return
+        state.write(found.select("path", "length", "modified", "content_hash", (F.col("change") == "removed").alias("gone")), number)
+        changes = found.where("change <> 'touched'").drop("length")
         if not changes.isEmpty():
             update(changes, number, depth_of(changes))
 
@@ -98,32 +132,10 @@ def maintain(changes: DataFrame, update: Callable[[DataFrame, int, str], None],
     return writer.trigger(**({"availableNow": True} if once else {"processingTime": every})).start()
 
 
-def upsert(state_path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each key in a table of versions, a folder for each batch; a
-    batch that is repeated writes the same folder again."""
+def upsert(state_path: str, key: list[str], order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key in a :class:`KeyedState`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
-
-        spark = batch.sparkSession
-        w = Window.partitionBy(*key).orderBy(F.desc(order))
-        rows = batch.select("*", F.row_number().over(w).alias("__r")).where("__r = 1").drop("__r")
-        before = versions_before(spark, state_path, number)
-        if before is not None:
-            old = spark.read.parquet(f"{state_path}/version={before}")
-            rows = old.join(rows.select(*key), key, "left_anti").unionByName(rows.select(old.columns))
-        rows.write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        KeyedState(batch.sparkSession, state_path, key, order, buckets=buckets).write(batch, number)
 
     return write
-
-
-def versions_before(spark: SparkSession, state_path: str, number: int) -> int | None:
-    """The newest version below a number; batches without rows have none."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(state_path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in files.listStatus(folder)]
-    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-    return max((n for n in found if n < number), default=None)

@@ -1,6 +1,8 @@
 """The graph operators on small graphs with awkward shapes, and every registered query against SQL."""
 
+import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -13,6 +15,7 @@ from graphloom.plans import catalog, formats, index
 from graphloom.plans.expressions import Engine, QueryError, parse, render
 from graphloom.sources import code, files, runtime
 from graphloom.streaming import events
+from graphloom.streaming.state import KeyedState
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -115,6 +118,30 @@ def test_index_lookups(spark, awkward, tmp_path):
     assert i.graph().edges.exceptAll(awkward.edges.select(i.graph().edges.columns)).count() == 0
 
 
+def test_searches_by_trigram(spark, tmp_path):
+    names = ["Src/App.py::Run", "src/app.py::runner", "lib/x.py::a*b", "lib/\u0130x.py::c", "z", "src/main.py::go"]
+    g = make(spark, [], extra=names)
+    index.write_index(g, str(tmp_path / "i"))
+    i = index.Index(spark, str(tmp_path / "i"))
+    for pattern in ("*APP*", "run", "src/*go", "??", "zz", "a*b", "nothing here", "*", "\u0130x", "x.py"):
+        assert ids(i.search(pattern)) == ids(lookup.search_nodes(g, pattern)), pattern
+        assert ids(i.suggest(pattern)) == ids(lookup.suggest(g, pattern)), pattern
+        assert ids(i.resolve(pattern)) == ids(lookup.resolve(g, pattern)), pattern
+    assert ids(i.nodes_in_file("src/app.py")) == ["src/app.py::runner"]
+
+
+def test_a_search_reads_the_buckets_of_its_trigrams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_ROWS", 50)
+    g = make(spark, [], extra=[f"mod{k % 7}::name{k}" for k in range(120)])
+    index.write_index(g, str(tmp_path / "i"))
+    i = index.Index(spark, str(tmp_path / "i"))
+    assert ids(i.search("*name119")) == ["mod0::name119"]
+    found = i.candidates("*name119")
+    # of the folders of the trigram table only that of the rarest one is listed
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (= \d+|IN )", found._jdf.queryExecution().executedPlan().toString())
+    assert len(list((tmp_path / "i" / "trigrams").glob("bucket=*"))) > 10 and found.count() == 1
+
+
 def test_paths(awkward):
     assert traverse.path(awkward, "a::1", "b::4").first()["path"] == ["a::1", "a::2", "a::3", "b::1", "b::2", "b::4"]
     assert traverse.path(awkward, "a::1", "a::1").first()["path"] == ["a::1"]
@@ -449,16 +476,53 @@ def test_watcher_sees_new_rewritten_and_removed_files(spark, tmp_path):
     tick()
     (src / "c").write_text("1")  # touched only
     tick()
-    assert seen == [({("a", "added"), ("b", "added"), ("c", "added")}, "affected"), ({("a", "modified"), ("b", "removed"), ("d", "added")}, "affected")]
+    old = (src / "c").stat()
+    (src / "c").write_text("2")  # of the same length, and the time put back: not opened, so not seen
+    os.utime(src / "c", ns=(old.st_atime_ns, old.st_mtime_ns))
+    (src / "e").write_text("1")
+    tick()
+    assert seen == [
+        ({("a", "added"), ("b", "added"), ("c", "added")}, "affected"), ({("a", "modified"), ("b", "removed"), ("d", "added")}, "affected"), ({("e", "added")}, "local"),
+    ]
+    events.BY_NAME, named = 0, events.BY_NAME
+    try:
+        (src / "c").write_text("33")
+        tick()
+    finally:
+        events.BY_NAME = named
+    assert seen[-1] == ({("c", "modified")}, "local")
 
 
 def test_upsert_keeps_the_newest(spark, tmp_path):
-    write, state = events.upsert(str(tmp_path / "state"), ["path"], "modified"), str(tmp_path / "state")
+    write, state = events.upsert(str(tmp_path / "state"), ["path"], "modified"), KeyedState(spark, str(tmp_path / "state"), ["path"], "modified")
     batch = lambda *rows: spark.createDataFrame(rows, "path string, modified long")
     write(batch(("a", 1), ("b", 1)), 0)
     write(batch(("a", 2), ("a", 3)), 1)
     write(batch(("a", 2), ("a", 3)), 1)  # repeated after a failure
-    assert {(r["path"], r["modified"]) for r in spark.read.parquet(f"{state}/version=1").collect()} == {("a", 3), ("b", 1)}
+    assert {(r["path"], r["modified"]) for r in state.read().collect()} == {("a", 3), ("b", 1)}
+    assert {(r["path"], r["modified"]) for r in state.read(1).collect()} == {("a", 1), ("b", 1)} and state.read(0) is None
+
+
+def test_a_state_writes_what_changed_and_lets_old_folders_go(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state = KeyedState(spark, path, ["k"], "at", removed="gone", buckets=4)
+    rows = lambda ids, at, gone=False: spark.createDataFrame([(i, at, "x" * 50, gone) for i in ids], "k long, at long, v string, gone boolean")
+    size = lambda: {f: f.stat().st_size for f in (tmp_path / "state" / "data").rglob("*.parquet")}
+    state.write(rows(range(4000), 0), 0)
+    want, first = dict.fromkeys(range(4000), 0), sum(size().values())
+    for n in range(1, 24):
+        before = size()
+        state.write(rows([n, n + 1, 10_000 + n], n), n) if n % 5 else state.write(rows([n, 2000 + n], n, True), n)
+        if n % 5:
+            want |= dict.fromkeys((n, n + 1, 10_000 + n), n)
+        else:
+            want.pop(n, None)
+            want.pop(2000 + n, None)
+        fresh = [s for f, s in size().items() if f not in before and "merged" not in str(f)]
+        assert sum(fresh) < first / 3  # a batch of a few rows writes a few rows
+    assert {r["k"]: r["at"] for r in state.read().collect()} == want
+    assert len(state.numbers()) == 2 and len(list((tmp_path / "state" / "data").iterdir())) < 24
+    assert any("merged" in str(f) for f in size())
 
 
 def test_the_last_change_of_a_burst_is_reported(spark, tmp_path):
