@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import Graph, durable, fresh_path, validate
-from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planning, policy, score, semantics, simulate, traverse
+from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planned, planning, policy, score, semantics, simulate, traverse
 from graphloom.sources import views
 from graphloom.sources.files import file_system
 from graphloom.streaming import events
@@ -435,6 +435,26 @@ query("structural_effects")(changed(simulate.structural_effects))
 query("simulate_edges_delta", oracle.ring(" SELECT count(*)::BIGINT AS n FROM edges WHERE NOT (source = 'r0::NATION_0' AND target = 'r1::NATION_1')").replace("count(*)::BIGINT", "(count(*) + 1)::BIGINT"))(
     changed(lambda g, c: simulate.apply_changes(g, c).edges.agg(F.count("*").alias("n"))))
 
+PLAN = [
+    ("rename_node", "supplier::4", "supplier::four"), ("remove_node", "supplier::2"), ("add_node", "supplier::2"), ("add_edge", "supplier::2", "supplier::four"), ("add_edge", "supplier::four", "customer::0"),
+    ("remove_edge", "supplier::6", "supplier::7"), ("add_edge", "supplier::9", "supplier::3", "event"), ("remove_node", "customer::9"), ("rename_node", "supplier::four", "supplier::04"),
+]
+PLANNED = """planned AS (
+  SELECT replace('/' || source || '/', '/supplier::4/', '/supplier::04/') AS s, replace('/' || target || '/', '/supplier::4/', '/supplier::04/') AS t FROM edges
+  WHERE source NOT IN ('supplier::2', 'customer::9') AND target NOT IN ('supplier::2', 'customer::9') AND NOT (source = 'supplier::6' AND target = 'supplier::7' AND edge_type = 'call')
+  UNION ALL VALUES ('/supplier::2/', '/supplier::04/'), ('/supplier::04/', '/customer::0/'), ('/supplier::9/', '/supplier::3/')
+), wire AS (SELECT s[2:-2] AS source, t[2:-2] AS target FROM planned)"""
+
+
+def laid_over(run) -> Query:
+    return on(PARTNERS, lambda g: run(planned.planned(g, planned.change_list(g.nodes.sparkSession, PLAN))))
+
+
+query("planned_edges", oracle.partners(" SELECT source, target, count(*)::BIGINT AS n FROM wire GROUP BY ALL", PLANNED))(laid_over(lambda g: g.edges.groupBy("source", "target").agg(F.count("*").alias("n"))))
+query("planned_nodes", oracle.partners(" SELECT replace(id || '/', 'supplier::4/', 'supplier::04/').replace('/', '') AS id FROM nodes WHERE id <> 'customer::9'"))(laid_over(lambda g: g.nodes.select("id")))
+query("planned_dependents", oracle.partners(" SELECT node AS id FROM walk WHERE node <> 'supplier::04'", PLANNED, "walk(node) AS (SELECT source FROM wire WHERE target = 'supplier::04' UNION SELECT w.source FROM walk JOIN wire w ON w.target = walk.node)"))(
+    laid_over(lambda g: traverse.dependents(g, "supplier::04").select("id").where("id <> 'supplier::04'")))
+
 # ---- events, documents, pages
 
 query("event_transitions", """SELECT event_type AS source, nxt AS target, count(*)::BIGINT AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL""")(
