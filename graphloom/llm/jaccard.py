@@ -6,10 +6,15 @@ bucket at most and the number of differing buckets is a lower bound of that diff
 size band that reach the threshold differ in at most ``t`` shingles (:func:`band_shape`), so with
 more than ``t`` buckets one of them is equal in both: equal buckets are the join keys. Thin buckets,
 empty or of one shingle, tell little and would bring all texts with one common line together. There
-are spare buckets, so that more than ``t`` are not thin and those alone are keys; a set with too few
-of them has keys for its thin ones too. As an equal bucket is thin in both sets or in neither, no
+are spare buckets, so that more are not thin than can differ and those alone are keys; a set with too
+few of them has keys for its thin ones too. As an equal bucket is thin in both sets or in neither, no
 pair over the threshold is missed.
 
+Linked sets have more than one key in common where a set has more keys than buckets can differ, so each
+set may do without as many of its keys as it has to spare. Those that most sets have go (prefix
+filtering: of the keys that two linked sets share, the one that fewest sets have stays in both). These
+are the keys made of passages that many unlike texts share.
+
 A candidate pair is first held against bit sketches, the parities of shingle hashes modulo a power
 of two, whose Hamming distance is a lower bound of the symmetric difference as well; what is left is
 verified on the texts.
@@ -44,8 +49,8 @@ from .common import M2, cut, mix, small_batches, with_text_ids
 from .components import contract
 from .shingles import WordHashes, shingle_set
 
-#: Ratio of the largest to the smallest set size of a band.
-BAND = 1.25
+#: Ratio of the largest to the smallest set size of a band, and its spare buckets in each one that may differ.
+BAND, SLACK = 1.25, 0.25
 #: Members of a group that share one copy of their pivot's text, and parts into which they are dealt.
 SHARE, SALTS = 256, 64
 #: Members of a group, and bytes of their sketches, that are compared with one another in one piece;
@@ -68,7 +73,13 @@ def band_shape(band: int, percent: int) -> tuple[int, int]:
     differ in at most (100 - p) / (100 + p) of the sum of their sizes."""
     largest = math.ceil(BAND ** (band + 1))
     t = (100 - percent) * 2 * largest // (100 + percent)
-    return t, t + 1 + (0 if t == 0 else 1 if t < 4 else 1 + math.ceil(0.13 * (t + 1)))
+    return t, t + 1 + (0 if t == 0 else 1 if t < 4 else 1 + math.ceil(SLACK * (t + 1)))
+
+
+def most_differing(n: int, band: int, percent: int) -> int:
+    """Most differing shingles of a set of n and a linked one of the band."""
+    other = min(math.ceil(BAND ** (band + 1)), n * 100 // percent)
+    return (100 - percent) * (n + other) // (100 + percent)
 
 
 def bands(n: int, percent: int) -> list[int]:
@@ -77,24 +88,30 @@ def bands(n: int, percent: int) -> list[int]:
     return [own] if band_of(n * 100 // percent + 1) == own else [own, own + 1]
 
 
-def join_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: hashes of (band, bucket, XOR of the bucket)."""
-    out = []
+def join_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set, hashes of (band, bucket, XOR of the bucket), with the band of each and how many
+    keys of it the set has to spare."""
+    out, of, spare = [], [], []
     for band in bands(len(shingles), percent):
         t, buckets = band_shape(band, percent)
+        own = most_differing(len(shingles), band, percent)
         at = ((shingles >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         at = at[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         xors = np.bitwise_xor.reduceat(mix(shingles[order]), starts)
         used, good = at[starts], np.diff(np.r_[starts, len(at)]) >= (1 if t < 4 else 2)
-        if good.sum() > t:
+        if good.sum() > own:
             used, xors = used[good], xors[good]
+            spare.append(len(used) - own - 1)
         else:  # all equal buckets might be thin ones
             empty = np.setdiff1d(np.arange(buckets), used)
             used, xors = np.r_[used, empty], np.r_[xors, np.zeros(len(empty), np.uint64)]
+            spare.append(0)
         out.append(mix(xors ^ mix(used.astype(np.uint64) * M2 + np.uint64(band + 1))))
-    return np.concatenate(out).view(np.int64)
+        of.append(band)
+    sizes = [len(k) for k in out]
+    return np.concatenate(out).view(np.int64), np.repeat(np.array(of, np.int32), sizes), np.repeat(np.array(spare, np.int32), sizes)
 
 
 def bit_sketch(shingles: np.ndarray, percent: int) -> bytes:
@@ -168,8 +185,8 @@ def _emit_keys(width: int, percent: int, firsts: dict[tuple[int, int], str]):
                 seen.add(ident)
                 k = join_keys(s, percent)
                 keys.append(k)
-                nodes.append((ident, len(k)))
-                held += len(k)
+                nodes.append((ident, len(k[0])))
+                held += len(k[0])
                 if held > 50_000:
                     yield _key_rows(keys, nodes)
                     keys, nodes, held = [], [], 0
@@ -181,7 +198,8 @@ def _emit_keys(width: int, percent: int, firsts: dict[tuple[int, int], str]):
 
 def _key_rows(keys: list, nodes: list) -> pd.DataFrame:
     reps = [n for _, n in nodes]
-    return pd.DataFrame({"key": np.concatenate(keys), "h1": np.repeat([a for (a, _), _ in nodes], reps), "h2": np.repeat([b for (_, b), _ in nodes], reps)})
+    key, band, spare = (np.concatenate(x) for x in zip(*keys, strict=True))
+    return pd.DataFrame({"key": key, "band": band, "spare": spare, "h1": np.repeat([a for (a, _), _ in nodes], reps), "h2": np.repeat([b for (_, b), _ in nodes], reps)})
 
 
 def _verify(width: int, percent: int):
@@ -301,11 +319,11 @@ def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 
 def _shared_keys(docs: DataFrame, width: int, percent: int, firsts: dict) -> DataFrame:
-    """(key, h1, h2, n) of the keys that several sets have; n tells about how many. Most keys are of
+    """(key, band, spare, h1, h2) of the keys that several sets have. Most keys are of
     one set alone and go after one shuffle by key. The rows of a large group of similar sets would
     meet in one task: which keys have many is told by a part of the texts, at most HOT_KEYS, and their
     rows all stay and are dealt over SALTS tasks."""
-    schema = "key long, h1 long, h2 long"
+    schema = "key long, band int, spare int, h1 long, h2 long"
     emit = _emit_keys(width, percent, firsts)
     part = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(PART)) == 0).mapInPandas(emit, schema)
     counts = part.groupBy("key").count().where(F.col("count") >= HOT_ROWS // PART)
@@ -313,8 +331,16 @@ def _shared_keys(docs: DataFrame, width: int, percent: int, firsts: dict) -> Dat
     rows = docs.mapInPandas(emit, schema).join(F.broadcast(hot), "key", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h1", F.lit(7)), F.lit(SALTS))).otherwise(0).cast("int"))
     together = Window.partitionBy("key", "salt")
-    rows = rows.withColumns({"low": F.min("h1").over(together), "high": F.max("h1").over(together), "n": F.count("*").over(together)})
-    return rows.where("hot or low <> high").select("key", "h1", "h2", "n")
+    rows = rows.withColumns({"low": F.min("h1").over(together), "high": F.max("h1").over(together)})
+    return rows.where("hot or low <> high").select("key", "band", "spare", "h1", "h2")
+
+
+def _without_spare(named: DataFrame) -> DataFrame:
+    """(key, node) without the keys (key, node, band, spare) that a set has to spare, those of most sets
+    first."""
+    sizes = cut(named.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "sizes")
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("sets"), "key"))
+    return named.join(sizes, "key").withColumn("place", place).where("place > spare").select("key", "node")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -338,8 +364,10 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = classes.drop("copies")
 
     shared = cut(_shared_keys(docs, width, percent, firsts), "keys")
-    named = shared.join(classes.drop("first"), ["h1", "h2"]).groupBy("key", "node").agg(F.max("n").alias("n"))
-    named = cut(named, "named")
+    named = cut(shared.join(classes.drop("first"), ["h1", "h2"]).select("key", "node", "band", "spare").distinct(), "named")
+    named = cut(_without_spare(named), "kept")
+    groups = cut(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    named = cut(named.join(groups, "key"), "named")
     score = cut(named.groupBy("node").agg(F.sum("n").alias("score")), "scores")
     named = named.drop("n")
     pivots = named.join(score, "node").groupBy("key").agg(F.max(F.struct("score", F.negative("node").alias("minus"))).alias("top"))
