@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.graph import Graph, durable, fresh_path, validate
-from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planned, planning, policy, score, semantics, simulate, traverse
+from graphloom.operators import cas, communities, components, diff, evidence, governance, history, lookup, metrics, planned, planning, policy, score, search, semantics, simulate, traverse
 from graphloom.sources import views
 from graphloom.sources.files import file_system
 from graphloom.streaming import events
@@ -455,6 +455,69 @@ query("planned_nodes", oracle.partners(" SELECT replace(id || '/', 'supplier::4/
 query("planned_dependents", oracle.partners(" SELECT node AS id FROM walk WHERE node <> 'supplier::04'", PLANNED, "walk(node) AS (SELECT source FROM wire WHERE target = 'supplier::04' UNION SELECT w.source FROM walk JOIN wire w ON w.target = walk.node)"))(
     laid_over(lambda g: traverse.dependents(g, "supplier::04").select("id").where("id <> 'supplier::04'")))
 
+
+
+def partner_moves(g: Graph) -> DataFrame:
+    """Changes of the partners graph: edges back within a row go, the end of a row calls its beginning, some
+    customers call a supplier further on."""
+    name = lambda kind, key: F.concat(F.lit(kind + "::"), key.cast("string"))
+    n, at = g.nodes.select("id", "line"), F.col("line")
+    s, c = n.where("id like 'supplier%'"), n.where("id like 'customer%' and line % 150 = 0")
+    parts = [
+        s.where("line % 8 = 5").select(F.concat(F.lit("cut "), at).alias("candidate"), F.lit("remove").alias("change"), name("supplier", at).alias("source"), name("supplier", at - 3).alias("target")),
+        s.where("line % 8 = 7").select(F.concat(F.lit("wrap "), at), F.lit("add"), name("supplier", at), name("supplier", at - 7)),
+        c.select(F.concat(F.lit("far "), at), F.lit("add"), name("customer", at), name("supplier", F.expr("line div 15 + 9"))),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+add("candidate_metrics", PARTNERS, lambda g: search.scored(search.evaluate(g, partner_moves(g))), oracle.partners(""", counted AS (
+  SELECT candidate, count(*) AS n, count(*) FILTER (s.file IS DISTINCT FROM t.file) AS outside FROM wire LEFT JOIN nodes s ON s.id = source LEFT JOIN nodes t ON t.id = target GROUP BY candidate
+), fan AS (SELECT candidate, max(k) AS k FROM (SELECT candidate, source, count(*) AS k FROM wire GROUP BY ALL) GROUP BY candidate
+), now AS (SELECT count(*) AS n, count(*) FILTER (s.file <> t.file) AS outside, (SELECT max(k) FROM (SELECT count(*) AS k FROM edges GROUP BY source)) AS k FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target
+), x AS (
+  SELECT m.candidate, c.n::BIGINT AS edges, round(c.outside / c.n, 6) AS coupling, round(now.outside / now.n, 6) AS coupling_before,
+    (SELECT count(*) FROM nodes s, nodes t WHERE m.change = 'add' AND s.id = m.source AND t.id = m.target AND s.layer < t.layer)::BIGINT AS violations_added, f.k::BIGINT AS max_fan_out, now.k::BIGINT AS max_fan_out_before,
+    (m.change = 'add' AND EXISTS (SELECT 1 FROM walk w WHERE w.candidate = m.candidate AND o = m.target AND node = m.source))::BIGINT AS cycles_closed,
+    (m.change = 'remove' AND EXISTS (SELECT 1 FROM walk w WHERE w.candidate = '' AND o = m.target AND node = m.source)
+      AND NOT (EXISTS (SELECT 1 FROM walk w WHERE w.candidate = m.candidate AND o = m.target AND node = m.source) AND EXISTS (SELECT 1 FROM walk w WHERE w.candidate = m.candidate AND o = m.source AND node = m.target)))::BIGINT AS cycles_opened
+  FROM move m JOIN counted c USING (candidate) JOIN fan f USING (candidate), now
+)
+SELECT *, cycles_closed = 0 AS safe, round(CASE WHEN cycles_closed = 0 THEN least(1.0::DOUBLE, CASE WHEN coupling > 0 THEN 0.25::DOUBLE * greatest(0, least(1, 0.5 + 5 * (coupling_before - coupling))) ELSE 0.125 END
+  + 0.15::DOUBLE * greatest(0, least(1, (max_fan_out_before - max_fan_out) / 5)) + CASE WHEN violations_added = 0 THEN 0.1::DOUBLE ELSE 0 END + 0.05::DOUBLE + 0.1::DOUBLE * cycles_opened) ELSE -1 END, 6)::DOUBLE AS score FROM x""",
+    """move AS (
+  SELECT 'cut ' || s_suppkey AS candidate, 'remove' AS change, 'supplier::' || s_suppkey AS source, 'supplier::' || (s_suppkey - 3) AS target FROM supplier WHERE s_suppkey % 8 = 5
+  UNION ALL SELECT 'wrap ' || s_suppkey, 'add', 'supplier::' || s_suppkey, 'supplier::' || (s_suppkey - 7) FROM supplier WHERE s_suppkey % 8 = 7
+  UNION ALL SELECT 'far ' || c_custkey, 'add', 'customer::' || c_custkey, 'supplier::' || (c_custkey // 15 + 9) FROM customer WHERE c_custkey % 150 = 0
+), wire AS (
+  SELECT m.candidate, e.source, e.target FROM move m, edges e WHERE NOT (m.change = 'remove' AND e.source = m.source AND e.target = m.target) UNION ALL SELECT candidate, source, target FROM move WHERE change = 'add'
+  UNION ALL SELECT '', source, target FROM edges
+), ask AS (SELECT candidate, source AS o FROM move UNION SELECT candidate, target FROM move UNION SELECT '', target FROM move WHERE change = 'remove'
+), walk(candidate, o, node) AS (SELECT a.candidate, a.o, w.target FROM ask a JOIN wire w ON w.candidate = a.candidate AND w.source = a.o UNION SELECT k.candidate, k.o, w.target FROM walk k JOIN wire w ON w.candidate = k.candidate AND w.source = k.node)"""))
+add("arch_search", PARTNERS, lambda g: search.search(g, partner_moves(g), 3, 2).select("round", "place", "candidate", "score", "cycles_opened"))
+
+
+def rated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as candidates: prices, sizes and keys stand for what is predicted of them."""
+    p = views.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    rows = p.select(
+        k.alias("candidate"), (k * 7919 % 101 / 100.0).alias("predicted_score"), (k * 104729 % 61 / 100.0).alias("predicted_coupling"), (k * 15485863 % 9).cast("int").alias("predicted_cycles"),
+        (k * 32452843 % 40).cast("int").alias("predicted_max_fan_out"), (k % 4).cast("int").alias("predicted_god_modules"),
+    )
+    return search.objectives(rows, spark.createDataFrame([(0.4, 0.5, 8)], "score double, coupling double, cycles int"))
+
+
+RATED = """WITH p AS (SELECT p_partkey AS candidate, p_partkey::HUGEINT AS k FROM part), x AS (
+ SELECT candidate, round(least(1, (k * 7919 % 101)::DOUBLE / 100), 6) AS modularity, round(greatest(0, least(1, (0.5::DOUBLE - (k * 104729 % 61)::DOUBLE / 100) / 0.5)), 6) AS coupling_reduction,
+  round(greatest(0, (8 - (k * 15485863 % 9)::DOUBLE) / 8), 6) AS cycle_reduction, round(greatest(0, 1::DOUBLE - (k * 32452843 % 40)::DOUBLE / 50 - (k % 4)::DOUBLE * 0.1::DOUBLE), 6) AS maintainability FROM p
+), r AS (SELECT *, round(0.4::DOUBLE * modularity + 0.3::DOUBLE * coupling_reduction + 0.2::DOUBLE * cycle_reduction + 0.1::DOUBLE * maintainability, 6) AS objective_score FROM x)"""
+query("objective_scores", RATED + " SELECT candidate, modularity, coupling_reduction, cycle_reduction, maintainability, objective_score FROM r WHERE modularity >= 0.4::DOUBLE * 0.98")(
+    lambda spark, d: search.without_degrading(rated_parts(spark, d), 0.4).select("candidate", *search.OBJECTIVES, "objective_score"))
+query("objective_front", RATED + """ SELECT candidate FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.modularity >= r.modularity AND o.coupling_reduction >= r.coupling_reduction AND o.cycle_reduction >= r.cycle_reduction
+ AND o.maintainability >= r.maintainability AND (o.modularity > r.modularity OR o.coupling_reduction > r.coupling_reduction OR o.cycle_reduction > r.cycle_reduction OR o.maintainability > r.maintainability))""")(
+    lambda spark, d: search.non_dominated(rated_parts(spark, d)).select("candidate"))
+
 # ---- events, documents, pages
 
 query("event_transitions", """SELECT event_type AS source, nxt AS target, count(*)::BIGINT AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY ALL""")(
