@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 from graphloom.operators.lookup import glob_regex
 
+from .ignore import kept, read_rules
+
 SCHEMA = "kind string, id string, file string, type string, line int, body_hash string, name string, detail string"
 PARSERS: dict[str, Callable[[str, str], list[tuple]]] = {}
 #: Fixed value: folders that are never scanned.
@@ -34,14 +36,16 @@ def parser(*extensions: str):
     return register
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] = ()) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignore: list[str] = (), gitignore: bool = True) -> DataFrame:
     """(path, content) of text files under a folder, paths relative to it, without skipped folders and
-    those that an ignore glob matches."""
+    those that the project's ``.gitignore`` files or an ignore glob leave out."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     top = root.rstrip("/").split("/")[-1]
     path = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(top)}/(.*)$", 1)
     out = files.select(path.alias("path"), F.col("value").alias("content"))
     out = out.where(~F.col("path").rlike(SKIPPED))
+    if gitignore:
+        out = kept(out, read_rules(spark, root))
     for pattern in ignore:
         inner = glob_regex(pattern.rstrip("/"))[5:-1]
         out = out.where(~F.col("path").rlike(f"(^|/){inner}(/|$)"))
