@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import CONFIDENCE_RANK, TYPE_RANK, Graph, module_of, rank
+from graphloom.graph import CONFIDENCE_RANK, TYPE_RANK, Graph, durable, module_of, rank
 
 from .traverse import arcs
 
@@ -150,15 +150,44 @@ def class_of(node_id: str) -> Column:
     return F.when(F.size(parts) >= 3, F.concat_ws("::", parts[0], parts[1])).otherwise(parts[0])
 
 
+#: Rows (origin, node) that one slice of origins may make on its way, and slices at most.
+SLICE_ROWS, SLICES = 200_000_000, 64
+
+
 def reach3(graph: Graph) -> DataFrame:
-    """(id, reach): distinct other nodes at most three steps ahead. Three joins in one plan; each level
-    is made distinct before the next."""
-    s = arcs(graph.edges)
-    one = s.select(F.col("at").alias("id"), F.col("to").alias("node"))
-    two = one.join(s, one.node == s.at).select("id", F.col("to").alias("node")).distinct()
-    three = two.join(s, two.node == s.at).select("id", F.col("to").alias("node")).distinct()
-    every = one.unionByName(two).unionByName(three).where("id <> node").distinct()
-    return graph.nodes.select("id").join(every.groupBy("id").agg(F.count("*").alias("reach")), "id", "left").fillna(0, ["reach"])
+    """(id, reach): distinct other nodes at most three steps ahead.
+
+    Nodes that call the same ones are one class: they reach the same nodes, so classes walk in place of
+    nodes, and of a layered graph in which many nodes call few there are few. A class is known by 128 bits of
+    hashes of its targets, combined before they are shuffled. Classes walk in slices by hash, as many as keep the rows
+    that three steps can make, which are counted beforehand by sums over the edges, near SLICE_ROWS; each
+    slice is counted and dropped before the next, so pairs of nodes are never held for all at once."""
+    s = durable(arcs(graph.edges))
+    classes = s.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("to", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
+    classes = durable(classes.select("id", F.sha1(F.concat_ws(":", "n", "h1", "h2")).alias("class")))
+    firsts = classes.groupBy("class").agg(F.min("id").alias("first"))
+    walks = durable(s.join(firsts, s.at == firsts["first"]).select("class", F.col("to").alias("node")))
+    ahead = durable(s.join(classes.withColumnRenamed("id", "to"), "to").select(F.col("at").alias("id"), "class").join(classes.select("id", F.col("class").alias("own")), "id").select("own", "class").distinct())
+    sizes = walks.groupBy("class").agg(F.count("*").alias("one"))
+    two = ahead.join(sizes, "class").groupBy("own").agg(F.sum("one").alias("two"))
+    most = ahead.join(two.withColumnRenamed("own", "class"), "class").agg(F.sum("two")).head()[0] or 0
+    slices = max(1, min(SLICES, -(-int(most) // SLICE_ROWS)))
+    counted = None
+    for k in range(slices):
+        mine = F.pmod(F.xxhash64("own"), F.lit(slices)) == k
+        steps = ahead.where(mine) if slices > 1 else ahead
+        one = steps.select("own", F.col("class").alias("at")).distinct()
+        two_on = one.join(ahead.withColumnRenamed("own", "at"), "at").select("own", "class").unionByName(one.select("own", F.col("at").alias("class"))).distinct()
+        own = walks.withColumnRenamed("class", "own")
+        nodes = two_on.join(walks, "class").select("own", "node").unionByName(own.where(mine) if slices > 1 else own).distinct()
+        part = nodes.groupBy("own").agg(F.count("*").alias("n"))
+        # a node does not count itself, and it may be among what its class reaches
+        self_ = nodes.join(classes.select(F.col("class").alias("own"), F.col("id").alias("node")), ["own", "node"]).select(F.col("node").alias("id"))
+        ids = classes.withColumnRenamed("class", "own")
+        found = ids.join(part, "own").select("id", "n").join(self_.withColumn("itself", F.lit(1)), "id", "left").select("id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("reach"))
+        found = durable(found) if slices > 1 else found
+        counted = found if counted is None else counted.unionByName(found)
+    return graph.nodes.select("id").join(counted, "id", "left").fillna(0, ["reach"])
 
 
 def hubs(graph: Graph, band: float = 0.1) -> DataFrame:

@@ -221,14 +221,57 @@ def deepest_dependency(graph: Graph, roots: int = 50, cap: int = 50) -> DataFram
     return found.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
 
 
-def subsystem_slice(graph: Graph, root: str, hops: int = 2, most: int = 200, density: float = 0.4) -> DataFrame:
-    """Nodes within two hops of the root that have at least ``density`` of their edge records inside the
-    slice, or lie in the root's module; nearest first."""
-    near = durable(neighbourhood(graph, [root], hops, most))
-    inside = near.select("id")
-    records = graph.edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(graph.edges.select(F.col("target").alias("id"), F.col("source").alias("other")))
-    mine = records.join(inside, "id", "left_semi").join(inside.select(F.col("id").alias("other"), F.lit(1).alias("in")), "other", "left")
-    share = mine.groupBy("id").agg((F.sum(F.coalesce("in", F.lit(0))) / F.count("*")).alias("share"))
-    own = root.split("::")[0]
-    kept = near.join(share, "id", "left").where((F.coalesce("share", F.lit(0.0)) >= density) | (F.split_part("id", F.lit("::"), F.lit(1)) == own))
-    return kept.select("id", "depth").orderBy("depth", "id")
+#: The kinds of edges that hold a subsystem together.
+BINDING = ("call", "dependency", "depends", "dataflow", "data_flow", "runtime", "http_call", "rpc_call", "event", "event_produce", "event_consume", "queue_task", "frontend_to_backend")
+
+
+def subsystem_slice(graph: Graph, root: str, hops: int = 2, most: int = 200, density: float = 0.4, parts: DataFrame | None = None, runtime: DataFrame | None = None) -> DataFrame:
+    """(id, depth, boundary, external_edges) of the subsystem around a node, nearest first: nodes within
+    ``hops`` steps along BINDING edges in any direction, at most ``most``, nearer ones and then smaller ids
+    first. With ``parts`` (id, partition_id) steps stay in the root's partition; ``runtime`` (source,
+    target) edges between nodes may leave it for a node outside, where only further runtime edges that
+    touch the partition go on. Of these nodes those stay that have at least ``density`` of their neighbours
+    among them and, unless they are of the root's module, a neighbour that is. Boundary nodes have records
+    to nodes that are not in the slice, which are counted, or to another module in it."""
+    pair = lambda df: df.select(F.col("source").alias("at"), F.col("target").alias("to")).unionByName(df.select(F.col("target").alias("at"), F.col("source").alias("to")))
+    steps = pair(graph.edges.where(F.lower(F.coalesce("edge_type", F.lit("call"))).isin(*BINDING))).where("at <> to")
+    scope = None
+    if parts is not None:
+        own = parts.where(F.col("id") == root).select(F.col("partition_id").alias("own")).limit(1)
+        scope = durable(parts.join(F.broadcast(own), F.col("partition_id") == F.col("own")).select(F.col("id").alias("at")).distinct())
+        if not scope.isEmpty():  # a root of no partition is not held by any
+            steps = steps.join(scope, "at", "left_semi").join(scope.withColumnRenamed("at", "to"), "to", "left_semi").select("at", "to")
+        else:
+            scope = None
+    if runtime is not None:
+        known = graph.nodes.select("id").distinct()
+        seen = runtime.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi").where("source <> target")
+        both = pair(seen)
+        if scope is not None:
+            held = both.join(scope, "at", "left_semi")
+            both = held.unionByName(held.select(F.col("to").alias("at"), F.col("at").alias("to")))
+        steps = steps.unionByName(both)
+    steps = durable(steps.distinct())
+    near = durable(graph.nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")).limit(1))
+    frontier, n = near, near.count()
+    for depth in range(1, hops + 1):
+        if n >= most:
+            break
+        new = frontier.join(steps, frontier.id == steps["at"]).select(F.col("to").alias("id")).distinct().join(near, "id", "left_anti")
+        frontier = durable(new.orderBy("id").limit(most - n).withColumn("depth", F.lit(depth)))
+        found = frontier.count()
+        if not found:
+            break
+        near, n = near.unionByName(frontier), n + found
+    near = durable(near)
+    module = lambda c: F.split_part(F.col(c), F.lit("::"), F.lit(1))
+    own_module = root.split("::")[0]
+    around = steps.join(near.select(F.col("id").alias("at")), "at", "left_semi").join(near.select(F.col("id").alias("to"), F.lit(1).alias("inside")), "to", "left")
+    shape = around.groupBy(F.col("at").alias("id")).agg((F.sum(F.coalesce("inside", F.lit(0))) / F.count("*")).alias("share"), F.max((F.col("to") == root) | (module("to") == own_module)).alias("by_root"))
+    dense = (F.col("share") >= density) & ((module("id") == own_module) | F.col("by_root"))
+    kept = durable(near.join(shape, "id", "left").where((F.col("id") == root) | F.coalesce(dense, F.lit(False))).select("id", "depth"))
+    records = graph.edges.select("source", "target") if runtime is None else graph.edges.select("source", "target").unionByName(seen.select("source", "target"))
+    ends = pair(records).join(kept.select(F.col("id").alias("at")), "at", "left_semi").join(kept.select(F.col("id").alias("to"), F.lit(True).alias("inside")), "to", "left")
+    outside = F.col("inside").isNull()
+    counts = ends.groupBy(F.col("at").alias("id")).agg(F.count_if(outside).alias("external_edges"), F.max(outside | (module("at") != module("to"))).alias("boundary"))
+    return kept.join(counts, "id", "left").select("id", "depth", F.coalesce("boundary", F.lit(False)).alias("boundary"), F.coalesce("external_edges", F.lit(0)).alias("external_edges")).orderBy("depth", "id")

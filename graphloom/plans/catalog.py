@@ -191,7 +191,10 @@ add("path_in_row", PARTNERS, lambda g: traverse.path(g, "customer::1", "supplier
     "walk(node, d, path) AS (SELECT 'customer::1', 0, 'customer::1' UNION ALL SELECT e.target, d + 1, path || ',' || e.target FROM walk w JOIN edges e ON e.source = w.node WHERE d < 9)"))
 add("invalidation_partners", PARTNERS, lambda g: traverse.invalidated(g, g.nodes.where("id like 'supplier::%' and line % 8 = 3").select(F.col("id").alias("node"))), oracle.partners(
     " SELECT node FROM walk", "walk(node) AS (SELECT id FROM nodes WHERE id LIKE 'supplier::%' AND line % 8 = 3 UNION SELECT e.source FROM walk w JOIN edges e ON e.target = w.node)"))
-add("subsystem_slice", TRADE, lambda g: traverse.subsystem_slice(g, NATION))
+SLICE_ROOT = "suppliers1::supplier12"
+add("subsystem_slice", by_file(PARTNERS), lambda g: traverse.subsystem_slice(g, SLICE_ROOT), oracle.sliced(SLICE_ROOT))
+add("subsystem_slice_partition", by_file(PARTNERS), lambda g: traverse.subsystem_slice(g, SLICE_ROOT, 3, 200, 0.2, g.nodes.select("id", F.col("file").alias("partition_id")),
+    g.edges.where("target = 'suppliers1::supplier15'").select("source", "target")), oracle.sliced(SLICE_ROOT, 3, 0.2, True))
 
 # ---- boolean and SELECT queries
 

@@ -174,3 +174,23 @@ FROM owned LEFT JOIN edge ON s = subsystem, m"""
 
 def modularity(view, body: str) -> str:
     return view(body, MODULARITY)
+
+
+def sliced(root: str, hops: int = 2, density: float = 0.4, limited: bool = False) -> str:
+    """A subsystem slice by levels; ``limited`` to the root's file and edges to supplier 15 as runtime ones."""
+    own = root.split("::")[0]
+    ends = "SELECT source AS a, target AS b FROM arc WHERE source <> target UNION SELECT target, source FROM arc WHERE source <> target"
+    if limited:
+        ends = f"SELECT a, b FROM ({ends}) WHERE starts_with(a, '{own}::') AND starts_with(b, '{own}::') UNION SELECT source, target FROM seen UNION SELECT target, source FROM seen"
+    levels = ["level0 AS (SELECT id, 0 AS depth FROM named WHERE id = '" + root + "')"]
+    for d in range(1, hops + 1):
+        levels.append(f"level{d} AS (SELECT * FROM level{d - 1} UNION ALL SELECT DISTINCT b, {d} FROM near JOIN level{d - 1} ON id = a AND depth = {d - 1} WHERE b NOT IN (SELECT id FROM level{d - 1}))")
+    more = "SELECT source, target FROM arc" + (" UNION ALL SELECT source, target FROM seen" if limited else "")
+    return partners(
+        f""" SELECT k.id, any_value(k.depth)::INT AS depth, coalesce(bool_or(o.id IS NULL OR split_part(k.id, '::', 1) <> split_part(r.b, '::', 1)) FILTER (r.b IS NOT NULL), false) AS boundary,
+  count(*) FILTER (r.b IS NOT NULL AND o.id IS NULL)::BIGINT AS external_edges FROM kept k LEFT JOIN record r ON r.a = k.id LEFT JOIN kept o ON o.id = r.b GROUP BY k.id""",
+        BY_FILE, "seen AS (SELECT DISTINCT source, target, row_number() OVER () AS r FROM arc WHERE target = 'suppliers1::supplier15')", f"near AS ({ends})", *levels,
+        f"""share AS (SELECT a AS id, avg((b IN (SELECT id FROM level{hops}))::INT) AS share, bool_or(split_part(b, '::', 1) = '{own}') AS by_root FROM near GROUP BY a)""",
+        f"""kept AS (SELECT l.id, l.depth FROM level{hops} l LEFT JOIN share USING (id) WHERE l.id = '{root}' OR (share >= {density} AND (split_part(l.id, '::', 1) = '{own}' OR by_root)))""",
+        f"record AS (SELECT source AS a, target AS b FROM ({more}) UNION ALL SELECT target, source FROM ({more}))",
+    )

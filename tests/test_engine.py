@@ -568,3 +568,32 @@ def test_query_agrees_with_sql(spark, duck, name):
     columns = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(columns)
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), columns)
+
+
+def test_a_slice_follows_binding_edges_within_its_bounds(spark):
+    pairs = [("m::r", "m::a"), ("m::a", "m::b"), ("m::r", "m::s", "side_effect"), ("m::s", "m::t"), ("x::1", "m::r", "event"), ("x::1", "x::2"), ("x::2", "x::3"), ("m::b", "y::1", "dataflow")]
+    g = make(spark, pairs)
+    rows = lambda **more: {(r["id"], r["depth"], r["boundary"], r["external_edges"]) for r in traverse.subsystem_slice(g, "m::r", **more).collect()}
+    # x::2 has no neighbour of the root's module, s is only reached by an effect
+    assert rows() == {("m::r", 0, True, 1), ("m::a", 1, False, 0), ("x::1", 1, True, 1), ("m::b", 2, True, 1)}
+    assert rows(density=0.6) == {("m::r", 0, True, 1), ("m::a", 1, True, 1), ("x::1", 1, True, 1)}
+    assert {r[0] for r in rows(most=2)} == {"m::r", "m::a"} and {r[0] for r in rows(hops=0)} == {"m::r"}
+    parts = spark.createDataFrame([(i, i[0]) for i in ("m::r", "m::a", "m::b", "m::s", "m::t", "x::1", "x::2", "x::3", "y::1")], "id string, partition_id string")
+    assert {r[0] for r in rows(parts=parts, density=0.0)} == {"m::r", "m::a", "m::b"}
+    seen = spark.createDataFrame([("m::a", "x::3"), ("x::3", "x::2"), ("m::a", "nowhere")], "source string, target string")
+    assert {r[0] for r in rows(parts=parts, runtime=seen, density=0.0, hops=4)} == {"m::r", "m::a", "m::b", "x::3"}
+    assert traverse.subsystem_slice(g, "unknown").count() == 0
+
+
+@pytest.mark.parametrize("rows", [200_000_000, 40])
+def test_reach_within_three_steps_by_classes_and_slices(spark, monkeypatch, rows):
+    monkeypatch.setattr(metrics, "SLICE_ROWS", rows)
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)] + [(f"leaf{i}", t) for i in range(30) for t in ("n1", "n2")] + [("n1", "leaf3"), ("self", "self"), ("end", "n5")]
+    g = make(spark, pairs, extra=["alone"])
+    ahead = {}
+    for a, b in pairs:
+        ahead.setdefault(a, set()).add(b)
+    step = lambda nodes: {t for n in nodes for t in ahead.get(n, ())}
+    want = {n: len((step({n}) | step(step({n})) | step(step(step({n})))) - {n}) for n in {x for p in pairs for x in p} | {"alone"}}
+    assert {r["id"]: r["reach"] for r in metrics.reach3(g).collect()} == want
