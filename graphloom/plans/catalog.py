@@ -19,7 +19,7 @@ from graphloom.sources.files import file_system
 from graphloom.streaming import events
 from graphloom.streaming.state import KeyedState
 
-from . import formats, index, oracle
+from . import catalog_tables, formats, index, oracle
 from .expressions import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -622,3 +622,6 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number in range(12):
         state.write(rows.where(F.col("batch") == number).drop("batch"), number)
     return state.read().select("user_id", "event_id")
+
+
+catalog_tables.register(query, on)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,13 +232,13 @@ class Engine:
         out = self.bind(parse(text)).distinct().orderBy("id")
         return out if limit is None else out.limit(limit)
 
-    def run_batch(self, texts: list[str]) -> dict[str, DataFrame | QueryError]:
-        """Each query's answer or its error."""
+    def run_batch(self, texts: list[str]) -> dict[str, DataFrame | QueryError | PySparkException]:
+        """Each query's answer or its error, also one that Spark finds in its plan."""
         out = {}
         for t in texts:
             try:
                 out[t] = self.run(t)
-            except QueryError as error:
+            except (QueryError, PySparkException) as error:
                 out[t] = error
         return out
 
