@@ -23,7 +23,12 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
     e = arcs(graph.edges).where(F.col("at") != F.col("to"))
     inside = nodes.select("id")
     e = e.join(inside.withColumnRenamed("id", "at"), "at", "left_semi").join(inside.withColumnRenamed("id", "to"), "to", "left_semi")
-    scc = strong_components(e.select(F.col("at").alias("source"), F.col("to").alias("target")))
+    e = durable(e)
+    # without cycles the levels are those of the nodes themselves, and no components have to be looked for
+    levels = durable(peel(nodes.select(F.col("id").alias("group")), e.select(F.col("at").alias("ga"), F.col("to").alias("gb"))))
+    tangled = nodes.join(levels.select(F.col("group").alias("id")), "id", "left_anti").select("id")
+    knot = e.join(tangled.withColumnRenamed("id", "at"), "at", "left_semi").join(tangled.withColumnRenamed("id", "to"), "to", "left_semi")
+    scc = strong_components(knot.select(F.col("at").alias("source"), F.col("to").alias("target")))
     group = durable(nodes.join(scc, "id", "left").select("id", "body_hash", F.coalesce("component", "id").alias("group"), F.col("component").isNotNull().alias("cyclic")))
     body = group.groupBy("group").agg(F.max("cyclic").alias("cyclic"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", "body_hash"))), "|").alias("members"), F.min("body_hash").alias("body"))
     a, b = group.select(F.col("id").alias("at"), F.col("group").alias("ga")), group.select(F.col("id").alias("to"), F.col("group").alias("gb"))
@@ -34,7 +39,8 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
         body = durable(body.join(done, "group", "left_anti"))
     # a group is hashed in the round after its last callee; hashes of callees are collected as they come
     waiting = calls if done is None else calls.join(done, calls.gb == done.group, "left_anti")
-    levels = durable(peel(body.select("group"), waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi")))
+    if done is not None or not tangled.isEmpty():
+        levels = durable(peel(body.select("group"), waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi")))
     depth = levels.agg(F.max("level")).first()[0]
     got = calls.limit(0).select(F.col("ga").alias("group"), F.lit("").alias("hash")) if done is None else calls.join(done, calls.gb == done.group).select(F.col("ga").alias("group"), "hash")
     for level in range((-1 if depth is None else depth) + 1):

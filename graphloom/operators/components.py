@@ -1,13 +1,15 @@
 """Components and the algorithms that run inside one: cycles, bridges, communities, centrality.
 
 Weak components come from hooking and pointer jumping. Strong components come from trimming nodes that
-cannot lie on a cycle, then from colours, one component for every colour that is left at once. Bridges and label propagation are sequential by nature: every weak component is a
-group of its own and an exact algorithm runs on its distinct arcs.
+cannot lie on a cycle, then from colours, one component for every colour that is left at once; those of
+a graph of few arcs come from one task. Bridges are found inside each weak component, of large ones by
+levels.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,50 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
+#: Distinct arcs up to which strong components are found in one task; the result is the same.
+SMALL_ARCS = 100_000
+
+
+def _strong_in_memory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strong components of two nodes or more of the arcs (at, to) of a partition: an order by when nodes
+    are left, then a walk backwards in it."""
+    tables = list(batches)
+    pdf = pd.concat(tables) if tables else pd.DataFrame({"at": [], "to": []})
+    ahead, behind = defaultdict(list), defaultdict(list)
+    for a, b in zip(pdf["at"], pdf["to"], strict=True):
+        ahead[a].append(b)
+        behind[b].append(a)
+    order, seen = [], set()
+    for start in {*ahead, *behind}:
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead.get(start, ())))]
+        while stack:
+            node, rest = stack[-1]
+            new = next((x for x in rest if x not in seen), None)
+            if new is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(new)
+                stack.append((new, iter(ahead.get(new, ()))))
+    taken, rows = set(), []
+    for start in reversed(order):
+        if start in taken:
+            continue
+        taken.add(start)
+        members = [start]
+        for node in members:
+            new = [x for x in behind.get(node, ()) if x not in taken]
+            taken.update(new)
+            members += dict.fromkeys(new)
+        if len(members) > 1:
+            least = min(members)
+            rows += [(m, least) for m in members]
+    yield pd.DataFrame(rows, columns=["id", "component"])
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes in strong components of two nodes or more; component is the smallest
     id. Self-loops make no cycle here. Each round drops what lies on no cycle and gives every node the
@@ -50,6 +96,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     them their colour are its component. So a round finds components in every part of the graph at once,
     and in a row of components one in the middle as a rule, on whose sides the next round goes on."""
     left = durable(arcs(edges).where(F.col("at") != F.col("to")))
+    if left.limit(SMALL_ARCS + 1).count() <= SMALL_ARCS:
+        return left.coalesce(1).mapInPandas(_strong_in_memory, "id string, component string")
     parts = []
     while True:
         size = left.count()

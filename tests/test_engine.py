@@ -585,6 +585,18 @@ def test_a_slice_follows_binding_edges_within_its_bounds(spark):
     assert traverse.subsystem_slice(g, "unknown").count() == 0
 
 
+def test_strong_components_are_the_same_both_ways(spark, monkeypatch):
+    rng = random.Random(12)
+    for size in (12, 60):
+        g = make(spark, [(f"n{rng.randrange(size)}", f"n{rng.randrange(size)}") for _ in range(size * 5 // 3)])
+        both = []
+        for most in (100_000, 0):
+            monkeypatch.setattr(components, "SMALL_ARCS", most)
+            both.append({tuple(r) for r in components.strong_components(g.edges).collect()})
+        assert both[0] == both[1] and (both[0] or size == 12)
+    assert components.strong_components(make(spark, [], extra=["a"]).edges).count() == 0
+
+
 @pytest.mark.parametrize("rows", [200_000_000, 40])
 def test_reach_within_three_steps_by_classes_and_slices(spark, monkeypatch, rows):
     monkeypatch.setattr(metrics, "SLICE_ROWS", rows)
