@@ -28,20 +28,38 @@ VERBS = {
     "cache": ("cache", "memoize"),
     "retry": ("retry",),
 }
-#: Patterns in source text and the side effect that each shows.
+#: Patterns in source text, the side effect that each shows, and what it is called.
 EFFECTS = (
-    ("database_write", r"\.execute\(|\.executemany\(|\.commit\(|session\.(add|delete|merge|flush)"),
-    ("database_read", r"\.cursor\(|session\.query"),
-    ("network_call", r"requests\.(get|post|put|delete|patch|head)|httpx\.|urllib|aiohttp|socket\."),
-    ("file_write", r"open\(|\.write\(|Path\(.*\)\.(write_text|write_bytes)|shutil\.|os\.(remove|unlink|rmdir|makedirs|rename)"),
-    ("file_read", r"\.read\(|Path\(.*\)\.(read_text|read_bytes)"),
-    ("process_spawn", r"subprocess\.|os\.system\(|os\.exec"),
-    ("environment_read", r"os\.environ|os\.getenv"),
-    ("logging", r"logger\.|logging\.|print\("),
-    ("cache_write", r"cache\.(get|set|delete|clear)"),
-    ("cache_read", r"@(lru_cache|cache|cached)"),
-    ("message_publish", r"\.(publish|send_message|enqueue)"),
-    ("message_consume", r"\.(subscribe|consume|dequeue)"),
+    (r"\.execute\(", "database_write", "SQL execute"),
+    (r"\.executemany\(", "database_write", "SQL executemany"),
+    (r"\.commit\(", "database_write", "DB commit"),
+    (r"\.cursor\(", "database_read", "DB cursor"),
+    (r"session\.(add|delete|merge|flush)", "database_write", "ORM write"),
+    (r"session\.query", "database_read", "ORM query"),
+    (r"requests\.(get|post|put|delete|patch|head)", "network_call", "HTTP request"),
+    (r"httpx\.", "network_call", "HTTP request"),
+    (r"urllib", "network_call", "URL request"),
+    (r"aiohttp", "network_call", "Async HTTP"),
+    (r"socket\.", "network_call", "Socket"),
+    (r"open\(", "file_write", "File open"),
+    (r"\.write\(", "file_write", "File write"),
+    (r"\.read\(", "file_read", "File read"),
+    (r"Path\(.*\)\.(write_text|write_bytes)", "file_write", "Path write"),
+    (r"Path\(.*\)\.(read_text|read_bytes)", "file_read", "Path read"),
+    (r"shutil\.", "file_write", "File copy/move"),
+    (r"os\.(remove|unlink|rmdir|makedirs|rename)", "file_write", "OS file op"),
+    (r"subprocess\.", "process_spawn", "Subprocess"),
+    (r"os\.system\(", "process_spawn", "OS system call"),
+    (r"os\.exec", "process_spawn", "OS exec"),
+    (r"os\.environ", "environment_read", "Env var access"),
+    (r"os\.getenv", "environment_read", "Env var read"),
+    (r"logger\.", "logging", "Logging"),
+    (r"logging\.", "logging", "Logging"),
+    (r"print\(", "logging", "Print output"),
+    (r"cache\.(get|set|delete|clear)", "cache_write", "Cache op"),
+    (r"@(lru_cache|cache|cached)", "cache_read", "Cache decorator"),
+    (r"\.(publish|send_message|enqueue)", "message_publish", "Message publish"),
+    (r"\.(subscribe|consume|dequeue)", "message_consume", "Message consume"),
 )
 #: Words in a name or path and the domain that each shows.
 DOMAINS = {
@@ -76,9 +94,23 @@ def _where(pairs) -> Column:
     return F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in pairs)))
 
 
-def effects_of(source: Column | str) -> Column:
+def effect_rows(source: Column | str) -> Column:
+    """(effect_type, target, description) of the side effects in a source, each kind and name once; the
+    target is the text that shows it, up to 50 characters."""
     text = F.col(source) if isinstance(source, str) else source
-    return _where((kind, text.rlike(pattern)) for kind, pattern in EFFECTS)
+    rows, before = [], {}
+    for pattern, kind, name in EFFECTS:
+        hit = text.rlike(pattern)
+        for earlier in before.setdefault((kind, name), []):
+            hit = hit & ~text.rlike(earlier)
+        before[kind, name].append(pattern)
+        rows.append(F.when(hit, F.struct(F.lit(kind).alias("effect_type"), F.substring(F.regexp_extract(text, pattern, 0), 1, 50).alias("target"), F.lit(name).alias("description"))))
+    return F.array_compact(F.array(*rows))
+
+
+def effects_of(source: Column | str) -> Column:
+    """The kinds of side effects in a source."""
+    return F.array_distinct(F.transform(effect_rows(source), lambda e: e["effect_type"]))
 
 
 def domains_of(text: Column | str) -> Column:

@@ -20,7 +20,7 @@ EDGE = "source string, target string, edge_type string, confidence string, sourc
 ANNOTATION = "id string, intent string, layer int, arch_layer string, tags array<string>, intent_body_hash string"
 SEMANTICS = (
     "id string, actions array<struct<verb:string,object:string,action_type:string>>, guards array<struct<condition:string,raises:string>>, "
-    "side_effects array<struct<effect_type:string,target:string>>, domain_tags array<string>, library_calls array<string>, sql_operations array<string>"
+    "side_effects array<struct<effect_type:string,target:string,description:string>>, domain_tags array<string>, library_calls array<string>, sql_operations array<string>"
 )
 
 #: The domains of columns, and their order of trust, lowest first.

@@ -168,6 +168,31 @@ def lock_check(graph: Graph, locked: DataFrame) -> DataFrame:
     return compress(graph).where("source <> target").select("source", "target").join(locked, ["source", "target"], "left_anti")
 
 
+def lock_report(graph: Graph, modules: DataFrame, links: DataFrame, constraints: DataFrame, strict: bool = False) -> DataFrame:
+    """(violation_type, severity, module, subsystem, other) of a graph against a declared architecture:
+    modules (subsystem, module), links (source, target) between subsystems that are allowed, constraints
+    (source, target, type). Undeclared modules are files that are not declared and lie in no folder of a
+    declared one, an error if ``strict``; forbidden dependencies are pairs of files whose subsystems a
+    forbidden constraint names, errors; boundary violations are pairs of subsystems that call each other
+    without a link, given with the first pair of files. A module declared twice is of the first subsystem."""
+    own = modules.groupBy("module").agg(F.min("subsystem").alias("subsystem"))
+    files = graph.nodes.select(F.col("file").alias("module")).where("module is not null").distinct()
+    folders = own.where(F.col("module").contains("/")).select(F.regexp_extract("module", "^(.*)/[^/]*$", 1).alias("folder")).distinct()
+    parts = F.split("module", "/")
+    above = F.transform(F.slice(F.sequence(F.lit(1), F.size(parts)), 1, F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    known = files.select("module", F.explode(above).alias("folder")).join(folders, "folder", "left_semi").select("module").distinct()
+    none = F.lit(None).cast("string")
+    out = files.join(own, "module", "left_anti").join(known, "module", "left_anti").select(F.lit("undeclared_module").alias("violation_type"), F.lit("error" if strict else "warning").alias("severity"), "module", none.alias("subsystem"), none.alias("other"))
+    pairs = graph.ends("file").where("s_file <> t_file").select("s_file", "t_file").distinct()
+    a, b = own.select(F.col("module").alias("s_file"), F.col("subsystem").alias("sa")), own.select(F.col("module").alias("t_file"), F.col("subsystem").alias("sb"))
+    across = pairs.join(a, "s_file").join(b, "t_file").where("sa <> sb")
+    denied = constraints.where("type = 'forbidden'").select(F.col("source").alias("sa"), F.col("target").alias("sb"))
+    forbidden = across.join(denied, ["sa", "sb"]).select(F.lit("forbidden_dependency").alias("violation_type"), F.lit("error").alias("severity"), F.col("s_file").alias("module"), F.col("sa").alias("subsystem"), F.col("t_file").alias("other"))
+    open_ = across.join(links.select(F.col("source").alias("sa"), F.col("target").alias("sb")), ["sa", "sb"], "left_anti").groupBy("sa", "sb").agg(F.min(F.struct("s_file", "t_file")).alias("first"))
+    boundary = open_.select(F.lit("boundary_violation").alias("violation_type"), F.lit("warning").alias("severity"), F.col("first.s_file").alias("module"), F.col("sa").alias("subsystem"), F.col("sb").alias("other"))
+    return out.unionByName(forbidden).unionByName(boundary)
+
+
 def orphan_classes(graph: Graph) -> DataFrame:
     """(id, classification) of nodes without edges: entry_point, disconnected, new_code or dead_code."""
     from .traverse import orphans

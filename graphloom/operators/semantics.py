@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import action_of, behaviour_hash, contract_name, domains_of, effects_of, sql_operations_of
+from graphloom.functions.text import action_of, behaviour_hash, contract_name, domains_of, effect_rows, sql_operations_of
 from graphloom.graph import Graph, last_segment, module_of
 
 
@@ -16,7 +16,7 @@ def describe(sources: DataFrame) -> DataFrame:
         "id",
         F.array(F.struct(name.alias("verb"), F.lit("").alias("object"), action_of(name).alias("action_type"))).alias("actions"),
         F.transform(F.regexp_extract_all("body", F.lit(r"if\s+([^:\n]+):\s*(?:raise|return)"), F.lit(1)), lambda c: F.struct(c.alias("condition"), F.lit("").alias("raises"))).alias("guards"),
-        F.transform(effects_of("body"), lambda e: F.struct(e.alias("effect_type"), F.lit("").alias("target"))).alias("side_effects"),
+        effect_rows("body").alias("side_effects"),
         domains_of(F.concat_ws(" ", name, "file")).alias("domain_tags"),
         F.array().cast("array<string>").alias("library_calls"),
         sql_operations_of("body").alias("sql_operations"),
@@ -41,7 +41,7 @@ def rule_findings(semantics: DataFrame) -> DataFrame:
 
 
 def summary(semantics: DataFrame) -> DataFrame:
-    """(kind, value, n): how often each action, effect and tag occurs."""
+    """(kind, value, n): how often each action, effect and tag occurs, an effect by each of its names."""
     tagged = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
     every = F.concat(tagged("action", F.transform("actions", lambda a: a["action_type"])), tagged("effect", F.transform("side_effects", lambda e: e["effect_type"])), tagged("tag", F.col("domain_tags")))
     return semantics.select(F.explode(every).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))

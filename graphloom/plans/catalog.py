@@ -599,10 +599,15 @@ def described_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.describe(d.select(F.concat(F.col("source"), F.lit("::get_"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("file"), F.col("text").alias("body")))
 
 
-query("semantic_summary", """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{p.replace(chr(39), chr(39) * 2)}')" for k, p in text.EFFECTS) + """) v(value, re))
- SELECT 'action' AS kind, 'read' AS value, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'effect', value, count(*)::BIGINT FROM documents, p WHERE regexp_matches(text, re) GROUP BY value""")(
+query("semantic_summary", """WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{name}', '{p.replace(chr(39), chr(39) * 2)}')" for p, k, name in text.EFFECTS) + """) v(value, name, re))
+ SELECT 'action' AS kind, 'read' AS value, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'effect', value, count(*)::BIGINT FROM (SELECT DISTINCT doc_id, value, name FROM documents, p WHERE regexp_matches(text, re)) GROUP BY value""")(
     lambda spark, d: semantics.summary(described_documents(spark, d)).where("kind <> 'tag'"))
-query("semantic_rules")(lambda spark, d: semantics.rule_findings(described_documents(spark, d)).groupBy("rule", "severity").agg(F.count("*").alias("n")))
+query("effect_rows", """WITH s AS (SELECT o_orderkey AS k, ['x.execute(q)', 'requests.get(u); httpx.post(u)', 'with open(p) as f: f.read()', 'logger.info(1); logging.debug(2)', 'y.publish(m)', 'return 1', 'os.environ["A"]'][1 + o_custkey % 7] AS body FROM orders)
+ SELECT effect_type, target, description, count(*)::BIGINT AS n FROM s JOIN (VALUES (0, 'database_write', '.execute(', 'SQL execute'), (1, 'network_call', 'requests.get', 'HTTP request'), (2, 'file_write', 'open(', 'File open'), (2, 'file_read', '.read(', 'File read'),
+ (3, 'logging', 'logger.', 'Logging'), (4, 'message_publish', '.publish', 'Message publish'), (6, 'environment_read', 'os.environ', 'Env var access')) v(i, effect_type, target, description)
+ ON body = ['x.execute(q)', 'requests.get(u); httpx.post(u)', 'with open(p) as f: f.read()', 'logger.info(1); logging.debug(2)', 'y.publish(m)', 'return 1', 'os.environ["A"]'][1 + i] GROUP BY ALL""")(
+    lambda spark, d: views.table(spark, d, "orders").select(F.explode(text.effect_rows(F.element_at(F.array(*map(F.lit, ("x.execute(q)", "requests.get(u); httpx.post(u)", "with open(p) as f: f.read()", "logger.info(1); logging.debug(2)", "y.publish(m)", "return 1", 'os.environ["A"]'))), (F.col("o_custkey") % 7 + 1).cast("int")))).alias("e"))
+    .select("e.*").groupBy("effect_type", "target", "description").agg(F.count("*").alias("n")))
 
 add("mermaid", RING, formats.mermaid)
 add("json_rows", RING, lambda g: formats.as_json(g.edges), oracle.ring(""" SELECT '{"confidence":"static","edge_type":"call","source":"' || source || '","target":"' || target || '"}' AS value FROM edges"""))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import diff, history, lookup, planning, policy
+from graphloom.operators import diff, history, lookup, planning, policy, semantics
 from graphloom.sources import views
 
 from . import oracle
@@ -125,6 +125,20 @@ SELECT change, change = 'renamed' AS "from", count(*)::BIGINT AS n, min(path) AS
  UNION ALL SELECT DISTINCT 'edge', source || ' -> ' || target, 'to_remove' FROM edges WHERE edge_type = 'event'"""))(
         on(partners, lambda g: history.target_delta(g.nodes.withColumn("id", F.when(F.col("id").startswith("s") & (F.col("line") % 4 == 0), F.concat(F.lit("supplier::"), (F.col("line") + 1_000_000).cast("string"))).otherwise(F.col("id"))), g.nodes, g.edges.where("edge_type <> 'event'"), g.edges)))
 
+    def locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = partners(spark, sf_dir)
+        k = F.regexp_extract("file", "([0-9]+)$", 1).cast("int")
+        declared = g.nodes.select("file").distinct().where(k % 5 != 4).select(F.concat(F.substring("file", 1, 1), (k % 3).cast("string")).alias("subsystem"), F.col("file").alias("module"))
+        links = spark.createDataFrame([("c0", "s0"), ("s0", "c0"), ("c1", "s1")], "source string, target string")
+        denied = spark.createDataFrame([("s1", "c1", "forbidden"), ("c2", "s2", "forbidden"), ("c0", "s0", "required")], "source string, target string, type string")
+        return policy.lock_report(g, declared, links, denied)
+
+    query("lock_report", oracle.partners(""" SELECT 'undeclared_module' AS violation_type, 'warning' AS severity, file AS module, NULL::VARCHAR AS subsystem, NULL::VARCHAR AS other FROM f WHERE sub IS NULL
+ UNION ALL SELECT 'forbidden_dependency', 'error', a, sa, b FROM p WHERE (sa, sb) IN (('s1', 'c1'), ('c2', 's2'))
+ UNION ALL SELECT 'boundary_violation', 'warning', min(a), sa, sb FROM p WHERE (sa, sb) NOT IN (('c0', 's0'), ('s0', 'c0'), ('c1', 's1')) GROUP BY sa, sb""",
+        "f AS (SELECT file, CASE WHEN regexp_extract(file, '[0-9]+$')::INT % 5 <> 4 THEN file[1] || regexp_extract(file, '[0-9]+$')::INT % 3 END AS sub FROM nodes GROUP BY file)",
+        "p AS (SELECT DISTINCT x.file AS a, y.file AS b, x.sub AS sa, y.sub AS sb FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target JOIN f x ON x.file = s.file JOIN f y ON y.file = t.file WHERE x.sub <> y.sub)"))(locked)
+
     # ---- histories and experiments
 
     def by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +169,17 @@ SELECT change, change = 'renamed' AS "from", count(*)::BIGINT AS n, min(path) AS
     query("metric_gate", """WITH c AS (SELECT o_orderpriority AS metric, count(*) FILTER (o_custkey % 2 = 0)::DOUBLE AS before, count(*) FILTER (o_custkey % 2 = 1)::DOUBLE AS after FROM orders GROUP BY 1)
  SELECT metric, before, after, after - before AS delta, CASE WHEN contains(metric, 'I') THEN before - after ELSE after - before END <= 3 * metric[1]::INT AS passed FROM c""")(gate)
 
+    bodies = ("x.execute(q)", "if a: raise E\nx.execute(q)", "requests.get(u)", "open(p)", "open(p); logger.info(1)", "return 1")
+
+    def described(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+        at = ((F.col("o_custkey") + shift * (F.col("o_orderkey") % 2)) % len(bodies) + 1).cast("int")
+        o = table(spark, sf_dir, "orders").select(views.node_id("orders", "o_orderkey").alias("id"), F.lit("orders").alias("file"), F.element_at(F.array(*map(F.lit, bodies)), at).alias("body"))
+        return semantics.describe(o)
+
+    query("semantic_rules", """SELECT ['db-write-no-guard', 'network-no-error-handling', 'file-write-no-logging'][i] AS rule, ['warning', 'info', 'info'][i] AS severity, count(*)::BIGINT AS n
+ FROM (SELECT CASE o_custkey % 6 WHEN 0 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS i FROM orders) WHERE i IS NOT NULL GROUP BY i""")(lambda s, d: semantics.rule_findings(described(s, d)).groupBy("rule", "severity").agg(F.count("*").alias("n")))
+    query("behaviour_changes", "SELECT 'orders::' || o_orderkey AS id, 'modified' AS change FROM orders WHERE o_orderkey % 2 = 1")(lambda s, d: semantics.behaviour_changes(described(s, d), described(s, d, 1)).select("id", "change"))
+
     # ---- semantics and imports in the query language
 
     def meaning(spark: SparkSession, sf_dir: str) -> Engine:
@@ -162,11 +187,11 @@ SELECT change, change = 'renamed' AS "from", count(*)::BIGINT AS n, min(path) AS
         line = F.col("line")
         every = lambda n, value: F.filter(F.array(value), lambda _: line % n == 0)
         fields = lambda **values: F.struct(*(F.lit(v).alias(k) for k, v in values.items()))
-        semantics = g.nodes.select(
+        known = g.nodes.select(
             "id", every(2, fields(verb="get", object="row", action_type="read")).alias("actions"), every(3, fields(condition="x", raises="E")).alias("guards"),
             every(5, fields(effect_type="database", target="t")).alias("side_effects"), every(7, F.lit("billing")).alias("domain_tags"), every(11, F.lit("requests")).alias("library_calls"), every(13, F.lit("SELECT")).alias("sql_operations"),
         )
-        return Engine(g, semantics=semantics, imports=g.edges.where("edge_type = 'call'").select("source", "target"))
+        return Engine(g, semantics=known, imports=g.edges.where("edge_type = 'call'").select("source", "target"))
 
     asked = {"effects": "line % 5 = 0", "pure": "line % 5 <> 0", "guards": "line % 3 = 0", "unguarded": "line % 3 <> 0", "risky": "line % 5 = 0 AND line % 3 <> 0", "sql": "line % 13 = 0", "library": "line % 11 = 0", "domain": "line % 7 = 0", "actions": "line % 2 = 0"}
     texts = {k: f"{k}(billing)" if k == "domain" else f"{k}(read)" if k == "actions" else f"{k}()" for k in asked}

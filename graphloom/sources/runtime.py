@@ -46,31 +46,39 @@ class Rule:
     called on, ``only`` wants its last name to be one of some, ``never`` rules names out."""
 
     kinds: tuple[str, ...]
-    methods: frozenset[str]
+    methods: tuple[str, ...]
     target: Callable[[ast.Call], str]
     on: tuple[str, ...] = ()
     only: tuple[str, ...] = ()
     never: tuple[str, ...] = ()
 
 
-def words(text: str) -> frozenset[str]:
-    return frozenset(text.split())
+#: Methods of runtime interactions by kind.
+HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
+DB_METHODS = ("execute", "executemany", "fetchone", "fetchall", "fetchmany", "cursor", "query")
+MQ_PUBLISH_METHODS = ("publish", "basic_publish")
+MQ_SUBSCRIBE_METHODS = ("subscribe", "send_message", "receive_message", "basic_consume")
+EVENT_METHODS = ("emit", "publish", "dispatch", "dispatch_event", "send_event", "socket_emit")
+EVENT_CONSUMER_METHODS = ("subscribe", "on", "add_listener", "consume_event", "handle_event")
+QUEUE_METHODS = ("enqueue", "dequeue", "put", "get")
+WORKER_METHODS = ("delay", "apply_async")
+RPC_METHODS = ("rpc_call", "call", "invoke", "request")
+WEBSOCKET_METHODS = ("send", "send_json", "send_text")
+ASYNC_METHODS = ("create_task", "gather", "wait", "wait_for")
 
-
-#: Methods, receivers and kinds of runtime interactions.
 RULES = (
-    Rule(("http_call",), words("get post put patch delete head options"), first_argument, never=("environ", "os", "dict", "self")),
-    Rule(("db_query",), words("execute executemany fetchone fetchall fetchmany cursor query"), sql_table),
-    Rule(("mq_publish", "event_produce"), words("publish basic_publish"), channel),
-    Rule(("mq_subscribe",), words("subscribe send_message receive_message basic_consume"), channel),
-    Rule(("event_produce",), words("emit publish dispatch dispatch_event send_event socket_emit"), first_argument),
-    Rule(("event_consume",), words("subscribe on add_listener consume_event handle_event"), first_argument),
-    Rule(("queue", "queue_task"), words("enqueue dequeue put get"), lambda c: _constant(c) or "<runtime>", on=("queue", "celery", "broker", "channel", "worker")),
-    Rule(("worker", "queue_task"), words("delay apply_async"), lambda c: _constant(c) or "<runtime>"),
-    Rule(("rpc_call",), words("rpc_call call invoke request"), lambda c: "<rpc>", only=("grpc", "rpc", "client", "stub", "channel")),
-    Rule(("websocket_event",), words("send send_json send_text"), first_argument, on=("socket", "ws")),
-    Rule(("websocket_event",), words("emit"), first_argument),
-    Rule(("async_workflow",), words("create_task gather wait wait_for"), lambda c: c.func.attr.lower(), only=("asyncio",)),
+    Rule(("http_call",), HTTP_METHODS, first_argument, never=("environ", "os", "dict", "self")),
+    Rule(("db_query",), DB_METHODS, sql_table),
+    Rule(("mq_publish", "event_produce"), MQ_PUBLISH_METHODS, channel),
+    Rule(("mq_subscribe",), MQ_SUBSCRIBE_METHODS, channel),
+    Rule(("event_produce",), EVENT_METHODS, first_argument),
+    Rule(("event_consume",), EVENT_CONSUMER_METHODS, first_argument),
+    Rule(("queue", "queue_task"), QUEUE_METHODS, lambda c: _constant(c) or "<runtime>", on=("queue", "celery", "broker", "channel", "worker")),
+    Rule(("worker", "queue_task"), WORKER_METHODS, lambda c: _constant(c) or "<runtime>"),
+    Rule(("rpc_call",), RPC_METHODS, lambda c: "<rpc>", only=("grpc", "rpc", "client", "stub", "channel")),
+    Rule(("websocket_event",), WEBSOCKET_METHODS, first_argument, on=("socket", "ws")),
+    Rule(("websocket_event",), ("emit",), first_argument),
+    Rule(("async_workflow",), ASYNC_METHODS, lambda c: c.func.attr.lower(), only=("asyncio",)),
 )
 #: Patterns of calls in JavaScript by kind; the group is the target.
 SCRIPT_PATTERNS = (

@@ -609,3 +609,16 @@ def test_reach_within_three_steps_by_classes_and_slices(spark, monkeypatch, rows
     step = lambda nodes: {t for n in nodes for t in ahead.get(n, ())}
     want = {n: len((step({n}) | step(step({n})) | step(step(step({n})))) - {n}) for n in {x for p in pairs for x in p} | {"alone"}}
     assert {r["id"]: r["reach"] for r in metrics.reach3(g).collect()} == want
+
+
+def test_a_lock_knows_folders_forbidden_and_undeclared_links(spark):
+    g = make(spark, [("app/a.py::f", "lib/x.py::g"), ("app/b.py::f", "lib/x.py::g"), ("lib/x.py::g", "app/a.py::f"), ("new/z.py::f", "app/a.py::f")])
+    modules = spark.createDataFrame([("app", "app/a.py"), ("app", "app/b.py"), ("lib", "lib/x.py"), ("zoo", "lib/x.py")], "subsystem string, module string")
+    links = spark.createDataFrame([("lib", "app")], "source string, target string")
+    denied = spark.createDataFrame([("lib", "app", "forbidden"), ("app", "lib", "required")], "source string, target string, type string")
+    rows = {tuple(r) for r in policy.lock_report(g, modules, links, denied, strict=True).collect()}
+    assert rows == {
+        ("undeclared_module", "error", "new/z.py", None, None), ("forbidden_dependency", "error", "lib/x.py", "lib", "app/a.py"), ("boundary_violation", "warning", "app/a.py", "app", "lib"),
+    }
+    fewer = modules.where("module <> 'app/b.py'")
+    assert not [r for r in policy.lock_report(g, fewer, links, denied).collect() if r["module"] == "app/b.py"]
