@@ -8,7 +8,7 @@ shards. A group at a cut stays in one shard if it is small.
 
 The law is about bytes, so a record or a group is only kept whole where that costs a shard at most
 1 / BIG of its share: a larger record is dealt by itself to the emptiest shard first, at most BIG for
-each shard, with room left for it by the cuts, and a larger group is cut. (README: sizes without this.)
+each shard, with room left for it by the cuts, and a larger group is cut.
 
 Null texts count 16 bytes, have checksum 0 and are a group. Rows that repeat an id are placed each, in
 neighbouring slots if their texts are equal too. A null id is a value like any other. An empty table
