@@ -629,4 +629,4 @@ def latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read().select("user_id", "event_id")
 
 
-catalog_tables.register(query, on)
+catalog_tables.register(query, on, by_file)

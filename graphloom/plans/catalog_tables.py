@@ -6,15 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
-from graphloom.operators import diff, history, lookup, planning, policy, semantics
+from graphloom.graph import Graph, validate
+from graphloom.operators import diff, history, lookup, planning, policy, score, semantics
 from graphloom.sources import views
 
 from . import oracle
 from .expressions import Engine
 
 
-def register(query, on) -> None:
+def register(query, on, by_file) -> None:
     """Registers the queries with the catalog's own functions."""
     partners, table = views.partners, views.table
 
@@ -139,6 +139,42 @@ SELECT change, change = 'renamed' AS "from", count(*)::BIGINT AS n, min(path) AS
         "f AS (SELECT file, CASE WHEN regexp_extract(file, '[0-9]+$')::INT % 5 <> 4 THEN file[1] || regexp_extract(file, '[0-9]+$')::INT % 3 END AS sub FROM nodes GROUP BY file)",
         "p AS (SELECT DISTINCT x.file AS a, y.file AS b, x.sub AS sa, y.sub AS sb FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target JOIN f x ON x.file = s.file JOIN f y ON y.file = t.file WHERE x.sub <> y.sub)"))(locked)
 
+    # ---- graphs that break the rules
+
+    def broken(spark: SparkSession, sf_dir: str) -> Graph:
+        g = partners(spark, sf_dir)
+        line = F.col("line")
+        nodes = g.nodes.withColumn("type", F.when(line % 7 == 0, "thing").otherwise(F.col("type")))
+        nodes = nodes.unionByName(nodes.where("line % 11 = 0")).where("line % 13 <> 5")
+        edges = g.edges.withColumn("edge_type", F.when(F.col("source").like("%9"), "wish").otherwise(F.col("edge_type")))
+        return Graph(nodes, edges, g.nodes.select("id", F.lit(3).alias("layer"), F.lit("").alias("arch_layer")))
+
+    rest = "n AS (SELECT *, line % 7 = 0 AS odd FROM nodes WHERE line % 13 <> 5), lost AS (SELECT DISTINCT x FROM (SELECT source AS x FROM edges UNION SELECT target FROM edges) WHERE x NOT IN (SELECT id FROM n))"
+    query("graph_validation_broken", oracle.partners(""" SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'node_type' AS kind FROM n, range(CASE WHEN line % 11 = 0 THEN 2 ELSE 1 END) WHERE odd UNION ALL SELECT 'repeated_id' FROM n WHERE line % 11 = 0
+ UNION ALL SELECT 'unknown_end' FROM lost UNION ALL SELECT 'edge_type' FROM (SELECT DISTINCT source, target FROM edges WHERE ends_with(source, '9'))) GROUP BY kind""", rest))(on(broken, lambda g: validate(g).groupBy("kind").agg(F.count("*").alias("n"))))
+    query("consistency_broken", oracle.partners(""" SELECT 'unknown_edge_end' AS problem, count(*)::BIGINT AS n FROM lost UNION ALL SELECT 'stale_annotation', count(*) FROM nodes WHERE line % 13 = 5 UNION ALL SELECT 'repeated_id', count(*) FROM n WHERE line % 11 = 0""", rest))(on(broken, diff.consistency))
+
+    def segments(spark: SparkSession, sf_dir: str) -> Graph:
+        """Customers by segment and nation call suppliers by nation."""
+        c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+        nodes = c.select(views.node_id("customer", "c_custkey").alias("id"), F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("file"))
+        nodes = nodes.unionByName(s.select(views.node_id("supplier", "s_suppkey").alias("id"), F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("file")))
+        edges = c.select(views.node_id("customer", "c_custkey").alias("source"), F.concat(F.lit("supplier::"), F.expr("cast(c_custkey div 15 as string)")).alias("target"))
+        edges = edges.withColumns({"edge_type": F.lit("call"), "confidence": F.lit("static")})
+        return Graph(nodes.withColumns({"type": F.lit("function"), "line": F.lit(0), "body_hash": F.lit("")}), edges)
+
+    query("hidden_coupling_segments", """WITH p AS (SELECT DISTINCT c_mktsegment || '-' || c_nationkey AS f, s_nationkey AS used FROM customer JOIN supplier ON s_suppkey = c_custkey // 15)
+ SELECT x.f AS a, y.f AS b, count(*)::BIGINT AS shared FROM p x JOIN p y ON x.used = y.used AND x.f < y.f GROUP BY ALL HAVING count(*) >= 4""")(on(segments, lambda g: score.hidden_coupling(g, 4)))
+    query("touched_partitions_partners", oracle.partners(" SELECT 'row ' || (line // 40) AS partition_id, count(*)::BIGINT AS nodes FROM nodes WHERE file IN ('suppliers1', 'customers2', 'customers3') GROUP BY 1"))(
+        on(partners, lambda g: planning.touched_partitions(g, g.nodes.select("id", F.concat(F.lit("row "), F.expr("cast(line div 40 as string)")).alias("partition_id")), g.nodes.where("file in ('suppliers1', 'customers2', 'customers3')").select("file"))))
+    query("module_drift_partners", oracle.partners(""" SELECT file AS module, 'undeclared' AS finding FROM nodes WHERE regexp_extract(file, '[0-9]+$')::INT % 3 = 0 GROUP BY file UNION ALL SELECT DISTINCT 'old-' || file, 'missing' FROM nodes WHERE regexp_extract(file, '[0-9]+$')::INT % 3 = 1"""))(
+        on(partners, lambda g: policy.module_drift(g, g.nodes.select("file", (F.regexp_extract("file", "([0-9]+)$", 1).cast("int") % 3).alias("k")).distinct().where("k > 0").select(F.explode(F.when(F.col("k") == 1, F.array("file", F.concat(F.lit("old-"), "file"))).otherwise(F.array("file"))).alias("module")))))
+    query("decay_partners", oracle.partners(""" SELECT 'large_cycle' AS finding, component AS subject, count(*)::DOUBLE AS value FROM scc GROUP BY component HAVING count(*) > 3
+ UNION ALL SELECT 'coupling_index', '', round((SELECT count(DISTINCT s.file || '>' || t.file) FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file <> t.file) / (SELECT count(DISTINCT file) FROM nodes), 6)
+ UNION ALL SELECT 'god_module', f, max(n)::DOUBLE FROM (SELECT s.file AS f, count(DISTINCT t.file) AS n FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file <> t.file GROUP BY 1
+  UNION ALL SELECT t.file, count(DISTINCT s.file) FROM edges JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE s.file <> t.file GROUP BY 1) GROUP BY f HAVING max(n) > 20""", oracle.SCC))(
+        lambda s, d: score.decay(by_file(partners)(s, d)).withColumn("subject", F.when(F.col("finding") == "large_cycle", F.regexp_replace(F.regexp_replace("subject", "^.*::", ""), "^(customer|supplier)", "$1::")).otherwise(F.col("subject"))))
+
     # ---- histories and experiments
 
     def by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
