@@ -157,12 +157,21 @@ SLICE_ROWS, SLICES = 200_000_000, 64
 def reach3(graph: Graph) -> DataFrame:
     """(id, reach): distinct other nodes at most three steps ahead.
 
-    Nodes that call the same ones are one class: they reach the same nodes, so classes walk in place of
-    nodes, and of a layered graph in which many nodes call few there are few. A class is known by 128 bits of
+    Where three steps can make SLICE_ROWS rows at most, as told by the degrees, they are three joins in one
+    plan. Else nodes that call the same ones are one class: they reach the same nodes, so classes walk in place
+    of nodes, and of a layered graph in which many nodes call few there are few. A class is known by 128 bits of
     hashes of its targets, combined before they are shuffled. Classes walk in slices by hash, as many as keep the rows
     that three steps can make, which are counted beforehand by sums over the edges, near SLICE_ROWS; each
     slice is counted and dropped before the next, so pairs of nodes are never held for all at once."""
     s = durable(arcs(graph.edges))
+    outs = s.groupBy(F.col("at").alias("to")).agg(F.count("*").alias("n"))
+    bound = s.join(outs, "to", "left").agg(F.count("*").alias("one"), F.coalesce(F.sum("n"), F.lit(0)).alias("two")).crossJoin(F.broadcast(outs.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")))).head()
+    if bound["one"] + bound["two"] * (1 + bound["most"]) <= SLICE_ROWS:
+        one = s.select(F.col("at").alias("id"), F.col("to").alias("node"))
+        two = one.join(s, one.node == s.at).select("id", F.col("to").alias("node")).distinct()
+        three = two.join(s, two.node == s.at).select("id", F.col("to").alias("node")).distinct()
+        every = one.unionByName(two).unionByName(three).where("id <> node").distinct()
+        return graph.nodes.select("id").join(every.groupBy("id").agg(F.count("*").alias("reach")), "id", "left").fillna(0, ["reach"])
     classes = s.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("to", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
     classes = durable(classes.select("id", F.sha1(F.concat_ws(":", "n", "h1", "h2")).alias("class")))
     firsts = classes.groupBy("class").agg(F.min("id").alias("first"))
@@ -172,6 +181,7 @@ def reach3(graph: Graph) -> DataFrame:
     two = ahead.join(sizes, "class").groupBy("own").agg(F.sum("one").alias("two"))
     most = ahead.join(two.withColumnRenamed("own", "class"), "class").agg(F.sum("two")).head()[0] or 0
     slices = max(1, min(SLICES, -(-int(most) // SLICE_ROWS)))
+    called = durable(classes.join(s.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("class").alias("own"), F.col("id").alias("node")))
     counted = None
     for k in range(slices):
         mine = F.pmod(F.xxhash64("own"), F.lit(slices)) == k
@@ -181,8 +191,8 @@ def reach3(graph: Graph) -> DataFrame:
         own = walks.withColumnRenamed("class", "own")
         nodes = two_on.join(walks, "class").select("own", "node").unionByName(own.where(mine) if slices > 1 else own).distinct()
         part = nodes.groupBy("own").agg(F.count("*").alias("n"))
-        # a node does not count itself, and it may be among what its class reaches
-        self_ = nodes.join(classes.select(F.col("class").alias("own"), F.col("id").alias("node")), ["own", "node"]).select(F.col("node").alias("id"))
+        # a node does not count itself, and it may be among what its class reaches if anything calls it
+        self_ = nodes.join(called, ["own", "node"]).select(F.col("node").alias("id"))
         ids = classes.withColumnRenamed("class", "own")
         found = ids.join(part, "own").select("id", "n").join(self_.withColumn("itself", F.lit(1)), "id", "left").select("id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("reach"))
         found = durable(found) if slices > 1 else found
