@@ -43,14 +43,13 @@ _indexes: dict[tuple, index.Index] = {}
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
-    """The index of the sales graph over some tables, written once for each session and state of them."""
+    """The index of the sales graph over some tables, one for each session and state of them. A table of it is
+    written when a query first reads it."""
     fs, folder = file_system(spark, sf_dir)
     state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)))
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _indexes:
-        path = fresh_path(spark, "graphloom-index")
-        index.write_index(SALES(spark, sf_dir), path)
-        _indexes[key] = index.Index(spark, path)
+        _indexes[key] = index.Index(spark, fresh_path(spark, "graphloom-index"), SALES(spark, sf_dir))
     return _indexes[key]
 
 

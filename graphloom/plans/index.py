@@ -3,7 +3,8 @@
 Tables are dealt into buckets by a hash of the column they are looked up by, a folder for each, and
 sorted by it inside. A lookup computes the bucket of its key, so that Spark reads one folder and skips
 row groups by their statistics; what it costs does not grow with the graph. Edges are kept twice, by
-target and by source, pairs of tests and nodes too, and nodes by id and by file.
+target and by source, and nodes by id and by file. Tests of a node are found among its callers, nodes of a
+test among its callees. An index that knows its graph writes a table when it is first asked for.
 
 Searches for a part of an id go by trigrams: a table has a row for each id and each three characters in
 a row in it, and another how many ids have each trigram. Of the trigrams that an answer must have the
@@ -21,15 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.graph import Graph
+from graphloom.graph import EDGE, Graph
 from graphloom.operators import lookup
-from graphloom.sources.files import read_text, write_atomic
+from graphloom.sources.files import file_system, read_text, write_atomic
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 1_000_000
 #: Table and the column it is looked up by.
 KEYS = {
-    "nodes": "id", "files": "file", "callers": "target", "callees": "source", "layers": "layer", "tests": "node_id", "tested": "test_id",
+    "nodes": "id", "files": "file", "callers": "target", "callees": "source", "layers": "layer",
     "trigrams": "gram", "trigram_counts": "gram", "dependency_hashes": "id",
 }
 #: Wildcards are plain characters where a text is no pattern; nothing is known of their trigrams then.
@@ -45,36 +46,36 @@ def bucket(key: Column, buckets: int) -> Column:
 def write_index(graph: Graph, path: str, hashes: DataFrame | None = None) -> dict[str, int]:
     """Writes the tables under a path, replacing an index there, and gives their numbers of rows.
     ``hashes`` (id, dependency_hash) are left out if there are none."""
-    pairs, postings = lookup.test_pairs(graph), trigrams(graph.nodes.select("id").distinct())
-    tables = {
-        "nodes": graph.described(),
-        "files": graph.described(),
-        "callers": graph.edges,
-        "callees": graph.edges,
-        "layers": graph.described().select("id", "layer", "arch_layer"),
-        "tests": pairs,
-        "tested": pairs,
-        "trigrams": postings,
-        "trigram_counts": postings.groupBy("gram").agg(F.count("*").alias("n")),
-    }
-    if hashes is not None:
-        tables["dependency_hashes"] = hashes.select("id", "dependency_hash")
-    spark = graph.nodes.sparkSession
-    rows, edges = graph.nodes.count(), graph.edges.count()
-    about: dict[str, int] = {"callers": edges, "callees": edges, "tests": edges, "tested": edges, "trigrams": 12 * rows}
     counts = {}
-    for name, df in tables.items():
-        key = KEYS[name]
-        buckets = max(1, about.get(name, rows) // BUCKET_ROWS)
-        dealt = df.withColumn("bucket", bucket(F.col(key), buckets))
-        # a key may hold any share of the rows, so a bucket is dealt over several tasks and files
-        dealt = dealt.repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(4))).sortWithinPartitions("bucket", key)
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        write_atomic(spark, f"{path}/{name}.json", json.dumps({"buckets": buckets, "schema": dealt.schema.jsonValue()}))
-        counts[name] = Index(spark, path).table(name)[0].count()
+    for name in KEYS:
+        if name != "dependency_hashes" or hashes is not None:
+            write_table(graph, path, name, hashes)
+            counts[name] = Index(graph.nodes.sparkSession, path).table(name)[0].count()
     return counts
 
 
+def write_table(graph: Graph, path: str, name: str, hashes: DataFrame | None = None) -> None:
+    """Writes one table of an index. ``trigram_counts`` are counted in the table of trigrams there."""
+    spark, key = graph.nodes.sparkSession, KEYS[name]
+    if name == "trigrams":
+        df = trigrams(graph.nodes.select("id").distinct())
+    elif name == "trigram_counts":
+        df = Index(spark, path, graph).table("trigrams")[0].groupBy("gram").agg(F.count("*").alias("n"))
+    elif name == "layers":
+        df = graph.described().select("id", "layer", "arch_layer")
+    elif name == "dependency_hashes":
+        df = hashes.select("id", "dependency_hash")
+    else:
+        df = graph.edges if name in ("callers", "callees") else graph.described()
+    rows = graph.edges.count() if name in ("callers", "callees") else graph.nodes.count() * (12 if name == "trigrams" else 1)
+    pieces = max(1, rows // BUCKET_ROWS)
+    dealt = df.withColumns({"bucket": bucket(F.col(key), pieces), "__deal": F.xxhash64(*df.columns)})
+    # a key may hold any share of the rows: ranges of equal numbers of rows cut a large bucket into many files
+    dealt = dealt.repartitionByRange(pieces, "bucket", "__deal").drop("__deal").sortWithinPartitions("bucket", key)
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    write_atomic(spark, f"{path}/{name}.json", json.dumps({"buckets": pieces, "schema": dealt.schema.jsonValue()}))
+
+
 def trigrams(ids: DataFrame) -> DataFrame:
     """(gram, id): the different three characters in a row of each id, in lower case."""
     low = F.lower("id")
@@ -91,14 +92,19 @@ def grams_of(pattern: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Lookups in what :func:`write_index` wrote. Tables are opened once."""
+    """Lookups in what :func:`write_index` wrote. Tables are opened once; with ``source``, the graph, those
+    that are not there are written."""
 
     spark: SparkSession
     path: str
+    source: Graph | None = None
     opened: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
 
     def table(self, name: str) -> tuple[DataFrame, int]:
         if name not in self.opened:
+            fs, about = file_system(self.spark, f"{self.path}/{name}.json")
+            if self.source is not None and not fs.exists(about):
+                write_table(self.source, self.path, name)
             about = json.loads(read_text(self.spark, f"{self.path}/{name}.json"))
             schema = StructType.fromJson(about["schema"])  # an empty table has no files to tell it
             self.opened[name] = (self.spark.read.schema(schema).parquet(f"{self.path}/{name}"), about["buckets"])
@@ -128,11 +134,19 @@ class Index:
     def at_layer(self, layer: int) -> DataFrame:
         return self.rows("layers", layer).select("id").orderBy("id")
 
-    def tests_of(self, node_id: str) -> DataFrame:
-        return self.rows("tests", node_id).select("test_id").distinct()
+    def tests_of(self, node_id: str, test_layer: int = 4) -> DataFrame:
+        """Of the nodes only the buckets of callers are read."""
+        into = self.rows("callers", node_id).select(F.col("source").alias("id"), "edge_type")
+        nodes, buckets = self.table("nodes")
+        asked = [r["b"] for r in into.select(bucket(F.col("id"), buckets).alias("b")).distinct().collect()]
+        tests = nodes.where(F.col("bucket").isin(*asked) & (F.col("layer") == test_layer)).select("id")
+        found = into.where("edge_type = 'test'").select("id").unionByName(into.select("id").distinct().join(tests, "id", "left_semi"))
+        return found.select(F.col("id").alias("test_id")).distinct()
 
-    def nodes_of_test(self, test_id: str) -> DataFrame:
-        return self.rows("tested", test_id).select("node_id").distinct()
+    def nodes_of_test(self, test_id: str, test_layer: int = 4) -> DataFrame:
+        out = self.rows("callees", test_id).select(F.col("source").alias("id"), F.col("target").alias("node_id"), "edge_type")
+        of_tests = out.join(self.node(test_id).where(F.col("layer") == test_layer), "id", "left_semi")
+        return out.where("edge_type = 'test'").select("node_id").unionByName(of_tests.select("node_id")).distinct()
 
     def dependency_hash(self, node_id: str) -> DataFrame:
         return self.rows("dependency_hashes", node_id).select("id", "dependency_hash")
@@ -148,15 +162,19 @@ class Index:
         counts = {r["gram"]: r["n"] for r in self.rows("trigram_counts", *grams).collect()}
         return self.rows("trigrams", min(grams, key=lambda g: (counts.get(g, 0), g))).select("id")
 
+    def _among(self, pattern: str) -> Graph:
+        """The candidates as nodes of a graph without edges, which searches do not read."""
+        return Graph(self.candidates(pattern), self.spark.createDataFrame([], EDGE))
+
     def search(self, pattern: str, limit: int = 100) -> DataFrame:
-        return lookup.search_nodes(Graph(self.candidates(pattern), self.table("callees")[0]), pattern, limit)
+        return lookup.search_nodes(self._among(pattern), pattern, limit)
 
     def suggest(self, text: str, limit: int = 5) -> DataFrame:
         """Whatever kind of likeness finds something, the ids hold the last segment of the text."""
-        return lookup.suggest(Graph(self.candidates(text.rsplit("::", 1)[-1].translate(LITERAL)), self.table("callees")[0]), text, limit)
+        return lookup.suggest(self._among(text.rsplit("::", 1)[-1].translate(LITERAL)), text, limit)
 
     def resolve(self, needle: str, limit: int = 100) -> DataFrame:
-        return lookup.resolve(Graph(self.candidates(needle), self.table("callees")[0]), needle, limit)
+        return lookup.resolve(self._among(needle), needle, limit)
 
     def graph(self) -> Graph:
         """The graph itself, for what is more than a lookup."""

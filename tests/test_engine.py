@@ -118,6 +118,26 @@ def test_index_lookups(spark, awkward, tmp_path):
     assert i.graph().edges.exceptAll(awkward.edges.select(i.graph().edges.columns)).count() == 0
 
 
+def test_a_lookup_writes_only_what_it_reads(spark, awkward, tmp_path):
+    tables = lambda name: {p.stem for p in (tmp_path / name).glob("*.json")}
+    i = index.Index(spark, str(tmp_path / "i"), awkward)
+    assert sorted(map(tuple, i.callers("a::3").collect())) == sorted(map(tuple, lookup.callers_of(awkward, "a::3").collect())) and tables("i") == {"callers"}
+    assert ids(i.tests_of("a::3"), "test_id") == ids(lookup.tests_of(awkward, "a::3"), "test_id") and tables("i") == {"callers", "nodes"}
+    j = index.Index(spark, str(tmp_path / "j"), awkward)
+    assert ids(j.search("a::*")) == ids(lookup.search_nodes(awkward, "a::*")) and tables("j") == {"trigrams", "trigram_counts"}
+    for node in ids(awkward.nodes):
+        assert ids(i.nodes_of_test(node), "node_id") == ids(lookup.nodes_of_test(awkward, node), "node_id")
+
+
+def test_a_key_of_most_rows_is_cut_into_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_ROWS", 50)
+    g = make(spark, [(f"m::{k}", "hub::1") for k in range(1000)])
+    index.write_table(g, str(tmp_path), "callers")
+    files = [spark.read.parquet(str(p)).count() for p in (tmp_path / "callers").rglob("*.parquet")]
+    assert sum(files) == 1000 and max(files) <= 150
+    assert index.Index(spark, str(tmp_path)).callers("hub::1").count() == 1000
+
+
 def test_searches_by_trigram(spark, tmp_path):
     names = ["Src/App.py::Run", "src/app.py::runner", "lib/x.py::a*b", "lib/\u0130x.py::c", "z", "src/main.py::go"]
     g = make(spark, [], extra=names)
