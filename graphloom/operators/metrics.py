@@ -152,57 +152,53 @@ def class_of(node_id: str) -> Column:
 
 #: Rows (origin, node) that one slice of origins may make on its way, and slices at most.
 SLICE_ROWS, SLICES = 200_000_000, 64
+#: Rows of one task of a slice, about.
+PIECE_ROWS = 500_000
 
 
 def reach3(graph: Graph) -> DataFrame:
     """(id, reach): distinct other nodes at most three steps ahead.
 
-    Where three steps can make SLICE_ROWS rows at most, as told by the degrees, they are three joins in one
-    plan. Else nodes that call the same ones are one class: they reach the same nodes, so classes walk in place
-    of nodes, and of a layered graph in which many nodes call few there are few. A class is known by 128 bits of
-    hashes of its targets, combined before they are shuffled. Classes walk in slices by hash, as many as keep the rows
-    that three steps can make, which are counted beforehand by sums over the edges, near SLICE_ROWS; each
-    slice is counted and dropped before the next, so pairs of nodes are never held for all at once."""
-    s = durable(arcs(graph.edges))
-    outs = s.groupBy(F.col("at").alias("to")).agg(F.count("*").alias("n"))
-    bound = s.join(outs, "to", "left").agg(F.count("*").alias("one"), F.coalesce(F.sum("n"), F.lit(0)).alias("two")).crossJoin(F.broadcast(outs.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")))).head()
-    if bound["one"] + bound["two"] * (1 + bound["most"]) <= SLICE_ROWS:
-        one = s.select(F.col("at").alias("id"), F.col("to").alias("node"))
-        two = one.join(s, one.node == s.at).select("id", F.col("to").alias("node")).distinct()
-        three = two.join(s, two.node == s.at).select("id", F.col("to").alias("node")).distinct()
-        every = one.unionByName(two).unionByName(three).where("id <> node").distinct()
-        return graph.nodes.select("id").join(every.groupBy("id").agg(F.count("*").alias("reach")), "id", "left").fillna(0, ["reach"])
-    classes = s.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("to", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
-    classes = durable(classes.select("id", F.sha1(F.concat_ws(":", "n", "h1", "h2")).alias("class")))
-    firsts = classes.groupBy("class").agg(F.min("id").alias("first"))
-    walks = durable(s.join(firsts, s.at == firsts["first"]).select("class", F.col("to").alias("node")))
-    ahead = durable(s.join(classes.withColumnRenamed("id", "to"), "to").select(F.col("at").alias("id"), "class").join(classes.select("id", F.col("class").alias("own")), "id").select("own", "class").distinct())
-    sizes = walks.groupBy("class").agg(F.count("*").alias("one"))
-    two = ahead.join(sizes, "class").groupBy("own").agg(F.sum("one").alias("two"))
-    most = ahead.join(two.withColumnRenamed("own", "class"), "class").agg(F.sum("two")).head()[0] or 0
+    What a node calls itself is counted where its arcs lie. Only two more steps are walked, and only through
+    nodes that are called and call: those that call the same nodes are one class, known by 128 bits of hashes of
+    its targets, and classes walk in place of nodes. A node meets its own targets again only among those that a
+    class calls, so only these of them are held against what it reaches. Origins walk in slices by hash, as many
+    as keep the rows that their steps can make, which are counted beforehand, near SLICE_ROWS; each slice is
+    counted and dropped before the next, so pairs of nodes are never held for all at once."""
+    s = durable(graph.edges.select(F.col("source").alias("at"), F.col("target").alias("to")).repartition("at").distinct())
+    own = s.groupBy(F.col("at").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("at") != F.col("to")).alias("direct"), *(F.bit_xor(F.xxhash64("to", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
+    between = durable(own.join(s.select(F.col("to").alias("id")).distinct(), "id", "left_semi"))
+    key = ["n", "h1", "h2"]
+    classes = durable(between.join(between.groupBy(key).agg(F.min("id").alias("class")), key).select("id", "class"))
+    walks = durable(s.join(classes.select("class").distinct(), F.col("at") == F.col("class")).select("class", F.col("to").alias("node")))
+    ahead = durable(walks.join(classes.select(F.col("id").alias("node"), F.col("class").alias("next")), "node").select("class", "next").distinct())
+    again = walks.select(F.col("node").alias("to")).distinct().withColumn("again", F.lit(True))
+    met = s.join(classes.withColumnRenamed("id", "to"), "to", "left").join(again, "to", "left").where("class is not null or again")
+    met = durable(met.select("at", "class", F.when(F.col("again"), F.col("to")).alias("to")))
+    sizes = durable(walks.groupBy("class").agg(F.count("*").alias("one")))
+    two = ahead.join(sizes.withColumnRenamed("class", "next"), "next").groupBy("class").agg(F.sum("one").alias("two"))
+    most = met.groupBy("class").agg(F.count("*").alias("arcs")).join(sizes, "class").join(two, "class", "left").agg(F.sum(F.col("arcs") * (F.col("one") + F.coalesce("two", F.lit(0))))).head()[0] or 0
     slices = max(1, min(SLICES, -(-int(most) // SLICE_ROWS)))
-    called = durable(classes.join(s.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select(F.col("class").alias("own"), F.col("id").alias("node")))
+    # so many pieces that one holds PIECE_ROWS at most: rows pack well, and pieces of equal bytes would hold too many
+    pieces = 1 + min(int(most) // slices, 4 * SLICE_ROWS) // PIECE_ROWS
     counted = None
     for k in range(slices):
-        mine = F.pmod(F.xxhash64("own"), F.lit(slices)) == k
-        steps = ahead.where(mine) if slices > 1 else ahead
-        one = steps.select("own", F.col("class").alias("at")).distinct()
-        two_on = one.join(ahead.withColumnRenamed("own", "at"), "at").select("own", "class").unionByName(one.select("own", F.col("at").alias("class"))).distinct()
-        own = walks.withColumnRenamed("class", "own")
-        nodes = two_on.join(walks, "class").select("own", "node").unionByName(own.where(mine) if slices > 1 else own).distinct()
-        part = nodes.groupBy("own").agg(F.count("*").alias("n"))
-        # a node does not count itself, and it may be among what its class reaches if anything calls it
-        self_ = nodes.join(called, ["own", "node"]).select(F.col("node").alias("id"))
-        ids = classes.withColumnRenamed("class", "own")
-        found = ids.join(part, "own").select("id", "n").join(self_.withColumn("itself", F.lit(1)), "id", "left").select("id", (F.col("n") - F.coalesce("itself", F.lit(0))).alias("reach"))
-        found = durable(found) if slices > 1 else found
-        counted = found if counted is None else counted.unionByName(found)
-    return graph.nodes.select("id").join(counted, "id", "left").fillna(0, ["reach"])
+        mine = met.where(F.pmod(F.xxhash64("at"), F.lit(slices)) == k) if slices > 1 else met
+        one = mine.where("class is not null").select("at", "class").repartition(pieces, "at").distinct()
+        through = one.join(ahead, "class", "left").select("at", F.explode(F.array("class", "next")).alias("class")).where("class is not null").distinct()
+        reached = through.join(walks, "class").select("at", F.col("node").alias("to"), F.lit(0).alias("direct")).distinct()
+        known = mine.where("to is not null").select("at", "to", F.lit(1).alias("direct"))
+        pairs = reached.unionByName(known).where("at <> to").repartition(pieces, "at").groupBy("at", "to").agg(F.max("direct").alias("direct"))
+        part = pairs.groupBy(F.col("at").alias("id")).agg(F.count_if(F.col("direct") == 0).alias("more"))
+        part = durable(part) if slices > 1 else part
+        counted = part if counted is None else counted.unionByName(part)
+    out = graph.nodes.select("id").join(own.select("id", "direct"), "id", "left").join(counted, "id", "left")
+    return out.select("id", (F.coalesce("direct", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("reach"))
 
 
 def hubs(graph: Graph, band: float = 0.1) -> DataFrame:
     """(id, fan_in, fan_out, reach, score): the tenth of nodes with most, those equal to the last too."""
-    d = degrees(graph).join(reach3(graph), "id").withColumn("score", F.col("fan_in") + F.col("fan_out") + F.col("reach"))
+    d = durable(degrees(graph).join(reach3(graph), "id").withColumn("score", F.col("fan_in") + F.col("fan_out") + F.col("reach")))
     scores = d.groupBy("score").agg(F.count("*").alias("n"))
     # the rank of a score is the number of nodes above it; distinct scores are few next to nodes
     above = scores.withColumn("above", F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))

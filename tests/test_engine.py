@@ -633,6 +633,16 @@ def test_reach_within_three_steps_by_classes_and_slices(spark, monkeypatch, rows
     assert {r["id"]: r["reach"] for r in metrics.reach3(g).collect()} == want
 
 
+def test_reach_makes_classes_of_nodes_between_only(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SLICE_ROWS", 40)
+    held, keep = [], metrics.durable
+    monkeypatch.setattr(metrics, "durable", lambda df: held.append(keep(df)) or held[-1])
+    pairs = [(f"top{i}", t) for i in range(60) for t in (f"leaf{i}", "mid")] + [("mid", "end")]
+    got = {r["id"]: r["reach"] for r in metrics.reach3(make(spark, pairs)).collect()}
+    assert got["top7"] == 3 and got["mid"] == 1 and got["leaf7"] == 0
+    assert [df.count() for df in held if df.columns == ["id", "class"]] == [1]
+
+
 def test_a_lock_knows_folders_forbidden_and_undeclared_links(spark):
     g = make(spark, [("app/a.py::f", "lib/x.py::g"), ("app/b.py::f", "lib/x.py::g"), ("lib/x.py::g", "app/a.py::f"), ("new/z.py::f", "app/a.py::f")])
     modules = spark.createDataFrame([("app", "app/a.py"), ("app", "app/b.py"), ("lib", "lib/x.py"), ("zoo", "lib/x.py")], "subsystem string, module string")
