@@ -92,7 +92,10 @@ def update_edges(base: Graph, affected_files: DataFrame, deleted: DataFrame, reb
 
 def apply_delta(base: Graph, new: Graph) -> Graph:
     """The new graph made from the old one: unchanged files keep their rows, the rest comes from new."""
-    files = lambda g: g.nodes.groupBy("file").agg(F.sort_array(F.collect_set(F.concat_ws("|", "id", "body_hash"))).alias("h")).select("file", F.sha2(F.array_join("h", ","), 256).alias("h"))
+    # a file is known by the number of its rows and sums of 128 bits of their hashes, so that no file is in one row
+    halves = lambda h: (F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))))
+    digest = [x for k in (1, 2) for x in halves(F.xxhash64("id", "body_hash", F.lit(k)))]
+    files = lambda g: g.nodes.groupBy("file").agg(F.struct(F.count("*"), *digest).alias("h"))
     changed = diff(files(base), files(new), ["file"], ["h"]).where("change <> 'unchanged'").select("file")
     removed = base.nodes.join(new.nodes, "id", "left_anti").select("id")
     old_ids = base.nodes.join(changed, "file", "left_semi").select("id")
@@ -132,9 +135,9 @@ def snapshot_diff(old: dict[str, DataFrame], new: dict[str, DataFrame], ignore:
     out = None
     for name in sorted(set(old) & set(new)):
         columns = sorted(set(old[name].columns) - set(ignore))
-        a, b = old[name].select(columns).distinct(), new[name].select(columns).distinct()
-        counts = a.exceptAll(b).select(F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(b.exceptAll(a).select(F.lit(0).alias("o"), F.lit(1).alias("n")))
-        row = counts.agg(F.lit(name).alias("table"), F.coalesce(F.sum("o"), F.lit(0)).alias("only_old"), F.coalesce(F.sum("n"), F.lit(0)).alias("only_new"))
+        side = lambda df, k: df.select(F.struct(columns).alias("row"), F.lit(k).alias("k"))  # noqa: E731, B023
+        sides = side(old[name], 1).unionByName(side(new[name], 2)).groupBy("row").agg(F.bit_or("k").alias("k"))
+        row = sides.agg(F.lit(name).alias("table"), F.count_if(F.col("k") == 1).alias("only_old"), F.count_if(F.col("k") == 2).alias("only_new"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, durable
 
 from .components import strong_components
 from .metrics import god_modules
@@ -41,6 +41,14 @@ def subsystem_calls(graph: Graph, subsystems: DataFrame) -> DataFrame:
     return graph.edges.join(s, "source").join(t, "target").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+#: Kinds of policies that look at the calls between subsystems, and where :func:`evaluate` puts them.
+BETWEEN, CALLS = ("coupling_limit", "layer_isolation", "forbidden_subsystem_dep", "allowed_subsystem_deps", "forbidden_subsystem_cycle"), "__calls"
+
+
+def _calls(graph: Graph, subsystems: DataFrame, policy: dict) -> DataFrame:
+    return policy[CALLS] if CALLS in policy else subsystem_calls(graph, subsystems)
+
+
 def pairs_of(target: str) -> list[tuple[str, str]]:
     """``a->b;c->d`` as pairs."""
     return [(a.strip(), b.strip()) for a, sep, b in (x.partition("->") for x in (target or "").split(";")) if sep]
@@ -64,7 +72,7 @@ def score_gate(graph: Graph, subsystems: DataFrame, policy: dict) -> DataFrame:
 
 @handler("coupling_limit")
 def coupling_limit(graph: Graph, subsystems: DataFrame, policy: dict) -> DataFrame:
-    across = subsystem_calls(graph, subsystems).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    across = _calls(graph, subsystems, policy).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     share = across.crossJoin(graph.edges.agg(F.greatest(F.count("*"), F.lit(1)).alias("m"))).select(F.round(F.col("n") / F.col("m"), 6).alias("share"))
     return _found(share.where(F.col("share") > float(policy.get("threshold") or 0.4)), F.lit("coupling"), F.col("share"))
 
@@ -91,7 +99,7 @@ def forbidden_subsystem_dep(graph: Graph, subsystems: DataFrame, policy: dict) -
     named = F.lit(False)
     for a, b in pairs_of(policy.get("target")):
         named = named | ((F.col("a") == a) & (F.col("b") == b))
-    return _found(subsystem_calls(graph, subsystems).where(named), F.concat_ws("->", "a", "b"), F.col("n"))
+    return _found(_calls(graph, subsystems, policy).where(named), F.concat_ws("->", "a", "b"), F.col("n"))
 
 
 @handler("allowed_subsystem_deps")
@@ -99,22 +107,26 @@ def allowed_subsystem_deps(graph: Graph, subsystems: DataFrame, policy: dict) ->
     named = F.lit(False)
     for a, b in pairs_of(policy.get("target")):
         named = named | ((F.col("a") == a) & (F.col("b") == b))
-    return _found(subsystem_calls(graph, subsystems).where(~named), F.concat_ws("->", "a", "b"), F.col("n"))
+    return _found(_calls(graph, subsystems, policy).where(~named), F.concat_ws("->", "a", "b"), F.col("n"))
 
 
 @handler("forbidden_subsystem_cycle")
 def forbidden_subsystem_cycle(graph: Graph, subsystems: DataFrame, policy: dict) -> DataFrame:
-    calls = subsystem_calls(graph, subsystems).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    calls = _calls(graph, subsystems, policy).select(F.col("a").alias("source"), F.col("b").alias("target"))
     members = strong_components(calls).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("id")), " -> ").alias("m"))
     return _found(members, F.col("component"), F.col("m"))
 
 
 def evaluate(graph: Graph, subsystems: DataFrame, policies: list[dict]) -> DataFrame:
-    """(policy_id, subject, detail) of the violations of all policies; a kind without a handler is an error."""
-    out = None
+    """(policy_id, subject, detail) of the violations of all policies; a kind without a handler is an error.
+    Calls between subsystems are counted once for all of them."""
+    out, calls = None, None
     for p in policies:
         if p["kind"] not in HANDLERS:
             raise ValueError(f"no handler for policies of kind {p['kind']}")
+        if p["kind"] in BETWEEN:
+            calls = durable(subsystem_calls(graph, subsystems)) if calls is None else calls
+            p = p | {CALLS: calls}
         rows = HANDLERS[p["kind"]](graph, subsystems, p).select(F.lit(p["id"]).alias("policy_id"), "subject", "detail")
         out = rows if out is None else out.unionByName(rows)
     return out

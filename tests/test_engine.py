@@ -643,6 +643,26 @@ def test_reach_makes_classes_of_nodes_between_only(spark, monkeypatch):
     assert [df.count() for df in held if df.columns == ["id", "class"]] == [1]
 
 
+def test_calls_between_subsystems_are_counted_once_for_all_policies(spark, monkeypatch):
+    made, count = [], governance.subsystem_calls
+    monkeypatch.setattr(governance, "subsystem_calls", lambda *a: made.append(1) or count(*a))
+    g = make(spark, [("a::1", "b::1"), ("b::1", "a::1"), ("a::1", "a::2")])
+    rules = [{"id": "f", "kind": "forbidden_subsystem_dep", "target": "a->b"}, {"id": "o", "kind": "allowed_subsystem_deps", "target": "a->b"}, {"id": "c", "kind": "forbidden_subsystem_cycle"}, {"id": "l", "kind": "coupling_limit", "threshold": 0.5}]
+    rows = {tuple(r) for r in governance.evaluate(g, g.nodes.select("id", F.col("file").alias("subsystem")), rules).collect()}
+    assert rows == {("f", "a->b", "1"), ("o", "b->a", "1"), ("c", "a", "a -> b"), ("l", "coupling", "0.666667")} and made == [1]
+
+
+def test_no_file_is_collected_into_a_row_to_compare_it(spark):
+    old, new = make(spark, [("a::1", "c::1"), ("b::1", "c::1")]), make(spark, [("a::1", "c::1"), ("b::2", "c::1")])
+    merged = diff.apply_delta(old, new)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan(merged.nodes) and sorted(ids(merged.nodes)) == ["a::1", "b::2", "c::1"]
+    assert {(r["source"], r["target"]) for r in merged.edges.collect()} == {("a::1", "c::1"), ("b::2", "c::1")}
+    found = diff.snapshot_diff({"nodes": old.nodes}, {"nodes": new.nodes})
+    assert plan(found).count("Aggregate") <= 2
+    assert {tuple(r) for r in found.collect()} == {("nodes", 1, 1)}
+
+
 def test_a_lock_knows_folders_forbidden_and_undeclared_links(spark):
     g = make(spark, [("app/a.py::f", "lib/x.py::g"), ("app/b.py::f", "lib/x.py::g"), ("lib/x.py::g", "app/a.py::f"), ("new/z.py::f", "app/a.py::f")])
     modules = spark.createDataFrame([("app", "app/a.py"), ("app", "app/b.py"), ("lib", "lib/x.py"), ("zoo", "lib/x.py")], "subsystem string, module string")
