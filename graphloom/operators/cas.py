@@ -40,7 +40,7 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
     # a group is hashed in the round after its last callee; hashes of callees are collected as they come
     waiting = calls if done is None else calls.join(done, calls.gb == done.group, "left_anti")
     if done is not None or not tangled.isEmpty():
-        levels = durable(peel(body.select("group"), waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi")))
+        levels = durable(peel(body.select("group"), durable(waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi"))))
     depth = levels.agg(F.max("level")).first()[0]
     got = calls.limit(0).select(F.col("ga").alias("group"), F.lit("").alias("hash")) if done is None else calls.join(done, calls.gb == done.group).select(F.col("ga").alias("group"), "hash")
     for level in range((-1 if depth is None else depth) + 1):

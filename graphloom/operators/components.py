@@ -320,25 +320,33 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     """(id, level) over the condensed graph: 0 for nodes that call nothing outside their strong component,
     else one more than the largest level of what it calls outside."""
     steps = durable(arcs(edges))
-    nodes = steps.select(F.explode(F.array("at", "to")).alias("id")).distinct()
-    scc = strong_components(edges)
-    group = durable(nodes.join(scc, "id", "left").select("id", F.coalesce("component", "id").alias("group")))
-    a, b = group.select(F.col("id").alias("at"), F.col("group").alias("ga")), group.select(F.col("id").alias("to"), F.col("group").alias("gb"))
-    calls = steps.join(a, "at").join(b, "to").where("ga <> gb").select("ga", "gb").distinct()
+    nodes = durable(steps.select("at").distinct().unionByName(steps.select(F.col("to").alias("at"))).distinct().select(F.col("at").alias("group")))
+    # without cycles the levels are those of the nodes themselves, and no components have to be looked for
+    calls = steps.where("at <> to").select(F.col("at").alias("ga"), F.col("to").alias("gb"))
+    levels = durable(peel(nodes, calls))
+    tangled = durable(nodes.join(levels, "group", "left_anti").select(F.col("group").alias("id")))
+    if tangled.isEmpty():
+        return levels.select(F.col("group").alias("id"), "level")
+    knot = calls.join(tangled.withColumnRenamed("id", "ga"), "ga", "left_semi").join(tangled.withColumnRenamed("id", "gb"), "gb", "left_semi")
+    scc = strong_components(knot.select(F.col("ga").alias("source"), F.col("gb").alias("target")))
+    group = durable(nodes.withColumnRenamed("group", "id").join(scc, "id", "left").select("id", F.coalesce("component", "id").alias("group")))
+    a, b = group.select(F.col("id").alias("ga"), F.col("group").alias("a")), group.select(F.col("id").alias("gb"), F.col("group").alias("b"))
+    calls = durable(calls.join(a, "ga").join(b, "gb").where("a <> b").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct())
     levels = peel(group.select("group").distinct(), calls)
     return group.join(levels, "group").select("id", "level")
 
 
 def peel(groups: DataFrame, calls: DataFrame) -> DataFrame:
-    """(group, level) of groups(group) whose distinct calls(ga, gb) have no cycle. Each round joins what
-    was finished last with its callers alone and counts down how many callees they wait for, so a call is
-    looked at once."""
-    calls = durable(calls)
+    """(group, level) of groups(group) whose distinct calls(ga, gb), a table, have no cycle; groups on cycles and
+    before them get none. Each round joins what was finished last with its callers alone and counts down how many
+    callees they wait for. When none waits, what is ready is the last level, and calls are not read again."""
     waits = durable(calls.groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("open")))
     ready = durable(groups.join(waits, "group", "left_anti"))
     parts, level = [], 0
     while not ready.isEmpty():
         parts.append(ready.withColumn("level", F.lit(level)))
+        if waits.isEmpty():
+            break
         freed = calls.join(ready, calls.gb == ready.group).groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("freed"))
         touched = durable(waits.join(freed, "group").select("group", (F.col("open") - F.col("freed")).alias("open")))
         waits = durable(waits.join(touched.select("group"), "group", "left_anti").unionByName(touched.where("open > 0")))

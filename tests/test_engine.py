@@ -103,6 +103,12 @@ def test_levels_of_a_graph_with_cycles(spark):
     assert got == {"end": 0, "low": 1, "a": 2, "b": 2, "top": 3}
 
 
+def test_levels_without_cycles_look_for_no_components(spark, monkeypatch):
+    monkeypatch.setattr(components, "strong_components", lambda edges: pytest.fail("looked for components"))
+    got = {r["id"]: r["level"] for r in components.topological_levels(make(spark, [("top", "a"), ("a", "end"), ("top", "end"), ("a", "a")]).edges).collect()}
+    assert got == {"end": 0, "a": 1, "top": 2}
+
+
 def test_index_lookups(spark, awkward, tmp_path):
     hashes = cas.dependency_hashes(awkward)
     counts = index.write_index(awkward, str(tmp_path / "i"), hashes)
