@@ -1,6 +1,6 @@
 """Components and the algorithms that run inside one: cycles, bridges, communities, centrality.
 
-Weak components come from hooking and pointer jumping. Strong components come from trimming nodes that
+Weak components come from what each task joins, then from hooking and pointer jumping. Strong components come from trimming nodes that
 cannot lie on a cycle, then from colours, one component for every colour that is left at once; those of
 a graph of few arcs come from one task. Bridges are found inside each weak component, of large ones by
 levels.
@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, durable, module_of
@@ -20,13 +23,83 @@ from graphloom.graph import Graph, durable, module_of
 from .traverse import arcs
 
 
+#: Bytes of edges that a task joins at once before it tells what they join.
+STRETCH_BYTES = 64 << 20
+
+
+def _least_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbers the smallest of those that the pairs (a, b) join it with."""
+    low = np.arange(n)
+    while len(a):
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = low[low]
+            if (further == low).all():
+                break
+            low = further
+        a, b = low[a], low[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return low
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of each node of each stretch of edges (source, target): root is the smallest id that the
+    edges of the stretch join it with."""
+
+    def told(stretch: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = pa.concat_arrays([x.column(k) for k in (0, 1) for x in stretch]).dictionary_encode()
+        order = pc.sort_indices(ends.dictionary)
+        names = ends.dictionary.take(order)
+        place = np.empty(len(names), np.int64)
+        place[order.to_numpy()] = np.arange(len(names))
+        codes = place[ends.indices.to_numpy()]
+        half = len(codes) // 2
+        roots = names.take(pa.array(_least_joined(codes[:half], codes[half:], len(names))))
+        yield from pa.table({"id": names, "root": roots}).to_batches(max_chunksize=50_000)
+
+    stretch, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            stretch.append(batch)
+            size += batch.nbytes
+        if size >= STRETCH_BYTES:
+            yield from told(stretch)
+            stretch, size = [], 0
+    if stretch:
+        yield from told(stretch)
+
+
+#: Roots up to which their components are sent to all tasks.
+FEW_ROOTS = 100_000
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id of those joined by edges in any direction."""
-    steps = arcs(edges, undirected=True).where(F.col("at") != F.col("to"))
-    labels = nodes.select("id", F.col("id").alias("component"))
-    extra = steps.select(F.col("at").alias("id")).distinct().join(nodes, "id", "left_anti")
-    labels = durable(labels.unionByName(extra.select("id", F.col("id").alias("component"))))
-    links = durable(steps)
+    """(id, component): component is the smallest id of those joined by edges in any direction. Tasks join
+    the edges that they read, in stretches of bounded size, so that a node has one root for each stretch
+    that it is in and not a row for each edge. Roots of one node are linked, and what is left of the graph
+    are these links."""
+    steps = edges.select("source", "target").where("source <> target")
+    stars = durable(steps.mapInArrow(_stars, "id string, root string"))  # a table: tasks that are run again may cut other stretches
+    order = Window.partitionBy("id").orderBy("root")
+    held = durable(stars.select("id", "root", F.first("root").over(order).alias("low"), F.row_number().over(order).alias("place")))
+    parents = held.where("place = 1").select(F.col("id").alias("x"), "low")
+    links = held.where("root <> low").select(F.col("root").alias("at"), F.col("low").alias("to")).distinct()
+    links = durable(links.unionByName(links.select(F.col("to").alias("at"), F.col("at").alias("to"))).distinct())
+    component = F.col("low")
+    if not links.isEmpty():
+        roots = _joined(links).select(F.col("id").alias("low"), "component")
+        parents = parents.join(F.broadcast(roots) if roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS else roots.hint("merge"), "low", "left")
+        component = F.coalesce("component", "low")
+    parents = parents.select("x", component.alias("component"))
+    out = nodes.select("id").join(parents, F.col("id") == F.col("x"), "full")
+    return durable(out.select(F.coalesce("id", "x").alias("id"), F.coalesce("component", "id").alias("component")))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(id, component) of the ends of distinct links (at, to), a table that has both directions: hooking and
+    pointer jumping."""
+    labels = durable(links.select(F.col("at").alias("id")).distinct().withColumn("component", F.col("id")))
     while not links.isEmpty():
         least = links.groupBy("at").agg(F.min("to").alias("low")).select(F.col("at").alias("x"), F.least("at", "low").alias("p"))
         parents = durable(least)

@@ -208,6 +208,26 @@ def test_random_graphs_against_plain_algorithms(spark, seed):
     assert {(r["source"], r["target"]) for r in components.bridges(g, one_task=0).collect()} == bridges
 
 
+def test_weak_components_keep_no_row_for_each_edge(spark, monkeypatch):
+    monkeypatch.setattr(components, "STRETCH_BYTES", 1)
+    held, keep = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: held.append(keep(df)) or held[-1])
+    g = make(spark, [(f"m::{i}", f"n{j}") for i in range(60) for j in range(60)] + [("x::1", "é"), ("é", "x::1"), ("self", "self")], extra=["alone", "alone2"])
+    g = Graph(g.nodes.where("id <> 'x::1'"), g.edges.repartition(4))
+    got = {r["id"]: r["component"] for r in components.weak_components(g.nodes, g.edges).collect()}
+    assert len(got) == 125 and {got[f"m::{i}"] for i in range(60)} | {got[f"n{i}"] for i in range(60)} == {"m::0"}
+    assert (got["é"], got["x::1"], got["self"], got["alone"]) == ("x::1", "x::1", "self", "alone")
+    assert max(df.count() for df in held) <= 4 * 122
+
+
+def test_weak_components_of_a_long_chain_in_many_stretches(spark, monkeypatch):
+    monkeypatch.setattr(components, "STRETCH_BYTES", 1)
+    names = [f"n{i * 7919 % 500:03}" for i in range(500)]
+    edges = make(spark, list(zip(names[:250], names[1:250])) + list(zip(names[251:], names[250:]))).edges.repartition(40)
+    got = {r["id"]: r["component"] for r in components.weak_components(edges.select(F.col("source").alias("id")).limit(0), edges).collect()}
+    assert got == {n: min(names[:250]) for n in names[:250]} | {n: min(names[250:]) for n in names[250:]}
+
+
 def test_empty_graphs(spark):
     g = make(spark, [], extra=["x::1"])
     assert components.strong_components(g.edges).count() == 0
