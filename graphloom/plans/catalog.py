@@ -62,7 +62,7 @@ def by_file(view):
 
     def run(spark, sf_dir):
         g = view(spark, sf_dir)
-        names = g.nodes.select("id", F.concat("file", F.lit("::"), F.replace("id", F.lit("::"), F.lit(""))).alias("name"))
+        names = g.nodes.select("id", F.concat("file", F.lit("::"), F.replace("id", F.lit("::"), F.lit(""))).alias("name")).hint("merge")  # they grow with the data: not through the driver
         end = lambda c: names.select(F.col("id").alias(c), F.col("name").alias(c + "_name"))
         e = g.edges.join(end("source"), "source").join(end("target"), "target").drop("source", "target").withColumnsRenamed({"source_name": "source", "target_name": "target"})
         return Graph(g.nodes.join(names, "id").withColumn("id", F.col("name")).drop("name"), e)
