@@ -86,6 +86,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a growing table up to which it may be sent to all tasks.
+FEW_ROWS = 50_000
+
+
+def by_size(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many rows as a side of a join: of more than FEW_ROWS it is shuffled. Its compressed files look
+    small to the planner, which would send it to all tasks, and so through the driver, up to 10 MB of them."""
+    return df if rows <= FEW_ROWS else df.hint("merge")
+
+
 def clean_up() -> None:
     """Deletes everything at a :func:`fresh_path`."""
     while _written:

@@ -1,9 +1,9 @@
 """Components and the algorithms that run inside one: cycles, bridges, communities, centrality.
 
-Weak components come from what each task joins, then from hooking and pointer jumping. Strong components come from trimming nodes that
-cannot lie on a cycle, then from colours, one component for every colour that is left at once; those of
-a graph of few arcs come from one task. Bridges are found inside each weak component, of large ones by
-levels.
+Weak components come from what each task joins, then from hooking and pointer jumping. Strong components
+come from trimming nodes that cannot lie on a cycle, then from tasks that take small weak components
+together and, in large ones, from colours, one component for every colour that is left at once. Bridges
+are found inside each weak component, of large ones by levels.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, durable, module_of
+from graphloom.graph import FEW_ROWS, Graph, by_size, durable, module_of
 
 from .traverse import arcs
 
@@ -70,10 +70,6 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(stretch)
 
 
-#: Roots up to which their components are sent to all tasks.
-FEW_ROOTS = 100_000
-
-
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id of those joined by edges in any direction. Tasks join
     the edges that they read, in stretches of bounded size, so that a node has one root for each stretch
@@ -89,7 +85,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     component = F.col("low")
     if not links.isEmpty():
         roots = _joined(links).select(F.col("id").alias("low"), "component")
-        parents = parents.join(F.broadcast(roots) if roots.limit(FEW_ROOTS + 1).count() <= FEW_ROOTS else roots.hint("merge"), "low", "left")
+        parents = parents.join(F.broadcast(roots) if roots.limit(FEW_ROWS + 1).count() <= FEW_ROWS else roots.hint("merge"), "low", "left")
         component = F.coalesce("component", "low")
     parents = parents.select("x", component.alias("component"))
     out = nodes.select("id").join(parents, F.col("id") == F.col("x"), "full")
@@ -118,7 +114,8 @@ def _joined(links: DataFrame) -> DataFrame:
     return labels
 
 
-#: Distinct arcs up to which strong components are found in one task; the result is the same.
+#: Distinct arcs up to which one task takes strong components of a graph, or of weak components together; the
+#: result is the same.
 SMALL_ARCS = 100_000
 
 
@@ -164,36 +161,63 @@ def _strong_in_memory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes in strong components of two nodes or more; component is the smallest
-    id. Self-loops make no cycle here. Each round drops what lies on no cycle and gives every node the
+    id. Self-loops make no cycle here. Nodes that nothing calls or that call nothing are dropped first. Of
+    what is left, weak components of SMALL_ARCS arcs or fewer are dealt to tasks of about as many, and
+    colours find the components inside larger ones."""
+    left, size = _trimmed(durable(arcs(edges).where(F.col("at") != F.col("to"))))
+    if size <= SMALL_ARCS:
+        return _strong_in_one(left)
+    parts = weak_components(left.select(F.col("at").alias("id")).limit(0), left.select(F.col("at").alias("source"), F.col("to").alias("target")))
+    left = durable(left.join(parts.withColumnRenamed("id", "at").hint("merge"), "at"))
+    large = durable(left.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_ARCS).select("component"))  # few: each has many arcs
+    tasks = -(-size // max(1, SMALL_ARCS))
+    small = left.join(F.broadcast(large), "component", "left_anti").withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    found = small.select("task", "at", "to").groupBy("task").applyInPandas(lambda pdf: next(_strong_in_memory(iter([pdf]))), "id string, component string")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_strong_by_colours(durable(left.join(F.broadcast(large), "component", "left_semi").select("at", "to"))))
+
+
+def _strong_in_one(left: DataFrame) -> DataFrame:
+    return left.coalesce(1).mapInPandas(_strong_in_memory, "id string, component string")
+
+
+def _trimmed(left: DataFrame) -> tuple[DataFrame, int]:
+    """What is left of a table of arcs without nodes that cannot lie on a cycle, as a table, and its number of
+    arcs; once there are SMALL_ARCS or fewer, one task does the rest."""
+    size = left.count()
+    while size > SMALL_ARCS:
+        ins, outs = left.select(F.col("to").alias("at")).distinct(), left.select(F.col("at").alias("to")).distinct()
+        left = durable(left.join(ins.hint("merge"), "at", "left_semi").join(outs.hint("merge"), "to", "left_semi"))
+        before, size = size, left.count()
+        if size == before:
+            break
+    return left, size
+
+
+def _strong_by_colours(left: DataFrame) -> DataFrame:
+    """Strong components of a table of arcs. Each round drops what lies on no cycle and gives every node the
     colour of the first node that reaches it, in an order by hash; nodes that reach the one that gave
     them their colour are its component. So a round finds components in every part of the graph at once,
     and in a row of components one in the middle as a rule, on whose sides the next round goes on."""
-    left = durable(arcs(edges).where(F.col("at") != F.col("to")))
-    if left.limit(SMALL_ARCS + 1).count() <= SMALL_ARCS:
-        return left.coalesce(1).mapInPandas(_strong_in_memory, "id string, component string")
     parts = []
     while True:
-        size = left.count()
-        while size:
-            ins, outs = left.select(F.col("to").alias("at")).distinct(), left.select(F.col("at").alias("to")).distinct()
-            left = durable(left.join(ins, "at", "left_semi").join(outs, "to", "left_semi"))
-            before, size = size, left.count()
-            if size == before:
-                break
-        if not size:
+        left, size = _trimmed(left)
+        if size <= SMALL_ARCS:
+            rest = _strong_in_one(left)
             break
         colour = _least_before(left)
         a, b = colour.select(F.col("id").alias("at"), F.col("colour").alias("ca")), colour.select(F.col("id").alias("to"), F.col("colour").alias("cb"))
-        left = durable(left.join(a, "at").join(b, "to").where("ca = cb").select("at", "to", F.col("ca").alias("colour")))
+        left = durable(left.join(a.hint("merge"), "at").join(b.hint("merge"), "to").where("ca = cb").select("at", "to", F.col("ca").alias("colour")))
         found = _spread(left, colour.where(F.col("colour") == _colour("id")).select("colour", "id"))
         parts.append(found)
-        gone = found.select("id")
+        gone = found.select("id").hint("merge")
         left = durable(left.join(gone.withColumnRenamed("id", "at"), "at", "left_anti").join(gone.withColumnRenamed("id", "to"), "to", "left_anti").select("at", "to"))
     if not parts:
-        return edges.limit(0).select(F.col("source").alias("id"), F.col("source").alias("component"))
+        return rest
     every = union_all(parts)  # a colour is of one node, so it names one component in one round
     least = every.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return every.join(least, "colour").select("id", "component")
+    return every.join(least, "colour").select("id", "component").unionByName(rest)
 
 
 def _colour(name: str) -> Column:
@@ -236,6 +260,7 @@ def cycles(graph: Graph, self_loops: bool = False) -> DataFrame:
         alone = graph.edges.where("source = target").select(F.col("source").alias("id")).distinct().join(scc, "id", "left_anti")
         scc = scc.unionByName(alone.select("id", F.col("id").alias("component")))
     s, t = scc.select(F.col("id").alias("source"), F.col("component").alias("cs")), scc.select(F.col("id").alias("target"), F.col("component").alias("ct"))
+    s, t = s.hint("merge"), t.hint("merge")  # they grow with the graph: not through the driver
     inside = graph.edges.join(s, "source").join(t, "target").where("cs = ct").groupBy(F.col("cs").alias("component")).agg(F.count("*").alias("evidence"))
     members = scc.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("id")), " -> ").alias("members"))
     return members.join(inside, "component", "left").select(F.col("component").alias("cycle_id"), "size", "members", F.coalesce("evidence", F.lit(0)).alias("evidence")).orderBy(F.desc("size"), "cycle_id")
@@ -397,16 +422,18 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     # without cycles the levels are those of the nodes themselves, and no components have to be looked for
     calls = steps.where("at <> to").select(F.col("at").alias("ga"), F.col("to").alias("gb"))
     levels = durable(peel(nodes, calls))
-    tangled = durable(nodes.join(levels, "group", "left_anti").select(F.col("group").alias("id")))
-    if tangled.isEmpty():
+    tangled = durable(nodes.join(levels.select("group").hint("merge"), "group", "left_anti").select(F.col("group").alias("id")))
+    n = tangled.count()
+    if not n:
         return levels.select(F.col("group").alias("id"), "level")
-    knot = calls.join(tangled.withColumnRenamed("id", "ga"), "ga", "left_semi").join(tangled.withColumnRenamed("id", "gb"), "gb", "left_semi")
+    end = lambda c: by_size(tangled.withColumnRenamed("id", c), n)
+    knot = calls.join(end("ga"), "ga", "left_semi").join(end("gb"), "gb", "left_semi")
     scc = strong_components(knot.select(F.col("ga").alias("source"), F.col("gb").alias("target")))
-    group = durable(nodes.withColumnRenamed("group", "id").join(scc, "id", "left").select("id", F.coalesce("component", "id").alias("group")))
-    a, b = group.select(F.col("id").alias("ga"), F.col("group").alias("a")), group.select(F.col("id").alias("gb"), F.col("group").alias("b"))
+    group = durable(nodes.withColumnRenamed("group", "id").join(scc.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("group")))
+    a, b = group.select(F.col("id").alias("ga"), F.col("group").alias("a")).hint("merge"), group.select(F.col("id").alias("gb"), F.col("group").alias("b")).hint("merge")
     calls = durable(calls.join(a, "ga").join(b, "gb").where("a <> b").select(F.col("a").alias("ga"), F.col("b").alias("gb")).distinct())
     levels = peel(group.select("group").distinct(), calls)
-    return group.join(levels, "group").select("id", "level")
+    return group.join(levels.hint("merge"), "group").select("id", "level")
 
 
 def peel(groups: DataFrame, calls: DataFrame) -> DataFrame:
@@ -414,17 +441,18 @@ def peel(groups: DataFrame, calls: DataFrame) -> DataFrame:
     before them get none. Each round joins what was finished last with its callers alone and counts down how many
     callees they wait for. When none waits, what is ready is the last level, and calls are not read again."""
     waits = durable(calls.groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("open")))
-    ready = durable(groups.join(waits, "group", "left_anti"))
-    parts, level = [], 0
-    while not ready.isEmpty():
+    ready = durable(groups.join(waits.select("group").hint("merge"), "group", "left_anti"))
+    parts, level, waiting, n = [], 0, waits.count(), ready.count()
+    while n:
         parts.append(ready.withColumn("level", F.lit(level)))
-        if waits.isEmpty():
+        if not waiting:
             break
-        freed = calls.join(ready, calls.gb == ready.group).groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("freed"))
-        touched = durable(waits.join(freed, "group").select("group", (F.col("open") - F.col("freed")).alias("open")))
-        waits = durable(waits.join(touched.select("group"), "group", "left_anti").unionByName(touched.where("open > 0")))
+        freed = calls.join(by_size(ready, n), F.col("gb") == F.col("group")).groupBy(F.col("ga").alias("group")).agg(F.count("*").alias("freed"))
+        touched = durable(by_size(waits, waiting).join(freed, "group").select("group", (F.col("open") - F.col("freed")).alias("open")))
+        met, n = touched.agg(F.count("*"), F.count_if(F.col("open") == 0)).head()
+        waits = durable(waits.join(by_size(touched.select("group"), met), "group", "left_anti").unionByName(touched.where("open > 0")))
         ready = touched.where("open = 0").select("group")
-        level += 1
+        level, waiting = level + 1, waiting - n
         if len(parts) == 10:
             parts = [durable(union_all(parts))]
     return union_all(parts) if parts else groups.limit(0).withColumn("level", F.lit(0))

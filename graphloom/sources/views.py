@@ -116,7 +116,7 @@ def partners(spark: SparkSession, sf_dir: str) -> Graph:
         _edges(s.where("s_suppkey % 8 <> 7"), supplier(at), supplier(at + 1), "call"),
         _edges(s.where("s_suppkey % 8 = 5"), supplier(at), supplier(at - 3), "call"),
     ]
-    ids = nodes.select("id")
+    ids = nodes.select("id").hint("merge")  # they grow with the data: not through the driver
     edges = _union(parts).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return Graph(nodes.drop("layer", "arch_layer"), edges.select("source", "target", "edge_type", "confidence"), nodes.select("id", "layer", "arch_layer"))
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import graph
 from graphloom.functions import text
 from graphloom.graph import Graph, module_of, validate
 from graphloom.operators import cas, components, diff, governance, history, lookup, metrics, policy, score, semantics, simulate, traverse
@@ -645,6 +646,39 @@ def test_strong_components_are_the_same_both_ways(spark, monkeypatch):
     assert components.strong_components(make(spark, [], extra=["a"]).edges).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_weak_components_are_dealt_to_tasks_and_need_no_colours(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL_ARCS", 5)
+    monkeypatch.setattr(components, "_least_before", lambda steps: pytest.fail("gave colours"))
+    rings = [(f"r{k}::{i}", f"r{k}::{(i + 1) % 4}") for k in range(20) for i in range(4)] + [(f"r{k}::0", f"tail{k}") for k in range(20)]
+    got = {tuple(r) for r in components.strong_components(make(spark, rings).edges).collect()}
+    assert got == {(f"r{k}::{i}", f"r{k}::0") for k in range(20) for i in range(4)}
+
+
+def test_tables_that_grow_with_the_graph_are_not_sent_to_all_tasks(spark, monkeypatch):
+    g = make(spark, [("a", "b"), ("b", "a"), ("b", "c")])
+    g = Graph(graph.durable(g.nodes), graph.durable(g.edges))
+    assert "Broadcast" not in plan_of(components.cycles(g)) and [r["evidence"] for r in components.cycles(g).collect()] == [2]
+    assert "Broadcast" not in plan_of(components.topological_levels(g.edges))
+    assert "Broadcast" not in plan_of(catalog.PARTNERS(spark, SF).edges)
+
+
+def test_sides_of_joins_go_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_ROWS", 1)
+    small = graph.durable(make(spark, [("a", "b"), ("b", "c")]).edges)
+    assert "Broadcast" in plan_of(small.join(graph.by_size(small.select("source"), 1), "source"))
+    assert "Broadcast" not in plan_of(small.join(graph.by_size(small.select("source"), 2), "source"))
+    edges = make(spark, [("top", "a"), ("a", "b"), ("b", "a"), ("b", "low"), ("low", "end"), ("top", "end")]).edges
+    assert {r["id"]: r["level"] for r in components.topological_levels(edges).collect()} == {"end": 0, "low": 1, "a": 2, "b": 2, "top": 3}
+
+
+def test_names_by_file_are_not_sent_to_all_tasks(spark):
+    assert "Broadcast" not in plan_of(catalog.by_file(catalog.PARTNERS)(spark, SF).edges)
+
+
 @pytest.mark.parametrize("rows", [200_000_000, 40])
 def test_reach_within_three_steps_by_classes_and_slices(spark, monkeypatch, rows):
     monkeypatch.setattr(metrics, "SLICE_ROWS", rows)
