@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, durable
+from graphloom.graph import Graph, by_size, durable
 
 from .traverse import arcs
 
@@ -40,18 +40,23 @@ def closes(steps: DataFrame, changes: DataFrame, questions: DataFrame) -> DataFr
     removed = changes.where("change = 'remove'").select("candidate", F.col("source").alias("at"), F.col("target").alias("to"))
     added = changes.where("change = 'add'").select("candidate", F.col("source").alias("at"), F.col("target").alias("to")).distinct()
     asked = durable(questions.select("candidate", "source", "target").distinct())
-    frontier = asked.select("candidate", F.col("source").alias("origin"), F.col("source").alias("node")).distinct()
-    seen, found = durable(frontier), None
+    frontier = durable(asked.select("candidate", F.col("source").alias("origin"), F.col("source").alias("node")).distinct())
+    changed, ends, last = changes.count(), asked.count(), frontier.count()
+    removed, added = by_size(removed, changed), by_size(added, changed)
+    asked = by_size(asked.select("candidate", F.col("source").alias("origin"), F.col("target").alias("node")), ends)
+    seen, known, found = frontier, last, None
     while True:
-        common = frontier.join(steps, frontier.node == steps.at).select("candidate", "origin", "at", "to").join(removed, ["candidate", "at", "to"], "left_anti")
+        frontier = by_size(frontier, last)
+        common = frontier.join(steps, F.col("node") == F.col("at")).select("candidate", "origin", "at", "to").join(removed, ["candidate", "at", "to"], "left_anti")
         own = frontier.withColumnRenamed("node", "at").join(added, ["candidate", "at"]).select("candidate", "origin", "at", "to")
         new = common.unionByName(own).select("candidate", "origin", F.col("to").alias("node")).distinct()
-        hit = new.join(asked.select("candidate", F.col("source").alias("origin"), F.col("target").alias("node")), ["candidate", "origin", "node"], "left_semi")
+        hit = new.join(asked, ["candidate", "origin", "node"], "left_semi")
         found = hit if found is None else found.unionByName(hit)
-        frontier = durable(new.join(seen, ["candidate", "origin", "node"], "left_anti"))
-        if frontier.isEmpty():
+        frontier = durable(new.join(by_size(seen, known), ["candidate", "origin", "node"], "left_anti"))
+        last = frontier.count()
+        if not last:
             return found.select("candidate", F.col("origin").alias("source"), F.col("node").alias("target")).distinct()
-        seen, found = durable(seen.unionByName(frontier)), durable(found.distinct())
+        seen, known, found = durable(seen.unionByName(frontier)), known + last, durable(found.distinct())
 
 
 def evaluate(graph: Graph, candidates: DataFrame) -> DataFrame:
@@ -61,10 +66,12 @@ def evaluate(graph: Graph, candidates: DataFrame) -> DataFrame:
     if its ends reached each other before and do not afterwards. An added pair is one record more, a
     removed one loses all of its records; what is removed and added at once is added."""
     changes = durable(candidates.select("candidate", "change", "source", "target").distinct())
+    changed = changes.count()
+    side = lambda df: by_size(df, changed)  # noqa: E731  of about as many rows as there are changes
     pairs = durable(_counted(graph))
-    known = graph.described().select("id", "file", "layer")
-    added = changes.where("change = 'add'")
-    removed = changes.where("change = 'remove'").join(pairs, ["source", "target"])
+    known = graph.described().select("id", "file", "layer").hint("merge")
+    added = side(changes.where("change = 'add'"))
+    removed = side(changes.where("change = 'remove'")).join(pairs, ["source", "target"])
     end = lambda c: known.select(F.col("id").alias(c), F.col("file").alias(c + "_file"), F.col("layer").alias(c + "_layer"))
     placed = added.join(end("source"), "source", "left").join(end("target"), "target", "left")
     new = placed.select(
@@ -75,13 +82,13 @@ def evaluate(graph: Graph, candidates: DataFrame) -> DataFrame:
     base = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("outside"))
 
     fans = durable(pairs.groupBy("source").agg(F.sum("n").alias("fan_out")))
-    touched = deltas.groupBy("candidate", "source").agg(F.sum("n").alias("d")).join(fans, "source", "left").select("candidate", "source", (F.coalesce("fan_out", F.lit(0)) + F.col("d")).alias("fan_out"))
+    touched = deltas.groupBy("candidate", "source").agg(F.sum("n").alias("d")).join(fans.hint("merge"), "source", "left").select("candidate", "source", (F.coalesce("fan_out", F.lit(0)) + F.col("d")).alias("fan_out"))
     touched = durable(touched)
     # the largest fan-out of nodes that a candidate leaves alone is among as many as it touches, and one
     most = touched.groupBy("candidate").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).head()[0]
     top = fans.orderBy(F.desc("fan_out"), "source").limit(most + 1)
     names = changes.select("candidate").distinct()
-    alone = names.crossJoin(F.broadcast(top)).join(touched.select("candidate", "source"), ["candidate", "source"], "left_anti")  # most + 1 rows for each candidate
+    alone = names.crossJoin(F.broadcast(top)).join(side(touched.select("candidate", "source")), ["candidate", "source"], "left_anti")  # most + 1 rows for each candidate
     fan = touched.unionByName(alone.select("candidate", "source", "fan_out")).groupBy("candidate").agg(F.max("fan_out").alias("max_fan_out"))
     before = fans.agg(F.coalesce(F.max("fan_out"), F.lit(0)).alias("max_fan_out_before"))
 
@@ -92,10 +99,10 @@ def evaluate(graph: Graph, candidates: DataFrame) -> DataFrame:
     closed = back(after).join(added, ["candidate", "source", "target"], "left_semi").groupBy("candidate").agg(F.count("*").alias("cycles_closed"))
     was = gone.select(F.lit("").alias("candidate"), "source", "target").distinct()
     cyclic = back(closes(steps, changes.limit(0), back(was))).select("source", "target")
-    both = after.join(back(after), ["candidate", "source", "target"], "left_semi")
-    opened = gone.join(cyclic, ["source", "target"], "left_semi").join(both, ["candidate", "source", "target"], "left_anti").groupBy("candidate").agg(F.count("*").alias("cycles_opened"))
+    both = after.join(side(back(after)), ["candidate", "source", "target"], "left_semi")
+    opened = gone.join(side(cyclic), ["source", "target"], "left_semi").join(side(both), ["candidate", "source", "target"], "left_anti").groupBy("candidate").agg(F.count("*").alias("cycles_opened"))
 
-    rows = names.join(sums, "candidate", "left").join(fan, "candidate", "left").join(closed, "candidate", "left").join(opened, "candidate", "left")
+    rows = names.join(side(sums), "candidate", "left").join(side(fan), "candidate", "left").join(side(closed), "candidate", "left").join(side(opened), "candidate", "left")
     rows = rows.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(before)).fillna(0)  # one row each
     edges = F.col("edges") + F.col("d_edges")
     share = lambda part, whole: F.round(F.when(whole > 0, part / whole).otherwise(0.0), 6)
@@ -130,13 +137,13 @@ def search(graph: Graph, moves: DataFrame, width: int = 4, rounds: int = 2) -> D
     in one plan, and the ``width`` best safe ones by score and name without violations are the next
     beam."""
     moves = durable(moves.select("candidate", "change", "source", "target").distinct())
-    names = moves.select(F.col("candidate").alias("move")).distinct()
+    names, known = moves.select(F.col("candidate").alias("move")).distinct(), by_size(moves.withColumnRenamed("candidate", "move"), moves.count())
     beam, out = names.sparkSession.createDataFrame([([],)], "moves array<string>"), None
     for number in range(1, rounds + 1):
         # width rows by all moves
         sets = F.broadcast(beam).crossJoin(names).where(~F.array_contains("moves", F.col("move"))).select(F.array_sort(F.array_append("moves", F.col("move"))).alias("moves")).distinct()
         sets = durable(sets.withColumn("candidate", F.array_join("moves", " + ")))
-        rows = sets.select("candidate", F.explode("moves").alias("move")).join(moves.withColumnRenamed("candidate", "move"), "move").select("candidate", "change", "source", "target")
+        rows = sets.select("candidate", F.explode("moves").alias("move")).join(known, "move").select("candidate", "change", "source", "target")
         best = scored(evaluate(graph, rows)).where("safe and violations_added = 0").orderBy(F.desc("score"), "candidate").limit(width)
         best = durable(best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "candidate"))).withColumn("round", F.lit(number)))
         out = best if out is None else out.unionByName(best)
