@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,8 +117,16 @@ def effects_of(source: Column | str) -> Column:
 
 
 def domains_of(text: Column | str) -> Column:
-    low = F.lower(text)
-    return _where((domain, low.rlike("|".join(words))) for domain, words in DOMAINS.items())
+    return domains_in(F.lower(text))
+
+
+def domains_in(low: Column | str) -> Column:
+    """The domains whose words, which are plain letters, a text in lower case contains; words that contain
+    another of the same domain decide nothing. Long texts are put in lower case in a step before, as every
+    use here would do it again."""
+    at = F.col(low) if isinstance(low, str) else low
+    fewest = {k: [w for w in words if not any(x in w for x in words if x != w)] for k, words in DOMAINS.items()}
+    return _where((k, reduce(or_, (at.contains(w) for w in words))) for k, words in fewest.items())
 
 
 def sql_operations_of(source: Column | str) -> Column:

@@ -533,7 +533,7 @@ query("event_sessions", """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts)
 query("interaction_patterns", oracle.sales(" SELECT split_part(source, '::', 1) AS source_kind, split_part(target, '::', 1) AS target_kind, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM edges), 6) AS share FROM edges GROUP BY ALL"))(
     lambda spark, d: history.interactions(SALES(spark, d).edges))
 query("document_domains", "SELECT domain, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{k}' END" for k, w in text.DOMAINS.items()) + "], lambda x: x IS NOT NULL)) AS domain FROM documents) GROUP BY domain")(
-    lambda spark, d: views.table(spark, d, "documents").select(F.explode(text.domains_of("text")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n")))
+    lambda spark, d: views.table(spark, d, "documents").select(F.lower("text").alias("low")).select(F.explode(text.domains_in("low")).alias("domain")).groupBy("domain").agg(F.count("*").alias("n")))
 query("page_hosts", "SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, count(*)::BIGINT AS n FROM pages GROUP BY host")(
     lambda spark, d: views.table(spark, d, "pages").groupBy(text.host_of("url").alias("host")).agg(F.count("*").alias("n")))
 query("web_links", """SELECT edge_type, count(*)::BIGINT AS n, count(DISTINCT target)::BIGINT AS targets FROM (SELECT 'call' AS edge_type, regexp_extract(url, '^https?://([^/?#]+)', 1) AS target FROM pages

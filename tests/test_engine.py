@@ -675,6 +675,15 @@ def test_sides_of_joins_go_by_their_rows(spark, monkeypatch):
     assert {r["id"]: r["level"] for r in components.topological_levels(edges).collect()} == {"end": 0, "low": 1, "a": 2, "b": 2, "top": 3}
 
 
+def test_domains_put_a_text_in_lower_case_once(spark):
+    assert all(w.isalpha() and w == w.lower() for words in text.DOMAINS.values() for w in words)
+    assert plan_of(catalog.QUERIES["document_domains"](spark, SF)).count("lower(") == 1
+    words = [w for ws in text.DOMAINS.values() for w in ws]
+    df = spark.createDataFrame([(w.upper(),) for w in words] + [(None,), ("",)], "text string")
+    got = [r["d"] for r in df.select(text.domains_of("text").alias("d")).collect()]
+    assert got == [[k for k, ws in text.DOMAINS.items() if any(x in w for x in ws)] for w in words] + [[], []]
+
+
 def test_names_by_file_are_not_sent_to_all_tasks(spark):
     assert "Broadcast" not in plan_of(catalog.by_file(catalog.PARTNERS)(spark, SF).edges)
 
