@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -406,6 +407,16 @@ def test_fields_in_two_places_of_a_template_are_generalised(spark):
     assert [r["n_dropped"] for r in linededup.drop_recurring(documents(spark, rows)).orderBy("doc_id").collect()] == [0] + [1] * 8
 
 
+def test_lines_without_fields_are_split_without_patterns(spark):
+    lines = ["", " ", "a", " A  b ", "a\tb", "\ta\r", "a1 b", "b 2c\f3", "x\u00a0y \u0661", "\u0130 1 \u03a3", "no FIELD but\ttab", "7"]
+    df = spark.createDataFrame([(x,) for x in lines], "c string").select("c", linededup.tokens(F.col("c")).alias("f"))
+    for r in df.collect():
+        want = [t for t in re.split(r"[ \t\r\f]+", r["c"].lower()) if t]
+        assert r["f"] == ["0" if re.search("[0-9]", t) else t for t in want]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN RLIKE\(c#\d+, [^ ]*0-9.*ELSE split\(lower\(c#\d+\),  , -1\)", plan, re.S), plan
+
+
 # ---- decontamination
 
 
