@@ -96,6 +96,26 @@ def by_size(df: DataFrame, rows: int) -> DataFrame:
     return df if rows <= FEW_ROWS else df.hint("merge")
 
 
+#: Bytes of input files for each task in which rows are sorted or counted.
+SHARE = 8 << 20
+
+
+def shares(*tables: DataFrame) -> int:
+    """Into how many parts to deal rows by a key: one for each SHARE of the files that the tables are read from;
+    0 if there are cores enough to leave that to Spark. Spark itself puts up to 64 MB of compressed rows into a
+    part, which may be ten times that in the memory of a task."""
+    spark = tables[0].sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in {f for t in tables for f in t.inputFiles()}]
+    n = -(-sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) // SHARE)
+    return n if n > spark.sparkContext.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` shuffled by the keys into n parts, or as it is for 0 of them."""
+    return df.repartition(n, *keys) if n else df
+
+
 def clean_up() -> None:
     """Deletes everything at a :func:`fresh_path`."""
     while _written:

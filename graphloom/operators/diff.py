@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, dealt, shares
 
 from .metrics import degrees
 
@@ -26,7 +26,8 @@ def diff_nodes(old: Graph, new: Graph) -> DataFrame:
 def diff_edges(old: Graph, new: Graph) -> DataFrame:
     """Pairs (source, target) by change of their type or confidence. Of the records of a pair the last by
     type and confidence counts."""
-    one = lambda g: g.edges.groupBy("source", "target").agg(F.max(F.struct("edge_type", "confidence")).alias("m")).select("source", "target", "m.*")
+    n = shares(old.edges, new.edges)
+    one = lambda g: dealt(g.edges.select("source", "target", "edge_type", "confidence"), n, "source", "target").groupBy("source", "target").agg(F.max(F.struct("edge_type", "confidence")).alias("m")).select("source", "target", "m.*")
     return diff(one(old), one(new), ["source", "target"], ["edge_type", "confidence"])
 
 
@@ -34,7 +35,7 @@ def diff_multigraph(old: Graph, new: Graph) -> DataFrame:
     """(source, target, edge_type, delta): change of the number of records, where there is one."""
     count = lambda g, n: g.edges.select("source", "target", "edge_type", F.lit(n).alias("n"))
     both = count(new, 1).unionByName(count(old, -1))
-    return both.groupBy("source", "target", "edge_type").agg(F.sum("n").alias("delta")).where("delta <> 0")
+    return dealt(both, shares(both), "source", "target", "edge_type").groupBy("source", "target", "edge_type").agg(F.sum("n").alias("delta")).where("delta <> 0")
 
 
 def metric_row(graph: Graph) -> DataFrame:

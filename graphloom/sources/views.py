@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, dealt, shares
 
 #: Entity: key column, attribute hashed as the body, node type, layer, arch_layer.
 ENTITIES = {
@@ -53,8 +53,10 @@ def sales_edges(spark: SparkSession, sf_dir: str, orders: Column | None = None)
     suppliers call nations, nations regions."""
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     if orders is not None:
-        o = o.where(orders)
-        l = l.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        o, n = o.where(orders), shares(l)
+        # the planner moves this join before a shuffle of line items; they follow the orders if these are in no fewer parts than its setting
+        n = n and max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        l = l.join(dealt(o.select(F.col("o_orderkey").alias("l_orderkey")), n, "l_orderkey"), "l_orderkey", "left_semi")
     seen = F.when(F.col("l_returnflag") == "R", "runtime").when(F.col("l_returnflag") == "A", "test").otherwise("static")
     return _union([
         _edges(o, node_id("orders", "o_orderkey"), node_id("customer", "o_custkey"), "call"),

@@ -675,6 +675,22 @@ def test_sides_of_joins_go_by_their_rows(spark, monkeypatch):
     assert {r["id"]: r["level"] for r in components.topological_levels(edges).collect()} == {"end": 0, "low": 1, "a": 2, "b": 2, "top": 3}
 
 
+def test_rows_of_snapshots_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    from graphloom.sources import views
+
+    run = lambda: [sorted(map(str, catalog.QUERIES[q](spark, SF).collect())) for q in ("snapshot_diff_multigraph", "snapshot_diff_edges")]
+    want, lines = run(), views.table(spark, SF, "lineitem")
+    size = os.path.getsize(f"{SF}/lineitem.parquet")
+    assert graph.shares(lines) == 0
+    monkeypatch.setattr(graph, "SHARE", size // 8)
+    n = graph.shares(lines, lines.union(lines))
+    assert n in (8, 9)
+    old, new = catalog.snapshot(spark, SF, catalog.CUT_A), catalog.snapshot(spark, SF, catalog.CUT_B)
+    assert diff.diff_multigraph(old, new).rdd.getNumPartitions() == graph.shares(old.edges) > n
+    assert all(r in new.edges._jdf.queryExecution().optimizedPlan().toString() for r in (f"RepartitionByExpression [l_orderkey", f", {n}"))
+    assert run() == want
+
+
 def test_domains_put_a_text_in_lower_case_once(spark):
     assert all(w.isalpha() and w == w.lower() for words in text.DOMAINS.values() for w in words)
     assert plan_of(catalog.QUERIES["document_domains"](spark, SF)).count("lower(") == 1
