@@ -23,7 +23,10 @@ def arcs(edges: DataFrame, reverse: bool = False, undirected: bool = False) -> D
     """Distinct (at, to) steps."""
     forward = edges.select(F.col("source").alias("at"), F.col("target").alias("to"))
     backward = edges.select(F.col("target").alias("at"), F.col("source").alias("to"))
-    return (forward.unionByName(backward) if undirected else backward if reverse else forward).distinct()
+    if undirected:  # both from one pass, so that the edges are not made twice
+        both = F.array(F.struct(F.col("source").alias("at"), F.col("target").alias("to")), F.struct(F.col("target").alias("at"), F.col("source").alias("to")))
+        return edges.select(F.inline(both)).distinct()
+    return (backward if reverse else forward).distinct()
 
 
 def seeds_of(spark: SparkSession, ids: list[str]) -> DataFrame:

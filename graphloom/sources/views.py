@@ -85,7 +85,9 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    ends = l.join(s, "l_suppkey").join(o, "l_orderkey").join(c, "c_custkey")
+    n = shares(l)  # customers meet orders first, and line items are shuffled once
+    buyers = o.join(c.hint("merge") if n else c, "c_custkey").drop("c_custkey")
+    ends = dealt(l.join(s, "l_suppkey").drop("l_suppkey"), n, "l_orderkey").join(dealt(buyers, n, "l_orderkey"), "l_orderkey")
     ends = ends.join(name.select(F.col("line").alias("s_nationkey"), F.col("id").alias("source")), "s_nationkey").join(name.select(F.col("line").alias("c_nationkey"), F.col("id").alias("target")), "c_nationkey")
     seen = F.when(F.col("l_returnflag") == "R", "runtime").otherwise("static")
     edges = ends.select("source", "target", F.lit("call").alias("edge_type"), seen.alias("confidence"))

@@ -691,6 +691,16 @@ def test_rows_of_snapshots_are_dealt_by_the_size_of_the_input(spark, monkeypatch
     assert run() == want
 
 
+def test_trade_shuffles_line_items_once_and_deals_them_by_the_size_of_the_input(spark, monkeypatch):
+    run = lambda: [sorted(map(str, catalog.QUERIES[q](spark, SF).collect())) for q in ("neighbourhood", "module_coupling")]
+    want = run()
+    monkeypatch.setattr(graph, "SHARE", os.path.getsize(f"{SF}/lineitem.parquet") // 8)
+    plan = traverse.neighbourhood(catalog.TRADE(spark, SF), [catalog.NATION], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1  # both directions come from one pass
+    assert len(re.findall(r"RepartitionByExpression \[l_orderkey#\d+L\], [89]\b", plan)) == 2, plan
+    assert run() == want
+
+
 def test_domains_put_a_text_in_lower_case_once(spark):
     assert all(w.isalpha() and w == w.lower() for words in text.DOMAINS.values() for w in words)
     assert plan_of(catalog.QUERIES["document_domains"](spark, SF)).count("lower(") == 1
