@@ -3,17 +3,20 @@
 Shingles are XOR-hashed into the buckets of a sketch: a bucket holds the XOR of the 64-bit hashes
 of the shingles dealt to it, so each shingle of the symmetric difference of two sets changes one
 bucket at most and the number of differing buckets is a lower bound of that difference. Sets in one
-size band that reach the threshold differ in at most ``t`` shingles (:func:`band_shape`), so with
-more than ``t`` buckets one of them is equal in both: equal buckets are the join keys. Thin buckets,
-empty or of one shingle, tell little and would bring all texts with one common line together. There
-are spare buckets, so that more are not thin than can differ and those alone are keys; a set with too
-few of them has keys for its thin ones too. As an equal bucket is thin in both sets or in neither, no
-pair over the threshold is missed.
-
-Linked sets have more than one key in common where a set has more keys than buckets can differ, so each
-set may do without as many of its keys as it has to spare. Those that most sets have go (prefix
-filtering: of the keys that two linked sets share, the one that fewest sets have stays in both). These
-are the keys made of passages that many unlike texts share.
+size band that reach the threshold differ in at most ``t`` shingles (:func:`band_shape`), so with more
+than ``t`` buckets one of them is equal in both: equal buckets are the join keys. A set needs one key
+more than buckets can differ, not all of them. Thin buckets, empty or of one shingle, tell little and
+would bring all texts with one common line together, so its keys are of the buckets of most shingles.
+Equal buckets have equally many, so before the first one that is equal in both, either set has none
+but those that differ, and it is a key of both: no pair over the threshold is missed.
+
+In large bands each set has some keys more than it needs, in all sets of a band equally many. Linked
+sets then share that many keys more, and each set does without as many again: those that most sets
+have go (prefix filtering: of the keys that two linked sets share, the one that fewest sets have stays
+in both). These are the keys made of passages that many unlike texts share.
+
+Each text is read once for its set and keys; keys are written as one list for each set and spread out
+from there.
 
 A candidate pair is first held against bit sketches, the parities of shingle hashes modulo a power
 of two, whose Hamming distance is a lower bound of the symmetric difference as well; what is left is
@@ -38,19 +41,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import M2, cut, mix, small_batches, with_text_ids
 from .components import contract
-from .shingles import WordHashes, shingle_set
+from .shingles import WordHashes, shingle_set, shingle_sets, unlike_last
 
-#: Ratio of the largest to the smallest set size of a band, and its spare buckets in each one that may differ.
-BAND, SLACK = 1.25, 0.25
+#: Ratio of the largest to the smallest set size of a band, its spare buckets and the spare keys of a set in
+#: each one that may differ.
+BAND, SLACK, SPARE = 2, 0.25, 0.15
 #: Members of a group that share one copy of their pivot's text, and parts into which they are dealt.
 SHARE, SALTS = 256, 64
 #: Members of a group, and bytes of their sketches, that are compared with one another in one piece;
@@ -68,12 +74,13 @@ def band_of(n: int) -> int:
     return int(math.log(n) / math.log(BAND) + 1e-9)
 
 
-def band_shape(band: int, percent: int) -> tuple[int, int]:
-    """Most differing shingles of two linked sets of a band, and its number of buckets: linked sets
-    differ in at most (100 - p) / (100 + p) of the sum of their sizes."""
+@lru_cache(256)
+def band_shape(band: int, percent: int) -> tuple[int, int, int]:
+    """Most differing shingles of two linked sets of a band, its number of buckets, and how many keys more
+    than it needs a set has: linked sets differ in at most (100 - p) / (100 + p) of the sum of their sizes."""
     largest = math.ceil(BAND ** (band + 1))
     t = (100 - percent) * 2 * largest // (100 + percent)
-    return t, t + 1 + (0 if t == 0 else 1 if t < 4 else 1 + math.ceil(SLACK * (t + 1)))
+    return t, t + 1 + (0 if t == 0 else 1 if t < 4 else 1 + math.ceil(SLACK * (t + 1))), int(SPARE * (t + 1))
 
 
 def most_differing(n: int, band: int, percent: int) -> int:
@@ -88,30 +95,28 @@ def bands(n: int, percent: int) -> list[int]:
     return [own] if band_of(n * 100 // percent + 1) == own else [own, own + 1]
 
 
-def join_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a set, hashes of (band, bucket, XOR of the bucket), with the band of each and how many
-    keys of it the set has to spare."""
-    out, of, spare = [], [], []
+@lru_cache(64)
+def _bucket_names(band: int, buckets: int) -> np.ndarray:
+    return mix(np.arange(buckets, dtype=np.uint64) * M2 + np.uint64(band + 1))
+
+
+def join_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of a set, hashes of (band, bucket, XOR of the bucket), and how many of them are of its own band.
+    Those of each band are of the buckets of most shingles."""
+    out, mixed = [], mix(shingles)
     for band in bands(len(shingles), percent):
-        t, buckets = band_shape(band, percent)
-        own = most_differing(len(shingles), band, percent)
-        at = ((shingles >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        xors = np.bitwise_xor.reduceat(mix(shingles[order]), starts)
-        used, good = at[starts], np.diff(np.r_[starts, len(at)]) >= (1 if t < 4 else 2)
-        if good.sum() > own:
-            used, xors = used[good], xors[good]
-            spare.append(len(used) - own - 1)
-        else:  # all equal buckets might be thin ones
-            empty = np.setdiff1d(np.arange(buckets), used)
-            used, xors = np.r_[used, empty], np.r_[xors, np.zeros(len(empty), np.uint64)]
-            spare.append(0)
-        out.append(mix(xors ^ mix(used.astype(np.uint64) * M2 + np.uint64(band + 1))))
-        of.append(band)
-    sizes = [len(k) for k in out]
-    return np.concatenate(out).view(np.int64), np.repeat(np.array(of, np.int32), sizes), np.repeat(np.array(spare, np.int32), sizes)
+        _, buckets, spare = band_shape(band, percent)
+        at = ((shingles >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)).astype(np.int64)  # rises, as shingles do
+        starts = np.flatnonzero(unlike_last(at))
+        keys = np.zeros(buckets, np.uint64)
+        keys[at[starts]] = np.bitwise_xor.reduceat(mixed, starts)
+        keys = mix(keys ^ _bucket_names(band, buckets))
+        over = buckets - (most_differing(len(shingles), band, percent) + 1 + spare)
+        if over > 0:
+            thick = np.minimum(np.bincount(at, minlength=buckets), 255).astype(np.uint64)
+            keys = keys[np.argpartition(thick << np.uint64(56) | keys >> np.uint64(8), over)[over:]]
+        out.append(keys)
+    return np.concatenate(out).view(np.int64), len(out[0])
 
 
 def bit_sketch(shingles: np.ndarray, percent: int) -> bytes:
@@ -142,13 +147,31 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & (2**64 - 1)) - (1 << 63)
 
 
-def _describe(width: int):
+def _describe(width: int, percent: int):
+    """Size and hash of each set, its band and its keys. Copies that follow in a partition have no keys."""
+
     def run(batches):
-        hashes = WordHashes()
-        for pdf in batches:
-            sets = [shingle_set(t, width, hashes) for t in pdf["text"]]
-            ids = [set_hash(s) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "h1": [a for a, _ in ids], "h2": [b for _, b in ids]})
+        seen = set()
+        for batch in batches:
+            sizes, ids, of, own, keys = [], [], [], [], []
+            for s in shingle_sets(batch.column("text").to_pylist(), width):
+                ident = set_hash(s)
+                k, n = np.empty(0, np.int64), 0
+                if len(s) and ident not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(ident)
+                    k, n = join_keys(s, percent)
+                sizes.append(len(s))
+                ids.append(ident)
+                of.append(band_of(len(s)) if n else 0)
+                own.append(n)
+                keys.append(k)
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            h1, h2 = (pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1))
+            numbers = pa.array(sizes, pa.int64()), h1, h2, pa.array(of, pa.int32()), pa.array(own, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, lists], ["doc_id", "n_shingles", "h1", "h2", "band", "own", "keys"])
 
     return run
 
@@ -157,51 +180,13 @@ def _with_sets(width: int):
     """Adds the hash of the set of shingles to each text."""
 
     def run(batches):
-        hashes = WordHashes()
         for pdf in batches:
-            ids = [set_hash(shingle_set(t, width, hashes)) for t in pdf["text"]]
+            ids = [set_hash(s) for s in shingle_sets(pdf["text"], width)]
             yield pdf.assign(h1=[a for a, _ in ids], h2=[b for _, b in ids])
 
     return run
 
 
-def _emit_keys(width: int, percent: int, firsts: dict[tuple[int, int], str]):
-    """Keys of the sets of a partition. Of a large class, which ``firsts`` names, the document that
-    stands for it alone has keys."""
-
-    def run(batches):
-        hashes, seen = WordHashes(), set()
-        for pdf in batches:
-            keys, nodes, held = [], [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = shingle_set(text, width, hashes)
-                if not len(s):
-                    continue
-                ident = set_hash(s)
-                if ident in seen or firsts.get(ident, doc_id) != doc_id:  # copies add nothing
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(ident)
-                k = join_keys(s, percent)
-                keys.append(k)
-                nodes.append((ident, len(k[0])))
-                held += len(k[0])
-                if held > 50_000:
-                    yield _key_rows(keys, nodes)
-                    keys, nodes, held = [], [], 0
-            if held:
-                yield _key_rows(keys, nodes)
-
-    return run
-
-
-def _key_rows(keys: list, nodes: list) -> pd.DataFrame:
-    reps = [n for _, n in nodes]
-    key, band, spare = (np.concatenate(x) for x in zip(*keys, strict=True))
-    return pd.DataFrame({"key": key, "band": band, "spare": spare, "h1": np.repeat([a for (a, _), _ in nodes], reps), "h2": np.repeat([b for (_, b), _ in nodes], reps)})
-
-
 def _verify(width: int, percent: int):
     def run(batches):
         hashes = WordHashes()
@@ -223,9 +208,8 @@ def _sketch(width: int, percent: int):
     """Texts of an id with several texts are of the class alone whose set they have."""
 
     def run(batches):
-        hashes = WordHashes()
         for pdf in batches:
-            sets = [shingle_set(t, width, hashes) for t in pdf["text"]]
+            sets = list(shingle_sets(pdf["text"], width))
             own = [set_hash(s) == c for s, c in zip(sets, zip(pdf["h1"], pdf["h2"], strict=True), strict=True)]
             sets = [s for s, o in zip(sets, own, strict=True) if o]
             yield pdf.loc[own, ["node", "text"]].assign(size=[len(s) for s in sets], bits=[bit_sketch(s, percent) for s in sets])
@@ -318,29 +302,30 @@ def _open_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return cells.mapInPandas(_compare_cells(percent), "a long, b long").distinct()
 
 
-def _shared_keys(docs: DataFrame, width: int, percent: int, firsts: dict) -> DataFrame:
-    """(key, band, spare, h1, h2) of the keys that several sets have. Most keys are of
+def _shared_keys(sets: DataFrame) -> DataFrame:
+    """(key, band, h1) of the keys that several of ``sets(band, own, keys, h1)`` have. Most keys are of
     one set alone and go after one shuffle by key. The rows of a large group of similar sets would
-    meet in one task: which keys have many is told by a part of the texts, at most HOT_KEYS, and their
+    meet in one task: which keys have many is told by a part of the sets, at most HOT_KEYS, and their
     rows all stay and are dealt over SALTS tasks."""
-    schema = "key long, band int, spare int, h1 long, h2 long"
-    emit = _emit_keys(width, percent, firsts)
-    part = docs.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(PART)) == 0).mapInPandas(emit, schema)
-    counts = part.groupBy("key").count().where(F.col("count") >= HOT_ROWS // PART)
+    part = sets.where(F.pmod(F.xxhash64("h1", F.lit(9)), F.lit(PART)) == 0).select("h1", F.explode("keys").alias("key"))
+    counts = part.distinct().groupBy("key").count().where(F.col("count") >= HOT_ROWS // PART)
     hot = cut(counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key", F.lit(True).alias("hot")), "hot")
-    rows = docs.mapInPandas(emit, schema).join(F.broadcast(hot), "key", "left")
+    rows = sets.select("band", "own", "h1", F.posexplode("keys").alias("at", "key"))
+    rows = rows.select("key", F.when(F.col("at") < F.col("own"), F.col("band")).otherwise(F.col("band") + 1).alias("band"), "h1")
+    rows = rows.join(F.broadcast(hot), "key", "left")
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("h1", F.lit(7)), F.lit(SALTS))).otherwise(0).cast("int"))
     together = Window.partitionBy("key", "salt")
     rows = rows.withColumns({"low": F.min("h1").over(together), "high": F.max("h1").over(together)})
-    return rows.where("hot or low <> high").select("key", "band", "spare", "h1", "h2")
+    return rows.where("hot or low <> high").select("key", "band", "h1")
 
 
-def _without_spare(named: DataFrame) -> DataFrame:
-    """(key, node) without the keys (key, node, band, spare) that a set has to spare, those of most sets
+def _without_spare(named: DataFrame, percent: int) -> DataFrame:
+    """(key, node) without the keys (key, node, band) that a set has to spare, those of most sets
     first."""
     sizes = cut(named.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "sizes")
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("sets"), "key"))
-    return named.join(sizes, "key").withColumn("place", place).where("place > spare").select("key", "node")
+    spare = F.array(*(F.lit(band_shape(band, percent)[2]) for band in range(band_of(2**40))))
+    return named.join(sizes, "key").withColumn("place", place).where(F.col("place") > spare[F.col("band")]).select("key", "node")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -353,19 +338,23 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, h1, h2, component) of each row: the hash of its set, and a
     number for the component that also those without a doc_id have; null without shingles."""
     docs = with_text_ids(docs)
-    meta = docs.mapInPandas(_describe(width), "doc_id string, n_shingles long, h1 long, h2 long")
-    meta = cut(meta.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    classes = meta.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    # one doc_id may be the first of several classes, so it does not name them
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sets = docs.mapInArrow(_describe(width, percent), "doc_id string, n_shingles long, h1 long, h2 long, band int, own int, keys array<long>")
+    sets = cut(sets.withColumns({"doc_id": F.col("doc_id").cast("long"), "row": F.monotonically_increasing_id()}), "sets")
+    meta = sets.select("doc_id", "n_shingles", "h1", "h2")
+    # one doc_id may be the first of several classes, so a class has the number of a row that has its keys
+    node = F.max(F.when(F.col("own") > 0, F.col("row"))).alias("node")
+    classes = sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), node)
+    classes = cut(classes, "classes")
     # no more than LARGE classes have more than this share of all rows
-    large = classes.where(F.col("copies") > max(SHARE, meta.count() // LARGE)).select("h1", "h2", "first")
-    firsts = {(r["h1"], r["h2"]): str(r["first"]) for r in large.where("first is not null").collect()}
+    large = classes.where(F.col("copies") > max(SHARE, meta.count() // LARGE)).select("h1", "h2", "node")
     classes = classes.drop("copies")
 
-    shared = cut(_shared_keys(docs, width, percent, firsts), "keys")
-    named = cut(shared.join(classes.drop("first"), ["h1", "h2"]).select("key", "node", "band", "spare").distinct(), "named")
-    named = cut(_without_spare(named), "kept")
+    # of a large class one row alone has keys
+    held = sets.where("own > 0").join(F.broadcast(large), ["h1", "h2"], "left").where("node is null or node = row")
+    shared = cut(_shared_keys(held.select("band", "own", "keys", "h1")), "keys")
+    # two classes of one h1 have each other's keys too, which loses none
+    named = cut(shared.join(classes.select("h1", "node"), "h1").select("key", "node", "band").distinct(), "named")
+    named = cut(_without_spare(named, percent), "kept")
     groups = cut(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     named = cut(named.join(groups, "key"), "named")
     score = cut(named.groupBy("node").agg(F.sum("n").alias("score")), "scores")
@@ -436,8 +425,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def _set_of(width: int):
     @F.pandas_udf("h1 long, h2 long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for texts in batches:
-            yield pd.DataFrame([set_hash(shingle_set(t, width, hashes)) for t in texts], columns=["h1", "h2"], dtype="int64")
+            yield pd.DataFrame([set_hash(s) for s in shingle_sets(texts, width)], columns=["h1", "h2"], dtype="int64")
 
     return run
