@@ -3,22 +3,88 @@
 A node's hash is sha256 of its body hash if it has no callees, else of the body hash, a colon and the
 sorted hashes of its distinct callees joined by colons. Nodes of one cycle share a hash, made of their
 sorted ``id:body_hash`` and the sorted hashes of what the cycle calls outside. Hashes are computed level
-by level over the condensed graph.
+by level: each arc meets the hash of its callee once, and goes to its caller once all callees have theirs.
+What is left, cycles and what calls them, is condensed first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, durable
+from graphloom.graph import Graph, by_size, durable
 
-from .components import peel, strong_components
+from .components import peel, strong_components, union_all
 from .traverse import arcs, invalidated
 
 
 def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame:
     """(id, dependency_hash). ``known`` (id, dependency_hash) are taken as they are and not entered."""
+    if known is not None:
+        return _condensed(graph, known)
+    # a caller's distinct callees are one row here, as they are in its hash
+    lists = graph.edges.where("source <> target").groupBy(F.xxhash64("source").alias("k"), F.col("source").alias("at")).agg(F.collect_set("target").alias("callees"))
+    lists = durable(lists.select("at", "callees"))
+    hashes, tangled, n, most = _by_levels(graph.nodes, lists)
+    if n:  # cycles and what calls them: these nodes, and as known what they call
+        ends = tangled.select("id")
+        rest = durable(lists.join(by_size(ends.withColumnRenamed("id", "at"), n), "at", "left_semi").select("at", F.explode("callees").alias("to")))
+        found = durable(hashes.join(rest.select(F.col("to").alias("id")).distinct(), "id", "left_semi"))
+        inside = graph.nodes.select("id", "body_hash").join(by_size(ends, n), "id", "left_semi").unionByName(found.select("id", F.lit("").alias("body_hash")))
+        more = _condensed(Graph(inside, rest.select(F.col("at").alias("source"), F.col("to").alias("target"))), found)
+        hashes = hashes.unionByName(more.join(by_size(ends, n), "id", "left_semi").distinct())
+    return hashes if most < 2 else graph.nodes.select("id").join(hashes, "id")
+
+
+def _met(one: str, other: str) -> Column:
+    """Equal ids. Tables are sorted by a hash first: ids begin alike, which makes comparing them slow."""
+    return (F.xxhash64(one) == F.xxhash64(other)) & (F.col(one) == F.col(other))
+
+
+def _by_levels(nodes: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(id, dependency_hash) of ids from which no cycle and no node without a hash is reached, the others (id,
+    body_hash) and their number, and how many nodes share an id at most. ``lists`` (at, callees) has a row for each
+    caller; ends outside ``nodes`` do not count. Hashes travel in 32 bytes."""
+    nodes = nodes.where("id is not null").groupBy(F.xxhash64("id").alias("k"), "id").agg(F.min("body_hash").alias("body_hash"), F.count("*").alias("rows"))
+    callers = lists.select("at").hint("merge")
+    marked = durable(nodes.join(callers, (F.col("k") == F.xxhash64("at")) & (F.col("id") == F.col("at")), "left").select("id", "body_hash", "rows", F.col("at").isNotNull().alias("calls")))
+    hashed = F.unhex(F.sha2("body_hash", 256)).alias("hash")
+    parts = [durable(marked.where("not calls").select("id", hashed))]
+    waiting = marked.where("calls").select("id", "body_hash")
+    callees = parts[0].unionByName(waiting.select("id", F.lit(None).cast("binary").alias("hash"))).hint("merge")
+    met = durable(lists.select("at", F.explode("callees").alias("to")).join(callees, _met("to", "id")).select("at", "to", "hash"))
+    n, most = marked.agg(F.count_if("calls"), F.max("rows")).first()
+    told = []
+    while n:
+        told.append(met.where("hash is not null").select("at", "hash"))
+        left = met.where("hash is null").select("at", "to")
+        waits = left.select("at").distinct().hint("merge")
+        split = durable(waiting.join(waits, _met("id", "at"), "left").select("id", "body_hash", F.col("at").isNotNull().alias("waits")))
+        ready, waiting = split.where("not waits").select("id", "body_hash"), split.where("waits").select("id", "body_hash")
+        freed, before = ready.count(), n
+        if not freed:
+            break
+        n = before - freed
+        own = union_all(told)
+        if n:
+            own = own.join(by_size(ready.select(F.col("id").alias("x")), freed), _met("at", "x"), "left_semi")
+        # bodies come as further rows of their groups; a group without one is of a caller that has its hash
+        bodies = ready.select(F.col("id").alias("at"), F.lit(None).cast("binary").alias("hash"), F.col("body_hash").alias("body"), F.lit(True).alias("new"))
+        own = own.select("at", "hash", F.lit(None).cast("string").alias("body"), F.lit(False).alias("new")).unionByName(bodies)
+        own = own.withColumn("k", F.xxhash64("at")).repartition("k", "at")  # few rows of a task share a caller: nothing to gather before
+        new = own.groupBy("k", "at").agg(F.array_sort(F.collect_list("hash")).alias("callees"), F.max("body").alias("body"), F.max("new").alias("new"))
+        text = F.when(F.col("body").isNotNull(), F.concat_ws(":", "body", F.transform("callees", lambda h: F.lower(F.hex(h)))))
+        parts.append(durable(new.where("new").select(F.col("at").alias("id"), F.unhex(F.sha2(text, 256)).alias("hash"))))
+        if n:
+            met = durable(left.join(by_size(parts[-1], freed), _met("to", "id"), "left").select("at", "to", "hash"))
+        if len(parts) % 10 == 0:  # short plans however deep the graph
+            parts = [durable(union_all(parts))]
+            told = [durable(union_all(told).join(by_size(waiting.select(F.col("id").alias("x")), n), _met("at", "x"), "left_semi"))] if n else []
+    return union_all(parts).select("id", F.lower(F.hex("hash")).alias("dependency_hash")), waiting, n, most or 0
+
+
+def _condensed(graph: Graph, known: DataFrame) -> DataFrame:
+    """(id, dependency_hash) where ``known`` are taken as they are: by groups, a cycle or a single node each."""
     nodes = durable(graph.nodes.select("id", "body_hash"))
     e = arcs(graph.edges).where(F.col("at") != F.col("to"))
     inside = nodes.select("id")
@@ -33,16 +99,13 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
     body = group.groupBy("group").agg(F.max("cyclic").alias("cyclic"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "id", "body_hash"))), "|").alias("members"), F.min("body_hash").alias("body"))
     a, b = group.select(F.col("id").alias("at"), F.col("group").alias("ga")), group.select(F.col("id").alias("to"), F.col("group").alias("gb"))
     calls = durable(e.join(a, "at").join(b, "to").where("ga <> gb").select("ga", "gb").distinct())
-    done = None
-    if known is not None:
-        done = durable(group.join(known, "id").groupBy("group").agg(F.max("dependency_hash").alias("hash")))
-        body = durable(body.join(done, "group", "left_anti"))
+    done = durable(group.join(known, "id").groupBy("group").agg(F.max("dependency_hash").alias("hash")))
+    body = durable(body.join(done, "group", "left_anti"))
     # a group is hashed in the round after its last callee; hashes of callees are collected as they come
-    waiting = calls if done is None else calls.join(done, calls.gb == done.group, "left_anti")
-    if done is not None or not tangled.isEmpty():
-        levels = durable(peel(body.select("group"), durable(waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi"))))
+    waiting = calls.join(done, calls.gb == done.group, "left_anti")
+    levels = durable(peel(body.select("group"), durable(waiting.join(body.select(F.col("group").alias("ga")), "ga", "left_semi"))))
     depth = levels.agg(F.max("level")).first()[0]
-    got = calls.limit(0).select(F.col("ga").alias("group"), F.lit("").alias("hash")) if done is None else calls.join(done, calls.gb == done.group).select(F.col("ga").alias("group"), "hash")
+    got = calls.join(done, calls.gb == done.group).select(F.col("ga").alias("group"), "hash")
     for level in range((-1 if depth is None else depth) + 1):
         ready = levels.where(F.col("level") == level).select("group").join(body, "group")
         callees = got.groupBy("group").agg(F.array_sort(F.collect_list("hash")).alias("callees"))
@@ -50,13 +113,12 @@ def dependency_hashes(graph: Graph, known: DataFrame | None = None) -> DataFrame
         own = F.when(F.col("cyclic"), F.concat_ws("|", "members", F.array_join("callees", ":")))
         plain = F.when(F.size("callees") == 0, F.col("body")).otherwise(F.concat(F.col("body"), F.lit(":"), F.array_join("callees", ":")))
         new = durable(new.select("group", F.sha2(F.coalesce(own, plain), 256).alias("hash")))
-        done = new if done is None else done.unionByName(new)
+        done = done.unionByName(new)
         passed = calls.join(new, calls.gb == new.group).select(F.col("ga").alias("group"), "hash")
         got = got.join(new.select("group"), "group", "left_anti").unionByName(passed)
         if level % 10 == 9:  # short plans however deep the graph
             done, got = durable(done), durable(got)
-    hashes = group.join(done, "group").select("id", F.col("hash").alias("dependency_hash")) if done is not None else group.select("id", F.lit("").alias("dependency_hash")).limit(0)
-    return hashes
+    return group.join(done, "group").select("id", F.col("hash").alias("dependency_hash"))
 
 
 def rehash(graph: Graph, old: DataFrame, changed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The graph operators on small graphs with awkward shapes, and every registered query against SQL."""
 
+import hashlib
 import os
 import random
 import re
@@ -229,6 +230,30 @@ def test_weak_components_of_a_long_chain_in_many_stretches(spark, monkeypatch):
     assert got == {n: min(names[:250]) for n in names[:250]} | {n: min(names[250:]) for n in names[250:]}
 
 
+def test_hashes_meet_each_arc_once_and_look_for_components_only_of_what_is_left(spark, monkeypatch):
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    pairs = [("top", "mid"), ("top", "end"), ("top", "end"), ("mid", "end"), ("mid", "mid"), ("mid", "outside"), ("far", "outside"), ("outside", "end")]
+    g = make(spark, pairs, extra=["alone"])
+    g = Graph(g.nodes.where("id <> 'outside'").unionByName(g.nodes.where("id = 'end'")).withColumn("body_hash", F.expr("if(id = 'alone', null, body_hash)")), g.edges)
+    end = sha("hend")
+    mid = sha("hmid:" + end)
+    want = [("alone", None), ("end", end), ("end", end), ("far", sha("hfar")), ("mid", mid), ("top", sha(":".join(["htop", *sorted([mid, end])])))]
+    with monkeypatch.context() as m:
+        m.setattr(cas, "peel", lambda *a: pytest.fail("went over levels apart from hashes"))
+        m.setattr(cas, "strong_components", lambda edges: pytest.fail("looked for components"))
+        assert sorted(map(tuple, cas.dependency_hashes(g).collect())) == want
+        chain = make(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(24)])
+        below = None
+        for i in reversed(range(25)):
+            below = sha(f"hn{i:02}:{below}" if below else f"hn{i:02}")
+        assert cas.dependency_hashes(chain).where("id = 'n00'").first()["dependency_hash"] == below
+    pairs += [("a", "b"), ("b", "a"), ("b", "mid"), ("above", "a"), ("above", "end"), ("above", "alone")]
+    knot = make(spark, pairs, extra=["alone"])
+    ring = sha(f"a:ha|b:hb|{got['mid']}") if (got := {r["id"]: r["dependency_hash"] for r in cas.dependency_hashes(knot).collect()}) else None
+    assert got["a"] == got["b"] == ring and got["above"] == sha(":".join(["habove", *sorted([ring, end, sha("halone")])]))
+    assert len(got) == 9 and got["outside"] == sha("houtside:" + end)
+
+
 def test_empty_graphs(spark):
     g = make(spark, [], extra=["x::1"])
     assert components.strong_components(g.edges).count() == 0
