@@ -25,6 +25,10 @@ from .traverse import arcs
 
 #: Bytes of edges that a task joins at once before it tells what they join.
 STRETCH_BYTES = 64 << 20
+#: Bytes of what a stretch tells up to which the next one goes on with it.
+KEPT_BYTES = 4 << 20
+#: Links up to which one task joins them; the result is the same.
+FEW_LINKS = 1_000_000
 
 
 def _least_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -45,9 +49,9 @@ def _least_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, root) of each node of each stretch of edges (source, target): root is the smallest id that the
-    edges of the stretch join it with."""
+    edges of the stretch join it with. Few such rows are not told but begin the next stretch."""
 
-    def told(stretch: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(stretch: list[pa.RecordBatch]) -> pa.Table:
         ends = pa.concat_arrays([x.column(k) for k in (0, 1) for x in stretch]).dictionary_encode()
         order = pc.sort_indices(ends.dictionary)
         names = ends.dictionary.take(order)
@@ -56,7 +60,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = place[ends.indices.to_numpy()]
         half = len(codes) // 2
         roots = names.take(pa.array(_least_joined(codes[:half], codes[half:], len(names))))
-        yield from pa.table({"id": names, "root": roots}).to_batches(max_chunksize=50_000)
+        return pa.table({"id": names, "root": roots})
 
     stretch, size = [], 0
     for batch in batches:
@@ -64,37 +68,58 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stretch.append(batch)
             size += batch.nbytes
         if size >= STRETCH_BYTES:
-            yield from told(stretch)
+            stars = told(stretch)
             stretch, size = [], 0
+            if stars.nbytes <= KEPT_BYTES:
+                stretch = stars.combine_chunks().to_batches()
+            else:
+                yield from stars.to_batches(max_chunksize=50_000)
     if stretch:
-        yield from told(stretch)
+        yield from told(stretch).to_batches(max_chunksize=50_000)
+
+
+def _stars_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of the few edges of one task."""
+    edges = [x for x in batches if x.num_rows]
+    for stars in _stars(iter(pa.Table.from_batches(edges).combine_chunks().to_batches() if edges else [])):
+        yield stars.rename_columns(["id", "component"])
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, size: int | None = None) -> DataFrame:
     """(id, component): component is the smallest id of those joined by edges in any direction. Tasks join
     the edges that they read, in stretches of bounded size, so that a node has one root for each stretch
     that it is in and not a row for each edge. Roots of one node are linked, and what is left of the graph
-    are these links."""
+    are these links. ``size`` is the number of edges, where that is known."""
     steps = edges.select("source", "target").where("source <> target")
     stars = durable(steps.mapInArrow(_stars, "id string, root string"))  # a table: tasks that are run again may cut other stretches
-    order = Window.partitionBy("id").orderBy("root")
-    held = durable(stars.select("id", "root", F.first("root").over(order).alias("low"), F.row_number().over(order).alias("place")))
-    parents = held.where("place = 1").select(F.col("id").alias("x"), "low")
-    links = held.where("root <> low").select(F.col("root").alias("at"), F.col("low").alias("to")).distinct()
+    rows = stars.unionByName(nodes.select("id", F.lit(None).cast("string").alias("root")))  # nodes are rows without a root
+    of_id = Window.partitionBy("id").orderBy(F.asc_nulls_last("root"))
+    whole = of_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = rows.select("id", "root", F.coalesce(F.first("root").over(of_id), "id").alias("low"), F.row_number().over(of_id).alias("place"), F.last("root").over(whole).isNull().alias("node"))
+    # one row for each node, or for an id that is none, and the roots that its id has besides the least
+    held = held.withColumn("named", F.col("root").isNull() | ((F.col("place") == 1) & ~F.col("node")))
+    held = durable(held.where("named or root <> low").select("id", "root", "low", "named"))
+    links = durable(held.where("root <> low").select(F.col("root").alias("at"), F.col("low").alias("to")).distinct())
+    out = held.where("named").select("id", "low")
+    n = links.count()
+    if not n:
+        return out.withColumnRenamed("low", "component")
+    roots = _joined(links, n, size).select(F.col("id").alias("x"), "component")
+    met = (F.xxhash64("low") == F.xxhash64("x")) & (F.col("low") == F.col("x"))
+    out = out.join(F.broadcast(roots) if roots.limit(FEW_ROWS + 1).count() <= FEW_ROWS else roots.hint("merge"), met, "left")
+    return durable(out.select("id", F.coalesce("component", "low").alias("component")))
+
+
+def _joined(links: DataFrame, n: int, before: int | None = None) -> DataFrame:
+    """(id, component) of the ends of n distinct links (at, to), a table. Few are joined by one task; more are
+    edges for tasks of about as many, if they are at most half of the edges before that they come from; else
+    hooking and pointer jumping, until few are left."""
+    if n <= FEW_LINKS:
+        return _joined_at_once(links)
+    if before is None or 2 * n <= before:
+        few = links.select(F.col("at").alias("source"), F.col("to").alias("target")).coalesce(-(-n // max(1, FEW_LINKS)))
+        return weak_components(few.select(F.col("source").alias("id")).limit(0), few, n)
     links = durable(links.unionByName(links.select(F.col("to").alias("at"), F.col("at").alias("to"))).distinct())
-    component = F.col("low")
-    if not links.isEmpty():
-        roots = _joined(links).select(F.col("id").alias("low"), "component")
-        parents = parents.join(F.broadcast(roots) if roots.limit(FEW_ROWS + 1).count() <= FEW_ROWS else roots.hint("merge"), "low", "left")
-        component = F.coalesce("component", "low")
-    parents = parents.select("x", component.alias("component"))
-    out = nodes.select("id").join(parents, F.col("id") == F.col("x"), "full")
-    return durable(out.select(F.coalesce("id", "x").alias("id"), F.coalesce("component", "id").alias("component")))
-
-
-def _joined(links: DataFrame) -> DataFrame:
-    """(id, component) of the ends of distinct links (at, to), a table that has both directions: hooking and
-    pointer jumping."""
     labels = durable(links.select(F.col("at").alias("id")).distinct().withColumn("component", F.col("id")))
     while not links.isEmpty():
         least = links.groupBy("at").agg(F.min("to").alias("low")).select(F.col("at").alias("x"), F.least("at", "low").alias("p"))
@@ -111,9 +136,16 @@ def _joined(links: DataFrame) -> DataFrame:
         b = parents.select(F.col("x").alias("to"), F.col("p").alias("pb"))
         links = links.join(a, "at", "left").join(b, "to", "left").select(F.coalesce("pa", "at").alias("at"), F.coalesce("pb", "to").alias("to"))
         links = durable(links.where(F.col("at") != F.col("to")).distinct())
+        if 0 < links.count() <= FEW_LINKS:
+            last = _joined_at_once(links).select(F.col("id").alias("x"), F.col("component").alias("p")).hint("merge")
+            return durable(labels.join(last, labels.component == F.col("x"), "left").select("id", F.coalesce("p", "component").alias("component")))
     return labels
 
 
+def _joined_at_once(links: DataFrame) -> DataFrame:
+    return durable(links.select("at", "to").coalesce(1).mapInArrow(_stars_at_once, "id string, component string"))
+
+
 #: Distinct arcs up to which one task takes strong components of a graph, or of weak components together; the
 #: result is the same.
 SMALL_ARCS = 100_000

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,29 @@ def test_hashes_meet_each_arc_once_and_look_for_components_only_of_what_is_left(
     assert len(got) == 9 and got["outside"] == sha("houtside:" + end)
 
 
+@pytest.mark.parametrize("few", [0, 60, 1_000_000])
+def test_few_links_of_weak_components_are_joined_by_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "STRETCH_BYTES", 1)
+    monkeypatch.setattr(components, "KEPT_BYTES", 0)
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    held, keep = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: held.append(1) or keep(df))
+    names = [f"n{i * 7919 % 400:03}" for i in range(400)]
+    g = make(spark, list(zip(names[:200], names[1:200])) + list(zip(names[201:], names[200:])), extra=["alone"])
+    twice = Graph(g.nodes.where("id <> 'n000'").unionByName(g.nodes.where("id in ('n001', 'alone')")), g.edges.repartition(30))
+    got = components.weak_components(twice.nodes, twice.edges).collect()
+    want = {n: min(names[:200]) for n in names[:200]} | {n: min(names[200:]) for n in names[200:]} | {"alone": "alone"}
+    assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want) + 2
+    assert few < 1_000_000 or len(held) == 5
+
+
+def test_stretches_of_few_nodes_go_on_with_them(monkeypatch):
+    monkeypatch.setattr(components, "STRETCH_BYTES", 1)
+    batches = [pa.record_batch({"source": [f"m{i}", "é"], "target": [f"m{i + 1}", "z"]}) for i in range(9)]
+    rows = [r for x in components._stars(iter(batches)) for r in x.to_pylist()]
+    assert {r["id"]: r["root"] for r in rows} == {f"m{i}": "m0" for i in range(10)} | {"z": "z", "é": "z"} and len(rows) == 12
+
+
 def test_empty_graphs(spark):
     g = make(spark, [], extra=["x::1"])
     assert components.strong_components(g.edges).count() == 0
